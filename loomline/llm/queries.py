@@ -6,18 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
-from .common import table
+from . import media, mixing, secrets, warc
+from .common import Scratch, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("hash")
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = warc.plan_records(table(spark, sf_dir, "pages"))
+    archive = Scratch(spark, "warc").save(warc.write_records(planned), "chunks")
+    return warc.read_records(archive).drop("url")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_media_columns": op2_media_columns,
+    "op3_warc_archive": op3_warc_archive,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_source_mix": mixing.ORACLE,
+    "op3_warc_archive": warc.ORACLE,
 }
