@@ -5,9 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Frees a query's shuffle files when the query ends instead of when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,3 +64,37 @@ class Scratch:
         """Deletes a table that no later step reads, or all of them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_column(df: DataFrame, column: str, keep: list[str], added: str, start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """The columns of `keep`, as they are, and those of the DDL `added`, computed from one column's values.
+
+    start() is called once a task and gives a function from a batch's values to the added columns' values; a kept
+    column that it gives too (by name in `added`) is replaced in its place. Batches stay in Arrow, so that other
+    columns pass unchanged, whatever their types and nulls.
+    """
+    new = StructType.fromDDL(added)
+    names = {f.name for f in new}
+    schema = StructType([*(f if f.name not in names else new[f.name] for f in (df.schema[k] for k in keep)), *(f for f in new if f.name not in keep)])
+    arrow = to_arrow_schema(schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            values = dict(zip((f.name for f in new), compute(batch.column(batch.num_columns - 1).to_pylist())))
+            columns = [pa.array(values[f.name], type=f.type) if f.name in values else batch.column(i).cast(f.type) for i, f in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{column}`").alias("_value")).mapInArrow(mapped, schema)
+
+
+def filter_column(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows, unchanged, whose value of one column passes a test that start() gives once a task."""
+    place = df.columns.index(column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = start()
+        for batch in batches:
+            yield batch.filter(pa.array(test(batch.column(place).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(kept, df.schema)

@@ -9,9 +9,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import map_column
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples in an image row; a payload is padded to a multiple of it.
@@ -132,40 +132,35 @@ def cosine_hash(image: np.ndarray) -> str:
 
 
 def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
-    """key, n_bytes and media: each text's UTF-8 bytes, padded to rows of WIDTH, as a PNG. Null counts as empty."""
+    """key, n_bytes and media: each text's UTF-8 bytes, padded to rows of WIDTH, as a PNG. Null counts as empty.
+
+    Rows are mapped one by one, so repeated rows, empty tables and extra columns need no care; a very long text needs
+    a few times its own size in memory.
+    """
+
+    def encoded(texts: list) -> list[list]:
+        data = [(t or "").encode("utf-8") for t in texts]
+        return [[len(d) for d in data], [encode_png(padded(d), WIDTH, level) for d in data]]
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = [t.encode("utf-8") for t in batch["_text"]]
-            yield pd.DataFrame({key: batch[key], "n_bytes": [len(d) for d in data], "media": [encode_png(padded(d), WIDTH, level) for d in data]})
+    return map_column(docs, text, [key], "n_bytes long, media binary", lambda: encoded)
 
-    kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return plain.mapInPandas(encoded, f"`{key}` {kind}, n_bytes long, media binary")
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary"
+
+
+def read_media(stored: bytes | None) -> tuple:
+    """FEATURES of a stored form; nulls for null."""
+    if stored is None:
+        return (None,) * 7
+    image = decode_png(stored)
+    payload, feature = image.tobytes(), cosine_hash(image)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, bytes.fromhex(feature)
 
 
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What is read back from `media`: payload size, digests, and the cosine hash as 8 bytes and as hex.
+    """What is read back from `media`: payload size, digests, and the cosine hash as hex and as 8 bytes.
 
     Raises MediaError where a stored form fails a checksum. A null media value gives null features.
     """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for stored in batch["media"]:
-                if stored is None:
-                    rows.append((None,) * 7)
-                    continue
-                image = decode_png(stored)
-                payload = image.tobytes()
-                feature = cosine_hash(image)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, bytes.fromhex(feature)))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "hash"]
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            out.insert(0, "n_bytes", batch["n_bytes"].to_numpy())
-            out.insert(0, key, batch[key].to_numpy())
-            yield out
-
-    kind = media.schema[key].dataType.simpleString()
-    return media.mapInPandas(read, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary")
+    read = lambda values: list(zip(*map(read_media, values))) or [[]] * 7
+    return map_column(media, "media", [key, "n_bytes"], FEATURES, lambda: read)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, mixing, secrets, warc
+from . import media, mixing, secrets, toxicity, warc
 from .common import Scratch, table
 
 
@@ -28,11 +29,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
     "op3_warc_archive": op3_warc_archive,
     "op6_secret_scan": op6_secret_scan,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

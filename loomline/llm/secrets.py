@@ -8,10 +8,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_column
+
 #: Fixed patterns of the base kinds, with the least length of the part that counts.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -196,29 +197,19 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     a very long text needs memory in proportion to its own length. Extra columns are ignored.
     """
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [scan_text(t, least) for t in batch["_text"]]
-            spell = lambda spans: [{"start": s, "end": e, "kind": k} for s, e, k in spans]
-            yield pd.DataFrame({key: batch[key], "base": [spell(b) for b, _ in both], "spans": [spell(a) for _, a in both]})
+    def scanned(texts: list) -> list[list]:
+        both = [scan_text(t, least) for t in texts]
+        spell = lambda spans: [{"start": s, "end": e, "kind": k} for s, e, k in spans]
+        return [[spell(b) for b, _ in both], [spell(a) for _, a in both]]
 
-    kind = docs.schema[key].dataType.simpleString()
     span = "array<struct<start:int,end:int,kind:string>>"
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInPandas(scanned, f"`{key}` {kind}, base {span}, spans {span}")
+    return map_column(docs, text, [key], f"base {span}, spans {span}", lambda: scanned)
 
 
 def redact(docs: DataFrame, mark: str = "[{kind}]", least: float = LEAST_GUESSES) -> DataFrame:
     """The documents with every span of a secret replaced by its mark, and n_chars (where present) counted again."""
-    columns = docs.columns
-
-    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.copy()
-            batch["text"] = [_redacted(t, mark, least) for t in batch["text"]]
-            yield batch
-
-    out = docs.mapInPandas(cleaned, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = map_column(docs, "text", docs.columns, "text string", lambda: lambda texts: [[_redacted(t, mark, least) for t in texts]])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _redacted(text: str | None, mark: str, least: float) -> str | None:
