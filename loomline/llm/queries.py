@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets, toxicity, warc
+from . import media, mixing, repeats, secrets, toxicity, warc
 from .common import Scratch, table
 
 
@@ -36,12 +36,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
     "op3_warc_archive": op3_warc_archive,
     "op6_secret_scan": op6_secret_scan,
     "op9_toxicity": op9_toxicity,
+    "op10_repeat_removal": op10_repeat_removal,
 }
 
 ORACLES: dict[str, str] = {
