@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, repeats, secrets, toxicity, warc
+from . import media, mixing, packing, repeats, secrets, toxicity, warc
 from .common import Scratch, table
 
 
@@ -25,6 +26,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(archive).drop("url")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
     "op3_warc_archive": op3_warc_archive,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_repeat_removal": op10_repeat_removal,
