@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -114,8 +114,7 @@ def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
                 signs = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=schema)
 
-    picked = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(picked.select("node"), "node", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
     return rows.mapInArrow(listed, "node long, sign_a long, grams binary").dropDuplicates(["node", "sign_a"])
 
 
@@ -298,13 +297,25 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of which each group keeps one row: that of its component's doc_id. All columns stay.
+    """The documents of which each group keeps one: that of its component's doc_id. All columns stay.
 
-    Documents without n-grams are kept. Of rows that share the kept doc_id, the first by text stays.
+    Documents without n-grams and rows without doc_id are kept. Rows that share a doc_id are one document, of which
+    the row with the least text stays.
     """
-    groups = link_groups(docs, words, percent)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    scratch = Scratch(docs.sparkSession, "keep")
+    groups = scratch.save(link_groups(docs, words, percent), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    often = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    apart = scratch.save(gone.unionByName(often).distinct(), "apart")
+    kept = docs.join(_small(apart), "doc_id", "left_anti")
+    again = docs.join(_small(often.join(gone, "doc_id", "left_anti")), "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.unionByName(again.select(F.struct("*").alias("_row"), "doc_id", "text").withColumn("_first", first).where("_first = 1").select("_row.*"))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A hint to broadcast ids where their number is within the bound."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
 ORACLE = r"""

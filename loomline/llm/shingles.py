@@ -88,8 +88,8 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         if high - low >= words:
             out.append(np.unique(grams[low : high - words + 1]))
         elif high > low:
-            short = (hashes[low:high] * _ODD[: high - low]).sum(dtype=np.uint64) + _ODD[words + high - low]
-            out.append(mix(np.array([short], dtype=np.uint64)))
+            short = (hashes[low:high] * _ODD[: high - low]).sum(dtype=np.uint64, keepdims=True) + _ODD[words + high - low]
+            out.append(mix(short))
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
