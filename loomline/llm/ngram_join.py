@@ -75,13 +75,28 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams fall in each group. The overlap of two sets is at most the sum of the smaller counts."""
-    return np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    """How many n-grams fall in each group. The overlap of two sets is at most the sum of the smaller counts.
+
+    There are GROUPS groups, or more for larger sets (a power of two, eight n-grams a group at most on average), by
+    the hash's lower bits: a longer vector folds onto a shorter one by adding up.
+    """
+    groups = max(GROUPS, 1 << max(0, (len(grams) // 8 - 1).bit_length()))
+    return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The sum of the smaller counts, at the shorter vector's groups."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix) and vector of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary())])
+    """doc_id, n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix), vector and coarse (the vector folded onto GROUPS) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary()), ("coarse", pa.binary())])
     packed = levels.tobytes()
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +109,11 @@ def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: i
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, pa.array([count_vector(s).tobytes() for s in sets], type=pa.binary())],
-                schema=schema,
-            )
+            vectors = [count_vector(s) for s in sets]
+            binary = [pa.array([v.tobytes() for v in c], type=pa.binary()) for c in (vectors, [folded(v, GROUPS) for v in vectors])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, *binary], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profiled, f"{NODE}, n long, sign_a long, sign_b long, keys array<long>, vector binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profiled, f"{NODE}, n long, sign_a long, sign_b long, keys array<long>, vector binary, coarse binary")
 
 
 def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -158,7 +172,7 @@ class CountTree:
     def join(self, other: CountTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs of points of both trees, of different classes, that sizes and bounds allow."""
         top = max(len(self.levels), len(other.levels)) - 1
-        todo = [(top, 0, 0)]
+        todo = [(top, 0, 0)] if len(self.sizes) and len(other.sizes) else []
         while todo:
             level, i, j = todo.pop()
             if level < 0:
@@ -196,6 +210,13 @@ class CountTree:
         return ok & ~one
 
 
+def small_join(sizes: np.ndarray, vectors: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a tree of one leaf gives when joined with itself."""
+    bound = np.minimum(vectors[:, None, :], vectors[None, :, :]).sum(axis=2, dtype=np.int64)
+    ok = ((100 + percent) * bound >= percent * (sizes[:, None] + sizes[None, :])) & (100 * sizes[:, None] >= percent * sizes[None, :])
+    return np.nonzero(ok & (100 * sizes[None, :] >= percent * sizes[:, None]) & (classes[:, None] != classes[None, :]))
+
+
 def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs (a < b) within blocks of (block, node, class, n, vector), between different classes.
 
@@ -226,6 +247,12 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             node, label, size, tile = (unit.column(c).to_numpy() for c in ("node", "class", "n", "tile"))
             vector = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
             low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
+            if low == high and len(node) <= LEAF:
+                x, y = small_join(size, vector, label, percent)
+                keep = node[x] < node[y]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], schema=schema)
+                continue
             mine, yours = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
             if not len(mine) or not len(yours):
                 continue
@@ -261,19 +288,26 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     signed = scratch.save(signed, "nodes")
     named = rows.join(signed.select("sign_a", "sign_b", "node"), (rows["doc_id"] == signed["node"]) & (rows["sign_a"] == signed["sign_a"]) & (rows["sign_b"] == signed["sign_b"]), "left_semi")
     keyed = named.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("block"))
-    several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.max("node").alias("other")).where("m > 1 and pivot <> other").select("block", "pivot")
+    several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.max("node").alias("other"), F.min("n").alias("small"), F.max("n").alias("large"))
+    several = several.where(f"m > 1 and pivot <> other and (m > 2 or 100 * small >= {percent} * large)").select("block", "pivot")
     blocks = scratch.save(keyed.join(several, "block"), "blocks")
     vectors = rows.where("n > 0").select(F.col("doc_id").alias("node"), "n", "vector")
-    sets = scratch.save(members(docs, blocks.select("node").distinct(), words), "members")
 
-    stars = blocks.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _bounded(stars, vectors, percent)
-    links = scratch.save(verified(stars, sets, percent).distinct(), "links")
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(_bounded(pairs, vectors, percent).distinct(), f"{name}-pairs")
+        nodes = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
+        sets = scratch.save(members(docs, nodes, words), f"{name}-sets")
+        found = scratch.save(verified(pairs, sets, percent).distinct(), name)
+        scratch.drop(f"{name}-sets")
+        return found
+
+    links = linked(blocks.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "links")
     label = scratch.save(components(links, scratch, "first"), "first")
     labelled = blocks.join(label, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("class"))
     mixed = labelled.groupBy("block").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("block")
-    rest = labelled.join(mixed, "block", "left_semi").join(vectors.drop("n"), "node").dropDuplicates(["block", "node"])
-    more = scratch.save(verified(tree_pairs(rest, percent), sets, percent), "more")
+    coarse = rows.where("n > 0").select(F.col("doc_id").alias("node"), F.col("coarse").alias("vector"))
+    rest = labelled.join(mixed, "block", "left_semi").join(coarse, "node").dropDuplicates(["block", "node"])
+    more = linked(tree_pairs(rest, percent), "more")
     whole = scratch.save(components(links.unionByName(more), scratch, "second"), "second")
 
     groups = signed.where("node is not null").join(whole, "node", "left").select("sign_a", "sign_b", F.col("n").alias("size"), F.coalesce("component", "node").alias("component"))
@@ -286,14 +320,14 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = [batch.column(c).to_numpy() for c in (2, 3)]
-            vector = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, GROUPS) for c in (4, 5)]
-            bound = np.minimum(*vector).sum(axis=1, dtype=np.int64)
-            ok = ((100 + percent) * bound >= percent * (size[0] + size[1])) & (100 * np.minimum(*size) >= percent * np.maximum(*size))
-            yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * percent
+            views = [[np.frombuffer(v.as_buffer(), dtype=np.uint16) for v in batch.column(c)] for c in (4, 5)]
+            bound = np.array([overlap_bound(x, y) for x, y in zip(*views)], dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= sizes))
 
     side = lambda c: vectors.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("vector").alias(f"{c}_vector"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_vector", "b_vector").mapInArrow(test, "a long, b long")
+    fit = (100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "a_n", "b_n", "a_vector", "b_vector").mapInArrow(test, "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
