@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Frees a query's shuffle files when the query ends instead of when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while intermediate tables are written: texts and sets are long, and a batch is held whole.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _freed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 class Scratch:
@@ -56,7 +58,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it again."""
         path = f"{self.root}/{name}"
-        with _freed(self.spark):
+        with _set(self.spark, {_CLEANUP: "true", _BATCH: str(BATCH_ROWS)}):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -66,6 +68,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values of one binary or string column take at most so many bytes together."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = size = 0
+    for row, length in enumerate(lengths):
+        if size + length > most and row > at:
+            yield batch.slice(at, row - at)
+            at, size = row, 0
+        size += length
+    if len(lengths) > at:
+        yield batch.slice(at)
+
+
 def map_column(df: DataFrame, column: str, keep: list[str], added: str, start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
     """The columns of `keep`, as they are, and those of the DDL `added`, computed from one column's values.
 

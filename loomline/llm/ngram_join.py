@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 from .components import components
 from .shingles import shingle_sets
 
@@ -30,7 +30,7 @@ def _sets(batch: pa.RecordBatch, column: int, words: int) -> list[np.ndarray]:
     return shingle_sets([t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()], words)
 
 
-def frequency_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+def frequency_levels(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> np.ndarray:
     """For each value of an n-gram's upper hash bits, how far above the average its documents are: 0, or a power of two.
 
     A pass over all documents adds up counters of fixed size. n-grams on high levels come last in the order of the
@@ -40,8 +40,8 @@ def frequency_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            sets = _sets(batch, 0, words)
+        for part in (p for batch in batches for p in sliced(batch, 0)):
+            sets = _sets(part, 0, words)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
         parts = counts.reshape(-1, _CHUNK)
@@ -55,7 +55,7 @@ def frequency_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), pa.array([s.tobytes() for s in sums.values()], type=pa.binary())], schema=schema)
 
     ddl = "chunk int, counts binary"
-    total = docs.select("text").mapInArrow(counted, ddl).repartition("chunk").mapInArrow(added, ddl).collect()
+    total = scratch.save(docs.select("text").mapInArrow(counted, ddl).repartition("chunk").mapInArrow(added, ddl), "sketch").collect()
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for row in total:
         counts[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], dtype=np.int64)
@@ -101,7 +101,7 @@ def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: i
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(packed, dtype=np.uint8)
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, 1)):
             sets = _sets(batch, 1, words)
             keys = [prefix(s, level, percent).view(np.int64) for s in sets]
             sums = [int(s.sum(dtype=np.uint64)) for s in sets]
@@ -121,12 +121,10 @@ def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("sign_a", pa.int64()), ("grams", pa.binary())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = _sets(batch, 1, words)
-                signs = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=schema)
+        for batch in (p for whole in batches for p in sliced(whole, 1)):
+            sets = _sets(batch, 1, words)
+            signs = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
     return rows.mapInArrow(listed, "node long, sign_a long, grams binary").dropDuplicates(["node", "sign_a"])
@@ -282,7 +280,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    levels = frequency_levels(docs, words)
+    levels = frequency_levels(docs, scratch, words)
     rows = scratch.save(profiles(docs, levels, words, percent), "profiles")
     signed = rows.where("n > 0").groupBy("sign_a", "sign_b", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
     signed = scratch.save(signed, "nodes")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import SLICE, Rolled, minimizer_runs
-from .common import Scratch
+from .common import Scratch, sliced
 
 #: Length of a string that must not repeat, and of the q-grams of the initial buckets.
 WINDOW, GRAM = 200, 64
@@ -44,7 +44,7 @@ def initial_buckets(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int64()), ("bucket", pa.int64()), ("whole", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, 2)):
             runs = minimizer_runs(_texts(batch.column(2)), window, gram)
             owner = pa.array(runs["owner"].astype(np.int64))
             place = _packed(runs["start"], runs["count"], runs["shift"])
