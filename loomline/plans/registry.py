@@ -1,4 +1,4 @@
 """All registered queries of the library's own operators."""
 
-from . import graph, history, retrieval, text, usage  # noqa: F401
+from . import graph, history, parsers, retrieval, text, usage  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -139,7 +139,7 @@ SQL = {
 
 
 def spend_sql(unit: str) -> str:
-    return f"SELECT {_key_sql('o_orderdate', unit)} AS key, COUNT(*) AS input, COUNT(*) * 2 AS output, SUM(o_custkey % 10) AS cache_create, SUM(o_custkey % 100) AS cache_read, SUM(round(o_totalprice * 100)::BIGINT) / 100.0::DOUBLE AS cost FROM orders GROUP BY 1"
+    return f"SELECT {_key_sql('o_orderdate', unit)} AS key, COUNT(*) AS input, COUNT(*) * 2 AS output, SUM(o_custkey % 10)::BIGINT AS cache_create, SUM(o_custkey % 100)::BIGINT AS cache_read, SUM(round(o_totalprice * 100)::BIGINT) / 100.0::DOUBLE AS cost FROM orders GROUP BY 1"
 
 
 def savings_sql(unit: str) -> str:
