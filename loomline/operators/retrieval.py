@@ -69,3 +69,19 @@ def grep(lines: DataFrame, pattern: str, per_file: int = 25, most: int = 200) ->
     """Matching lines (file_path, line_no, line), at most so many a file and in all, in order of file and line."""
     rank = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no"))
     return lines.where(F.col("line").rlike(pattern)).withColumn("rank", rank).where(F.col("rank") <= per_file).orderBy("file_path", "line_no").limit(most)
+
+
+def participating(hits: DataFrame, strong: float = 0.1, high: float = 0.5, ratio: float = 0.25) -> DataFrame:
+    """Scopes (scope, share, coverage, best) that take part in a query: enough of its weight lies in their names or
+    enough of its terms are covered, and their best score comes near the best of all."""
+    rows = hits.where((F.col("share") >= strong) | (F.col("coverage") >= high))
+    return rows.withColumn("_most", F.max("best").over(Window.partitionBy())).where(F.col("best") >= ratio * F.col("_most")).drop("_most")
+
+
+def skeleton(symbols: DataFrame) -> DataFrame:
+    """One outline a file: its symbols in order of their spans, members (those inside another's span) indented."""
+    outer = symbols.select(F.col("file_path").alias("_f"), F.col("id").alias("_o"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
+    inside = (F.col("file_path") == F.col("_f")) & (F.col("line_start") > F.col("_s")) & (F.col("line_end") <= F.col("_e"))
+    depth = symbols.join(outer, inside, "left").groupBy("file_path", "id", "name", "line_start").agg(F.least(F.count("_o"), F.lit(1)).alias("depth"))
+    items = F.array_sort(F.collect_list(F.struct("line_start", "id", "depth", "name")))
+    return depth.groupBy("file_path").agg(F.array_join(F.transform(items, lambda i: F.concat(F.when(i["depth"] > 0, "  ").otherwise(""), i["name"])), "\n").alias("outline"))
