@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_join, packing, repeats, secrets, toxicity, vectors, warc
+from . import media, mixing, ngram_join, packing, repeats, secrets, sharding, toxicity, vectors, warc
 from .common import Scratch, table
 
 
@@ -38,6 +38,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_extendible_shards": op7_extendible_shards,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_repeat_removal": op10_repeat_removal,
@@ -69,4 +74,5 @@ ORACLES: dict[str, str] = {
     "op1_source_mix": mixing.ORACLE,
     "op3_warc_archive": warc.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
+    "op7_extendible_shards": sharding.ORACLE,
 }
