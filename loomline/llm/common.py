@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +70,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of batches, which at its end gives memory that is free again back to the system: Python workers
+    live on from task to task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def sliced(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values of one binary or string column take at most so many bytes together."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -100,7 +118,7 @@ def map_column(df: DataFrame, column: str, keep: list[str], added: str, start: C
             columns = [pa.array(values[f.name], type=f.type) if f.name in values else batch.column(i).cast(f.type) for i, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{column}`").alias("_value")).mapInArrow(mapped, schema)
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{column}`").alias("_value")).mapInArrow(tidy(mapped), schema)
 
 
 def filter_column(df: DataFrame, column: str, start: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
@@ -112,4 +130,4 @@ def filter_column(df: DataFrame, column: str, start: Callable[[], Callable[[list
         for batch in batches:
             yield batch.filter(pa.array(test(batch.column(place).to_pylist()), type=pa.bool_()))
 
-    return df.mapInArrow(kept, df.schema)
+    return df.mapInArrow(tidy(kept), df.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, sliced
+from .common import Scratch, sliced, tidy
 from .components import components
 from .shingles import shingle_sets
 
@@ -55,7 +55,7 @@ def frequency_levels(docs: DataFrame, scratch: Scratch, words: int = WORDS) -> n
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), type=pa.int32()), pa.array([s.tobytes() for s in sums.values()], type=pa.binary())], schema=schema)
 
     ddl = "chunk int, counts binary"
-    total = scratch.save(docs.select("text").mapInArrow(counted, ddl).repartition("chunk").mapInArrow(added, ddl), "sketch").collect()
+    total = scratch.save(docs.select("text").mapInArrow(tidy(counted), ddl).repartition("chunk").mapInArrow(tidy(added), ddl), "sketch").collect()
     counts = np.zeros(COUNTERS, dtype=np.int64)
     for row in total:
         counts[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], dtype=np.int64)
@@ -81,7 +81,17 @@ def count_vector(grams: np.ndarray) -> np.ndarray:
     the hash's lower bits: a longer vector folds onto a shorter one by adding up.
     """
     groups = max(GROUPS, 1 << max(0, (len(grams) // 8 - 1).bit_length()))
-    return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """The counts in the least of 1, 2 or 4 bytes each that holds them all; the first byte says which."""
+    width = 1 if vector.max(initial=0) < 1 << 8 else 2 if vector.max() < 1 << 16 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -95,12 +105,12 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix), vector and coarse (the vector folded onto GROUPS) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary()), ("coarse", pa.binary())])
-    packed = levels.tobytes()
+    """doc_id, n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix) and vector of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary())])
+    table = levels.tobytes()
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(packed, dtype=np.uint8)
+        level = np.frombuffer(table, dtype=np.uint8)
         for batch in (p for whole in batches for p in sliced(whole, 1)):
             sets = _sets(batch, 1, words)
             keys = [prefix(s, level, percent).view(np.int64) for s in sets]
@@ -109,11 +119,10 @@ def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: i
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
-            vectors = [count_vector(s) for s in sets]
-            binary = [pa.array([v.tobytes() for v in c], type=pa.binary()) for c in (vectors, [folded(v, GROUPS) for v in vectors])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, *binary], schema=schema)
+            vectors = pa.array([packed(count_vector(s)) for s in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, vectors], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profiled, f"{NODE}, n long, sign_a long, sign_b long, keys array<long>, vector binary, coarse binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(profiled), f"{NODE}, n long, sign_a long, sign_b long, keys array<long>, vector binary")
 
 
 def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -127,7 +136,7 @@ def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
-    return rows.mapInArrow(listed, "node long, sign_a long, grams binary").dropDuplicates(["node", "sign_a"])
+    return rows.mapInArrow(tidy(listed), "node long, sign_a long, grams binary").dropDuplicates(["node", "sign_a"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -146,7 +155,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams").mapInArrow(test, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams").mapInArrow(tidy(test), "a long, b long")
 
 
 class CountTree:
@@ -226,6 +235,16 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "class", "n", "vector")
 
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def kept(node: np.ndarray, size: np.ndarray, fine: list[np.ndarray], x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
+        """The wanted pairs that the vectors allow in full length."""
+        x, y = x[wanted], y[wanted]
+        need = percent * (size[x] + size[y])
+        ok = np.array([(100 + percent) * overlap_bound(fine[i], fine[j]) >= n for i, j, n in zip(x.tolist(), y.tolist(), need.tolist())], dtype=bool)
+        a, b = node[x[ok]], node[y[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def units() -> Iterator[pa.Table]:
             held: pa.Table | None = None
@@ -240,28 +259,25 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             if held is not None and held.num_rows:
                 yield held
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for unit in units():
             node, label, size, tile = (unit.column(c).to_numpy() for c in ("node", "class", "n", "tile"))
-            vector = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=np.uint32).reshape(-1, GROUPS)
+            fine = [unpacked(v) for v in unit.column("vector").to_pylist()]
+            vector = np.array([folded(v, GROUPS) for v in fine])
             low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
             if low == high and len(node) <= LEAF:
                 x, y = small_join(size, vector, label, percent)
-                keep = node[x] < node[y]
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[x[keep]]), pa.array(node[y[keep]])], schema=schema)
+                yield kept(node, size, fine, x, y, node[x] < node[y])
                 continue
             mine, yours = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
             if not len(mine) or not len(yours):
                 continue
             trees = [CountTree(size[w], vector[w], label[w]) for w in ((mine,) if low == high else (mine, yours))]
             for x, y in trees[0].join(trees[-1], percent):
-                a, b = node[mine[x]], node[yours[y]]
-                keep = a < b if low == high else a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], schema=schema)
+                x, y = mine[x], yours[y]
+                yield kept(node, size, fine, x, y, node[x] < node[y] if low == high else node[x] != node[y])
 
     dealt = tiled.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    return dealt.mapInArrow(joined, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(joined), "a long, b long").distinct()
 
 
 def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -286,25 +302,26 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     signed = scratch.save(signed, "nodes")
     named = rows.join(signed.select("sign_a", "sign_b", "node"), (rows["doc_id"] == signed["node"]) & (rows["sign_a"] == signed["sign_a"]) & (rows["sign_b"] == signed["sign_b"]), "left_semi")
     keyed = named.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("block"))
-    several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.max("node").alias("other"), F.min("n").alias("small"), F.max("n").alias("large"))
-    several = several.where(f"m > 1 and pivot <> other and (m > 2 or 100 * small >= {percent} * large)").select("block", "pivot")
+    several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("other"), F.min("n").alias("small"), F.max("n").alias("large"))
+    several = several.where(f"m > 1 and p.node <> other and (m > 2 or 100 * small >= {percent} * large)").select("block", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     blocks = scratch.save(keyed.join(several, "block"), "blocks")
     vectors = rows.where("n > 0").select(F.col("doc_id").alias("node"), "n", "vector")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(_bounded(pairs, vectors, percent).distinct(), f"{name}-pairs")
+        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
         nodes = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
         sets = scratch.save(members(docs, nodes, words), f"{name}-sets")
         found = scratch.save(verified(pairs, sets, percent).distinct(), name)
         scratch.drop(f"{name}-sets")
         return found
 
-    links = linked(blocks.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "links")
+    fit = f"node <> pivot and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
+    stars = blocks.where(fit).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = linked(_bounded(stars, vectors, percent), "links")
     label = scratch.save(components(links, scratch, "first"), "first")
     labelled = blocks.join(label, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("class"))
     mixed = labelled.groupBy("block").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("block")
-    coarse = rows.where("n > 0").select(F.col("doc_id").alias("node"), F.col("coarse").alias("vector"))
-    rest = labelled.join(mixed, "block", "left_semi").join(coarse, "node").dropDuplicates(["block", "node"])
+    rest = labelled.join(mixed, "block", "left_semi").join(vectors.drop("n"), "node").dropDuplicates(["block", "node"])
     more = linked(tree_pairs(rest, percent), "more")
     whole = scratch.save(components(links.unionByName(more), scratch, "second"), "second")
 
@@ -319,13 +336,13 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * percent
-            views = [[np.frombuffer(v.as_buffer(), dtype=np.uint16) for v in batch.column(c)] for c in (4, 5)]
+            views = [[unpacked(v) for v in batch.column(c).to_pylist()] for c in (4, 5)]
             bound = np.array([overlap_bound(x, y) for x, y in zip(*views)], dtype=np.int64)
             yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= sizes))
 
     side = lambda c: vectors.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("vector").alias(f"{c}_vector"))
     fit = (100 * F.least("a_n", "b_n")) >= percent * F.greatest("a_n", "b_n")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "a_n", "b_n", "a_vector", "b_vector").mapInArrow(test, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fit).select("a", "b", "a_n", "b_n", "a_vector", "b_vector").mapInArrow(tidy(test), "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytegrams import SLICE, Rolled, minimizer_runs
-from .common import Scratch, sliced
+from .common import Scratch, sliced, tidy
 
 #: Length of a string that must not repeat, and of the q-grams of the initial buckets.
 WINDOW, GRAM = 200, 64
@@ -51,7 +51,7 @@ def initial_buckets(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(runs["gram"]), pa.array(runs["whole"])]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.mapInArrow(split, f"{_KEY}, place long, bucket long, whole long")
+    return rows.mapInArrow(tidy(split), f"{_KEY}, place long, bucket long, whole long")
 
 
 def contents(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -72,7 +72,7 @@ def contents(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(flat.field(i) for i in range(4)), pa.array(data, type=pa.binary())], schema=arrow)
 
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.mark") == F.col("w.mark"))
-    return rows.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.mark", "d.text", "w.runs").mapInArrow(cut, schema)
+    return rows.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.mark", "d.text", "w.runs").mapInArrow(tidy(cut), schema)
 
 
 def _windows(data: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def refine_in_memory(strings: DataFrame, window: int = WINDOW) -> DataFrame:
             yield _spans(pa.Table.from_batches(held), window)
 
     dealt = strings.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(refined, _SPAN_DDL)
+    return dealt.mapInArrow(tidy(refined), _SPAN_DDL)
 
 
 def refine_by_hash(strings: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -160,7 +160,7 @@ def refine_by_hash(strings: DataFrame, scratch: Scratch, window: int = WINDOW) -
                     schema=arrow,
                 )
 
-    rows = strings.mapInArrow(exploded, f"{_SPAN_DDL}, bucket long, hash long, single boolean")
+    rows = strings.mapInArrow(tidy(exploded), f"{_SPAN_DDL}, bucket long, hash long, single boolean")
     saved = scratch.save(rows, "windows")
     twice = saved.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hash")
     return saved.where("single").join(twice, ["bucket", "hash"], "left_semi").select("doc_id", "mark", "span")
@@ -230,4 +230,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
             columns = [pa.array(c, type=f.type) for c, f in zip(zip(*out), list(arrow)[1:])] if out else [pa.array([], type=f.type) for f in list(arrow)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
 
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -16,8 +16,8 @@ PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-˿]*")
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Stands for the word end within a word's bytes; no UTF-8 text holds it.
 END = b"\xff"
-#: Words kept in one Python worker.
-_KEPT = 600_000
+#: Pieces kept by an encoder.
+_KEPT = 400_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -95,9 +95,3 @@ class Encoder(dict):
         if PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, text.lower().split()))
         return b"".join(i.to_bytes(4, "little") for i in self.whole(text))
-
-
-@lru_cache(1)
-def encoder(path: str, unsafe: frozenset[int]) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    return Encoder(path, unsafe)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 TOP = 20
 #: Edges of a point, width of the beams that build and that search, relaxation of distances when pruning.
@@ -238,7 +238,7 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = 20, beam: int = SEA
             yield answer(held)
 
     both = dealt.unionByName(asked).select("shard", "query", key, "vector")
-    found = both.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(searched, "query_id long, vec_id long, score double")
+    found = both.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(searched), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return scratch.save(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
