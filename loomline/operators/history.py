@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import builtin
 from ..functions import text as X
 
 
@@ -46,16 +47,7 @@ class CommandRule:
     by_subcommand: dict[str, float] = field(default_factory=dict)
 
 
-#: Our own rules for commands that the engine can reduce; the last that matches counts.
-RULES = [
-    CommandRule(r"^git\s", "tok git", "git", 60.0, {"diff": 80.0, "log": 75.0}),
-    CommandRule(r"^git\s+diff\s+--fast", "tok git-diff", "git", 85.0),
-    CommandRule(r"^cargo\s+(build|test|check|clippy)", "tok cargo", "cargo", 80.0, {"test": 90.0}),
-    CommandRule(r"^(npm|pnpm|yarn)\s", "tok npm", "packages", 70.0),
-    CommandRule(r"^pytest\b", "tok pytest", "tests", 90.0),
-    CommandRule(r"^(grep|rg)\s", "tok grep", "search", 70.0),
-    CommandRule(r"^(ls|find|tree)\b", "tok ls", "files", 65.0),
-]
+RULES = [CommandRule(*row) for row in builtin.classes()]
 #: Commands with nothing to reduce. Fixed values.
 IGNORED, IGNORED_PREFIXES = ("cd", "pwd", "true", "false", "exit", "clear", "history", "fg", "bg", "jobs"), ("cd ", "echo ", "export ", "source ", "mkdir ", "rm ", "mv ", "cp ", "touch ", "chmod ", "sleep ", "kill ")
 
@@ -74,14 +66,20 @@ def classified(command: Column, rules: list[CommandRule] = RULES) -> Column:
     """
     bare = F.regexp_replace(F.trim(command), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
     bare = F.regexp_replace(bare, r"^/(?:\S*/)?(\S+)", "$1")
-    sub = F.split_part(F.regexp_replace(bare, r"\s+", " "), F.lit(" "), F.lit(2))
-    found = F.lit(None).cast("struct<target:string,category:string,pct:double>")
-    for rule in rules:
-        pct = F.lit(rule.savings_pct)
-        for name, own in rule.by_subcommand.items():
-            pct = F.when(sub == name, own).otherwise(pct)
-        found = F.when(bare.rlike(rule.pattern), F.struct(F.lit(rule.target).alias("target"), F.lit(rule.category).alias("category"), pct.alias("pct"))).otherwise(found)
-    return F.when(~ignored(bare), found)
+    empty = F.lit(None).cast("struct<target:string,category:string,pct:double>")
+
+    def found(b: Column) -> Column:
+        sub = F.split_part(F.regexp_replace(b, r"\s+", " "), F.lit(" "), F.lit(2))
+        out = empty
+        for rule in rules:
+            pct = F.lit(rule.savings_pct)
+            for name, own in rule.by_subcommand.items():
+                pct = F.when(sub == name, own).otherwise(pct)
+            out = F.when(b.rlike(rule.pattern), F.struct(F.lit(rule.target).alias("target"), F.lit(rule.category).alias("category"), pct.alias("pct"))).otherwise(out)
+        return F.when(~ignored(b), out)
+
+    # a lambda over a one-element array names the command once, and keeps the long CASE out of generated code
+    return F.get(F.transform(F.array(bare), found), 0)
 
 
 def discover(commands: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def d1(spark, d):
     return Y.with_results(*_calls(spark, d)).withColumn("output", F.col("output").cast("double"))
 
 
-_CLASS = "CASE WHEN starts_with(command, 'git diff --fast') THEN 'tok git-diff' ELSE 'tok git' END"
-_PCT = "CASE WHEN starts_with(command, 'git diff --fast') THEN 85.0 WHEN command LIKE 'git diff%' THEN 80.0 ELSE 75.0 END"
+_CLASS = "'tok git'"
+_PCT = "CASE WHEN command LIKE 'git diff%' THEN 80.0 ELSE 70.0 END"
 
 
 @query("D11_classify", T.with_views(f"SELECT command, {_CLASS} AS target, {_PCT}::DOUBLE AS pct, COUNT(*) AS n FROM executions GROUP BY 1, 2, 3", "executions"))

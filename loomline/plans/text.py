@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import builtin
 from ..functions import lines as L
 from ..functions import text as X
 from ..operators import history as Y
@@ -221,6 +222,14 @@ def a3(spark, d):
     return _docs(spark, d).select("doc_id", F.when(L.first_rule(command, [_CUT, _KEPT, _SHORT]).isNull(), F.md5(out)).otherwise("reduced").alias("output"))
 
 
+@query("C3_builtin_filters", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'make: ok' WHEN 1 THEN 'ok (synced)' WHEN 2 THEN '... (2 lines omitted)' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' ELSE 'n' || doc_id END AS output FROM documents""")
+def c3(spark, d):
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("n"), "doc_id")).otherwise(pick("make[1]: x\n\n", "a\ntotal size is 9", "PING x\na\nb\nc\n64 bytes from y\nd\ne\nf", ""))
+    command = pick("make all", "rsync -a b c", "ping x", "unknown")
+    return _docs(spark, d).select("doc_id", L.reduce_outputs(command, text, builtin.FILTERS).alias("output"))
+
+
 @query("C4_without_comments")
 def c4(spark, d):
     return table(spark, d, "pages").select("page_id", L.without_comments(L.to_lines(F.regexp_replace("html", "><", ">\n<")), "//", "<!--", "-->").alias("source"))

@@ -98,6 +98,14 @@ def test_permissions(spark):
         assert value(spark, Y.permission(F.col("c"), rules), c=command) == want
 
 
+def test_last_rule_wins_and_builtin_classes(spark):
+    rules = [Y.CommandRule("^git ", "a", "x", 10.0, {"log": 20.0}), Y.CommandRule("^git log --all", "b", "y", 30.0)]
+    pick = lambda c: value(spark, Y.classified(F.col("c"), rules), c=c)
+    assert tuple(pick("git log --all")) == ("b", "y", 30.0) and tuple(pick("A=1 git log -1")) == ("a", "x", 20.0) and pick("cd git") is None
+    assert tuple(value(spark, Y.classified(F.col("c")), c="/usr/bin/cargo test --all")) == ("tok cargo", "Cargo", 90.0)
+    assert tuple(value(spark, Y.classified(F.col("c")), c="head -n 3 x")) == ("tok cat", "Files", 60.0)
+
+
 def test_json_views():
     assert P.compact({"b": list(range(9)), "a": "x" * 100}) == {"a": "x" * 77 + "...", "b": [0, "... 9 items"]}
     assert P.schema_of({"u": "https://x", "d": "2024-01-02", "n": 1, "f": 1.5, "l": [True], "z": None}) == {"u": "url", "d": "date?", "n": "int", "f": "float", "l": ["bool"], "z": "null"}
