@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,16 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="loomline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary one (local runs only)."""
-    with contextlib.suppress(Exception):
-        if base := spark.conf.get("spark.checkpoint.dir", None):
-            return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="loomline-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return f"file://{_own_folder(spark.sparkContext.applicationId)}"
 
 
 @contextlib.contextmanager
