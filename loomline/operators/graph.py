@@ -5,12 +5,24 @@ Graphs are edges (source, target, type) and symbols (id, name, kind, file_path,
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of spark.checkpoint.dir; in local runs without that setting, in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
+    return df.checkpoint()
+
+
 def valid_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges both of whose ends exist."""
     ids = symbols.select("id")
@@ -75,14 +87,14 @@ def communities(edges: DataFrame, least: int = 2) -> DataFrame:
 
     Labels spread to neighbours and then jump to their label's label, so the number of rounds grows with the logarithm
     of the longest path. Every round is a checkpoint; a checksum of the labels ends the loop."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct().checkpoint()
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct().transform(cut)
     labels = both.select(F.col("source").alias("id")).distinct().withColumn("label", F.col("id"))
     before = None
     while True:
         near = both.join(labels, F.col("target") == F.col("id")).groupBy("source").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("id") == F.col("source"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = spread.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        labels = spread.join(jump, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label")).checkpoint()
+        labels = spread.join(jump, "label", "left").select("id", F.least("label", F.coalesce("root", "label")).alias("label")).transform(cut)
         now = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -100,15 +112,15 @@ def bridges(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.25, rounds: int = 25, back: float = 0.5, drift: float = 1e-6) -> DataFrame:
     """id, score of a personalised walk from seeds (id, weight): forward edges weigh 1, backward ones `back`; the mass
-    of nodes without edges is lost. Each round is one join and one aggregation, checkpointed every fifth round."""
+    of nodes without edges is lost. Each round is one join and one aggregation, a checkpoint."""
     steps = edges.select(F.col("source").alias("id"), F.col("target").alias("next"), F.lit(1.0).alias("w")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("next"), F.lit(back).alias("w")))
-    steps = steps.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).groupBy("id", "next").agg(F.sum("share").alias("share")).checkpoint()
-    start = seeds.where("weight > 0").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy())).checkpoint()
+    steps = steps.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).groupBy("id", "next").agg(F.sum("share").alias("share")).transform(cut)
+    start = seeds.where("weight > 0").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy())).transform(cut)
     score = start.select("id", F.col("weight").alias("score"))
     restart = start.select("id", (F.col("weight") * (1 - damping)).alias("score"))
     for _ in range(rounds):
         walked = steps.join(score, "id").select(F.col("next").alias("id"), (F.col("score") * F.col("share") * damping).alias("score"))
-        new = restart.unionByName(walked).groupBy("id").agg(F.sum("score").alias("score")).checkpoint()
+        new = restart.unionByName(walked).groupBy("id").agg(F.sum("score").alias("score")).transform(cut)
         change = new.join(score.withColumnRenamed("score", "old"), "id", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         score = new
         if change is None or change < drift:
