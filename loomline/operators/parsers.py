@@ -26,7 +26,7 @@ def lint(reports: DataFrame, tool: str) -> DataFrame:
         return rows.select("id", "file", "d.line", F.coalesce("d.ruleId", F.lit("unknown")).alias("rule"), "d.message")
     if tool == "pylint":
         rows = reports.select("id", F.explode(F.from_json("report", PYLINT)).alias("d"))
-        return rows.select("id", F.col("d.path").alias("file"), "d.line", F.concat("d.symbol", F.lit(" ("), F.col("d.message-id"), F.lit(")")).alias("rule"), "d.message")
+        return rows.select("id", F.col("d.path").alias("file"), "d.line", F.concat("d.symbol", F.lit(" ("), F.col("d.`message-id`"), F.lit(")")).alias("rule"), "d.message")
     rows = reports.select("id", F.explode(F.from_json("report", GOLANGCI)["Issues"]).alias("d"))
     return rows.select("id", F.col("d.Pos.Filename").alias("file"), F.col("d.Pos.Line").alias("line"), F.col("d.FromLinter").alias("rule"), F.col("d.Text").alias("message"))
 

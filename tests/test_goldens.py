@@ -167,3 +167,24 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     stream = spark.readStream.schema("timestamp timestamp, saved_tokens long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = ST.run_once(ST.windowed_usage(stream), "late", "append", f"{tmp_path}/cp").collect()
     assert sum(r["saved"] for r in out if r["start"] == day(20)) == 3
+
+
+def test_lint_reports(spark):
+    reports = {
+        "ruff": [{"code": "E1", "filename": "a.py", "message": "m", "location": {"row": 3, "column": 1}}],
+        "eslint": [{"filePath": "a.py", "messages": [{"ruleId": None, "severity": 2, "message": "m", "line": 3}]}],
+        "pylint": [{"type": "error", "symbol": "bad-name", "message-id": "C01", "path": "a.py", "line": 3, "message": "m"}],
+        "golangci": {"Issues": [{"FromLinter": "vet", "Text": "m", "Pos": {"Filename": "a.py", "Line": 3}}]},
+    }
+    rules = {"ruff": "E1", "eslint": "unknown", "pylint": "bad-name (C01)", "golangci": "vet"}
+    for tool, report in reports.items():
+        df = spark.createDataFrame([(1, json.dumps(report)), (2, "not json"), (3, None)], "id int, report string")
+        assert [(r["file"], r["line"], r["rule"], r["message"]) for r in P.lint(df, tool).collect()] == [("a.py", 3, rules[tool], "m")]
+
+
+def test_test_runs_and_tables(spark):
+    events = [{"Action": "output", "Package": "p", "Test": "T", "Output": "x\n"}, {"Action": "output", "Package": "p", "Test": "T", "Output": "y\n"}, {"Action": "fail", "Package": "p", "Test": "T"}, {"Action": "pass", "Package": "p"}]
+    df = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(events)] + [(9, "FAIL p")], "line_no int, line string")
+    assert [tuple(r) for r in P.go_failures(df).collect()] == [("p", "T", "x\ny\n")] and [tuple(r) for r in P.go_tests(df).collect()] == [("p", 0, 1, 0)]
+    assert value(spark, P.psql_rows(F.col("t")), t=" a | b \n---+---\n 1 | x y \n(1 row)\n") == ["a\tb", "1\tx y"]
+    assert value(spark, P.module_candidates(F.lit("a.ts"), F.col("t"), [".ts"]), t="../../x") == [] and value(spark, P.word_counts(F.col("t")), t="é b\n") == "1L 2W 5B"
