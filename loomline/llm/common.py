@@ -54,6 +54,12 @@ def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch, for plans that run after this package has returned them."""
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder so that a lost executor costs no lineage."""
 
@@ -117,11 +123,12 @@ def map_column(df: DataFrame, column: str, keep: list[str], added: str, start: C
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, whole.num_columns - 1)):
             values = dict(zip((f.name for f in new), compute(batch.column(batch.num_columns - 1).to_pylist())))
             columns = [pa.array(values[f.name], type=f.type) if f.name in values else batch.column(i).cast(f.type) for i, f in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
+    _small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{column}`").alias("_value")).mapInArrow(tidy(mapped), schema)
 
 
@@ -131,7 +138,8 @@ def filter_column(df: DataFrame, column: str, start: Callable[[], Callable[[list
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = start()
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, place)):
             yield batch.filter(pa.array(test(batch.column(place).to_pylist()), type=pa.bool_()))
 
+    _small_batches(df.sparkSession)
     return df.mapInArrow(tidy(kept), df.schema)
