@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import mixing, ngram_join, packing, secrets, toxicity
 from loomline.llm.common import Scratch, table
 
+#: The stage joins by five words and four fifths; ngram_join's own defaults are those of the query op4_ngram_join.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the model is fitted on a bounded sample of labelled rows."""
@@ -17,7 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

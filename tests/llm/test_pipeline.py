@@ -30,3 +30,17 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     packed = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
     assert len(packed) == len(seen["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_near_copies_between_the_thresholds_go(spark, tmp_path):
+    base = [f"w{i}" for i in range(47 * 6)]
+    scattered = [f"x{i}" if i % 47 == 23 else w for i, w in enumerate(base)]
+    block = [f"b{i}" for i in range(300)]
+    longer = block[:150] + [f"y{i}" for i in range(65)] + block[150:]
+    far = [f"z{i}" if i % 20 == 10 else w for i, w in enumerate(base)]
+    grams = lambda words, n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    jaccard = lambda x, y, n: len(grams(x, n) & grams(y, n)) / len(grams(x, n) | grams(y, n))
+    assert all(jaccard(x, y, 4) < 0.85 and jaccard(x, y, 5) >= 0.8 for x, y in ((base, scattered), (block, longer))) and jaccard(base, far, 5) < 0.8
+    rows = [(1, " ".join(base)), (2, " ".join(scattered)), (3, " ".join(block)), (4, " ".join(longer)), (5, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path)).collect()) == [1, 3, 5]
