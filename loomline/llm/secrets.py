@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Words that introduce a credential, for the values that the base patterns do not reach. Fixed values.
 CONTEXT = re.compile(
     r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|bearer|private_?key|access_?key|api_?key|client_?secret|signature)\b)"""
-    r"""["']?\s{0,3}(?:(?:is|was|are)\s{1,3}|[:=]>?\s{0,3}|\s)["'`]?([^\s"'`,;<>(){}\[\]]{8,256})"""
+    r"""["']?\s{0,3}(?:(?:is|was|are)\s{1,3}|[:=]>?\s{0,3}|\s)["'`]?([^\s"'`,;<>(){}\[\]]{8,})"""
 )
 NEEDLES = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "signature")
 #: Values of at least so many guesses (as a power of ten) are reported.
@@ -87,9 +87,9 @@ def _segments(value: str) -> Iterator[tuple[int, int, str, float]]:
             if found:
                 yield i, found.end(), "date", math.log10(365 * 120 if found.end() - i > 4 else 120)
         j = i + 1
-        while j < n and value[j] == value[i]:
+        while j < n and j - i < LONGEST and value[j] == value[i]:
             j += 1
-        for end in range(i + 3, min(j, i + LONGEST) + 1):
+        for end in range(i + 3, j + 1):
             yield i, end, "repeat", math.log10(_alphabet(value[i]) * (end - i))
         for unit in (2, 3, 4):
             times = 1
@@ -114,6 +114,35 @@ def _segments(value: str) -> Iterator[tuple[int, int, str, float]]:
 KEYBOARD_ROW = {key: y for y, row in enumerate(KEYBOARD) for key in row}
 
 
+def _best(value: str, least: float = math.inf) -> list[tuple[float, int, str]]:
+    """For each end position the least log10 of guesses, with start and kind of the last segment.
+
+    Stops where the cost of the whole value is known to be at least the given one: no segment is longer than LONGEST,
+    so every segmentation has an end among as many positions, and costs only add up.
+    """
+    n, base = len(value), math.log10(_alphabet(value)) if value else 0.0
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    ending: dict[int, list[tuple[int, str, float]]] = {}
+    segments = _segments(value)
+    ahead = next(segments, None)
+    for j in range(1, n + 1):
+        while ahead is not None and ahead[0] < j:
+            ending.setdefault(ahead[1], []).append((ahead[0], ahead[2], ahead[3]))
+            ahead = next(segments, None)
+        options = [(best[j - 1][0] + base, j - 1, "brute")]
+        options += [(best[i][0] + cost + 0.3, i, kind) for i, kind, cost in ending.pop(j, ())]
+        best.append(min(options))
+        if j % LONGEST == 0 and min(best[-LONGEST:])[0] >= least:
+            break
+    return best
+
+
+def costly(value: str, least: float) -> bool:
+    """Whether the guess cost of a whole value is at least the given one."""
+    best = _best(value, least)
+    return len(best) <= len(value) or best[-1][0] >= least
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses that the cheapest segmentation of a value needs, and its segments.
 
@@ -121,16 +150,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     into words, dates, repeats, sequences, keyboard walks and brute-force spans. Time is linear in the value's length.
     An empty value costs 0.
     """
-    n = len(value)
-    ending: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
-    for i, j, kind, cost in _segments(value):
-        ending[j].append((i, kind, cost))
-    base = math.log10(_alphabet(value)) if value else 0.0
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-    for j in range(1, n + 1):
-        options = [(best[j - 1][0] + base, j - 1, "brute")]
-        options += [(best[i][0] + cost + 0.3, i, kind) for i, kind, cost in ending[j]]
-        best.append(min(options))
+    best, n = _best(value), len(value)
     parts, j = [], n
     while j:
         _, i, kind = best[j]
@@ -172,7 +192,7 @@ def guess_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEA
             continue
         if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
             continue
-        if guess_cost(value)[0] >= least:
+        if costly(value, least):
             found.append((start, end, "guess"))
     return found
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from loomline.llm import secrets
@@ -60,3 +61,21 @@ def test_values_in_context_and_redaction(spark):
     assert not [k for t in TEXTS[13:] for _, _, k in secrets.scan_text(t)[1] if k == "guess"]
     docs = spark.createDataFrame([(1, "a password=abcdef b", 99), (2, None, None)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in secrets.redact(docs).collect()) == [(1, "a [assign] b", 12), (2, None, None)]
+
+
+def test_long_values_are_whole(spark):
+    rng = random.Random(5)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(600))
+    texts = [f"Authorization: Bearer {value} end", f"private_key: {value}", f"signature = '{value}'"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert spans == {i: [value] for i in range(3)}
+    assert sorted(r.text for r in secrets.redact(docs).collect()) == ["Authorization: Bearer [guess] end", "private_key: [guess]", "signature = '[guess]'"]
+
+
+def test_early_stop_decides_like_the_whole_cost():
+    rng = random.Random(6)
+    for _ in range(300):
+        value = "".join(rng.choice(("password", "aaaa", "2024", "x", "Q", "7", "abcd", "qwerty")) for _ in range(rng.randint(1, 40)))
+        assert all(secrets.costly(value, least) == (secrets.guess_cost(value)[0] >= least) for least in (5.0, 10.0, 40.0))
+    assert secrets.costly("a" * 2_000_000, 10.0)
