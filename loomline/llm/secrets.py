@@ -22,10 +22,17 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "guess")
 
 #: Words that introduce a credential, for the values that the base patterns do not reach. Fixed values.
-CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credential|auth|bearer|private_?key|access_?key|api_?key|client_?secret|signature)\b)"""
-    r"""["']?\s{0,3}(?:(?:is|was|are)\s{1,3}|[:=]>?\s{0,3}|\s)["'`]?([^\s"'`,;<>(){}\[\]]{8,})"""
+#: They may be parts of identifiers: after "_", "-", a digit or a change to upper case, the plain ones after any letter.
+WORD = re.compile(
+    r"""(?ai:pass(?:word|wd|phrase)|secret|token|credential|api[_-]?key"""
+    r"""|(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:code)?|pwd|auth|bearer|(?:private|access)[_-]?key|signature))"""
+    r"""(?:(?<=[a-z])(?=[A-Z])|(?=[sS]?(?![A-Za-z])))"""
 )
+NAME = re.compile(r"[A-Za-z0-9_-]*")
+#: What stands between a name and its value, and the value; after a longer name, a sign is needed.
+_VALUE = r"""["'`]?([^\s"'`,;<>(){}\[\]]{8,})"""
+SIGNED = re.compile(r"""["']?\s{0,3}[:=]>?\s{0,3}""" + _VALUE)
+SPOKEN = re.compile(r"""["']?\s{0,3}(?:(?:is|was|are)\s{1,3}|[:=]>?\s{0,3}|\s)""" + _VALUE)
 NEEDLES = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "signature")
 #: Values of at least so many guesses (as a power of ten) are reported.
 LEAST_GUESSES = 10.0
@@ -178,22 +185,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def context_values(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what stands as a value after a name with a credential word in it."""
+    at = 0
+    while m := WORD.search(text, at):
+        end = NAME.match(text, m.end()).end()
+        alone = end == m.end() and not text[max(m.start() - 1, 0) : m.start()].isalnum()
+        found = (SPOKEN if alone else SIGNED).match(text, end)
+        if found:
+            yield found.span(1)
+        at = found.end() if found else end
+
+
 def guess_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]:
-    """Values in credential context that mix classes, lie outside the base spans and cost at least 10**least guesses."""
+    """Values in credential context that cost at least 10**least guesses, without what base spans cover of them."""
     low = text.lower()
     if not any(word in low for word in NEEDLES):
         return []
-    found, covered = [], sorted((s, e) for s, e, _ in taken)
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        value = m[1].rstrip(".!?:")
+    found, covered, first = [], sorted((s, e) for s, e, _ in taken), 0
+    for start, end in context_values(text):
+        value = text[start:end].rstrip(".!?:")
         end = start + len(value)
-        if len(value) < 8 or any(s < end and start < e for s, e in covered):
-            continue
-        if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        if len(value) < 8 or not costly(value, least):
             continue
-        if costly(value, least):
-            found.append((start, end, "guess"))
+        while first < len(covered) and covered[first][1] <= start:
+            first += 1
+        at, i = start, first
+        while i < len(covered) and covered[i][0] < end:
+            if covered[i][0] > at:
+                found.append((at, covered[i][0], "guess"))
+            at, i = max(at, covered[i][1]), i + 1
+        if at < end:
+            found.append((at, end, "guess"))
     return found
 
 

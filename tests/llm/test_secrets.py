@@ -79,3 +79,15 @@ def test_early_stop_decides_like_the_whole_cost():
         value = "".join(rng.choice(("password", "aaaa", "2024", "x", "Q", "7", "abcd", "qwerty")) for _ in range(rng.randint(1, 40)))
         assert all(secrets.costly(value, least) == (secrets.guess_cost(value)[0] >= least) for least in (5.0, 10.0, 40.0))
     assert secrets.costly("a" * 2_000_000, 10.0)
+
+
+def test_the_cost_alone_decides_after_any_credential_name(spark):
+    cases = {
+        "passphrase: XkqTzWmpLrVbNcQd end": "passphrase: [guess] end", "passcode 839201746352": "passcode [guess]", "signature: %&x-~#qW@?z": "signature: [guess]",
+        "aws_secret_access_key = wJalrXUtnFEMIK7MDENG": "aws_secret_access_key = [guess]", "DB_PWD=hG7kqLw92xz": "DB_PWD=[guess]", "SECRET_KEY=djq83hfk29dk;": "SECRET_KEY=[guess];",
+        "X-Api-Key: 8Hj2kQz9mmX": "X-Api-Key: [guess]", "dbPwd: '8Hj2kQz9mmX'": "dbPwd: '[guess]'", "credentials=8Hj2kQz9mmX": "credentials=[guess]",
+        "password=abcdef#8Hj2!kQz9": "[assign][guess]", "token: x#" + "0a1b2c3d" * 3 + "#Zq8w": "token: [guess][hex][guess]", "password=abcdef12 end": "[assign] end",
+        "compass: 8Hj2kQz9mmX": "compass: 8Hj2kQz9mmX", "passphrase: passwordpassword": "passphrase: passwordpassword", "passphrase: aaaaaaaaaaaaaaaa": "passphrase: aaaaaaaaaaaaaaaa",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == list(cases.values())
