@@ -119,9 +119,14 @@ def _marked(spark, d):
     return T.table(spark, d, "documents").where("text not like '%@%' and length(text) >= 50").select("doc_id", text.alias("text")).withColumn("found", P.without_overlaps(P.findings("text")))
 
 
+def _found(spark, d):
+    """Every document's whole text and its findings."""
+    return T.table(spark, d, "documents").select("doc_id", "text").withColumn("found", P.without_overlaps(P.findings("text")))
+
+
 @query("M3_findings")
 def m3(spark, d):
-    return _marked(spark, d).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    return _found(spark, d).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 @query("M4_severity", "SELECT event_id, CASE WHEN value > 100 THEN CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'medium' END ELSE 'low' END AS severity FROM events")
@@ -149,7 +154,7 @@ def m7(spark, d):
 
 @query("M8_report")
 def m8(spark, d):
-    return P.report(_marked(spark, d).select(F.explode("found").alias("f")).select("f.kind", "f.confidence"))
+    return P.report(_found(spark, d).select(F.explode("found").alias("f")).select("f.kind", "f.confidence"))
 
 
 @query("N1_add", _sql("SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY id) AS r FROM (SELECT *, lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g')) AS k FROM memories)) n WHERE r = 1 AND (user_id, k) NOT IN (SELECT (user_id, lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g'))) FROM memories WHERE status = 'active' AND priority < 5)", "memories"))
