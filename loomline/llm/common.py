@@ -74,9 +74,19 @@ class Scratch:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Saves a result and deletes all the tables that led to it."""
+        self.root, before = f"{self.root}-result", self.root
+        out = self.save(df, "rows")
+        self._delete(before)
+        return out
+
     def drop(self, name: str = "") -> None:
         """Deletes a table that no later step reads, or all of them."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        self._delete(f"{self.root}/{name}".rstrip("/"))
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

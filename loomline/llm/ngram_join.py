@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, sliced, tidy
@@ -22,8 +22,16 @@ _CHUNK = 1 << 12
 #: Points in a leaf of the R-tree, and rows of a block that one task joins with as many others.
 LEAF, TILE = 32, 4096
 #: Node ids (8 bytes each) that may be broadcast to pick documents; beyond it a join is used.
-MOST_BROADCAST = 1_000_000
-NODE = "doc_id long"
+MOST_BROADCAST = 250_000
+#: Blocks by which a node's pairs are told apart, so that few of them are compared in more than one block.
+HOMES = 4
+#: Pivots are chosen again while at least one in FAIR of the pairs compared is linked.
+FAIR = 4
+
+
+def _node() -> Column:
+    """A row's name: its doc_id, or for rows without one a number from the text, below all usual ones."""
+    return F.coalesce("doc_id", F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("text"), 3))
 
 
 def _sets(batch: pa.RecordBatch, column: int, words: int) -> list[np.ndarray]:
@@ -77,21 +85,27 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.
 def count_vector(grams: np.ndarray) -> np.ndarray:
     """How many n-grams fall in each group. The overlap of two sets is at most the sum of the smaller counts.
 
-    There are GROUPS groups, or more for larger sets (a power of two, eight n-grams a group at most on average), by
-    the hash's lower bits: a longer vector folds onto a shorter one by adding up.
+    There are GROUPS groups, or more for larger sets (a power of two, two n-grams a group at most on average), by the
+    hash's lower bits: a longer vector folds onto a shorter one by adding up. So fine a vector tells nearly all pairs
+    below the threshold from those above it.
     """
-    groups = max(GROUPS, 1 << max(0, (len(grams) // 8 - 1).bit_length()))
+    groups = max(GROUPS, 1 << max(0, (len(grams) // 2 - 1).bit_length()))
     return np.bincount((grams & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def packed(vector: np.ndarray) -> bytes:
-    """The counts in the least of 1, 2 or 4 bytes each that holds them all; the first byte says which."""
-    width = 1 if vector.max(initial=0) < 1 << 8 else 2 if vector.max() < 1 << 16 else 4
+    """The counts in the least of half a byte and 1, 2 or 4 bytes each that holds them all; the first byte says which."""
+    if vector.max(initial=0) < 16:
+        return b"\0" + (vector[::2] | vector[1::2] << 4).astype(np.uint8).tobytes()
+    width = 1 if vector.max() < 1 << 8 else 2 if vector.max() < 1 << 16 else 4
     return bytes([width]) + vector.astype(f"<u{width}").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+    if data[0]:
+        return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+    halves = np.frombuffer(data, dtype=np.uint8, offset=1)
+    return np.stack([halves & 15, halves >> 4], axis=1).ravel()
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -105,14 +119,14 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix) and vector of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary())])
+    """doc_id, node (its name), n (set size), sign_a and sign_b (128 bits of the whole set), keys (the prefix) and vector of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("vector", pa.binary())])
     table = levels.tobytes()
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(table, dtype=np.uint8)
-        for batch in (p for whole in batches for p in sliced(whole, 1)):
-            sets = _sets(batch, 1, words)
+        for batch in (p for whole in batches for p in sliced(whole, 2)):
+            sets = _sets(batch, 2, words)
             keys = [prefix(s, level, percent).view(np.int64) for s in sets]
             sums = [int(s.sum(dtype=np.uint64)) for s in sets]
             squares = [int((s * (s | np.uint64(1))).sum(dtype=np.uint64)) for s in sets]
@@ -120,9 +134,9 @@ def profiles(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: i
             offsets = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)))
             vectors = pa.array([packed(count_vector(s)) for s in sets], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, vectors], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(signed(sums)), pa.array(signed(squares)), lists, vectors], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(profiled), f"{NODE}, n long, sign_a long, sign_b long, keys array<long>, vector binary")
+    return docs.select("doc_id", _node().alias("node"), "text").mapInArrow(tidy(profiled), "doc_id long, node long, n long, sign_a long, sign_b long, keys array<long>, vector binary")
 
 
 def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -135,7 +149,7 @@ def members(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
             signs = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(_small(nodes), "node", "left_semi")
+    rows = docs.select(_node().alias("node"), "text").join(_small(nodes), "node", "left_semi")
     return rows.mapInArrow(tidy(listed), "node long, sign_a long, grams binary").dropDuplicates(["node", "sign_a"])
 
 
@@ -224,8 +238,34 @@ def small_join(sizes: np.ndarray, vectors: np.ndarray, classes: np.ndarray, perc
     return np.nonzero(ok & (100 * sizes[None, :] >= percent * sizes[:, None]) & (classes[:, None] != classes[None, :]))
 
 
+def with_homes(blocks: DataFrame) -> DataFrame:
+    """blocks (block, node, ...) with `homes`: the node's HOMES largest blocks, in the order (size down, block).
+
+    Two nodes that share homes are a matter for the first of these alone, so a pair is compared in one block however
+    many n-grams it shares. Blocks all of whose nodes have one other block as their first home go: that one holds them.
+    """
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
+    ranked = blocks.join(sizes, "block").groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "block"))).alias("all"))
+    homes = ranked.select("node", F.transform(F.slice(F.array_distinct("all"), 1, HOMES), lambda x: x["block"]).alias("homes"))
+    placed = blocks.join(homes, "node")
+    first = F.col("homes")[0]
+    needed = placed.groupBy("block").agg(F.min(first).alias("low"), F.max(first).alias("high")).where("low <> high or low = block").select("block")
+    return placed.join(needed, "block", "left_semi")
+
+
+def own_pairs(block: int, homes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x and y are this block's to compare: those whose first common home it is, or without one.
+
+    homes: a row of blocks for each node, in one order for all, filled up with -1.
+    """
+    same = (homes[x][:, :, None] == homes[y][:, None, :]) & (homes[x] >= 0)[:, :, None]
+    same = same.any(axis=2)
+    first = homes[x, np.argmax(same, axis=1)]
+    return ~same.any(axis=1) | (first == block)
+
+
 def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a < b) within blocks of (block, node, class, n, vector), between different classes.
+    """Candidate pairs (a < b) within blocks of (block, node, class, n, homes, vector), between different classes.
 
     A block of more than TILE rows is dealt into tiles by a hash of the node, and each pair of tiles is a task's unit,
     so memory stays bounded and no pair is lost. Each unit joins two R-trees.
@@ -233,40 +273,47 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     tiled = blocks.join(sizes, "block").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "class", "n", "vector")
+    tiled = tiled.select("block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "class", "n", "homes", "vector")
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def kept(node: np.ndarray, size: np.ndarray, fine: list[np.ndarray], x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
-        """The wanted pairs that the vectors allow in full length."""
-        x, y = x[wanted], y[wanted]
-        need = percent * (size[x] + size[y])
-        ok = np.array([(100 + percent) * overlap_bound(fine[i], fine[j]) >= n for i, j, n in zip(x.tolist(), y.tolist(), need.tolist())], dtype=bool)
-        a, b = node[x[ok]], node[y[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(c).to_numpy() for c in ("block", "low", "high")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield held.slice(start, end - start)
+            held = held.slice(cuts[-1]) if len(cuts) else held
+        if held is not None and held.num_rows:
+            yield held
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def units() -> Iterator[pa.Table]:
-            held: pa.Table | None = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table])
-                keys = np.stack([held.column(c).to_numpy() for c in ("block", "low", "high")])
-                cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-                for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
-                    yield held.slice(start, end - start)
-                held = held.slice(cuts[-1]) if len(cuts) else held
-            if held is not None and held.num_rows:
-                yield held
-
-        for unit in units():
+        for unit in units(batches):
             node, label, size, tile = (unit.column(c).to_numpy() for c in ("node", "class", "n", "tile"))
+            block = unit.column("block")[0].as_py()
+            homes = np.full((len(node), HOMES), -1, dtype=np.int64)
+            for i, own in enumerate(unit.column("homes").to_pylist()):
+                homes[i, : len(own)] = own
             fine = [unpacked(v) for v in unit.column("vector").to_pylist()]
             vector = np.array([folded(v, GROUPS) for v in fine])
+
+            def kept(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+                """The pairs that are this block's and that the vectors allow in full length."""
+                wanted = own_pairs(block, homes, x, y)
+                x, y = x[wanted], y[wanted]
+                need = percent * (size[x] + size[y])
+                ok = np.array([(100 + percent) * overlap_bound(fine[i], fine[j]) >= n for i, j, n in zip(x.tolist(), y.tolist(), need.tolist())], dtype=bool)
+                a, b = node[x[ok]], node[y[ok]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
             low, high = unit.column("low")[0].as_py(), unit.column("high")[0].as_py()
             if low == high and len(node) <= LEAF:
                 x, y = small_join(size, vector, label, percent)
-                yield kept(node, size, fine, x, y, node[x] < node[y])
+                once = node[x] < node[y]
+                yield kept(x[once], y[once])
                 continue
             mine, yours = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
             if not len(mine) or not len(yours):
@@ -274,7 +321,8 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
             trees = [CountTree(size[w], vector[w], label[w]) for w in ((mine,) if low == high else (mine, yours))]
             for x, y in trees[0].join(trees[-1], percent):
                 x, y = mine[x], yours[y]
-                yield kept(node, size, fine, x, y, node[x] < node[y] if low == high else node[x] != node[y])
+                once = node[x] < node[y] if low == high else node[x] != node[y]
+                yield kept(x[once], y[once])
 
     dealt = tiled.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
     return dealt.mapInArrow(tidy(joined), "a long, b long").distinct()
@@ -285,49 +333,70 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     1. Rows with equal sets are one node, named by their least doc_id.
     2. Nodes that share an n-gram of their prefixes meet in its block. That loses no link.
-    3. In each block every node is first compared with the least one, which joins most copies at once; what is still
-       in different components of a block is joined by count-vector R-trees. Sizes and bounds prune, exact
-       intersections decide.
-    4. Components of all links.
+    3. Rounds of pivots: in each block every node is compared with one of them, which joins most copies at once. The
+       pivot then leaves its block, and blocks go on while their nodes are in different components; the next round
+       takes new pivots, as long as a fair share of the pairs compared turns out to be linked.
+    4. What is still in different components of a block is joined by count-vector R-trees, each pair in one block.
+       Sizes and bounds prune, exact intersections decide.
+    5. Components of all links.
 
     Null and empty texts, and texts of white space alone, have no n-grams and are linked with nothing. Rows without
-    doc_id take part in their group's links and get its component, or null where no row of it has a doc_id. Repeated
-    rows get equal results. Extra columns are ignored.
+    doc_id are nodes like others, so they link what is alike to them; they get the least doc_id of their component, or
+    null where it has none. Repeated rows get equal results; rows of one doc_id with different texts share the links
+    that its texts have. A very long text's set is held whole, by one task. Extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = frequency_levels(docs, scratch, words)
-    rows = scratch.save(profiles(docs, levels, words, percent), "profiles")
-    signed = rows.where("n > 0").groupBy("sign_a", "sign_b", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
-    signed = scratch.save(signed, "nodes")
-    named = rows.join(signed.select("sign_a", "sign_b", "node"), (rows["doc_id"] == signed["node"]) & (rows["sign_a"] == signed["sign_a"]) & (rows["sign_b"] == signed["sign_b"]), "left_semi")
-    keyed = named.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("block"))
+    rows = scratch.save(profiles(docs, levels, words, percent).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    signed = rows.where("n > 0").groupBy("sign_a", "sign_b", "n").agg(F.min(F.struct("node", "row")).alias("p"), F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("rows"))
+    signed = scratch.save(signed.select("sign_a", "sign_b", "n", "p.*", "name", "rows"), "nodes")
+    unique = scratch.save(rows.join(signed.select("row"), "row", "left_semi").select("node", "n", "keys", "vector"), "unique")
+    vectors = unique.select("node", "n", "vector")
+    keyed = unique.select("node", "n", F.explode("keys").alias("block"))
     several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("other"), F.min("n").alias("small"), F.max("n").alias("large"))
     several = several.where(f"m > 1 and p.node <> other and (m > 2 or 100 * small >= {percent} * large)").select("block", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    blocks = scratch.save(keyed.join(several, "block"), "blocks")
-    vectors = rows.where("n > 0").select(F.col("doc_id").alias("node"), "n", "vector")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
-        nodes = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
-        sets = scratch.save(members(docs, nodes, words), f"{name}-sets")
-        found = scratch.save(verified(pairs, sets, percent).distinct(), name)
-        scratch.drop(f"{name}-sets")
-        return found
-
+    open_ = scratch.save(keyed.join(several, "block"), "open0")
     fit = f"node <> pivot and 100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
-    stars = blocks.where(fit).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = linked(_bounded(stars, vectors, percent), "links")
-    label = scratch.save(components(links, scratch, "first"), "first")
-    labelled = blocks.join(label, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("class"))
-    mixed = labelled.groupBy("block").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("block")
-    rest = labelled.join(mixed, "block", "left_semi").join(vectors.drop("n"), "node").dropDuplicates(["block", "node"])
-    more = linked(tree_pairs(rest, percent), "more")
-    whole = scratch.save(components(links.unionByName(more), scratch, "second"), "second")
-
-    groups = signed.where("node is not null").join(whole, "node", "left").select("sign_a", "sign_b", F.col("n").alias("size"), F.coalesce("component", "node").alias("component"))
+    stars = open_.where(fit)
+    edges = spark.createDataFrame([], "a long, b long")
+    turn = 0
+    while True:
+        pairs = scratch.save(_bounded(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), vectors, percent), f"pairs{turn}")
+        links = _linked(pairs, docs, scratch, f"links{turn}", words, percent)
+        label = scratch.save(components(edges.unionByName(links), scratch, f"step{turn}"), f"label{turn}")
+        edges = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        left = open_.where("node <> pivot").select("block", "node", "n").join(label, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("class"))
+        heads = left.groupBy("block").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "class")).alias("p"))
+        heads = heads.where("low <> high").select("block", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.class").alias("pivot_class"))
+        turn += 1
+        open_ = scratch.save(left.join(heads, "block"), f"open{turn}")
+        scratch.drop(f"open{turn - 1}")
+        if links.count() * FAIR < pairs.count() or open_.isEmpty():
+            break
+        stars = open_.where(f"class <> pivot_class and {fit}")
+
+    rest = with_homes(open_.select("block", "node", "n", "class")).join(vectors.drop("n"), "node")
+    more = _linked(scratch.save(tree_pairs(rest, percent), "tree"), docs, scratch, "more", words, percent)
+    whole = components(edges.unionByName(more), scratch, "whole")
+    apart = signed.join(whole, "node", "left").where("component is not null").select("sign_a", "sign_b", F.col("n").alias("size"), "component", "name")
+    least = apart.groupBy("component").agg(F.min("name").alias("least"))
+    linked = apart.join(least, "component").select("sign_a", "sign_b", "size", "least")
+    alone = signed.where("rows > 1").join(whole, "node", "left_anti").select("sign_a", "sign_b", F.col("n").alias("size"), F.col("name").alias("least"))
+    groups = linked.unionByName(alone)
     same = (rows["sign_a"] == groups["sign_a"]) & (rows["sign_b"] == groups["sign_b"]) & (rows["n"] == groups["size"])
-    return rows.join(groups, same, "left").select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, groups["component"]).otherwise(rows["doc_id"]).alias("component_id"))
+    found = rows.join(groups, same, "left").select(rows["doc_id"], rows["n"].alias("n_shingles"), F.when(rows["n"] > 0, F.coalesce(groups["least"], rows["doc_id"])).otherwise(rows["doc_id"]).alias("component_id"))
+    return scratch.only(found)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
+    """The pairs whose sets are alike. Only the sets of nodes in a pair are made again and moved."""
+    nodes = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes")
+    sets = scratch.save(members(docs, nodes, words), f"{name}-sets")
+    found = scratch.save(verified(pairs, sets, percent).distinct(), name)
+    scratch.drop(f"{name}-sets")
+    return found
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:

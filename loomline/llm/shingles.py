@@ -59,11 +59,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     batch: list[tuple[int, bytes]] = []
     size = 0
     for owner, part in _parts(texts):
-        if len(part) > SLICE + 1:
+        if len(part) > SLICE and len(word := part.strip(SPACES)) > SLICE:
             flush(batch)
             batch, size = [], 0
             owners.append(np.array([owner]))
-            hashes.append(_long_word(part.strip(SPACES)))
+            hashes.append(_long_word(word))
             continue
         if size + len(part) > SLICE and batch:
             flush(batch)

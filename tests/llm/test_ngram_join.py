@@ -79,3 +79,41 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     assert ngram_join.link_groups(docs.limit(0)).count() == 0
     kept = sorted(r.doc_id for r in ngram_join.keep_one(docs.where("doc_id is not null")).collect())
     assert kept == [3, 8]
+
+
+def test_a_row_without_key_links_its_neighbours(spark):
+    words = ["w%d" % i for i in range(40)]
+    a, n, b = [*words], [*words[:-2], "x", "y"], ["z", "v", *words[2:-2], "x", "y"]
+    assert 100 * len(shingles(" ".join(a)) & shingles(" ".join(b))) < 85 * len(shingles(" ".join(a)) | shingles(" ".join(b)))
+    docs = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(n)), (2, " ".join(b)), (None, "p q r s")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.link_groups(docs).collect()}
+    assert got == {(1, 37): 1, (None, 37): 1, (2, 37): 1, (None, 1): None}
+
+
+def test_large_group_whose_pivot_links_a_part(spark):
+    rng = random.Random(5)
+    base = ["b%d" % i for i in range(80)]
+    texts = []
+    for k in range(700):
+        copy = list(base)
+        for place in rng.sample(range(80), rng.choice([0, 1, 1, 2, 2, 3])):
+            copy[place] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(copy))
+    assert run(spark, texts) == brute(texts)
+
+
+def test_words_longer_than_a_slice_hash_alike_wherever_they_stand():
+    from loomline.llm.bytegrams import SLICE
+    from loomline.llm.shingles import word_hashes
+
+    for size in (SLICE - 1, SLICE, SLICE + 1, SLICE + 2, 2 * SLICE):
+        word = b"q" * size
+        found = [word_hashes([text])[1] for text in (word, b" " + word, b"a b " + word + b" c", b"x" * (SLICE - 3) + b" " + word + b"\n")]
+        assert len({int(h[k]) for h, k in zip(found, (0, 0, 2, 1))}) == 1
+
+
+def test_each_pair_is_one_blocks_own():
+    homes = np.array([[9, 4, 7, -1], [4, 7, 2, -1], [3, -1, -1, -1]])
+    x, y = np.array([0, 0, 1]), np.array([1, 2, 2])
+    assert ngram_join.own_pairs(4, homes, x, y).tolist() == [True, True, True]
+    assert ngram_join.own_pairs(7, homes, x, y).tolist() == [False, True, True]
