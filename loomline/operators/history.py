@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,50 +36,77 @@ def with_results(uses: DataFrame, results: DataFrame) -> DataFrame:
     return uses.join(last, ["session", "id"], "left").select(*uses.columns, "r.output", "r.is_error")
 
 
-@dataclass(frozen=True)
-class CommandRule:
-    """What a command pattern is replaced by, what share that saves, and exceptions by sub-command."""
+RULES, IGNORED, IGNORED_PREFIXES = builtin.RULES, builtin.IGNORED, builtin.IGNORED_PREFIXES
 
-    pattern: str
-    target: str
-    category: str
-    savings_pct: float
-    by_subcommand: dict[str, float] = field(default_factory=dict)
+#: Fixed patterns: what may stand before a command, and git's options before its sub-command.
+_VALUE = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\S*)"""
+ENVIRONMENT = rf"^(?:sudo\s+|env\s+|[A-Z_][A-Z0-9_]*={_VALUE}\s+)+"
+GIT_OPTIONS = (
+    r"^git (?:(?:-C\s+\S+|-c\s+\S+|--git-dir(?:=\S+|\s+\S+)|--work-tree(?:=\S+|\s+\S+)"
+    r"|--no-pager|--no-optional-locks|--bare|--literal-pathspecs)\s+)+"
+)
 
 
-RULES = [CommandRule(*row) for row in builtin.classes()]
-#: Commands with nothing to reduce. Fixed values.
-IGNORED, IGNORED_PREFIXES = ("cd", "pwd", "true", "false", "exit", "clear", "history", "fg", "bg", "jobs"), ("cd ", "echo ", "export ", "source ", "mkdir ", "rm ", "mv ", "cp ", "touch ", "chmod ", "sleep ", "kill ")
+def _trimmed(command: Column) -> Column:
+    return F.regexp_replace(command, r"^\s+|\s+$", "")
 
 
 def ignored(command: Column) -> Column:
-    out = command.isin(*IGNORED)
+    """Whether a command has nothing to reduce: empty, or on the lists of whole commands and beginnings."""
+    bare = _trimmed(command)
+    out = bare.isin("", *IGNORED)
     for prefix in IGNORED_PREFIXES:
-        out |= command.startswith(prefix)
+        out |= bare.startswith(prefix)
     return out
 
 
-def classified(command: Column, rules: list[CommandRule] = RULES) -> Column:
-    """Struct of target, category and pct: the last matching rule; null where none does or the command is ignored.
+def bare_command(command: Column) -> Column:
+    """A command without variables before it, the folder of its program, and git's global options."""
+    bare = _trimmed(F.regexp_replace(_trimmed(command), ENVIRONMENT, ""))
+    bare = F.regexp_replace(bare, r"^[^ ]*/([^ /]+)", "$1")
+    return F.regexp_replace(bare, GIT_OPTIONS, "git ")
 
-    The rules are unrolled into one expression, so their patterns are compiled once a task and nothing is joined.
+
+def classified(command: Column, rules: list[builtin.CommandRule] = RULES) -> Column:
+    """Struct of target, category, pct and status: the last matching rule; null where none does, the command is
+    ignored, or it writes a file by cat, head or tail.
+
+    A rule is tried only on commands that begin with one of its letters. The rules are unrolled into one expression,
+    so their patterns are compiled once a task and nothing is joined.
     """
-    bare = F.regexp_replace(F.trim(command), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
-    bare = F.regexp_replace(bare, r"^/(?:\S*/)?(\S+)", "$1")
-    empty = F.lit(None).cast("struct<target:string,category:string,pct:double>")
+    by_letter: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules):
+        for letter in rule.letters():
+            by_letter.setdefault(letter, []).append(i)
+
+    def number(b: Column) -> Column:
+        first, out = F.substring(b, 1, 1), F.lit(None).cast("int")
+        for letter, own in sorted(by_letter.items()):
+            last = F.lit(None).cast("int")
+            for i in own:
+                last = F.when(b.rlike(rules[i].pattern), F.lit(i)).otherwise(last)
+            out = F.when(first == letter, last).otherwise(out)
+        return out
+
+    def described(b: Column, i: Column) -> Column:
+        pick = lambda values: F.element_at(F.array(*map(F.lit, values)), i + 1)
+        pct, status = pick([float(r.savings_pct) for r in rules]), F.lit("supported")
+        for k, rule in enumerate(rules):
+            if re.compile(rule.pattern).groups and (rule.by_subcommand or rule.passed_through):
+                sub = F.regexp_extract(b, rule.pattern, 1)
+                for name, own in rule.by_subcommand.items():
+                    pct = F.when((i == k) & (sub == name), own).otherwise(pct)
+                for name in rule.passed_through:
+                    status = F.when((i == k) & (sub == name), "passthrough").otherwise(status)
+        target = F.concat(F.lit(f"{builtin.PROGRAM} "), pick([r.target for r in rules]))
+        return F.when(i.isNotNull(), F.struct(target.alias("target"), pick([r.category for r in rules]).alias("category"), pct.alias("pct"), status.alias("status")))
 
     def found(b: Column) -> Column:
-        sub = F.split_part(F.regexp_replace(b, r"\s+", " "), F.lit(" "), F.lit(2))
-        out = empty
-        for rule in rules:
-            pct = F.lit(rule.savings_pct)
-            for name, own in rule.by_subcommand.items():
-                pct = F.when(sub == name, own).otherwise(pct)
-            out = F.when(b.rlike(rule.pattern), F.struct(F.lit(rule.target).alias("target"), F.lit(rule.category).alias("category"), pct.alias("pct"))).otherwise(out)
-        return F.when(~ignored(b), out)
+        writes = b.rlike(r"^(?:cat|head|tail) ") & b.rlike(r"\s(?:>|<(?:\s|$))")
+        return F.get(F.transform(F.array(F.when(~writes, number(b))), lambda i: described(b, i)), 0)
 
-    # a lambda over a one-element array names the command once, and keeps the long CASE out of generated code
-    return F.get(F.transform(F.array(bare), found), 0)
+    # lambdas over one-element arrays name the command once, and keep the long CASE out of generated code
+    return F.when(~ignored(command), F.get(F.transform(F.array(bare_command(command)), found), 0))
 
 
 def discover(commands: DataFrame) -> DataFrame:
@@ -106,9 +133,13 @@ DENIED = r"(?i)(permission denied|access denied|not permitted)"
 REJECTED = r"(?i)(user (doesn't want|declined|rejected|cancelled)|operation (cancelled|aborted) by user)"
 
 
+#: Words of an error.
+ERROR_WORDS = ("error", "failed", "unknown", "invalid", "not found", "permission denied", "cannot")
+
+
 def failed(flag: Column, output: Column) -> Column:
     """Whether a command failed: flagged, with words of an error, and not turned down by the user."""
-    return flag & ~output.rlike(REJECTED) & F.lower(output).rlike("error|failed|unknown|invalid|not found|permission denied|cannot")
+    return flag & ~output.rlike(REJECTED) & F.lower(output).rlike("|".join(ERROR_WORDS))
 
 
 def error_kind(output: Column) -> Column:

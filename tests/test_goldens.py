@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import builtin as B
 from loomline.functions import lines as L
 from loomline.functions import shell as S
 from loomline.functions import text as X
@@ -98,12 +100,34 @@ def test_permissions(spark):
         assert value(spark, Y.permission(F.col("c"), rules), c=command) == want
 
 
-def test_last_rule_wins_and_builtin_classes(spark):
-    rules = [Y.CommandRule("^git ", "a", "x", 10.0, {"log": 20.0}), Y.CommandRule("^git log --all", "b", "y", 30.0)]
+def test_last_rule_wins(spark):
+    rules = [B.CommandRule(r"^git\s+(log|x)", "a", "x", 10.0, ("git",), {"log": 20.0}, ("x",)), B.CommandRule("^git log --all", "b", "y", 30.0, ("git",))]
     pick = lambda c: value(spark, Y.classified(F.col("c"), rules), c=c)
-    assert tuple(pick("git log --all")) == ("b", "y", 30.0) and tuple(pick("A=1 git log -1")) == ("a", "x", 20.0) and pick("cd git") is None
-    assert tuple(value(spark, Y.classified(F.col("c")), c="/usr/bin/cargo test --all")) == ("tok cargo", "Cargo", 90.0)
-    assert tuple(value(spark, Y.classified(F.col("c")), c="head -n 3 x")) == ("tok cat", "Files", 60.0)
+    assert tuple(pick("git log --all")) == ("tok b", "y", 30.0, "supported") and pick("cd git") is None and pick("echo") is None
+    assert tuple(pick("A=1 git log -1")) == ("tok a", "x", 20.0, "supported") and tuple(pick("git  x")) == ("tok a", "x", 10.0, "passthrough")
+
+
+CLASSIFIED = {
+    "/usr/bin/cargo test --all": ("tok cargo", 90.0), "cargo fmt": ("tok cargo", 80.0), "head -n 3 x": ("tok read", 60.0), "bat x": ("tok read", 60.0), "cat a > b": None, "cat < b": None,
+    "rg x": ("tok grep", 75.0), "npx eslint .": ("tok lint", 84.0), "eslint x": ("tok lint", 84.0), "biome check": ("tok biome", 84.0), "npx biome check": ("tok lint", 84.0), "pnpm lint": ("tok lint", 84.0),
+    "git bisect": None, "git -C /tmp --no-pager diff": ("tok git", 80.0), "git -c a=b log": ("tok git", 70.0), 'sudo env A="x y" git status': ("tok git", 70.0), "a=1 git status": None, "python3 -m mypy x": ("tok mypy", 80.0),
+    "uv pip install x": ("tok uv", 65.0), "uv pip list": ("tok pip", 75.0), "pip3 outdated": ("tok pip", 75.0), "aws s3 ls": ("tok aws", 80.0), "bundle exec rake test": ("tok rake", 85.0), "bin/rails test": ("tok rake", 85.0),
+    "java -jar x.jar": ("tok spring-boot", 70.0), "gradle bootRun": ("tok spring-boot", 70.0), "./gradlew build": None, "swift test": ("tok swift", 90.0), "gcc -O2 x.c": ("tok gcc", 70.0), "g++ x.cc": None, "pnpm test": ("tok vitest", 99.0), "test -f x": None,
+    "docker compose logs": ("tok docker", 85.0), "make-all": ("tok make", 65.0), "tree": ("tok tree", 70.0), "fd x": ("tok fd", 70.0), "": None, "  ": None, "then\ngit log": None, "nosuch x": None, "tok git log": None, "python3 -c 1": None,
+}
+
+
+def test_builtin_rules(spark):
+    df = spark.createDataFrame([(c,) for c in [*CLASSIFIED, None]], "c string").select("c", Y.classified(F.col("c")).alias("r"))
+    assert {r["c"]: r["r"] and (r["r"]["target"], r["r"]["pct"]) for r in df.collect()} == {**CLASSIFIED, None: None}
+
+
+def test_rules_are_tried_on_all_the_letters_they_match():
+    words = [p for rule in B.RULES for p in rule.prefixes] + ["java -jar a.jar", "test", "bin/rake", "python -m pytest", "gradlewgradle"]
+    for rule in B.RULES:
+        for word in words:
+            for text in (word, f"{word} build", f"{word} test x", f"{word} run"):
+                assert not re.match(rule.pattern, text) or text[0] in rule.letters()
 
 
 def test_json_views():
