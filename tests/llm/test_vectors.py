@@ -55,3 +55,32 @@ def test_ties_bad_vectors_and_few_rows(spark):
     few = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0])]
     assert run(spark, few) == {0: [(1, 4.0)]}
     assert run(spark, few[:0]) == {} and run(spark, [(0, None)]) == {}
+
+
+def test_recall_of_a_large_shard_of_any_kind():
+    rng = np.random.default_rng(5)
+    for points in (clustered(20_000, 48, 6, 0.3).astype(float), rng.normal(size=(8_000, 48))):
+        shard = vectors.Shard(np.arange(len(points)), points, 20, vectors.SEARCH_BEAM)
+        asked = rng.choice(len(points), 200, replace=False)
+        query, found, _ = shard.answer(asked, points[asked])
+        product = points[asked] @ points.T
+        product[np.arange(200), asked] = -np.inf
+        want = np.argsort(-product, axis=1)[:, :20]
+        recall = np.mean([len(set(found[query == q]) & set(w)) / 20 for q, w in zip(asked, want)])
+        assert recall >= 0.9
+
+
+def test_shards_stream_their_queries(spark):
+    m = clustered(900, 8, 7)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for r in vectors.nearest(df, every=3, top=5, shard_rows=60).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {q: [i for i, _ in w] for q, w in brute(rows, 3, 5).items()}
+    assert set(got) == set(want) and np.mean([len({*got[q]} & {*want[q]}) / 5 for q in want]) >= 0.95
