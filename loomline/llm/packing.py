@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from .common import Scratch, sliced, tidy
 from .tokens import Encoder, unsafe_ids
 
 CAPACITY = 4096
-#: Ranks of one length that are placed together.
-BLOCK = 4096
+#: Ranks of one length that are placed together, and rows of one length that are numbered by one task.
+BLOCK, PART = 4096, 1000
 END_ID = (1).to_bytes(4, "little")
 
 
@@ -40,78 +41,78 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def ranked(rows: DataFrame, salts: int) -> DataFrame:
-    """rows with `rank`, from 0 without gaps within each length.
+def ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with `rank`, from 0 without gaps within each length. counts: (length, n).
 
-    Each length is dealt out by a hash of doc_id over `salts` parts, numbered inside a part, and raised by the sizes
-    of the parts before it, so that no length has to be sorted in one task.
+    Each length is dealt out by a hash of doc_id over as many parts as it has PART rows, numbered inside a part, and
+    raised by the sizes of the parts before it, so that no length has to be sorted in one task.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.lit(1))
+    salted = rows.join(F.broadcast(counts.select("length", parts.alias("parts"))), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
     return salted.withColumn("inner", inner).join(sizes.drop("n"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("inner")).drop("base", "inner", "salt")
 
 
-def sweep(waiting: dict[int, list[int]], gaps: dict[int, list[tuple[int, int]]], capacity: int) -> tuple[list[tuple[int, ...]], dict[int, list[tuple[int, int]]]]:
-    """One bulk-synchronous round: every gap takes at most one document.
-
-    Sizes are swept upwards: documents wait on a stack, and the gaps of a size take the longest that wait, which is the
-    document whose successor among the free gaps they are. When more of one length want a gap size than it has, those
-    of lowest rank get them and the rest wait for the next size. Returns (length, first rank, how many, first sequence,
-    offset) and the gaps afterwards. waiting: length -> [next rank, how many]; gaps: size -> runs of sequences.
-    """
-    placed: list[tuple[int, ...]] = []
-    after: dict[int, list[tuple[int, int]]] = {}
-    stack: list[int] = []
-    for size in sorted({*waiting, *gaps}):
-        if size in waiting and waiting[size][1]:
-            stack.append(size)
-        for first, many in gaps.get(size, ()):
-            while many and stack:
-                length = stack[-1]
-                rank, left = waiting[length]
-                n = min(many, left)
-                placed.append((length, rank, n, first, capacity - size))
-                if size > length:
-                    after.setdefault(size - length, []).append((first, n))
-                waiting[length] = [rank + n, left - n]
-                first, many = first + n, many - n
-                if left == n:
-                    stack.pop()
-            if many:
-                after.setdefault(size, []).append((first, many))
-    return placed, after
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Where ranks of each length go: (length, first rank, how many, first sequence, offset).
-
-    Documents of a length are alike, and so are gaps of a size, so rounds run over at most `capacity` runs of either,
-    however many documents there are. Sequences are opened with the longest documents that wait, as many as the tokens
-    that wait need at least; then sweeps fill gaps until no gap takes any.
+class Gaps:
+    """Free ends of sequences: for each size, runs (first sequence, how many)."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.runs: dict[int, list[tuple[int, int]]] = {}
+
+    def put(self, size: int, first: int, many: int) -> None:
+        if not size or not many:
+            return
+        if size not in self.runs:
+            insort(self.sizes, size)
+            self.runs[size] = []
+        own = self.runs[size]
+        if own and sum(own[-1]) == first:
+            first, many = own[-1][0], own.pop()[1] + many
+        own.append((first, many))
+
+    def successor(self, length: int) -> tuple[int, int, int] | None:
+        """The smallest size that holds the length, with a run of it, which is taken out; None where there is none."""
+        at = bisect_left(self.sizes, length)
+        if at == len(self.sizes):
+            return None
+        size = self.sizes[at]
+        run = self.runs[size].pop()
+        if not self.runs[size]:
+            del self.runs[size], self.sizes[at]
+        return size, *run
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Where ranks of each length go: (length, first rank, how many, how many a sequence, first sequence, offset).
+
+    One bulk step a length, the longest first: its documents, in order of rank, go to the gaps that are their
+    successors in size, as many to a gap as it holds; gaps are updated, sequences are opened where no gap holds the
+    length, and the next length follows. Documents of a length are alike, and so are gaps of a size, so a step runs
+    over runs of gaps and not over documents, and gives what best fit gives that takes documents one by one.
     """
-    waiting = {length: [0, n] for length, n in counts.items() if n}
-    slots: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    opened = 0
-    while any(n for _, n in waiting.values()):
-        need = -(-sum(length * n for length, (_, n) in waiting.items()) // capacity)
-        need = max(need, sum(n for length, (_, n) in waiting.items() if 2 * length > capacity))
-        for length in sorted(waiting, reverse=True):
-            rank, left = waiting[length]
-            n = min(left, need)
-            if n:
-                slots.append((length, rank, n, opened, 0))
-                if length < capacity:
-                    gaps.setdefault(capacity - length, []).append((opened, n))
-                waiting[length] = [rank + n, left - n]
-                opened, need = opened + n, need - n
-        while True:
-            placed, gaps = sweep(waiting, gaps, capacity)
-            slots += placed
-            if not placed:
-                break
+    slots: list[tuple[int, int, int, int, int, int]] = []
+    gaps, opened = Gaps(), 0
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            found = gaps.successor(length)
+            if found is None:
+                size, first, many = capacity, opened, -(-left // (capacity // length))
+                opened += many
+            else:
+                size, first, many = found
+            each = size // length
+            full = min(many, left // each)
+            last = min(left - full * each, each) if many > full else 0
+            for n, inside in ((full, each), (int(last > 0), last)):
+                if n:
+                    slots.append((length, rank, n * inside, inside, first, capacity - size))
+                    gaps.put(size - inside * length, first, n)
+                    rank, left, first, many = rank + n * inside, left - n * inside, first + n, many - n
+            gaps.put(size, first, many)
     return slots
 
 
@@ -125,12 +126,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     rows = scratch.save(pieces(docs, path, capacity), "pieces")
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots = pd.DataFrame(plan(counts, capacity), columns=["length", "first", "many", "sequence", "at"], dtype=np.int64)
-    runs = spark.createDataFrame(slots, "length long, first long, many long, sequence long, at long")
+    counts = scratch.save(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "counts")
+    slots = pd.DataFrame(plan({r["length"]: r["n"] for r in counts.collect()}, capacity), columns=["length", "first", "many", "each", "sequence", "at"], dtype=np.int64)
+    runs = spark.createDataFrame(slots, "length long, first long, many long, each long, sequence long, at long")
     blocks = F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("many") - 1) / BLOCK))
     runs = runs.withColumn("block", F.explode(blocks))
-    salts = max(1, -(-sum(counts.values()) // 1_000_000))
-    dealt = ranked(rows, salts).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    dealt = ranked(rows, counts).withColumn("block", F.floor(F.col("rank") / BLOCK))
     placed = dealt.join(runs, ["length", "block"]).where("rank >= first and rank < first + many")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
+    place = F.col("rank") - F.col("first")
+    sequence, offset = F.col("sequence") + F.floor(place / F.col("each")), F.col("at") + place % F.col("each") * F.col("length")
+    return scratch.only(placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset")))

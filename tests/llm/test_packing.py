@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -66,6 +67,43 @@ def test_plan_is_near_the_lower_bound():
     for most in (4096, 1500, 300):
         counts = Counter(rng.randint(1, most) for _ in range(20000))
         slots = packing.plan(dict(counts))
-        used = max(first + n for _, _, n, first, _ in slots)
-        assert sum(n for _, _, n, _, _ in slots) == 20000
+        used = sequences_of(slots)
+        assert sum(s[2] for s in slots) == 20000
         assert used <= -(-sum(k * n for k, n in counts.items()) // 4096) * 1.01 + 1
+
+
+def sequences_of(slots):
+    return max(first + -(-many // each) for _, _, many, each, first, _ in slots)
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps, opened = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        if at == len(gaps):
+            opened += 1
+            left = capacity - length
+        else:
+            left = gaps.pop(at) - length
+        bisect.insort(gaps, left)
+    return opened
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(8)
+    cases = [[rng.randint(1000, 1100) for _ in range(3000)], [rng.choice((1000, 1365, 1366, 2050)) for _ in range(3000)], [rng.randint(1, 4096) for _ in range(3000)], [1] * 9000 + [4096], [4095, 1, 1], [7] * 5, [2048] * 5]
+    cases += [[rng.randint(1, 60) for _ in range(rng.randint(1, 400))] for _ in range(50)]
+    for k, lengths in enumerate(cases):
+        capacity = 4096 if k < 7 else 64
+        slots = packing.plan(dict(Counter(lengths)), capacity)
+        assert sequences_of(slots) == best_fit_decreasing(lengths, capacity)
+        ends, seen = {}, Counter()
+        for length, first_rank, many, each, first, at in slots:
+            assert first_rank == seen[length]
+            seen[length] += many
+            for n in range(many):
+                place = (first + n // each, at + n % each * length)
+                assert ends.get(place[0], 0) == place[1]
+                ends[place[0]] = place[1] + length
+                assert ends[place[0]] <= capacity
+        assert seen == Counter(lengths)
