@@ -35,10 +35,21 @@ def padded(data: bytes, unit: int = WIDTH) -> bytes:
     return data + bytes(max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
+def filtered(rows: np.ndarray) -> np.ndarray:
+    """Image rows that begin with their filter type: of none, left and above, the one with the least sum of distances
+    from zero, as the format's authors advise. The types that take averages are read, but not written: undoing them
+    can't be done row by row."""
+    options = np.zeros((3, *rows.shape), dtype=np.uint8)
+    options[:] = rows
+    options[1, :, 1:] -= rows[:, :-1]
+    options[2, 1:] -= rows[:-1]
+    best = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+    return np.concatenate([best[:, None].astype(np.uint8), options[best, np.arange(len(rows))]], axis=1)
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
-    """An 8-bit greyscale image with one sample a byte; every row has filter type 0, which suits text best."""
-    rows = np.zeros((len(payload) // width, width + 1), dtype=np.uint8)
-    rows[:, 1:] = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
+    """An 8-bit greyscale image with one sample a byte, and a filter chosen for each row."""
+    rows = filtered(np.frombuffer(payload, dtype=np.uint8).reshape(-1, width))
     packer = zlib.compressobj(level)
     body = packer.compress(rows.tobytes()) + packer.flush()
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0))]
@@ -59,31 +70,42 @@ def _chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def _paeth(left: int, up: int, corner: int) -> int:
-    guess = left + up - corner
-    return min(((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner)))[2]
+def _from_above(rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows with the running sums of those marked `above` added, each run of them on the row before it."""
+    sums = np.cumsum(rows, axis=0, dtype=np.uint8)
+    base = np.maximum.accumulate(np.where(above, -1, np.arange(len(rows))))
+    start = np.concatenate([np.zeros((1, rows.shape[1]), dtype=np.uint8), sums])[base + 1]
+    kept = np.where(base[:, None] >= 0, rows[np.maximum(base, 0)], 0).astype(np.uint8)
+    return np.where(above[:, None], sums - start + kept, rows)
+
+
+def _by_diagonals(rows: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Samples of rows of any filter type: those with one sum of row and column depend on the two sums before alone,
+    so each such diagonal is one array operation."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), dtype=np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kinds[y], [np.zeros_like(left), left, up, (left + up) // 2, paeth])
+        out[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def unfilter(rows: np.ndarray) -> np.ndarray:
-    """Samples of greyscale rows that each begin with their filter type. Types 0 to 2 are array operations."""
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if not kinds.any():
-        return out
-    for y, kind in enumerate(kinds):
-        above = out[y - 1] if y else np.zeros(out.shape[1], dtype=np.uint8)
-        if kind == 1:
-            out[y] = np.add.accumulate(out[y], dtype=np.uint8)
-        elif kind == 2:
-            out[y] += above
-        elif kind in (3, 4):
-            left = corner = 0
-            for x, up in enumerate(above.tolist()):
-                guess = (left + up) // 2 if kind == 3 else _paeth(left, up, corner)
-                left, corner = (int(out[y, x]) + guess) & 255, up
-                out[y, x] = left
-        elif kind:
-            raise MediaError(f"filter type {kind}")
-    return out
+    """Samples of greyscale rows that each begin with their filter type, by array operations."""
+    kinds, out = rows[:, 0], rows[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise MediaError(f"filter type {kinds.max()}")
+    if kinds.max(initial=0) > 2:
+        return _by_diagonals(out, kinds)
+    left = kinds == 1
+    out = np.where(left[:, None], np.cumsum(out, axis=1, dtype=np.uint8), out)
+    return _from_above(out, kinds == 2)
 
 
 def decode_png(media: bytes) -> np.ndarray:
@@ -91,6 +113,8 @@ def decode_png(media: bytes) -> np.ndarray:
     header, body, ended = None, zlib.decompressobj(), False
     raw = []
     for kind, data in _chunks(media):
+        if ended:
+            raise MediaError("the image goes on after its end")
         if kind == b"IHDR":
             header = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
@@ -99,6 +123,8 @@ def decode_png(media: bytes) -> np.ndarray:
     if header is None or not ended or header[2:] != (8, 0, 0, 0, 0):
         raise MediaError("not a whole 8-bit greyscale image")
     flat = np.frombuffer(b"".join([*raw, body.flush()]), dtype=np.uint8)
+    if not body.eof or body.unused_data:
+        raise MediaError("the compressed data is cut off, or goes on after its end")
     if len(flat) != header[1] * (header[0] + 1):
         raise MediaError("the image has another number of samples than its header says")
     return unfilter(flat.reshape(header[1], header[0] + 1))

@@ -17,7 +17,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("hash")
+    return media.media_features(media.to_media(table(spark, sf_dir, "documents")))
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,13 @@ def test_damage_is_found():
             media.decode_png(bytes(bad))
     with pytest.raises((media.MediaError, struct.error)):
         media.decode_png(whole[:-6])
+    packed = zlib.compress(media.filtered(np.zeros((1, 64), dtype=np.uint8)).tobytes())
+    head = media._chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0))
+    stored = lambda body, end=b"": media.SIGNATURE + head + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"") + end
+    assert not media.decode_png(stored(packed)).any()
+    for bad in (stored(packed[:-4]), stored(packed + b"x"), stored(packed, media._chunk(b"tEXt", b"x"))):
+        with pytest.raises(media.MediaError):
+            media.decode_png(bad)
 
 
 def filtered(image, kind):
@@ -53,6 +60,40 @@ def test_all_filter_types_are_undone():
     image = np.random.default_rng(1).integers(0, 256, (9, 64)).astype(np.uint8)
     for kind in range(5):
         assert (media.unfilter(filtered(image, kind)) == image).all()
+    rng = np.random.default_rng(3)
+    for height in (1, 2, 7, 70):
+        image = rng.integers(0, 256, (height, 64)).astype(np.uint8)
+        every = [filtered(image, kind) for kind in range(5)]
+        for most in (3, 5):
+            mixed = np.array([every[k][y] for y, k in enumerate(rng.integers(0, most, height))])
+            assert (media.unfilter(mixed) == image).all()
+    with pytest.raises(media.MediaError):
+        media.unfilter(np.full((1, 65), 5, dtype=np.uint8))
+
+
+def test_rows_are_written_with_the_filter_that_fits():
+    flat, ramp = np.full((4, 64), 7, dtype=np.uint8), np.cumsum(np.ones((4, 64)), axis=1).astype(np.uint8)
+    rows = media.filtered(np.concatenate([np.zeros((1, 64), dtype=np.uint8), ramp[:1], flat, ramp]))
+    assert rows[:, 0].tolist() == [0, 1, 1, 2, 2, 2, 1, 2, 2, 2]
+    assert (media.unfilter(rows)[2:6] == 7).all()
+
+
+def cosines(image):
+    """The hash by its definition: means of spans, then the sums of cosines, then the median."""
+    spans = lambda n: [(k * n // 32, max((k + 1) * n // 32, k * n // 32 + 1)) for k in range(32)]
+    small = [[image[a:b, c:d].astype(float).mean() for c, d in spans(image.shape[1])] for a, b in spans(image.shape[0])]
+    scale = lambda k: (1 / 32 if k == 0 else 2 / 32) ** 0.5
+    cos = lambda k, x: np.cos(np.pi * (2 * x + 1) * k / 64)
+    corner = [round(scale(u) * scale(v) * sum(small[y][x] * cos(u, y) * cos(v, x) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    return "".join("01"[int(c > np.median(corner[1:]))] for c in corner)
+
+
+def test_hash_against_its_definition():
+    rng = np.random.default_rng(4)
+    for height in (1, 5, 40, 131):
+        image = rng.integers(32, 127, (height, 64)).astype(np.uint8)
+        got, want = f"{int(media.cosine_hash(image), 16):064b}", cosines(image)
+        assert sum(a != b for a, b in zip(got, want)) <= 1
 
 
 def test_like_images_have_like_hashes():
