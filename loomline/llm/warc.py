@@ -60,11 +60,13 @@ def write_records(planned: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFra
     Payloads are cut in the JVM, so Python never holds more than a batch of chunks; each row carries the payload's
     SHA-1 so far, and the last must be the digest that the record's header names.
     """
-    last = F.when(F.col("refers_to").isNull(), F.floor((F.greatest(F.length("html"), F.lit(1)) - 1) / chunk_chars)).otherwise(0).cast("int")
-    pieces = planned.withColumn("last_no", last).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("last_no"))))
-    piece = F.when(F.col("refers_to").isNull(), F.substring("html", F.col("no") * chunk_chars + 1, F.lit(chunk_chars))).otherwise("")
+    # one pass cuts a payload at every chunk_chars characters; only the pieces go on from here
+    cut = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    cut = F.when(F.col("refers_to").isNull() & (F.col("bytes") > 0), cut).otherwise(F.array(F.lit("")))
+    pieces = planned.select("page_id", "url", "sha1", "bytes", "refers_to", cut.alias("pieces")).withColumn("last_no", F.size("pieces") - 1)
+    pieces = pieces.select("page_id", "url", "sha1", "bytes", "refers_to", "last_no", F.posexplode("pieces").alias("no", "piece"))
     number = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  pandas would make nullable integers floats
-    pieces = pieces.select(number("page_id"), "url", "sha1", "bytes", number("refers_to"), "no", "last_no", piece.alias("piece"))
+    pieces = pieces.select(number("page_id"), "url", "sha1", "bytes", number("refers_to"), "no", "last_no", "piece")
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         record, state = "", hashlib.sha1()

@@ -51,3 +51,12 @@ def test_damage_is_found_and_empty_table(spark):
     with pytest.raises(warc.WarcError):
         list(warc.parse_records(rows))
     assert run(spark, [(1, "u", "x")])[1] and not warc.read_records(chunks.limit(0)).collect()
+
+
+def test_payload_of_many_chunks_at_the_real_size(spark):
+    text = "".join(chr(97 + i % 26) for i in range(9973)) * 5400 + "é\U0001f600\r\n"
+    chunks, got = run(spark, [(1, "http://a/", text), (2, "u", "x")], chunk=warc.CHUNK_CHARS)
+    data = text.encode()
+    by_page = {r.page_id: r for r in got}
+    assert by_page[1].payload_bytes == len(data) and by_page[1].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
+    assert chunks.where("chunk_no > 0").count() == (len(text) - 1) // warc.CHUNK_CHARS and chunks.selectExpr("max(length(data)) AS n").first().n < 5 * warc.CHUNK_CHARS
