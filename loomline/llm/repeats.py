@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by bucket-pointer refinement over sampled suffixes."""
+"""Removal of long repeated byte strings by bucket-pointer refinement, in buckets of sampled suffixes."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from .common import Scratch, sliced, tidy
 WINDOW, GRAM = 200, 64
 #: Distinct strings of a bucket that one task refines in memory; larger buckets are refined by shuffled hashes.
 MOST = 2000
+#: Bytes of the first buckets inside a task.
+Q = 5
 _KEY = "doc_id long, mark int"
 
 
@@ -60,7 +62,7 @@ def contents(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFr
     arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int64()), ("bucket", pa.int64()), ("part", pa.int32()), ("single", pa.bool_()), ("data", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, 2)):
             runs = batch.column(3)
             flat = runs.flatten()
             owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
@@ -96,23 +98,63 @@ def _windows(data: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(hashes), np.concatenate(numbers), np.concatenate(offsets)
 
 
+def refined(data: list[bytes], buckets: np.ndarray, shift: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of every window that occurs twice among the strings of a bucket, by bucket-pointer refinement.
+
+    Strings of a bucket are aligned at its q-gram, so windows can only be equal at one place of the alignment. Suffixes
+    are first put into buckets by place and Q bytes. Then buckets are refined by sorting on pairs of bucket identifiers,
+    a suffix's own and that of the suffix as many bytes later as its bucket is deep: identifiers of one round are the
+    keys of the next, so depth doubles, and the last round reaches just `window` bytes. Suffixes alone in their bucket
+    drop out of all later rounds. Bytes are compared and no hashes, so no two different windows are taken for equal.
+    """
+    lengths = np.array([len(d) for d in data], dtype=np.int64)
+    flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+    base = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(data)), lengths)
+    inner = np.arange(len(flat)) - base[owner]
+    left = lengths[owner] - inner
+    depth = min(Q, window)
+    at = np.flatnonzero(left >= depth)
+    _, bucket = np.unique(buckets, return_inverse=True)
+    place = inner[at] - shift[owner[at]]
+    key = bucket.ravel()[owner[at]] * np.int64(place.max(initial=0) - place.min(initial=0) + 1) + place - place.min(initial=0)
+    for k in range(depth):
+        if k and k % 2 == 0:
+            key = np.unique(key, return_inverse=True)[1].ravel()
+        key = key << 8 | flat[at + k]
+    ids = np.full(len(flat) + 1, -1, dtype=np.int64)
+
+    def put(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        _, number, count = np.unique(key, return_inverse=True, return_counts=True)
+        number = number.ravel()
+        often = count[number] > 1
+        ids[:] = -1
+        ids[at[often]] = number[often]
+        return at[often]
+
+    at = put(at, key)
+    while depth < window:
+        step = min(depth, window - depth)
+        at = at[left[at] >= depth + step]
+        at = at[ids[at + step] >= 0]
+        at = put(at, ids[at] * np.int64(len(flat) + 1) + ids[at + step])
+        depth += step
+    return owner[at], inner[at]
+
+
 def _spans(batch: pa.Table, window: int) -> pa.RecordBatch:
     """Runs of starts, in strings that are single, whose windows occur twice in this batch of whole buckets."""
-    hashes, numbers, offsets = _windows(batch.column("data").combine_chunks().to_pylist(), window)
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(hashes), dtype=bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    twice &= batch.column("single").combine_chunks().to_numpy(zero_copy_only=False)[numbers]
-    at = np.flatnonzero(twice)
-    first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(numbers[at], prepend=-1) != 0))
-    count = np.diff(np.append(first, len(at)))
-    owner = numbers[at[first]]
-    start = (batch.column("place").combine_chunks().to_numpy() >> 16)[owner] + offsets[at[first]]
+    column = lambda c: batch.column(c).combine_chunks()
+    place = column("place").to_numpy()
+    numbers, offsets = refined(column("data").to_pylist(), column("bucket").to_numpy(), place & 255, window)
+    wanted = column("single").to_numpy(zero_copy_only=False)[numbers]
+    numbers, offsets = numbers[wanted], offsets[wanted]
+    first = np.flatnonzero((np.diff(offsets, prepend=-2) != 1) | (np.diff(numbers, prepend=-1) != 0))
+    count = np.diff(np.append(first, len(numbers)))
+    owner = numbers[first]
+    start = (place >> 16)[owner] + offsets[first]
     take = pa.array(owner)
-    key = [batch.column(c).combine_chunks().take(take) for c in ("doc_id", "mark")]
+    key = [column(c).take(take) for c in ("doc_id", "mark")]
     return pa.RecordBatch.from_arrays([*key, pa.array((start.astype(np.int64) << 16) | count)], schema=_SPAN)
 
 
@@ -169,16 +211,18 @@ def refine_by_hash(strings: DataFrame, scratch: Scratch, window: int = WINDOW) -
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id, mark, spans: for each document that has any, its runs of starts of repeated windows.
 
-    1. Buckets: runs of window starts, by the hash of their minimizer q-gram; buckets of one run are dropped.
+    1. Buckets: runs of window starts, by their minimizer q-gram; buckets of one run are dropped.
     2. Refinement by the hash of the whole run: runs that are equal in full are repeated in full, and one of them
        stands for all in what follows.
-    3. Refinement of what still differs in a bucket: the bytes of the distinct runs are fetched and their windows
-       compared by hash, in memory for buckets up to `most`, else by a shuffle.
+    3. Refinement of what still differs in a bucket: the bytes of the distinct runs are fetched, and their suffixes
+       refined by the bucket identifiers of later offsets. That is done in memory for buckets up to `most`; windows of
+       larger ones get hashes for identifiers, and buckets are counted by a shuffle.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = keyed(docs)
     buckets = scratch.save(initial_buckets(rows, window, gram), "buckets")
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # a table of its own, so that a bucket with a large share of the rows can be split in the join
+    several = scratch.save(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "several")
     shared = scratch.save(buckets.join(several, "bucket", "left_semi"), "shared")
     scratch.drop("buckets")
     kinds = shared.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "place")).alias("one"))
@@ -190,7 +234,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "bucket", "part", "single")).alias("runs"))
     strings = scratch.save(contents(rows, wanted, window), "strings")
     spans = equal.unionByName(refine_in_memory(strings.where("part = 0"), window)).unionByName(refine_by_hash(strings.where("part = 1"), scratch, window))
-    return scratch.save(spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")), "spans")
+    return scratch.only(spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")))
 
 
 def covered(size: int, spans: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -216,7 +260,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in sliced(whole, 1)):
             out = []
             for text, found in zip(_texts(batch.column(1)), batch.column(2)):
                 removed = n = 0

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from loomline.llm import repeats
 
 
@@ -63,3 +65,25 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in repeats.without_repeats(docs).collect())
     assert got == [(0, 0), (1, 300), (1, 300), (2, 0)]
     assert repeats.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_refinement_finds_what_occurs_twice_at_one_place_of_a_bucket():
+    rng = random.Random(9)
+    for window in (3, 5, 7, 12, 40):
+        pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(4)]
+        data = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))).encode() for _ in range(60)]
+        buckets, shift = [rng.randint(0, 3) * 10**15 for _ in data], [rng.randint(0, 6) for _ in data]
+        keys = {(i, o): (buckets[i], o - shift[i], d[o : o + window]) for i, d in enumerate(data) for o in range(len(d) - window + 1)}
+        count = Counter(keys.values())
+        owner, offset = repeats.refined(data, np.array(buckets), np.array(shift), window)
+        assert set(zip(owner.tolist(), offset.tolist())) == {k for k, v in keys.items() if count[v] > 1}
+
+
+def test_texts_beyond_a_slice(spark):
+    rng = random.Random(10)
+    block = "".join(rng.choice("abcdefgh ") for _ in range(1000))
+    other = lambda n: "".join(rng.choices("ijklmnop ", k=n))
+    long = other(1_100_000) + block + other(50_000) + block[:400]
+    docs = spark.createDataFrame([(1, long), (2, block[300:700])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.without_repeats(docs).collect()}
+    assert got == {1: (len(long), 1100, 2), 2: (400, 400, 1)}
