@@ -35,7 +35,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), words=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

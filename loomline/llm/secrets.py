@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -36,8 +36,8 @@ SPOKEN = re.compile(r"""["']?\s{0,3}(?:(?:is|was|are)\s{1,3}|[:=]>?\s{0,3}|\s)""
 NEEDLES = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key", "signature")
 #: Values of at least so many guesses (as a power of ten) are reported.
 LEAST_GUESSES = 10.0
-#: No segment is longer, so that the search is linear in the value's length.
-LONGEST = 40
+#: Letters of the words taken from a vocabulary.
+WORD_LETTERS = (4, 20)
 
 #: Words often met in passwords, by rank.
 COMMON = (
@@ -62,9 +62,19 @@ def _neighbours() -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in near.items()}
 
 
-@lru_cache(1)
-def _ranks() -> dict[str, int]:
-    return {word: rank for rank, word in enumerate(COMMON, 1)}
+@lru_cache(2)
+def _ranks(words: str | None) -> dict[str, int]:
+    """Ranks of the common words, and behind them those of a vocabulary file's whole words, which are in the order in
+    which they were merged, that is, about by how often they are met."""
+    ranks = {word: rank for rank, word in enumerate(COMMON, 1)}
+    if words is not None:
+        model = json.loads(open(words, encoding="utf-8").read())["model"]
+        end = model["end_of_word_suffix"]
+        whole = (t.removesuffix(end) for t in sorted(model["vocab"], key=model["vocab"].get) if t.endswith(end))
+        for word in whole:
+            if word.isascii() and word.isalpha() and WORD_LETTERS[0] <= len(word) <= WORD_LETTERS[1]:
+                ranks.setdefault(word, len(ranks) + 1)
+    return ranks
 
 
 def _alphabet(part: str) -> int:
@@ -77,60 +87,69 @@ def _alphabet(part: str) -> int:
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 
-def _segments(value: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 of guesses) of every segment but brute-force ones."""
+def _stretches(value: str, follows: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
+    """Maximal stretches [start, end) in which every place but the first follows the one before it."""
+    start = 0
+    for i in range(1, len(value) + 1):
+        if i == len(value) or not follows(i):
+            yield start, i
+            start = i
+
+
+def _runs(value: str) -> Iterator[tuple[int, int, str, float]]:
+    """Repeats, sequences and keyboard walks of any length, as long as they go."""
+    low, near = value.lower(), _neighbours()
+    for start, end in _stretches(value, lambda i: value[i] == value[i - 1]):
+        if end - start >= 3:
+            yield start, end, "repeat", math.log10(_alphabet(value[start]) * (end - start))
+    for unit in (2, 3, 4):
+        for start, end in _stretches(value[unit:], lambda i, unit=unit: value[unit + i] == value[i] and value[unit + i - 1] == value[i - 1]):
+            times = (end - start) // unit + 1
+            if times > 1 and value[start] == value[start + unit]:
+                yield start, start + unit * times, "repeat", unit * math.log10(_alphabet(value[start : start + unit])) + math.log10(times)
+    for step in (1, -1):
+        for start, end in _stretches(value, lambda i, step=step: value[i].isalnum() and ord(value[i]) - ord(value[i - 1]) == step):
+            if end - start >= 3:
+                yield start, end, "sequence", math.log10((26 if value[start].isalpha() else 10) * (end - start) * (1 if step == 1 else 2))
+    for start, end in _stretches(value, lambda i: low[i] in near.get(low[i - 1], ())):
+        if end - start >= 4:
+            turns = 1 + sum(KEYBOARD_ROW[low[i]] != KEYBOARD_ROW[low[i - 1]] for i in range(start + 2, end))
+            yield start, end, "walk", math.log10(47 * (end - start)) + turns * math.log10(5)
+
+
+def _segments(value: str, words: str | None = None) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, log10 of guesses) of every segment but brute-force ones, by start."""
     low = value.lower()
     plain = low.translate(LEET)
-    ranks, near, n = _ranks(), _neighbours(), len(value)
+    ranks, n = _ranks(words), len(value)
+    runs = sorted(_runs(value), reverse=True)
     for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
+        while runs and runs[-1][0] == i:
+            yield runs.pop()
+        for j in range(i + 3, min(n, i + WORD_LETTERS[1]) + 1):
             rank, extra = ranks.get(low[i:j]), 1
             if rank is None and (rank := ranks.get(plain[i:j])) is not None:
                 extra = 2
             if rank is not None:
                 extra *= 1 if value[i:j] == low[i:j] else 2
                 yield i, j, "word", math.log10(rank * extra + 1)
-        for found in (_DATE.match(value, i),):
-            if found:
-                yield i, found.end(), "date", math.log10(365 * 120 if found.end() - i > 4 else 120)
-        j = i + 1
-        while j < n and j - i < LONGEST and value[j] == value[i]:
-            j += 1
-        for end in range(i + 3, j + 1):
-            yield i, end, "repeat", math.log10(_alphabet(value[i]) * (end - i))
-        for unit in (2, 3, 4):
-            times = 1
-            while value[i + unit * times : i + unit * (times + 1)] == value[i : i + unit] and unit * (times + 1) <= LONGEST:
-                times += 1
-                yield i, i + unit * times, "repeat", unit * math.log10(_alphabet(value[i : i + unit])) + math.log10(times)
-        for step in (1, -1):
-            j = i + 1
-            while j < n and j - i < LONGEST and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
-                if j - i >= 3:
-                    yield i, j, "sequence", math.log10((26 if value[i].isalpha() else 10) * (j - i) * (1 if step == 1 else 2))
-        j, turns = i + 1, 1
-        while j < n and j - i < LONGEST and low[j] in near.get(low[j - 1], ()):
-            if j - i >= 2 and KEYBOARD_ROW.get(low[j]) != KEYBOARD_ROW.get(low[j - 1]):
-                turns += 1
-            j += 1
-            if j - i >= 4:
-                yield i, j, "walk", math.log10(47 * (j - i)) + turns * math.log10(5)
+        if value[i].isdigit() and (found := _DATE.match(value, i)):
+            yield i, found.end(), "date", math.log10(365 * 120 if found.end() - i > 4 else 120)
 
 
 KEYBOARD_ROW = {key: y for y, row in enumerate(KEYBOARD) for key in row}
 
 
-def _best(value: str, least: float = math.inf) -> list[tuple[float, int, str]]:
+def _best(value: str, words: str | None = None, least: float = math.inf) -> list[tuple[float, int, str]]:
     """For each end position the least log10 of guesses, with start and kind of the last segment.
 
-    Stops where the cost of the whole value is known to be at least the given one: no segment is longer than LONGEST,
-    so every segmentation has an end among as many positions, and costs only add up.
+    Stops where the cost of the whole value is known to be at least the given one: a segmentation either ends a
+    segment at the place reached or has one that crosses it, and costs only add up.
     """
     n, base = len(value), math.log10(_alphabet(value)) if value else 0.0
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
     ending: dict[int, list[tuple[int, str, float]]] = {}
-    segments = _segments(value)
+    segments = _segments(value, words)
     ahead = next(segments, None)
     for j in range(1, n + 1):
         while ahead is not None and ahead[0] < j:
@@ -139,25 +158,25 @@ def _best(value: str, least: float = math.inf) -> list[tuple[float, int, str]]:
         options = [(best[j - 1][0] + base, j - 1, "brute")]
         options += [(best[i][0] + cost + 0.3, i, kind) for i, kind, cost in ending.pop(j, ())]
         best.append(min(options))
-        if j % LONGEST == 0 and min(best[-LONGEST:])[0] >= least:
+        if best[j][0] >= least and all(best[i][0] + cost >= least for crossing in ending.values() for i, _, cost in crossing):
             break
     return best
 
 
-def costly(value: str, least: float) -> bool:
+def costly(value: str, least: float, words: str | None = None) -> bool:
     """Whether the guess cost of a whole value is at least the given one."""
-    best = _best(value, least)
+    best = _best(value, words, least)
     return len(best) <= len(value) or best[-1][0] >= least
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, words: str | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses that the cheapest segmentation of a value needs, and its segments.
 
     Dynamic programming over end positions: best[j] is the least sum of log-guesses over segmentations of value[:j]
     into words, dates, repeats, sequences, keyboard walks and brute-force spans. Time is linear in the value's length.
     An empty value costs 0.
     """
-    best, n = _best(value), len(value)
+    best, n = _best(value, words), len(value)
     parts, j = [], n
     while j:
         _, i, kind = best[j]
@@ -197,7 +216,7 @@ def context_values(text: str) -> Iterator[tuple[int, int]]:
         at = found.end() if found else end
 
 
-def guess_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEAST_GUESSES) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEAST_GUESSES, words: str | None = None) -> list[tuple[int, int, str]]:
     """Values in credential context that cost at least 10**least guesses, without what base spans cover of them."""
     low = text.lower()
     if not any(word in low for word in NEEDLES):
@@ -206,7 +225,7 @@ def guess_spans(text: str, taken: list[tuple[int, int, str]], least: float = LEA
     for start, end in context_values(text):
         value = text[start:end].rstrip(".!?:")
         end = start + len(value)
-        if len(value) < 8 or not costly(value, least):
+        if len(value) < 8 or not costly(value, least, words):
             continue
         while first < len(covered) and covered[first][1] <= start:
             first += 1
@@ -224,24 +243,26 @@ def spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan_text(text: str | None, least: float = LEAST_GUESSES) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan_text(text: str | None, least: float = LEAST_GUESSES, words: str | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans); offsets are code points, ends are exclusive."""
     if not text:
         return [], []
     base = base_spans(text)
-    every = sorted(base + guess_spans(text, base, least), key=lambda s: (s[0], KINDS.index(s[2])))
+    every = sorted(base + guess_spans(text, base, least, words), key=lambda s: (s[0], KINDS.index(s[2])))
     return base, every
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_GUESSES) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST_GUESSES, words: str | None = None) -> DataFrame:
     """Spans of secrets in each whole text: key, base and spans, arrays of (start, end, kind).
 
+    words is the path of a vocabulary file on every executor, whose words are cheap to guess.
+
     Null and empty texts have none. Texts are scanned row by row, so repeated rows and any order give equal results;
     a very long text needs memory in proportion to its own length. Extra columns are ignored.
     """
 
     def scanned(texts: list) -> list[list]:
-        both = [scan_text(t, least) for t in texts]
+        both = [scan_text(t, least, words) for t in texts]
         spell = lambda spans: [{"start": s, "end": e, "kind": k} for s, e, k in spans]
         return [[spell(b) for b, _ in both], [spell(a) for _, a in both]]
 
@@ -249,14 +270,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     return map_column(docs, text, [key], f"base {span}, spans {span}", lambda: scanned)
 
 
-def redact(docs: DataFrame, mark: str = "[{kind}]", least: float = LEAST_GUESSES) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[{kind}]", least: float = LEAST_GUESSES, words: str | None = None) -> DataFrame:
     """The documents with every span of a secret replaced by its mark, and n_chars (where present) counted again."""
-    out = map_column(docs, "text", docs.columns, "text string", lambda: lambda texts: [[_redacted(t, mark, least) for t in texts]])
+    out = map_column(docs, "text", docs.columns, "text string", lambda: lambda texts: [[_redacted(t, mark, least, words) for t in texts]])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _redacted(text: str | None, mark: str, least: float) -> str | None:
-    _, spans = scan_text(text, least)
+def _redacted(text: str | None, mark: str, least: float, words: str | None) -> str | None:
+    _, spans = scan_text(text, least, words)
     if not spans:
         return text
     parts, at = [], 0
