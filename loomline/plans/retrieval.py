@@ -105,18 +105,33 @@ def k11(spark, d):
     return R.grep(_doc_lines(spark, d), "tion the", 3).withColumn("line", F.md5("line"))
 
 
-_MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
-@query("M1_counts", f"SELECT doc_id, len(regexp_extract_all(text, '{_MAIL}'))::INT AS emails, len(regexp_extract_all(text, '\\+?\\d[\\d ().-]{{8,}}\\d'))::INT AS phones FROM documents")
+@query("M1_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_quoted(P.PATTERNS[k][0])}))::INT AS {k.lower()}" for k in P.PATTERNS) + " FROM documents")
 def m1(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", P.counts(F.col("text"), "EMAIL").alias("emails"), P.counts(F.col("text"), "PHONE").alias("phones"))
+    return T.table(spark, d, "documents").select("doc_id", *[P.counts(F.col("text"), k).alias(k.lower()) for k in P.PATTERNS])
 
 
-def _marked(spark, d):
-    """Documents with an address, a link and an amount added, and their findings."""
-    text = F.concat(F.substring("text", 1, 50), F.lit(" x"), "doc_id", F.lit("@mail.example.org paid $"), F.col("doc_id") + 10, F.lit(" at https://a.example.org/"), "doc_id")
-    return T.table(spark, d, "documents").where("text not like '%@%' and length(text) >= 50").select("doc_id", text.alias("text")).withColumn("found", P.without_overlaps(P.findings("text")))
+def _kind_sql(kind: str, pattern: str, confidence: float) -> str:
+    """Matches of a pattern with their places: what lies between them, and they themselves, add up to the place."""
+    pieces, values = f"string_split_regex(text, {_quoted(pattern)})", f"regexp_extract_all(text, {_quoted(pattern)})"
+    place = "list_sum(list_transform(p[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0)"
+    return (
+        f"SELECT doc_id, '{kind}' AS kind, v[i] AS value, ({place})::INT AS \"start\", ({place} + length(v[i]))::INT AS \"end\", {confidence}::DOUBLE AS confidence, {P.PRIORITY.get(kind, 1)} AS rank "
+        f"FROM (SELECT doc_id, {pieces} AS p, {values} AS v FROM documents), unnest(range(1, len(v) + 1)) t(i)"
+    )
+
+
+_SKIPPED = "NOT (kind = 'IP' AND (value IN ('127.0.0.1', '0.0.0.0') OR value LIKE '255.%'))"
+_KINDS = " UNION ALL ".join(_kind_sql(k, p, c) for k, (p, c) in (P.PATTERNS | P.SECRETS).items())
+_ONE = '{"kind": kind, "value": value, "start": "start", "end": "end", "confidence": confidence}'.replace('"kind":', "'kind':").replace('"value":', "'value':").replace('"start":', "'start':").replace('"end":', "'end':").replace('"confidence":', "'confidence':")
+#: Findings of whole texts without overlaps, in SQL: every list of one, folded from left to right.
+_FOUND = f"""SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN b[1]['start'] >= a[-1]['end'] THEN list_concat(a, b) ELSE a END), recursive := true) FROM (
+ SELECT doc_id, list({_ONE} ORDER BY "start", rank DESC, "start" - "end") AS l FROM ({_KINDS}) WHERE {_SKIPPED} GROUP BY doc_id)"""
+_LABEL = "CASE WHEN kind IN (" + ", ".join(f"'{k}'" for k in P.LABELS) + ") THEN 'SECRET' ELSE kind END"
+_LEVEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.SEVERITY.items()) + " END"
 
 
 def _found(spark, d):
@@ -124,39 +139,46 @@ def _found(spark, d):
     return T.table(spark, d, "documents").select("doc_id", "text").withColumn("found", P.without_overlaps(P.findings("text")))
 
 
-@query("M3_findings")
+@query("M3_findings", _FOUND)
 def m3(spark, d):
     return _found(spark, d).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
-@query("M4_severity", "SELECT event_id, CASE WHEN value > 100 THEN CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'medium' END ELSE 'low' END AS severity FROM events")
+@query("M4_severity", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN value > 100 THEN 'medium' ELSE 'low' END WHEN 1 THEN CASE WHEN value > 100 THEN 'low' ELSE 'none' END ELSE CASE WHEN value > 100 THEN 'critical' ELSE 'high' END END AS severity FROM events")
 def m4(spark, d):
-    kind = F.when(F.col("value") > 100, "EMAIL").otherwise("URL")
-    return T.table(spark, d, "events").select("event_id", P.severity(kind, F.when(F.col("event_id") % 2 == 0, 0.9).otherwise(0.5)).alias("severity"))
+    kind = F.when(F.col("event_id") % 3 == 0, "EMAIL").when(F.col("event_id") % 3 == 1, "URL").otherwise("PRIVATE_KEY")
+    return T.table(spark, d, "events").select("event_id", P.severity(kind, F.when(F.col("value") > 100, 0.9).otherwise(0.5)).alias("severity"))
 
 
-@query("M5_actions", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'block' WHEN event_type = 'view' THEN 'obfuscate' ELSE 'allow' END AS action FROM events")
+@query("M5_actions", "SELECT event_id, 'allow' AS observe, CASE WHEN event_type = 'error' THEN 'placeholder' WHEN event_type = 'view' THEN 'placeholder' ELSE 'allow' END AS developer, 'placeholder' AS balanced, 'placeholder' AS strict FROM events")
 def m5(spark, d):
-    kind = F.when(F.col("event_type") == "error", "SECRET").when(F.col("event_type") == "view", "IP").otherwise("URL")
-    return T.table(spark, d, "events").select("event_id", P.action(P.severity(kind, F.lit(0.9)), "balanced").alias("action"))
+    kind = F.when(F.col("event_type") == "error", "PASSWORD").when(F.col("event_type") == "view", "IP").otherwise("URL")
+    return T.table(spark, d, "events").select("event_id", *[P.action(kind, mode).alias(mode) for mode in P.ALLOWED])
 
 
-@query("M6_obfuscate", "SELECT doc_id, substr(text, 1, 50) || ' {{TOK_EMAIL_1}} paid {{TOK_MONEY_1}} at {{TOK_URL_1}}' AS text FROM documents WHERE text NOT LIKE '%@%' AND length(text) >= 50 AND NOT regexp_matches(substr(text, 1, 50), '[0-9]')")
+@query("M6_obfuscate", f"""WITH f AS (SELECT *, {_LABEL} AS label FROM ({_FOUND})), n AS (
+ SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY "start" DESC) AS k, COALESCE(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS before FROM f), m AS (
+ SELECT doc_id, string_agg(substr(text, before + 1, "start" - before) || '{{{{TOK_' || label || '_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '}}}}', '' ORDER BY "start") || substr(any_value(text), MAX("end")::BIGINT + 1) AS text
+ FROM n JOIN documents USING (doc_id) GROUP BY doc_id) SELECT d.doc_id, md5(COALESCE(m.text, d.text)) AS text FROM documents d LEFT JOIN m USING (doc_id)""")
 def m6(spark, d):
-    rows = _marked(spark, d).where(~F.substring("text", 1, 50).rlike("[0-9]"))
-    return rows.select("doc_id", P.obfuscated(F.col("text"), F.col("found"))["text"].alias("text"))
+    return _found(spark, d).select("doc_id", F.md5(P.obfuscated(F.col("text"), F.col("found"))["text"]).alias("text"))
 
 
-@query("M7_restore", "SELECT doc_id, substr(text, 1, 50) || ' x' || doc_id || '@mail.example.org paid $' || (doc_id + 10) || ' at https://a.example.org/' || doc_id AS text FROM documents WHERE text NOT LIKE '%@%' AND length(text) >= 50")
+@query("M7_restore", "SELECT doc_id, md5(text) AS text FROM documents")
 def m7(spark, d):
-    return _marked(spark, d).withColumn("o", P.obfuscated(F.col("text"), F.col("found"))).select("doc_id", P.restored(F.col("o.text"), F.col("o.entries")).alias("text"))
+    return _found(spark, d).withColumn("o", P.obfuscated(F.col("text"), F.col("found"))).select("doc_id", F.md5(P.restored(F.col("o.text"), F.col("o.entries"))).alias("text"))
 
 
-@query("M8_report")
+@query("M8_report", f"SELECT kind, {_LEVEL} AS severity, COUNT(*) AS n FROM ({_FOUND}) GROUP BY 1, 2")
 def m8(spark, d):
     return P.report(_found(spark, d).select(F.explode("found").alias("f")).select("f.kind", "f.confidence"))
 
 
+@query("M8_overall", f"SELECT COUNT(*)::BIGINT AS n, (['none', 'low', 'medium', 'high', 'critical'])[COALESCE(MAX(list_position(['none', 'low', 'medium', 'high', 'critical'], {_LEVEL})), 1)] AS severity FROM ({_FOUND})")
+def m8_overall(spark, d):
+    return P.overall(P.report(_found(spark, d).select(F.explode("found").alias("f")).select("f.kind", "f.confidence")))
+
+
 @query("N1_add", _sql("SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY id) AS r FROM (SELECT *, lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g')) AS k FROM memories)) n WHERE r = 1 AND (user_id, k) NOT IN (SELECT (user_id, lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g'))) FROM memories WHERE status = 'active' AND priority < 5)", "memories"))
 def n1(spark, d):
     m = T.memories(spark, d)

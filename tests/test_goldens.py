@@ -142,7 +142,7 @@ def test_sensitive_values(spark):
     df = spark.createDataFrame([(text,), (None,), ("",)], "text string").withColumn("f", V.without_overlaps(V.findings("text")))
     out = df.withColumn("o", V.obfuscated(F.col("text"), F.col("f"))).select("text", "f", "o.text", V.restored(F.col("o.text"), F.col("o.entries")).alias("back")).collect()
     assert [f["value"] for f in out[0][1]] == ["a@b.org", "c@d.org", "https://x.org/a@b.org", "10.0.0.1"]
-    assert out[0][2] == "mail {{TOK_EMAIL_2}} or {{TOK_EMAIL_1}}, see {{TOK_URL_1}} and {{TOK_IP_1}} not 127.0.0.1" and out[0][3] == text
+    assert out[0][2] == "mail {{TOK_EMAIL_002}} or {{TOK_EMAIL_001}}, see {{TOK_URL_001}} and {{TOK_IP_001}} not 127.0.0.1" and out[0][3] == text
 
 
 def test_communities_and_pagerank(spark):
