@@ -264,8 +264,9 @@ def own_pairs(block: int, homes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return ~same.any(axis=1) | (first == block)
 
 
-def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a < b) within blocks of (block, node, class, n, homes, vector), between different classes.
+def tree_pairs(blocks: DataFrame, vectors: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate pairs (a < b) within blocks of (block, node, class, n, homes), between different classes. vectors:
+    (node, vector).
 
     A block of more than TILE rows is dealt into tiles by a hash of the node, and each pair of tiles is a task's unit,
     so memory stays bounded and no pair is lost. Each unit joins two R-trees.
@@ -273,7 +274,8 @@ def tree_pairs(blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     tiled = blocks.join(sizes, "block").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "class", "n", "homes", "vector")
+    tiled = tiled.select("block", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "class", "n", "homes")
+    tiled = tiled.join(vectors, "node")
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -354,7 +356,8 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     signed = scratch.save(signed.select("sign_a", "sign_b", "n", "p.*", "name", "rows"), "nodes")
     unique = scratch.save(rows.join(signed.select("row"), "row", "left_semi").select("node", "n", "keys", "vector"), "unique")
     vectors = unique.select("node", "n", "vector")
-    keyed = unique.select("node", "n", F.explode("keys").alias("block"))
+    # dealt out once, for the counts and for the rows
+    keyed = unique.select("node", "n", F.explode("keys").alias("block")).repartition("block")
     several = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("other"), F.min("n").alias("small"), F.max("n").alias("large"))
     several = several.where(f"m > 1 and p.node <> other and (m > 2 or 100 * small >= {percent} * large)").select("block", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     open_ = scratch.save(keyed.join(several, "block"), "open0")
@@ -377,8 +380,8 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         stars = open_.where(f"class <> pivot_class and {fit}")
 
-    rest = with_homes(open_.select("block", "node", "n", "class")).join(vectors.drop("n"), "node")
-    more = _linked(scratch.save(tree_pairs(rest, percent), "tree"), docs, scratch, "more", words, percent)
+    rest = with_homes(open_.select("block", "node", "n", "class"))
+    more = _linked(scratch.save(tree_pairs(rest, vectors.drop("n"), percent), "tree"), docs, scratch, "more", words, percent)
     whole = components(edges.unionByName(more), scratch, "whole")
     apart = signed.join(whole, "node", "left").where("component is not null").select("sign_a", "sign_b", F.col("n").alias("size"), "component", "name")
     least = apart.groupBy("component").agg(F.min("name").alias("least"))
