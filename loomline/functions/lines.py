@@ -156,18 +156,25 @@ def error_blocks(lines: Column, pattern: str = r"(?i)^(error|fatal|panic|traceba
     return F.aggregate(lines, state, step, lambda s: s["out"])
 
 
+#: Our own patterns: lines that an outline keeps, and lines that a shortened source keeps.
+OUTLINE = (
+    r"^\s*(use |import |from |require\(|#include)"
+    r"|^\s*(pub(\([^)]*\))?\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type|const|static|let)\s+\w+"
+    r"|^[{}]\s*$"
+)
+IMPORTANT = r"^\s*(use |import |from |pub |fn |def |class |struct |enum |trait |interface |export |func )|^[{}]"
+
+
 def outline(lines: Column) -> Column:
     """Imports, definitions and constants of source lines; bodies go, apart from braces that open at the outer level."""
-    keep = r"^\s*(use |import |from |require\(|#include)|^\s*(pub(\([^)]*\))?\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type|const|static|let)\s+\w+|^[{}]\s*$"
-    return F.filter(lines, lambda l: l.rlike(keep))
+    return F.filter(lines, lambda l: l.rlike(OUTLINE))
 
 
 def important(lines: Column, most: int) -> Column:
     """At most `most` lines: the first half of them, then only signatures, imports and braces, and a note of the rest."""
-    key = r"^\s*(use |import |from |pub |fn |def |class |struct |enum |trait |interface |export |func )|^[{}]"
 
     def step(state: Column, line: Column) -> Column:
-        take = (F.size(state) < most // 2) | line.rlike(key)
+        take = (F.size(state) < most // 2) | line.rlike(IMPORTANT)
         return F.when(take & (F.size(state) < most - 1), F.concat(state, F.array(line))).otherwise(state)
 
     kept = F.aggregate(lines, F.array().cast("array<string>"), step)

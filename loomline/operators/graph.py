@@ -35,6 +35,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("into").alias("incoming"), F.sum(1 - F.col("into")).alias("outgoing"), F.count(F.lit(1)).alias("degree"))
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """id, degree: the edges at each node; an edge from a node to itself counts once."""
+    return edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
 def dead_code(symbols: DataFrame, edges: DataFrame, tests: bool = False) -> DataFrame:
     """Symbols that no edge points to; tests only on request."""
     rows = symbols.join(edges.select(F.col("target").alias("id")), "id", "left_anti").where(~F.col("kind").isin("import", "module", "export"))

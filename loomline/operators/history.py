@@ -227,8 +227,11 @@ def permission(command: Column, rules: list[tuple[str, str]]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.array_max(parts) + 1)
 
 
-def positional_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(line_no, line) of two texts compared place by place: added, removed, or modified where the characters are alike."""
-    both = old.select("line_no", F.col("line").alias("old")).join(new.select("line_no", F.col("line").alias("new")), "line_no", "full_outer")
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same").when(X.char_jaccard(F.col("old"), F.col("new")) > 0.5, "modified").otherwise("replaced")
-    return both.withColumn("kind", kind)
+def positional_diff(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, line_no, line) of two texts compared place by place: added, removed, or modified where the characters are
+    alike."""
+    keys = [*by, "line_no"]
+    both = old.select(*keys, F.col("line").alias("old")).join(new.select(*keys, F.col("line").alias("new")), keys, "full_outer")
+    alike = X.char_jaccard(F.col("old"), F.col("new")) > 0.5
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "same")
+    return both.withColumn("kind", kind.when(alike, "modified").otherwise("replaced"))

@@ -12,12 +12,12 @@ from .catalog import query
 def _calls(spark, d):
     t = T.table(spark, d, "conversations")
     key = F.concat_ws("-", "conv_id", F.expr("turn div 2"))
-    uses = t.where("role = 'user'").select(F.col("conv_id").alias("session"), key.alias("id"), F.substring("text", 1, 30).alias("command"))
+    uses = t.where("role = 'user'").select(F.col("conv_id").alias("session"), key.alias("id"), F.col("text").alias("command"))
     results = t.where("role = 'assistant'").select(F.col("conv_id").alias("session"), key.alias("id"), F.col("turn").alias("seq"), F.length("text").alias("output"), (F.col("turn") % 3 == 0).alias("is_error"))
     return uses, results
 
 
-@query("D1_tool_results", """SELECT u.session, u.id, u.command, r.output::DOUBLE AS output, r.is_error FROM (SELECT conv_id AS session, conv_id || '-' || turn // 2 AS id, substr(text, 1, 30) AS command FROM conversations WHERE role = 'user') u
+@query("D1_tool_results", """SELECT u.session, u.id, u.command, r.output::DOUBLE AS output, r.is_error FROM (SELECT conv_id AS session, conv_id || '-' || turn // 2 AS id, text AS command FROM conversations WHERE role = 'user') u
  LEFT JOIN (SELECT conv_id AS session, conv_id || '-' || turn // 2 AS id, arg_max(length(text), turn) AS output, arg_max(turn % 3 = 0, turn) AS is_error FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) r ON u.session = r.session AND u.id = r.id""")
 def d1(spark, d):
     return Y.with_results(*_calls(spark, d)).withColumn("output", F.col("output").cast("double"))

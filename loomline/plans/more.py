@@ -116,16 +116,23 @@ def h41(spark, d):
     return T.table(spark, d, "part").select("p_partkey", X.top_module(F.concat_ws("/", "p_brand", "p_type", "p_name")).alias("module"))
 
 
-@query("C5_outline", "SELECT page_id, 'import os' || chr(10) || 'def f' || page_id || '(x):' || chr(10) || 'class K' AS outline FROM pages")
+_SOURCE = "'import os' || chr(10) || text || chr(10) || 'pub fn f' || doc_id || '(x) {' || chr(10) || '    x' || chr(10) || '}' || chr(10) || 'const K' || doc_id || ' = 1;'"
+
+
+def _source():
+    """A document between lines of code."""
+    return F.concat(F.lit("import os\n"), "text", F.lit("\npub fn f"), "doc_id", F.lit("(x) {\n    x\n}\nconst K"), "doc_id", F.lit(" = 1;"))
+
+
+@query("C5_outline", f"SELECT doc_id, md5(array_to_string(list_filter(string_split({_SOURCE}, chr(10)), lambda l: regexp_matches(l, '{L.OUTLINE}')), chr(10))) AS outline FROM documents")
 def c5(spark, d):
-    text = F.concat(F.lit("import os\n# note\ndef f"), "page_id", F.lit("(x):\n    return x\n\nclass K\n    pass"))
-    return T.table(spark, d, "pages").select("page_id", L.joined(L.outline(L.to_lines(text))).alias("outline"))
+    return T.table(spark, d, "documents").select("doc_id", F.md5(L.joined(L.outline(L.to_lines(_source())))).alias("outline"))
 
 
-@query("C6_smart_truncate", "SELECT page_id, 'a' || chr(10) || 'b' || chr(10) || 'fn g' || page_id || chr(10) || '// ... 3 more lines' AS short FROM pages")
+@query("C6_smart_truncate", f"""SELECT doc_id, md5(array_to_string(CASE WHEN len(l) <= 6 THEN l ELSE list_concat(k, ['// ... ' || (len(l) - len(k)) || ' more lines']) END, chr(10))) AS short
+ FROM (SELECT doc_id, l, list_concat(l[1:3], list_filter(l[4:], lambda x: regexp_matches(x, '{L.IMPORTANT}')))[1:5] AS k FROM (SELECT doc_id, string_split({_SOURCE}, chr(10)) AS l FROM documents))""")
 def c6(spark, d):
-    text = F.concat(F.lit("a\nb\nc\nd\nfn g"), "page_id", F.lit("\ne"))
-    return T.table(spark, d, "pages").select("page_id", L.joined(L.important(L.to_lines(text), 4)).alias("short"))
+    return T.table(spark, d, "documents").select("doc_id", F.md5(L.joined(L.important(L.to_lines(_source()), 6))).alias("short"))
 
 
 @query("C11_under_prefix", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#1'")

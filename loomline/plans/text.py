@@ -9,7 +9,7 @@ from ..functions import lines as L
 from ..functions import text as X
 from ..operators import history as Y
 from ..sources.tables import table
-from .catalog import query
+from .catalog import ORACLES, query
 
 
 def _docs(spark, d):
@@ -115,9 +115,9 @@ def h27(spark, d):
     return table(spark, d, "part").select("p_partkey", X.short_id(F.col("p_brand"), F.col("p_name")).alias("id"), F.concat(F.lit("ep_"), X.short_id(F.col("p_name"), length=14)).alias("episode"))
 
 
-@query("H28_normalise_content", "SELECT doc_id, md5(lower(regexp_replace(trim(text, ' '), '\\s+', ' ', 'g'))) AS normal FROM documents WHERE lang = 'en'")
+@query("H28_normalise_content", "SELECT doc_id, md5(lower(regexp_replace(trim(text, ' '), '\\s+', ' ', 'g'))) AS normal FROM documents")
 def h28(spark, d):
-    return _docs(spark, d).where("lang = 'en'").select("doc_id", F.md5(X.normalise_content(F.col("text"))).alias("normal"))
+    return _docs(spark, d).select("doc_id", F.md5(X.normalise_content(F.col("text"))).alias("normal"))
 
 
 @query("H36_paths", "SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS directory, split_part(url, '/', 1) AS module, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
@@ -136,9 +136,9 @@ def h38(spark, d):
     return table(spark, d, "part").select("p_partkey", X.language_of(extension).alias("language"))
 
 
-@query("H43_placeholders", "SELECT doc_id, '{{TOK_EMAIL_' || doc_id % 7 || '}},{{TOK_IP_2}}' AS found FROM documents")
+@query("H43_placeholders", r"SELECT doc_id, array_to_string(regexp_extract_all(text || ' {{TOK_EMAIL_' || doc_id % 7 || '}} {{tok_x}} {{TOK_IP_2}}', '\{\{TOK_[A-Z0-9_]+\}\}'), ',') AS found FROM documents")
 def h43(spark, d):
-    text = F.concat(F.substring("text", 1, 20), F.lit(" {{TOK_EMAIL_"), F.col("doc_id") % 7, F.lit("}} {{tok_x}} {{TOK_IP_2}}"))
+    text = F.concat("text", F.lit(" {{TOK_EMAIL_"), F.col("doc_id") % 7, F.lit("}} {{tok_x}} {{TOK_IP_2}}"))
     return _docs(spark, d).select("doc_id", F.array_join(X.placeholders(text), ",").alias("found"))
 
 
@@ -148,9 +148,13 @@ def c15(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.masked(key, F.col("c_name")).alias("value"))
 
 
-@query("C16_env_categories", "SELECT c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 'other' ELSE 'other' END AS category, COUNT(*) AS n FROM customer GROUP BY 1, 2")
+_ENV = {"PYTHONHOME_": "language", "AWS_REGION_": "cloud", "GIT_EDITOR_": "tool", "MANPATH_": "path", "X_": "other"}
+
+
+@query("C16_env_categories", f"SELECT c_custkey, ([{', '.join(repr(v) for v in _ENV.values())}])[(c_custkey % {len(_ENV)} + 1)::INT] AS category FROM customer")
 def c16(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment", env_category(F.col("c_mktsegment")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.element_at(F.array(*map(F.lit, _ENV)), (F.col("c_custkey") % len(_ENV) + 1).cast("int")), F.translate("c_mktsegment", "GPTHA", "gptha"))
+    return table(spark, d, "customer").select("c_custkey", env_category(name).alias("category"))
 
 
 def env_category(name):
@@ -215,11 +219,14 @@ def c2(spark, d):
     return _docs(spark, d).select("doc_id", L.first_rule(command, [_CUT, _KEPT, _SHORT]).alias("rule"))
 
 
-@query("A3_fallback", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN md5(text) ELSE 'reduced' END AS output FROM documents")
+def _reduced_by(rule: int, name: str) -> str:
+    return f"SELECT doc_id, reduced AS output FROM ({ORACLES[name]}) WHERE doc_id % 4 = {rule}"
+
+
+@query("A3_fallback", " UNION ALL ".join([*(_reduced_by(k, f"C1_filter_{n}") for k, n in enumerate(("strip", "keep", "match"))), "SELECT doc_id, md5(text) FROM documents WHERE doc_id % 4 = 3"]))
 def a3(spark, d):
     command = F.element_at(F.array(*[F.lit(c) for c in ("cat a", "log -n", "run x", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    out = L.reduce_outputs(command, F.col("text"), [_CUT, _KEPT, _SHORT])
-    return _docs(spark, d).select("doc_id", F.when(L.first_rule(command, [_CUT, _KEPT, _SHORT]).isNull(), F.md5(out)).otherwise("reduced").alias("output"))
+    return _docs(spark, d).select("doc_id", F.md5(L.reduce_outputs(command, F.col("text"), [_CUT, _KEPT, _SHORT])).alias("output"))
 
 
 @query("C3_builtin_filters", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'make: ok' WHEN 1 THEN 'ok (synced)' WHEN 2 THEN '... (2 lines omitted)' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' ELSE 'n' || doc_id END AS output FROM documents""")
@@ -240,12 +247,17 @@ def c9(spark, d):
     return _docs(spark, d).select("doc_id", L.error_blocks(L.to_lines(F.concat(F.lit("error: first\n  detail\n"), "text"))).alias("blocks"))
 
 
-@query("D18_positional_diff", f"""SELECT kind, COUNT(*) AS n FROM (SELECT CASE WHEN a.line IS NULL THEN 'added' WHEN b.line IS NULL THEN 'removed' WHEN a.line = b.line THEN 'same'
- WHEN len(list_intersect(list_distinct(string_split(a.line, '')), list_distinct(string_split(b.line, ''))))::DOUBLE / greatest(len(list_distinct(list_concat(string_split(a.line, ''), string_split(b.line, '')))), 1) > 0.5 THEN 'modified' ELSE 'replaced' END AS kind
- FROM (SELECT * FROM {_LINES} WHERE doc_id = 1) a FULL JOIN (SELECT * FROM {_LINES} WHERE doc_id = 2) b ON a.line_no = b.line_no) GROUP BY 1""")
+_CHARS = "list_distinct(string_split({0}.line, ''))"
+_JACCARD = f"len(list_intersect({_CHARS.format('a')}, {_CHARS.format('b')}))::DOUBLE / greatest(len(list_distinct(list_concat({_CHARS.format('a')}, {_CHARS.format('b')}))), 1)"
+
+
+@query("D18_positional_diff", f"""SELECT pair, kind, COUNT(*) AS n FROM (SELECT COALESCE(a.doc_id, b.doc_id) // 2 AS pair, CASE WHEN a.line IS NULL THEN 'added' WHEN b.line IS NULL THEN 'removed' WHEN a.line = b.line THEN 'same'
+ WHEN {_JACCARD} > 0.5 THEN 'modified' ELSE 'replaced' END AS kind
+ FROM (SELECT * FROM {_LINES} WHERE doc_id % 2 = 0) a FULL JOIN (SELECT * FROM {_LINES} WHERE doc_id % 2 = 1) b ON a.line_no = b.line_no AND a.doc_id // 2 = b.doc_id // 2) GROUP BY 1, 2""")
 def d18(spark, d):
-    rows = _lines(spark, d)
-    return Y.positional_diff(rows.where("doc_id = 1"), rows.where("doc_id = 2")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Each document with an even id against the next one."""
+    rows = _lines(spark, d).withColumn("pair", F.expr("doc_id div 2"))
+    return Y.positional_diff(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), ("pair",)).groupBy("pair", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A12_audit_log", "SELECT strftime(ts, '%Y-%m-%d') AS timestamp, event_type AS action, 'cmd' || user_id AS original_cmd, CASE WHEN event_id % 2 = 0 THEN 'tok ' || user_id ELSE '-' END AS rewritten_cmd FROM events")

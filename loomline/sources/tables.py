@@ -87,7 +87,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls between symbols: of each line item, from its part to the part numbered like its supplier times 17."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_to"))
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0 and l_linenumber <= 2").select(F.col("l_partkey"), (F.col("l_suppkey") * 17).alias("_to"), "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey"), (F.col("l_suppkey") * 17).alias("_to"), "l_returnflag")
     kind = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "N", "IMPORTS").otherwise("TYPE_REF")
     return lines.join(parts, "_to", "left_semi").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("p"), "_to").alias("target"), kind.alias("type")).distinct()
 
@@ -129,7 +129,7 @@ SQL = {
     "symbols": """SELECT 'p' || p_partkey AS id, p_name AS name, lower(p_type) AS kind, replace(p_brand, '#', '') || '/' || p_type || '.py' AS file_path,
  (p_partkey % 1000)::INT AS line_start, (p_partkey % 1000 + p_size)::INT AS line_end FROM part""",
     "edges": """SELECT DISTINCT 'p' || l_partkey AS source, 'p' || (l_suppkey * 17) AS target, CASE l_returnflag WHEN 'A' THEN 'CALLS' WHEN 'N' THEN 'IMPORTS' ELSE 'TYPE_REF' END AS type
- FROM lineitem WHERE l_orderkey % 20 = 0 AND l_linenumber <= 2 AND l_suppkey * 17 IN (SELECT p_partkey FROM part)""",
+ FROM lineitem WHERE l_suppkey * 17 IN (SELECT p_partkey FROM part)""",
     "episodes": """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, 'p' || l_partkey AS symbol_id, 'c' || l_orderkey AS commit_hash,
  CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'N' THEN 'modified' ELSE 'removed' END AS change_type, l_shipdate AS timestamp FROM lineitem""",
     "memories": """SELECT 'm' || conv_id || '-' || turn AS id, (['rule','preference','fact','decision','task_state','episode'])[(turn % 6 + 1)::INT] AS type, text AS content, 'u' || conv_id % 5 AS user_id,
