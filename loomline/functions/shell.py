@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 TOKENS = "array<struct<kind:string,value:string,offset:int>>"
 _REDIRECT = re.compile(rb"\d*(?:&>>|&>|>>|<<|>&\d|>|<)")
-_SHELLISM = b"*?(){}!`"
+_SHELLISM = frozenset(bytes([c]) for c in b"*?(){}!`&")
+#: What can't begin anything but an argument, and what can go on with one (digits may begin a redirect).
+_PLAIN, _MORE = re.compile(rb"[^\s\\'\"&|;<>$*?(){}!`0-9]+"), re.compile(rb"[^\s\\'\"&|;<>$*?(){}!`]+")
 
 
 def tokens(line: str | None) -> list[dict]:
@@ -29,6 +31,11 @@ def tokens(line: str | None) -> list[dict]:
         out.append({"kind": kind, "value": value.decode(errors="replace"), "offset": at})
 
     while i < len(data):
+        if m := (_MORE if word else _PLAIN).match(data, i):
+            start = start if word else i
+            word += m[0]
+            i = m.end()
+            continue
         c = data[i : i + 1]
         begin = start if word else i
         if c == b"\\":
@@ -55,7 +62,7 @@ def tokens(line: str | None) -> list[dict]:
         elif c == b"|":
             emit("Pipe", c, i)
             i += 1
-        elif c == b"&" or c in [bytes([s]) for s in _SHELLISM]:
+        elif c in _SHELLISM:
             emit("Shellism", c, i)
             i += 1
         elif c == b"$" and not re.match(rb"[A-Za-z_]", data[i + 1 : i + 2]):

@@ -133,13 +133,26 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.25, rounds:
     return score
 
 
+#: Lines of one stretch of a file.
+STRETCH = 64
+
+
+def _stretches(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Lines (file_path, line_no, ...) with the symbols (_id, line_start, line_end) that span them. Spans are cut at
+    stretches of lines, so that a line meets the spans of its stretch alone, and a file of any size is dealt out."""
+    cuts = F.sequence(F.floor(F.col("line_start") / STRETCH), F.floor(F.greatest("line_start", "line_end") / STRETCH))
+    s = symbols.select(F.col("file_path").alias("_file"), F.col("id").alias("_id"), "line_start", "line_end", F.explode(cuts).alias("_stretch"))
+    at = F.floor(F.col("line_no") / STRETCH) == F.col("_stretch")
+    inside = F.col("line_no").between(F.col("line_start"), F.col("line_end"))
+    return lines.join(s, (F.col("file_path") == F.col("_file")) & at & inside, "left")
+
+
 def enclosing(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each line (file_path, line_no, ...) with the innermost symbol of its file that spans it; the file is the join
-    key, so only spans within a file are compared."""
-    s = symbols.select(F.col("file_path").alias("_file"), F.col("id").alias("symbol"), "line_start", "line_end")
-    pairs = lines.join(s, (F.col("file_path") == F.col("_file")) & F.col("line_no").between(F.col("line_start"), F.col("line_end")), "left")
-    inner = F.min_by("symbol", F.struct((F.col("line_end") - F.col("line_start")).alias("k"), "symbol"))
-    return pairs.groupBy(*lines.columns).agg(inner.alias("symbol"))
+    """Each line (file_path, line_no, ...; no place twice) with the innermost symbol of its file that spans it."""
+    rest = [c for c in lines.columns if c not in ("file_path", "line_no")]
+    inner = F.min_by("_id", F.struct((F.col("line_end") - F.col("line_start")).alias("k"), "_id"))
+    rows = _stretches(lines, symbols).groupBy("file_path", "line_no").agg(F.first(F.struct(*rest)).alias("_rest"), inner.alias("symbol"))
+    return rows.select("file_path", "line_no", "_rest.*", "symbol")
 
 
 def owning_scope(files: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -205,9 +218,9 @@ def hubs(edges: DataFrame, n: int) -> DataFrame:
 
 def complexity(lines: DataFrame, symbols: DataFrame, branches: str = r"\b(if|for|while|match|case|elif|except)\b|&&|\|\|") -> DataFrame:
     """1 + branch words on the lines that a symbol spans."""
-    counted = lines.select(F.col("file_path").alias("_file"), "line_no", F.regexp_count("line", F.lit(branches)).alias("n"))
-    inside = (F.col("file_path") == F.col("_file")) & F.col("line_no").between(F.col("line_start"), F.col("line_end"))
-    return symbols.join(counted, inside, "left").groupBy("id", "name").agg((F.lit(1) + F.coalesce(F.sum("n"), F.lit(0))).cast("long").alias("complexity"))
+    counted = lines.select("file_path", "line_no", F.regexp_count("line", F.lit(branches)).alias("n"))
+    per = _stretches(counted.where("n > 0"), symbols).where("_id is not null").groupBy(F.col("_id").alias("id")).agg(F.sum("n").alias("n"))
+    return symbols.join(per, "id", "left").select("id", "name", (F.lit(1) + F.coalesce("n", F.lit(0))).cast("long").alias("complexity"))
 
 
 def evolution(episodes: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

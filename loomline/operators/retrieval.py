@@ -36,7 +36,13 @@ def bm25(index: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> Da
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = rows.groupBy("doc_id").agg(F.sum(part).alias("score")).where("score > 0")
-    return scored.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy()))
+    return _scaled(scored, "score")
+
+
+def _scaled(scored: DataFrame, column: str) -> DataFrame:
+    """The scores as shares of the largest, which is one row and so known to all tasks."""
+    top = scored.agg(F.max(column).alias("_top"))
+    return scored.join(F.broadcast(top)).withColumn(column, F.col(column) / F.col("_top")).drop("_top")
 
 
 def restricted(index: DataFrame, ids: DataFrame) -> DataFrame:
@@ -47,18 +53,20 @@ def restricted(index: DataFrame, ids: DataFrame) -> DataFrame:
 def blended(lexical: DataFrame, structural: DataFrame, is_test: DataFrame, blend: float = BLEND, rescue: float = RESCUE) -> DataFrame:
     """Lexical and structural scores (each with largest 1) half and half. What only the graph finds needs a structural
     score of `rescue`; tests (id) count less."""
-    s = structural.select(F.col("id").alias("doc_id"), (F.col("score") / F.max("score").over(Window.partitionBy())).alias("near"))
+    s = _scaled(structural.select(F.col("id").alias("doc_id"), F.col("score").alias("near")), "near")
     rows = lexical.join(s, "doc_id", "full_outer").where(F.col("score").isNotNull() | (F.col("near") >= rescue))
     total = F.coalesce(F.col("score"), F.lit(0.0)) * (1 - blend) + F.coalesce(F.col("near"), F.lit(0.0)) * blend
     rows = rows.select("doc_id", total.alias("total"), F.col("score").isNull().alias("rescued")).join(is_test.select(F.col("id").alias("doc_id"), F.lit(TEST_PENALTY).alias("factor")), "doc_id", "left")
     return rows.select("doc_id", (F.col("total") * F.coalesce("factor", F.lit(1.0))).alias("score"), "rescued")
 
 
-def fused(rankings: DataFrame, k: float = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of rankings (list, doc_id, score); a document is attributed to its first list."""
+def fused(rankings: DataFrame, limit: int, k: float = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of rankings (list, doc_id, score), the best `limit`; a document is attributed to its first
+    list. Of each list, four times as many (20 at least) take part, so long lists are cut before they are shuffled."""
     rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "doc_id"))
-    rows = rankings.withColumn("part", 1.0 / (k + rank))
-    return rows.groupBy("doc_id").agg(F.sum("part").alias("score"), F.min("list").alias("first_list"))
+    rows = rankings.withColumn("rank", rank).where(F.col("rank") <= max(4 * limit, 20))
+    rows = rows.groupBy("doc_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("list").alias("first_list"))
+    return rows.withColumn("score", F.round("score", 12)).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def top(scored: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -75,13 +83,12 @@ def participating(hits: DataFrame, strong: float = 0.1, high: float = 0.5, ratio
     """Scopes (scope, share, coverage, best) that take part in a query: enough of its weight lies in their names or
     enough of its terms are covered, and their best score comes near the best of all."""
     rows = hits.where((F.col("share") >= strong) | (F.col("coverage") >= high))
-    return rows.withColumn("_most", F.max("best").over(Window.partitionBy())).where(F.col("best") >= ratio * F.col("_most")).drop("_most")
+    return rows.join(F.broadcast(rows.agg(F.max("best").alias("_most")))).where(F.col("best") >= ratio * F.col("_most")).drop("_most")
 
 
 def skeleton(symbols: DataFrame) -> DataFrame:
     """One outline a file: its symbols in order of their spans, members (those inside another's span) indented."""
-    outer = symbols.select(F.col("file_path").alias("_f"), F.col("id").alias("_o"), F.col("line_start").alias("_s"), F.col("line_end").alias("_e"))
-    inside = (F.col("file_path") == F.col("_f")) & (F.col("line_start") > F.col("_s")) & (F.col("line_end") <= F.col("_e"))
-    depth = symbols.join(outer, inside, "left").groupBy("file_path", "id", "name", "line_start").agg(F.least(F.count("_o"), F.lit(1)).alias("depth"))
+    before = Window.partitionBy("file_path").orderBy("line_start").rangeBetween(Window.unboundedPreceding, -1)
+    depth = symbols.withColumn("depth", F.coalesce((F.max("line_end").over(before) >= F.col("line_end")).cast("int"), F.lit(0)))
     items = F.array_sort(F.collect_list(F.struct("line_start", "id", "depth", "name")))
     return depth.groupBy("file_path").agg(F.array_join(F.transform(items, lambda i: F.concat(F.when(i["depth"] > 0, "  ").otherwise(""), i["name"])), "\n").alias("outline"))

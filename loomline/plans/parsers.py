@@ -22,7 +22,7 @@ def _events(spark, d):
 
 def _ruff(spark, d):
     item = F.struct(F.col("rule").alias("code"), F.col("file").alias("filename"), F.lit("m").alias("message"), F.struct(F.col("line").alias("row"), F.lit(1).alias("column")).alias("location"))
-    return _events(spark, d).groupBy((F.col("event_id") % 50).alias("id")).agg(F.to_json(F.collect_list(item)).alias("report"))
+    return _events(spark, d).groupBy(F.expr("event_id div 100").alias("id")).agg(F.to_json(F.collect_list(item)).alias("report"))
 
 
 @query("E28_ruff_rules", f"SELECT rule, COUNT(*) AS n FROM ({_DIAG}) GROUP BY 1 ORDER BY n DESC, rule LIMIT 10")
@@ -38,7 +38,7 @@ def e28_files(spark, d):
 @query("E28_eslint", f"SELECT rule, COUNT(*) AS n FROM ({_DIAG}) GROUP BY 1 ORDER BY n DESC, rule LIMIT 10")
 def e28_eslint(spark, d):
     message = F.struct(F.col("rule").alias("ruleId"), F.lit(2).alias("severity"), F.lit("m").alias("message"), "line")
-    files = _events(spark, d).groupBy("file").agg(F.collect_list(message).alias("messages"))
+    files = _events(spark, d).groupBy("file", F.expr("event_id div 100").alias("part")).agg(F.collect_list(message).alias("messages"))
     report = F.to_json(F.array(F.struct(F.col("file").alias("filePath"), "messages")))
     return P.top_rules(P.lint(files.select(F.col("file").alias("id"), report.alias("report")), "eslint"))
 
@@ -95,7 +95,7 @@ def a13(spark, d):
 def a11(spark, d):
     rows = T.spend(spark, d, "month")
     item = F.struct(F.col("key").alias("month"), F.col("input").alias("inputTokens"), F.col("output").alias("outputTokens"), F.col("cache_create").alias("cacheCreationTokens"), F.col("cache_read").alias("cacheReadTokens"), F.col("cost").alias("totalCost"))
-    return FS.spend_reports(rows.agg(F.to_json(F.struct(F.collect_list(item).alias("monthly"))).alias("report")), "month")
+    return FS.spend_reports(rows.groupBy(F.substring("key", 1, 4)).agg(F.to_json(F.struct(F.collect_list(item).alias("monthly"))).alias("report")), "month")
 
 
 @query("A5_session_scan", """SELECT conv_id AS session, conv_id || '-' || turn // 2 AS id, 'git log ' || turn AS command, (turn + 1)::DOUBLE AS output FROM conversations c WHERE role = 'user' AND (SELECT COUNT(*) FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn // 2 = c.turn // 2 AND r.role = 'assistant') > 0""")

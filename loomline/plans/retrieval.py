@@ -66,12 +66,12 @@ def k6(spark, d):
 _LISTS = "SELECT kind AS list, id AS doc_id, (line_start % 97)::DOUBLE AS score FROM symbols UNION ALL SELECT 'all' AS list, id, (line_end % 89)::DOUBLE FROM symbols"
 
 
-@query("K8_rrf", _sql(f"SELECT doc_id, SUM(1.0::DOUBLE / (60 + r)) AS score, MIN(list) AS first_list FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, doc_id) AS r FROM ({_LISTS})) GROUP BY 1", "symbols"))
+@query("K8_rrf", _sql(f"SELECT doc_id, round(SUM(1.0::DOUBLE / (60 + r)), 12) AS score, MIN(list) AS first_list FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, doc_id) AS r FROM ({_LISTS})) WHERE r <= 200 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 50", "symbols"))
 def k8(spark, d):
     s = T.symbols(spark, d)
     a = s.select(F.col("kind").alias("list"), F.col("id").alias("doc_id"), (F.col("line_start") % 97).cast("double").alias("score"))
     b = s.select(F.lit("all").alias("list"), F.col("id").alias("doc_id"), (F.col("line_end") % 89).cast("double").alias("score"))
-    return R.fused(a.unionByName(b))
+    return R.fused(a.unionByName(b), 50)
 
 
 @query("F4_ranks", _sql(f"SELECT list, doc_id, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, doc_id) AS r FROM ({_LISTS})) WHERE r <= 20", "symbols"))
