@@ -163,3 +163,11 @@ def placeholders(text: Column) -> Column:
 def injection(text: Column) -> Column:
     """Whether a text tries to change an agent's instructions."""
     return text.rlike(r"(?i)(ignore (all )?(previous|prior) instructions|disregard (the )?(system|previous)|you are now|system prompt)")
+
+
+def version_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: how two versions compare, number by number; a leading v and what follows the numbers don't count,
+    and a missing number is 0."""
+    numbers = lambda c: F.transform(F.split(F.regexp_extract(c, r"^v?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0)))
+    pairs = F.zip_with(numbers(a), numbers(b), lambda x, y: F.signum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
+    return F.coalesce(F.get(F.filter(pairs, lambda d: d != 0), F.lit(0)), F.lit(0))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .retrieval import K1, B
 
 #: Weights of hybrid scores and caps by type. Fixed values.
 KEYWORD, RECENCY, CONFIDENCE, PRIORITY = 0.20, 0.10, 0.05, 0.05
@@ -82,3 +85,99 @@ def valid(candidates: DataFrame, least: float = 0.70) -> DataFrame:
     """Candidates that are sure enough and neither hold secrets nor instructions to the agent."""
     secret = F.col("user").rlike(r"(?i)(password|secret|token|api_?key)\s*[:=]\s*\S{6,}|AKIA[A-Z0-9]{16}")
     return candidates.where((F.col("confidence") >= least) & ~secret & ~X.injection(F.col("user")))
+
+
+def searched(store: DataFrame, query: str, user: str, n: int, project: str | None = None, session: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """id, type and keyword score (0 to 1) of a user's active records that hold a word of the query, best first.
+
+    Scores are BM25 over all records of the store; words that most records hold count next to nothing, but not less.
+    """
+    terms = sorted(set(re.findall(r"\w+", query.lower())))
+    words = store.select("id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\w+"), F.lit(0))).alias("term"))
+    index = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
+    corpus = store.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(lengths.agg(F.sum("len").alias("words"))))
+    hits = index.where(F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    norm = K1 * (1 - B + B * F.col("len") * F.col("n") / F.col("words"))
+    rows = hits.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(corpus))
+    scored = rows.groupBy("id").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
+    wanted = store.where((F.col("user_id") == user) & (F.col("status") == "active"))
+    for column, value in (("project_id", project), ("session_id", session)):
+        if value is not None:
+            wanted = wanted.where(F.col(column).isNull() | (F.col(column) == value))
+    if kinds:
+        wanted = wanted.where(F.col("type").isin(*kinds))
+    found = wanted.join(scored, "id").select("id", "type", F.round(F.least("score", F.lit(1.0)), 9).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(n)
+
+
+#: Records of an export at most. Fixed value.
+MOST_EXPORTED = 10_000
+RECORD = "id string, type string, content string, confidence double, priority int"
+
+
+def events(log: DataFrame, user: str, n: int) -> DataFrame:
+    """The newest events (id, event_type, created_at, ...) of a user."""
+    return log.where(F.col("user_id") == user).orderBy(F.desc("created_at"), "id").limit(n)
+
+
+def exported(store: DataFrame, user: str, form: str, project: str | None = None) -> DataFrame:
+    """One row a record, in order of the list: `text`, a JSON object or a section of Markdown."""
+    rows = listed(store, user, MOST_EXPORTED, project=project)
+    if form == "json":
+        return rows.select("id", F.to_json(F.struct("id", "type", "content", "confidence", "priority")).alias("text"))
+    return rows.select("id", F.concat(F.lit("## "), "id", F.lit(" ("), "type", F.lit(")\n\n"), "content", F.lit("\n")).alias("text"))
+
+
+def imported(store: DataFrame, lines: DataFrame, user: str, project: str | None = None) -> DataFrame:
+    """Records of exported JSON (text) that the store doesn't have, as new ones of the user's own; broken lines drop."""
+    parsed = lines.select(F.from_json("text", RECORD).alias("r")).where("r.content is not null").select("r.*")
+    own = parsed.withColumn("user_id", F.lit(user)).withColumn("project_id", F.lit(project).cast("string")).withColumn("source", F.lit("user")).withColumn("status", F.lit("active"))
+    return added(store, own)
+
+
+def scope(env: Column, default_user: Column, root: Column, folder: Column, detect: bool = True) -> Column:
+    """Struct of user, project, session, agent and workspace: from a map of settings, then from defaults, the name of the
+    repository's root or else of the folder. Empty settings count as unset."""
+    get = lambda name: F.nullif(F.try_element_at(env, F.lit(name)), F.lit(""))
+    base = lambda path: F.nullif(F.regexp_extract(path, r"([^/]+)/*$", 1), F.lit(""))
+    found = F.coalesce(base(root), base(folder), F.lit("default")) if detect else F.lit(None).cast("string")
+    return F.struct(
+        F.coalesce(get("MEMORY_USER_ID"), default_user).alias("user"), F.coalesce(get("MEMORY_PROJECT_ID"), found).alias("project"),
+        F.coalesce(get("SESSION_ID"), get("MEMORY_SESSION_ID")).alias("session"), get("MEMORY_AGENT_ID").alias("agent"), F.coalesce(get("MEMORY_WORKSPACE_ID"), folder).alias("workspace"),
+    )
+
+
+class MemoryStore:
+    """Records of agents as one object over a table: each change gives a new store, and tables are written by `save`."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def add(self, new: DataFrame) -> MemoryStore:
+        return MemoryStore(self.rows.unionByName(added(self.rows, new).drop("normal"), allowMissingColumns=True))
+
+    def search(self, query: str, user: str, n: int = 20, **scope) -> DataFrame:
+        return searched(self.rows, query, user, n, **scope)
+
+    def list(self, user: str, n: int = 100, **scope) -> DataFrame:
+        return listed(self.rows, user, n, **scope)
+
+    def archive(self, condition: Column) -> MemoryStore:
+        return MemoryStore(archived(self.rows, condition))
+
+    def forget(self, condition: Column) -> MemoryStore:
+        return MemoryStore(forgotten(self.rows, condition))
+
+    def delete_all(self, user: str, mode: str = "archive") -> MemoryStore:
+        own = F.col("user_id") == user
+        return self.archive(own) if mode == "archive" else self.forget(own)
+
+    def context(self, keyword: DataFrame, now: Column, budget: int) -> DataFrame:
+        return context(hybrid(self.rows, keyword, now), budget)
+
+    def save(self, folder: str) -> None:
+        """Writes the table to a folder that isn't the one it is read from, by user."""
+        self.rows.write.mode("overwrite").partitionBy("user_id").parquet(folder)

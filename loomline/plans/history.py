@@ -33,9 +33,38 @@ def d11(spark, d):
     return T.executions(spark, d).groupBy("command", c["target"].alias("target"), c["pct"].alias("pct")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C12_ignored", "SELECT event_id, event_type IN ('view', 'click') AS ignored FROM events")
+#: Commands of many tools, with the target and share that the rules give them.
+_TOOLS = [
+    ("git -C /x diff --stat", "tok git", 80.0), ("sudo git push origin main", "tok git", 70.0), ("git bisect start", None, None), ("cat a.txt", "tok read", 60.0), ("cat a > b", None, None),
+    ("bat a.rs", "tok read", 60.0), ("rg -n x src", "tok grep", 75.0), ("grep -r y .", "tok grep", 75.0), ("npx eslint src", "tok lint", 84.0), ("biome check", "tok biome", 84.0), ("fd x", "tok fd", 70.0),
+    ("cargo test --all", "tok cargo", 90.0), ("cargo fmt", "tok cargo", 80.0), ("/usr/bin/python -m pytest", "tok pytest", 90.0), ("python -m pytest -q", "tok pytest", 90.0), ("pip3 list", "tok pip", 75.0), ("uv pip install x", "tok uv", 65.0),
+    ("go vet ./...", "tok go", 75.0), ("docker compose logs web", "tok docker", 85.0), ("aws ec2 describe-instances", "tok aws", 80.0), ("swift test", "tok swift", 90.0), ("tofu plan", "tok tofu", 70.0), ("java -jar app.jar", "tok spring-boot", 70.0),
+    ("stat x", "tok stat", 60.0), ("task build", "tok task", 70.0), ("mise run x", "tok mise", 65.0), ("xcodebuild -scheme x", "tok xcodebuild", 70.0), ("skopeo inspect x", "tok skopeo", 65.0), ("hadolint Dockerfile", "tok hadolint", 65.0),
+    ("echo x", None, None), ("printf x", None, None), ("while true", None, None), ("python3 -c 1", None, None), ("unknown thing", None, None),
+]
+_TOOL_ROWS = ", ".join(f"({i}, '{c}', {'NULL' if t is None else repr(t)}, {'NULL' if p is None else p}::DOUBLE)" for i, (c, t, p) in enumerate(_TOOLS))
+
+
+@query("D11_tools", f"SELECT event_id, target, pct FROM events JOIN (VALUES {_TOOL_ROWS}) v(i, command, target, pct) ON i = event_id % {len(_TOOLS)}")
+def d11_tools(spark, d):
+    command = F.element_at(F.array(*[F.lit(c) for c, _, _ in _TOOLS]), (F.col("event_id") % len(_TOOLS) + 1).cast("int"))
+    rows = T.table(spark, d, "events").select("event_id", Y.classified(command).alias("c"))
+    return rows.select("event_id", "c.target", "c.pct")
+
+
+@query("E11_tools", f"SELECT target, COUNT(*) AS n, SUM(floor((event_id % 500 * 40 // 4) * pct / 100))::BIGINT AS saved FROM events JOIN (VALUES {_TOOL_ROWS}) v(i, command, target, pct) ON i = event_id % {len(_TOOLS)} WHERE target IS NOT NULL GROUP BY 1")
+def e11_tools(spark, d):
+    command = F.element_at(F.array(*[F.lit(c) for c, _, _ in _TOOLS]), (F.col("event_id") % len(_TOOLS) + 1).cast("int"))
+    return Y.discover(T.table(spark, d, "events").select(command.alias("command"), (F.col("event_id") % 500 * 40).alias("output_bytes"))).select("target", "n", "saved")
+
+
+_BORING = ["cd /tmp", "pwd", "git status", "echo", "echoes", "wait", "sh", "shellcheck x", "chown a b", "awk 1", "node -e 1", "then ls", "for i in x", "ruby x", "done", "tok git log"]
+_BORING_SQL = "(" + ", ".join(str(_BORING.index(c)) for c in ("git status", "echoes", "shellcheck x", "ruby x")) + ")"
+
+
+@query("C12_ignored", f"SELECT event_id, event_id % {len(_BORING)} NOT IN {_BORING_SQL} AS ignored FROM events")
 def c12(spark, d):
-    command = F.when(F.col("event_type") == "view", "cd /tmp").when(F.col("event_type") == "click", "pwd").otherwise("git status")
+    command = F.element_at(F.array(*map(F.lit, _BORING)), (F.col("event_id") % len(_BORING) + 1).cast("int"))
     return T.table(spark, d, "events").select("event_id", Y.ignored(command).alias("ignored"))
 
 

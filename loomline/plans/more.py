@@ -21,7 +21,12 @@ from .catalog import query
 
 def _folder(spark, name: str) -> str:
     """A fresh folder where all executors can write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='loomline-')}"
     return f"{base.rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
 
 
