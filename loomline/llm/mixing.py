@@ -60,8 +60,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     the bucket is one hash value. That row gives only the words that are left, so a source's taken words are its
     target's whole part; rows with one hash (repeated keys) share what is left in proportion to their size.
 
-    Null or empty texts have size 0 and give 0; null sources are one source, last in order; an empty table gives an
-    empty result; other columns are ignored.
+    Null or empty texts have size 0 and give 0; null sources are one source, last in order; a very long text counts like
+    any other, in one pass; an empty table gives an empty result; other columns are ignored.
     """
     sized, plan = _planned(docs, weights, share, cap, key)
     rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))

@@ -44,3 +44,14 @@ def test_near_copies_between_the_thresholds_go(spark, tmp_path):
     rows = [(1, " ".join(base)), (2, " ".join(scattered)), (3, " ".join(block)), (4, " ".join(longer)), (5, " ".join(far))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path)).collect()) == [1, 3, 5]
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, offset string, length string"
+    labels = "doc_id long, quality int, toxic int"
+    odd = [(None, None, None, None, None, "x", "y"), (1, "", "en", None, 0, None, None), (1, "", "en", None, 0, None, None), (2, " ", "en", "s", 1, "", ""), (3, "w " * 400_000, "en", "s", 800_000, "", "")]
+    for name, rows in (("none", []), ("odd", odd)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert not packed if name == "none" else {r.doc_id for r in packed} >= {3}
