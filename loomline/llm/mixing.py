@@ -28,10 +28,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
     What a cap cuts off is shared again by weight among the others until none is above its cap. In the order of
     cap / weight, the sources that reach their caps come first, so one running sum finds them all. The table has one
-    row a source; the only rows gathered are those.
+    row a source; they are gathered for their order by name and for that sum alone, all other sums are aggregates.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = (
         sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
@@ -40,15 +39,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     )
     before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    leveled = (
-        ranked.withColumn("wanted", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("all_weights", F.sum("weight").over(everything))
-        .withColumn("level", (F.col("wanted") - F.coalesce(F.sum("most").over(before), zero)) / (F.col("all_weights") - F.coalesce(F.sum("weight").over(before), zero)))
-        .withColumn("capped", F.col("ratio") <= F.col("level"))
-    )
-    kept = lambda c: F.coalesce(F.sum(F.when(F.col("capped"), F.col(c))).over(everything), zero)
-    level = F.try_divide(F.col("wanted") - kept("most"), F.col("all_weights") - kept("weight"))
-    return leveled.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * level).alias("target"))
+    whole = ranked.agg((F.sum("source_size") * F.lit(float(share))).alias("wanted"), F.sum("weight").alias("all_weights"))
+    level = (F.col("wanted") - F.coalesce(F.sum("most").over(before), zero)) / (F.col("all_weights") - F.coalesce(F.sum("weight").over(before), zero))
+    leveled = ranked.join(F.broadcast(whole)).withColumn("capped", F.col("ratio") <= level)
+    kept = lambda c: F.coalesce(F.sum(F.when(F.col("capped"), F.col(c))), zero)
+    left = leveled.agg((F.first("wanted") - kept("most")).alias("left"), (F.first("all_weights") - kept("weight")).alias("left_weights"))
+    shared = F.col("weight") * F.try_divide(F.col("left"), F.col("left_weights"))
+    return leveled.join(F.broadcast(left)).select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(shared).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id") -> DataFrame:
