@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Characters of a payload in one chunk row.
 CHUNK_CHARS = 1 << 18
+#: Groups of equal payloads (36 bytes each) that may be broadcast; beyond it payloads are shuffled by digest.
+MOST_BROADCAST = 100_000
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -49,8 +53,9 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = keyed.withColumn("sha1", F.unhex(F.sha1("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
     groups = keyed.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 and response is not null").drop("n")
-    joined = keyed.join(groups, ["sha1", "bytes"], "left")
+    groups = Scratch(pages.sparkSession, "warc-groups").save(groups.where("n > 1 and response is not null").drop("n"), "groups")
+    small = groups.count() <= MOST_BROADCAST  # then payloads stay where they are
+    joined = keyed.join(F.broadcast(groups) if small else groups, ["sha1", "bytes"], "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))).drop("response")
 
 
