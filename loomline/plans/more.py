@@ -48,7 +48,10 @@ def b2(spark, d):
 
 @query("B3_delete_project", T.with_views("SELECT project_path, COUNT(*) AS n FROM commands WHERE NOT (project_path = '/p/2' OR starts_with(project_path, '/p/2/')) GROUP BY 1", "commands"))
 def b3(spark, d):
-    return T.commands(spark, d).where(~U.in_scope(F.col("project_path"), "/p/2")).groupBy("project_path").agg(F.count(F.lit(1)).alias("n"))
+    folder = _folder(spark, "usage")
+    T.commands(spark, d).write.parquet(folder)
+    FS.delete_rows(spark, folder, U.in_scope(F.col("project_path"), "/p/2"))
+    return spark.read.parquet(folder).groupBy("project_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("B4_export_csv", T.with_views("SELECT tok_cmd, COUNT(*) AS n FROM commands GROUP BY 1", "commands"))
@@ -173,9 +176,10 @@ def k12(spark, d):
     return R.skeleton(T.symbols(spark, d)).withColumn("outline", F.md5("outline"))
 
 
-@query("L11_packages", T.with_views("SELECT package, COUNT(*) AS n FROM (SELECT split_part(file_path, '/', 1) AS package FROM symbols) GROUP BY 1", "symbols"))
+@query("L11_packages", T.with_views("SELECT array_to_string(l[1:least(len(l) - 1, 3)], '/') AS package, COUNT(*) AS n FROM (SELECT string_split(lower(replace(name, ' ', '/')) || '/' || file_path, '/') AS l FROM symbols) GROUP BY 1", "symbols"))
 def l11(spark, d):
-    package = F.array_join(F.slice(F.split(X.directory_of(F.col("file_path")), "/"), 1, 3), "/")
+    path = F.concat(F.lower(F.regexp_replace("name", " ", "/")), F.lit("/"), "file_path")
+    package = F.array_join(F.slice(F.split(X.directory_of(path), "/"), 1, 3), "/")
     return T.symbols(spark, d).groupBy(package.alias("package")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -186,20 +190,20 @@ def _event_stream(spark, d):
     return spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query("I1_captured_stream", "SELECT event_type, COUNT(*) AS n, SUM(length(props))::BIGINT AS chars FROM events GROUP BY 1")
+@query("I1_captured_stream", "SELECT event_type, COUNT(*) AS n, SUM(least(length(props), 8))::BIGINT AS chars, COUNT(*) FILTER (length(props) > 8) AS cut FROM events GROUP BY 1")
 def i1(spark, d):
-    rows = ST.captured(_event_stream(spark, d).withColumnRenamed("props", "value_text"), "value_text").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value_text")).alias("chars"))
-    return ST.run_once(rows, f"captured_{uuid.uuid4().hex}", "complete", _folder(spark, "stream"))
+    rows = ST.captured(_event_stream(spark, d).withColumnRenamed("props", "value_text"), "value_text", 8).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value_text")).alias("chars"), F.count_if("cut").alias("cut"))
+    return ST.run_once(rows, "complete", _folder(spark, "stream"))
 
 
 @query("I8_windows_stream", "SELECT date_trunc('day', ts) AS start, COUNT(*) AS commands, SUM(floor(value))::BIGINT AS saved FROM events GROUP BY 1")
 def i8(spark, d):
     facts = _event_stream(spark, d).select(F.col("ts").alias("timestamp"), F.floor("value").alias("saved_tokens"))
-    return ST.run_once(ST.windowed_usage(facts), f"windows_{uuid.uuid4().hex}", "complete", _folder(spark, "stream"))
+    return ST.run_once(ST.windowed_usage(facts), "complete", _folder(spark, "stream"))
 
 
 @query("I3_extraction_stream", "SELECT user_id, COUNT(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('view', 'error')) GROUP BY 1")
 def i3(spark, d):
     turns = _event_stream(spark, d).select("user_id", "ts", F.when(F.col("event_type") == "view", "always use tabs").when(F.col("event_type") == "error", "never  use TABS").otherwise("hello").alias("user"))
     rows = ST.extracted_once(turns, "ts", "100 days").select("user_id", "normal")
-    return ST.run_once(rows, f"memories_{uuid.uuid4().hex}", "append", _folder(spark, "stream")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return ST.run_once(rows, "append", _folder(spark, "stream")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,10 @@ from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import privacy as P
 from ..operators import retrieval as R
+from ..sources import files as FS
 from ..sources import tables as T
 from .catalog import query
+from .more import _folder
 
 _POST = """postings AS (SELECT doc_id, term, SUM(w) AS tf FROM (
  SELECT id AS doc_id, unnest(list_distinct(string_split(name, ' '))) AS term, 3.0::DOUBLE AS w FROM symbols UNION ALL SELECT id, unnest(list_distinct([lower(split_part(file_path, '/', 1)), lower(replace(split_part(file_path, '/', 2), '.py', ''))])), 2.0 FROM symbols) GROUP BY 1, 2)"""
@@ -192,7 +194,11 @@ def n2(spark, d):
 
 @query("N3_archive", _sql("SELECT status, COUNT(*) AS n FROM (SELECT CASE WHEN priority < 3 THEN 'archived' ELSE status END AS status FROM memories WHERE NOT confidence < 0.2) GROUP BY 1", "memories"))
 def n3(spark, d):
-    rows = M.forgotten(M.archived(T.memories(spark, d), F.col("priority") < 3), F.col("confidence") < 0.2)
+    folder = _folder(spark, "memories")
+    FS.replace_table(T.memories(spark, d), folder)
+    FS.replace_table(M.archived(spark.read.parquet(folder), F.col("priority") < 3), folder)
+    FS.delete_rows(spark, folder, F.col("confidence") < 0.2)
+    rows = spark.read.parquet(folder)
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -221,7 +227,12 @@ def n7(spark, d):
     return M.context(_hybrid(spark, d), 2000).select("id", "type", "tokens")
 
 
-@query("F6_context_block")
+_PACKED = f"""SELECT * FROM (SELECT *, SUM(ceil(octet_length(encode(content)) / 4.0)) OVER (PARTITION BY user_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tokens FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY score DESC, id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g')) ORDER BY score DESC, id) AS dup FROM ({_HYBRID})) WHERE dup = 1)
+ WHERE k <= (CASE type WHEN 'rule' THEN 8 WHEN 'preference' THEN 8 WHEN 'fact' THEN 10 WHEN 'decision' THEN 10 WHEN 'task_state' THEN 6 ELSE 12 END)) WHERE tokens <= 2000"""
+
+
+@query("F6_context_block", _sql(f"SELECT user_id, string_agg('- ' || content, chr(10) ORDER BY list_position(['rule', 'preference', 'fact', 'decision', 'task_state', 'episode'], type), score DESC, id) AS block FROM ({_PACKED}) GROUP BY 1", "memories"))
 def f6(spark, d):
     return M.rendered(M.context(_hybrid(spark, d), 2000))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -145,6 +145,11 @@ def replace_table(df: DataFrame, folder: str) -> None:
     fs.delete(_path(spark, old)[0], True)
 
 
+def delete_rows(spark: SparkSession, folder: str, condition: Column) -> None:
+    """Rewrites a table without the rows that a condition holds for; rows it is null for stay."""
+    replace_table(spark.read.parquet(folder).where(~F.coalesce(condition, F.lit(False))), folder)
+
+
 @contextlib.contextmanager
 def refresh_lock(spark: SparkSession, folder: str, wait: float = 2.0, poll: float = 0.05, stale: float = 60.0) -> Iterator[bool]:
     """Holds a folder's lock file; False where another holds it for longer than one waits. Locks older than `stale`

@@ -15,9 +15,9 @@ def table_stream(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def captured(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines cut at the most characters that a capture holds."""
-    return lines.withColumn(column, F.substring(column, 1, MOST_CAPTURED))
+def captured(lines: DataFrame, column: str = "value", most: int = MOST_CAPTURED) -> DataFrame:
+    """Lines cut at the most characters that a capture holds, with `cut`: whether that dropped any."""
+    return lines.withColumn("cut", F.length(column) > most).withColumn(column, F.substring(column, 1, most))
 
 
 def extracted_once(turns: DataFrame, stamp: str, delay: str = "1 hour") -> DataFrame:
@@ -32,8 +32,18 @@ def windowed_usage(facts: DataFrame, width: str = "1 day", delay: str = "2 days"
     return windows.agg(F.count(F.lit(1)).alias("commands"), F.sum("saved_tokens").alias("saved")).select(F.col("window.start").alias("start"), "commands", "saved")
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there, into an in-memory table. For tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there and gives its result as a table beside the checkpoint: of mode "append" the rows
+    of all batches, of mode "complete" those of the last. A batch that is run again replaces its own rows."""
+    folder, done = f"{checkpoint.rstrip('/')}-out", []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        done.append(batch)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/batch={b}" for b in (done[-1:] if mode == "complete" else done)])

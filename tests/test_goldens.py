@@ -189,7 +189,7 @@ def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     for i, rows in enumerate([[(day(1), 1), (day(20), 1)], [(day(2), 5), (day(20), 2)], [(day(28), 3)]]):
         spark.createDataFrame(rows, "timestamp timestamp, saved_tokens long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b{i}")
     stream = spark.readStream.schema("timestamp timestamp, saved_tokens long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = ST.run_once(ST.windowed_usage(stream), "late", "append", f"{tmp_path}/cp").collect()
+    out = ST.run_once(ST.windowed_usage(stream), "append", f"{tmp_path}/cp").collect()
     assert sum(r["saved"] for r in out if r["start"] == day(20)) == 3
 
 
