@@ -132,9 +132,13 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+#: Parts of the names of sensitive variables.
+SENSITIVE = ("key", "secret", "password", "token", "credential", "auth", "private", "api_key", "access_key", "passwd", "jwt")
+
+
 def masked(key: Column, value: Column) -> Column:
     """The value of a sensitive variable with all but two characters at either end hidden."""
-    secret = F.lower(key).rlike("key|secret|password|token|credential|auth|private|api_key|access_key|passwd|jwt")
+    secret = F.lower(key).rlike("|".join(SENSITIVE))
     return F.when(secret & (F.length(value) <= 4), "****").when(secret, F.concat(F.left(value, F.lit(2)), F.lit("****"), F.right(value, F.lit(2)))).otherwise(value)
 
 
@@ -143,13 +147,18 @@ def client_id(text: Column) -> Column:
     return F.when(F.coalesce(clean, F.lit("")) == "", "default").otherwise(clean)
 
 
+#: Words that tell what an output is.
+TEST_WORDS, BUILD_WORDS = ("passed", "failed", "ok"), ("compiling", "building", "finished")
+LOG_WORDS = ("error:", "warn:", "info:", r"\[error\]", r"\[info\]")
+
+
 def output_kind(text: Column) -> Column:
     """What an output looks like: tests, then a build, a log, JSON, a list, or anything."""
     low, first = F.lower(text), F.ltrim(text)
     return (
-        F.when(low.contains("test") & low.rlike("passed|failed|ok"), "test")
-        .when(low.rlike("compiling|building|finished"), "build")
-        .when(low.rlike(r"error:|warn:|info:|\[error\]|\[info\]"), "log")
+        F.when(low.contains("test") & low.rlike("|".join(TEST_WORDS)), "test")
+        .when(low.rlike("|".join(BUILD_WORDS)), "build")
+        .when(low.rlike("|".join(LOG_WORDS)), "log")
         .when(first.startswith("{") | first.startswith("["), "json")
         .when(F.forall(F.split(text, "\n"), lambda l: (F.length(l) < 200) & ~l.contains("\t")), "list")
         .otherwise("generic")
@@ -160,9 +169,13 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\{\{TOK_[A-Z0-9_]+\}\}"), F.lit(0))
 
 
+#: Phrases that try to change an agent's instructions.
+INJECTION = (r"ignore (all )?(previous|prior) instructions", r"disregard (the )?(system|previous)", "you are now", "system prompt")
+
+
 def injection(text: Column) -> Column:
     """Whether a text tries to change an agent's instructions."""
-    return text.rlike(r"(?i)(ignore (all )?(previous|prior) instructions|disregard (the )?(system|previous)|you are now|system prompt)")
+    return text.rlike(f"(?i)({'|'.join(INJECTION)})")
 
 
 def version_order(a: Column, b: Column) -> Column:
