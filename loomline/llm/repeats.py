@@ -171,7 +171,7 @@ def refine_in_memory(strings: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size < 4 * MOST:
+            if size < MOST:
                 continue
             whole = pa.Table.from_batches(held)
             buckets = whole.column("bucket").to_numpy()
