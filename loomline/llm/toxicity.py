@@ -236,12 +236,24 @@ def learn_lexicon(texts: list[tuple[str, int]], least_share: float = 0.01) -> Mo
     return model
 
 
+def quoting(texts: list[tuple[str, int]], model: Model, every: int = 8) -> list[tuple[str, int]]:
+    """Clean texts that quote a term: every eighth clean one, with a term in quotation marks after a word that reports.
+
+    Labelled texts hardly ever quote, so that the weight of quoted hits could not be learned from them alone.
+    """
+    terms, reporting = sorted(model.strengths) or sorted(model.terms), sorted(REPORTING)
+    clean = [text for text, label in texts if not label][::every]
+    return [(f'{text}\n{reporting[i % len(reporting)]}: "{terms[i % len(terms)]}"', 0) for i, text in enumerate(clean)]
+
+
 def fit(texts: list[tuple[str, int]], rounds: int = 400) -> Model:
-    """A lexicon and logistic weights from (text, label) pairs; the default model where a class is missing."""
+    """A lexicon and logistic weights from (text, label) pairs, and from clean texts made to quote; the default model
+    where a class is missing."""
     if {label for _, label in texts} != {0, 1}:
         return Model()
     model = learn_lexicon(texts)
     scorer = Scorer(model)
+    texts = texts + quoting(texts, model)
     x = np.array([scorer.features(t) for t, _ in texts])
     y = np.array([label for _, label in texts], dtype=float)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))

@@ -70,3 +70,17 @@ def test_learning_and_held_out_accuracy(spark):
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and 500 < kept.count() < 600
     assert toxicity.fit([]).terms == toxicity.Model().terms and toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_quotation_is_told_from_abuse_by_a_learned_weight():
+    rng = random.Random(3)
+    common = ["".join(rng.choice("aeioust") for _ in range(rng.randint(2, 6))) for _ in range(200)]
+    words = lambda n: [rng.choice(common) for _ in range(n)]
+    texts = [(" ".join([*words(20), "glarb", *words(5), "frobnit", *words(15)]), 1) for _ in range(120)] + [(" ".join(words(40)), 0) for _ in range(400)]
+    model = toxicity.fit(texts)
+    scorer = toxicity.Scorer(model)
+    quotes = [f'{" ".join(words(20))} she said "glarb" and wrote "frobnit" {" ".join(words(20))}' for _ in range(50)]
+    abuse = [f'{" ".join(words(20))} you glarb and frobnit {" ".join(words(20))}' for _ in range(50)]
+    assert model.weights[2] < toxicity.Model().weights[2]
+    assert all(scorer.score(t) < 0.5 for t in quotes) and all(scorer.score(t) >= 0.5 for t in abuse)
+    assert scorer.score("you golarb, you frobint, " + " ".join(words(10))) >= 0.5
