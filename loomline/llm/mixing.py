@@ -60,17 +60,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     Null or empty texts have size 0 and give 0; null sources are one source, last in order; a very long text counts like
     any other, in one pass; an empty table gives an empty result; other columns are ignored.
     """
-    sized, plan = _planned(docs, weights, share, cap, key)
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized, plan = _planned(docs, scratch, weights, share, cap, key)
     rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     taken = F.col("passes") * F.col("size") + _part()
-    return rows.select(key, "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return scratch.only(rows.select(key, "d.source", "size", "source_size", "target", taken.cast("long").alias("taken")))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, key: str = "doc_id") -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with the columns of docs. The row in which a source's
     budget ends is taken once more when at least half of it is left. Rows without words come as often as their
     source is taken whole."""
-    _, plan = _planned(docs, weights, share, cap, key)
+    _, plan = _planned(docs, Scratch(docs.sparkSession, "mix"), weights, share, cap, key)
     plan = plan.select(F.col("source").alias("_source"), "passes", "left", "bucket", "tied")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_of"), word_count("text").alias("size"), place(F.col(key)).alias("at"))
     rows = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source")))
@@ -84,9 +85,8 @@ def _part() -> Column:
     return F.coalesce(part.otherwise(F.floor(F.try_divide(F.col("size").cast("decimal(19,0)") * F.col("left"), F.col("tied"))).cast("long")), F.lit(0))
 
 
-def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float, key: str) -> tuple[DataFrame, DataFrame]:
+def _planned(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, cap: float, key: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sizes and places, and for each source its target, whole passes, and the threshold of the last one."""
-    scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.save(docs.select(F.col(key), F.col("source"), word_count("text").alias("size"), place(F.col(key)).alias("at")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (

@@ -22,8 +22,8 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(table(spark, sf_dir, "pages"))
-    archive = Scratch(spark, "warc").save(warc.write_records(planned), "chunks")
-    return warc.read_records(archive).drop("url")
+    scratch = Scratch(spark, "warc")
+    return scratch.only(warc.read_records(scratch.save(warc.write_records(planned), "chunks")).drop("url"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         if open_.isEmpty():
             break
         inside = sized.join(open_, bucket == F.col("open"), "left_semi")
-    return rows.select("doc_id", "n_bytes", F.coalesce(*found).alias("s")).select("doc_id", "n_bytes", *[F.col(f"s.{c}") for c in _SHARD])
+    return scratch.only(rows.select("doc_id", "n_bytes", F.coalesce(*found).alias("s")).select("doc_id", "n_bytes", *[F.col(f"s.{c}") for c in _SHARD]))
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> None:
