@@ -68,6 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     the last stage, whatever their names; an empty table gives an empty result."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for n, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if n:
+            scratch.drop(STAGES[n - 1][0])
     return docs
