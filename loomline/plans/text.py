@@ -237,14 +237,31 @@ def c3(spark, d):
     return _docs(spark, d).select("doc_id", L.reduce_outputs(command, text, builtin.FILTERS).alias("output"))
 
 
-@query("C4_without_comments")
+def _carried(event: str, key: str, rows: str) -> str:
+    """The last event of each row or of one before it, by the order of lines."""
+    return f"last_value({event} IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND {rows})"
+
+
+_HTML = "(SELECT page_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT page_id, string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)) AS ls FROM pages))"
+_INSIDE = _carried("CASE WHEN contains(line, '-->') THEN 0 WHEN contains(line, '<!--') THEN 1 END", "page_id", "1 PRECEDING")
+
+
+@query("C4_without_comments", f"""SELECT page_id, md5(trim(regexp_replace(COALESCE(string_agg(CASE WHEN trim(line) = '' THEN '' ELSE line END, chr(10) ORDER BY line_no) FILTER (NOT skip), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ')) AS source FROM (
+ SELECT *, COALESCE({_INSIDE}, 0) = 1 OR contains(line, '<!--') OR starts_with(trim(line), '//') AS skip FROM {_HTML}) GROUP BY 1""")
 def c4(spark, d):
-    return table(spark, d, "pages").select("page_id", L.without_comments(L.to_lines(F.regexp_replace("html", "><", ">\n<")), "//", "<!--", "-->").alias("source"))
+    return table(spark, d, "pages").select("page_id", F.md5(L.without_comments(L.to_lines(F.regexp_replace("html", "><", ">\n<")), "//", "<!--", "-->")).alias("source"))
+
+
+_REPORTED = f"(SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split('error: first' || chr(10) || '  detail' || chr(10) || text || chr(10) || 'FAILED x' || chr(10) || chr(10) || '  y', chr(10)) AS ls FROM documents))"
+_HIT = r"regexp_matches(line, '(?i)^(error|fatal|panic|traceback|exception)|(?i)\berror\b[:\[]|(?i)\bFAILED\b')"
+_BLANKS = "trim(line) = '' AND NOT COALESCE(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no)) = '', false)"
 
 
-@query("C9_error_blocks")
+@query("C9_error_blocks", rf"""SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY line_no) FILTER (last = 1)) AS blocks FROM (SELECT *, {_carried("CASE WHEN hit THEN 1 WHEN NOT stays THEN 0 END", "doc_id", "CURRENT ROW")} AS last FROM (
+ SELECT *, {_HIT} AS hit, regexp_matches(line, '^\s+\S') OR ({_BLANKS}) AS stays FROM {_REPORTED})) GROUP BY 1""")
 def c9(spark, d):
-    return _docs(spark, d).select("doc_id", L.error_blocks(L.to_lines(F.concat(F.lit("error: first\n  detail\n"), "text"))).alias("blocks"))
+    text = F.concat(F.lit("error: first\n  detail\n"), "text", F.lit("\nFAILED x\n\n  y"))
+    return _docs(spark, d).select("doc_id", F.md5(L.joined(L.error_blocks(L.to_lines(text)))).alias("blocks"))
 
 
 _CHARS = "list_distinct(string_split({0}.line, ''))"
