@@ -67,9 +67,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/loomline/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it again."""
+    def save(self, df: DataFrame, name: str, light: bool = False) -> DataFrame:
+        """Writes df as Parquet and reads it again. Light tables, which hold a few bytes for some of the rows that they
+        come from, are written by an eighth of the usual tasks: files and tasks cost more than what is in them."""
         path = f"{self.root}/{name}"
+        if light:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         with _set(self.spark, {_CLEANUP: "true", _BATCH: str(BATCH_ROWS)}):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

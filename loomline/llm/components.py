@@ -15,7 +15,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     of its neighbourhood, until the links no longer change. The number of steps grows with the logarithm of the
     longest path. Only a count and a checksum reach the driver. Steps are written to the shared folder.
     """
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
+    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0", light=True)
     before, step = None, 0
     while True:
         for large in (True, False):
@@ -26,7 +26,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             handed = around.join(least, "u").where("v > u" if large else "true").select(F.col("v").alias("u"), F.col("m").alias("v"))
             if not large:
                 handed = handed.unionByName(least.select("u", F.col("m").alias("v")))
-            edges = scratch.save(handed.where("u <> v").distinct(), f"{name}-{step}")
+            edges = scratch.save(handed.where("u <> v").distinct(), f"{name}-{step}", light=True)
             scratch.drop(f"{name}-{step - 1}")
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
