@@ -45,6 +45,19 @@ def _scaled(scored: DataFrame, column: str) -> DataFrame:
     return scored.join(F.broadcast(top)).withColumn(column, F.col(column) / F.col("_top")).drop("_top")
 
 
+def rebuilt(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """The index after documents changed (id and fields) or went (id): only their postings are made anew."""
+    ids = changed.select(F.col("id").alias("doc_id"))
+    if removed is not None:
+        ids = ids.unionByName(removed.select(F.col("id").alias("doc_id")))
+    return index.join(ids, "doc_id", "left_anti").unionByName(postings(changed, weights))
+
+
+def with_rows(scored: DataFrame, docs: DataFrame) -> DataFrame:
+    """Scores (doc_id, score) with the rows (id, ...) that they belong to."""
+    return scored.withColumnRenamed("doc_id", "id").join(docs, "id")
+
+
 def restricted(index: DataFrame, ids: DataFrame) -> DataFrame:
     """The index of some documents alone; figures follow from it."""
     return index.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")

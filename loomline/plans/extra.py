@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import os
+import sqlite3
 
 from pyspark.sql import functions as F
 
@@ -270,3 +273,14 @@ def i2(spark, d):
     answers = [json.loads(line) for line in serve(asked, _workspace(spark, d).tools())]
     rows = [(a["id"], len(a.get("result", {}).get("rows", a.get("result", {}).get("tools", [])))) for a in answers]
     return spark.createDataFrame(rows, "id int, rows int")
+
+
+@query("A6_sqlite", "SELECT s_nationkey, COUNT(*) AS n, MAX(s_name) AS last FROM supplier GROUP BY 1")
+def a6(spark, d):
+    folder = _folder(spark, "sqlite").removeprefix("file://")
+    os.makedirs(folder)
+    with contextlib.closing(sqlite3.connect(f"{folder}/facts.db")) as con, con:
+        con.execute("CREATE TABLE supplier (name TEXT, nation INTEGER)")
+        con.executemany("INSERT INTO supplier VALUES (?, ?)", T.table(spark, d, "supplier").select("s_name", "s_nationkey").toLocalIterator())
+    rows = FS.sqlite_table(spark, f"{folder}/facts.db", "supplier", "name string, nation int")
+    return rows.groupBy(F.col("nation").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("last"))

@@ -70,13 +70,10 @@ def a2(spark, d):
 
 @query("A18_federation", "SELECT repo, COUNT(*) AS n FROM (SELECT 'a' AS repo, p_partkey FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'b', p_partkey FROM part WHERE p_partkey % 3 = 0) GROUP BY 1")
 def a18(spark, d):
-    part = T.table(spark, d, "part")
-    repos = {"a": part.where("p_partkey % 2 = 0"), "b": part.where("p_partkey % 3 = 0")}
-    both = None
-    for name, rows in repos.items():
-        rows = rows.withColumn("repo", F.lit(name))
-        both = rows if both is None else both.unionByName(rows)
-    return both.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    folder, part = _folder(spark, "repos"), T.table(spark, d, "part")
+    for name, rows in (("a", part.where("p_partkey % 2 = 0")), ("b", part.where("p_partkey % 3 = 0").drop("p_size"))):
+        rows.write.parquet(f"{folder}/repo={name}")
+    return FS.federated(spark, folder).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("H2_savings_pct", T.with_views("SELECT id, saved_tokens, savings_pct FROM commands", "commands"))

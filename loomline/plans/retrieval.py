@@ -86,10 +86,26 @@ def f4(spark, d):
     return a.unionByName(b).withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "doc_id"))).where("rank <= 20").drop("score")
 
 
-@query("K9_federation", _sql("SELECT repo, COUNT(*) AS n FROM (SELECT 'a' AS repo FROM symbols WHERE kind = 'small' UNION ALL SELECT 'b' FROM symbols WHERE kind = 'economy') GROUP BY 1", "symbols"))
+@query("B8_rebuild", _sql("SELECT * FROM postings", "symbols", post=True))
+def b8(spark, d):
+    docs = T.symbols(spark, d).select("id", "name", F.regexp_replace(F.col("file_path"), r"Brand(\d)", "brand$1").alias("path"))
+    stale = docs.withColumn("name", F.when(F.col("name").contains("red"), "old words here").otherwise(F.col("name")))
+    more = docs.limit(1).withColumn("id", F.lit("gone"))
+    return R.rebuilt(R.postings(stale.unionByName(more)), docs.where("name like '%red%'"), more)
+
+
+@query("D7_search_rows", _sql(f"SELECT s.id, s.name, k.score FROM ({_BM25}) k JOIN symbols s ON s.id = k.doc_id ORDER BY k.score DESC, s.id LIMIT 30", "symbols", post=True))
+def d7(spark, d):
+    return R.top(R.with_rows(R.bm25(_index(spark, d), _TERMS), T.symbols(spark, d)).select("id", "name", "score"), 30, "id")
+
+
+@query("K9_federation", _sql("SELECT repo, COUNT(*) AS n, SUM(line_start)::BIGINT AS lines FROM (SELECT 'a' AS repo, line_start FROM symbols WHERE kind IN ('small', 'large') UNION ALL SELECT 'b', line_start FROM symbols WHERE kind IN ('economy', 'large') UNION ALL SELECT 'c', line_start FROM symbols WHERE kind = 'promo') GROUP BY 1", "symbols"))
 def k9(spark, d):
-    s = T.symbols(spark, d)
-    return s.where("kind = 'small'").withColumn("repo", F.lit("a")).unionByName(s.where("kind = 'economy'").withColumn("repo", F.lit("b"))).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    """Three repositories, each with a table of its own in a folder."""
+    folder, s = _folder(spark, "federation"), T.symbols(spark, d)
+    for name, kinds in (("a", ["small", "large"]), ("b", ["economy", "large"]), ("c", ["promo"])):
+        s.where(F.col("kind").isin(kinds)).write.parquet(f"{folder}/repo={name}")
+    return FS.federated(spark, folder).groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.sum("line_start").alias("lines"))
 
 
 @query("K10_weighted_search", _sql(_BM25.replace("SELECT doc_id, s / MAX(s) OVER () AS score", "SELECT doc_id, s / MAX(s) OVER () AS score"), "symbols", post=True).replace("3.0::DOUBLE AS w", "10.0::DOUBLE AS w").replace(", 2.0 FROM symbols", ", 1.0 FROM symbols"))

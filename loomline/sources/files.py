@@ -95,6 +95,12 @@ def without_ignored(files: DataFrame, root: str, rules: dict[str, str]) -> DataF
     return files
 
 
+def federated(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of many repositories, each in a folder repo=<name>, as one with the column `repo`; a column that some
+    don't have is null there."""
+    return spark.read.option("mergeSchema", True).parquet(folder).withColumn("repo", F.col("repo").cast("string"))
+
+
 def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
     """A table of an SQLite file that all executors can open, read by ranges of its row numbers. The schema names the
     columns that are read."""
