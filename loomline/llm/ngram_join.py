@@ -368,7 +368,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     while True:
         pairs = scratch.save(_bounded(stars.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), vectors, percent), f"pairs{turn}", light=True)
         links = _linked(pairs, docs, scratch, f"links{turn}", words, percent)
-        label = scratch.save(components(edges.unionByName(links), scratch, f"step{turn}"), f"label{turn}", light=True)
+        label = components(edges.unionByName(links), scratch, f"step{turn}")
         edges = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         left = open_.where("node <> pivot").select("block", "node", "n").join(label, "node", "left").select("block", "node", "n", F.coalesce("component", "node").alias("class"))
         heads = left.groupBy("block").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "class")).alias("p"))
@@ -395,7 +395,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def _linked(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
     """The pairs whose sets are alike. Only the sets of nodes in a pair are made again and moved."""
-    nodes = scratch.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), f"{name}-nodes", light=True)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = scratch.save(members(docs, nodes, words), f"{name}-sets", light=True)
     found = scratch.save(verified(pairs, sets, percent).distinct(), name, light=True)
     scratch.drop(f"{name}-sets")
