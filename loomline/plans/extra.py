@@ -49,19 +49,19 @@ def a4(spark, d):
     folder = _folder(spark, "sessions")
     rows = T.table(spark, d, "conversations").select((F.col("conv_id") % 3).alias("project"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
     rows.write.partitionBy("project").text(folder)
-    _as_logs(spark, folder)
+    _rename(spark, folder, lambda path: path.removesuffix(".txt") + ".jsonl")
     entry = F.from_json("line", "conv_id long, text string")
     return FS.session_lines(spark, folder, project="project=1").select(entry.alias("e")).groupBy((F.col("e.conv_id") % 3).alias("project")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("e.text")).alias("longest"))
 
 
-def _as_logs(spark, folder: str) -> None:
-    """Gives the text files below a folder the names of session logs."""
+def _rename(spark, folder: str, named) -> None:
+    """Gives the text files below a folder other names."""
     path, fs = FS._path(spark, folder)
     files = fs.listFiles(path, True)
     while files.hasNext():
         file = files.next().getPath()
         if file.getName().endswith(".txt"):
-            fs.rename(file, spark._jvm.org.apache.hadoop.fs.Path(file.getParent(), file.getName().removesuffix(".txt") + ".jsonl"))
+            fs.rename(file, spark._jvm.org.apache.hadoop.fs.Path(named(file.toString())))
 
 
 def _nations(spark, d, name: str) -> str:
@@ -77,11 +77,13 @@ def a7(spark, d):
     return files.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region")).agg(F.sum(F.length("content")).alias("chars"))
 
 
-@query("A15_read", "SELECT n_regionkey AS region, 'unknown' AS language, SUM(length(n_name) + 1)::BIGINT AS chars FROM nation GROUP BY 1")
+@query("A15_read", "SELECT n_regionkey AS region, CASE n_regionkey % 3 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' ELSE 'unknown' END AS language, SUM(length(n_name) + 1)::BIGINT AS chars FROM nation GROUP BY 1, 2")
 def a15(spark, d):
-    files = FS.whole_files(spark, _nations(spark, d, "read"), "*.txt")
-    language = F.when(F.col("language") == "unknown", "unknown").otherwise("unknown")
-    return files.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), language.alias("language")).agg(F.sum(F.length("text")).alias("chars"))
+    """Files named by their region: of Rust, of Python, or of nothing known."""
+    folder = _nations(spark, d, "read")
+    _rename(spark, folder, lambda path: path.removesuffix(".txt") + {"0": ".rs", "1": ".py", "2": ".q"}[str(int(path.split("n_regionkey=")[1].split("/")[0]) % 3)])
+    files = FS.whole_files(spark, folder, "*.{rs,py,q}")
+    return files.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("region"), "language").agg(F.sum(F.length("text")).alias("chars"))
 
 
 @query("B5_replaced", "SELECT kind, COUNT(*) AS n FROM (SELECT lower(p_type) AS kind FROM part) GROUP BY 1")
