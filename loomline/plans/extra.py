@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import gzip
 import hashlib
 import json
 import os
 import sqlite3
+import struct
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..api import Workspace, serve
@@ -17,6 +20,7 @@ from ..operators import extension as E
 from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import reducers, render
+from ..sources import buildlog as BL
 from ..sources import files as FS
 from ..sources import tables as T
 from .catalog import query
@@ -286,3 +290,46 @@ def a6(spark, d):
         con.executemany("INSERT INTO supplier VALUES (?, ?)", T.table(spark, d, "supplier").select("s_name", "s_nationkey").toLocalIterator())
     rows = FS.sqlite_table(spark, f"{folder}/facts.db", "supplier", "name string, nation int")
     return rows.groupBy(F.col("nation").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("last"))
+
+
+def _seven(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def build_log(events: list[tuple[str, str, str, int]], version: int = 18) -> bytes:
+    """A small build log of (kind, code, file, line) events."""
+    strings: dict[str, int] = {}
+    out = [struct.pack("<ii", version, version)]
+
+    def text(value: str | None) -> bytes:
+        if value is None:
+            return _seven(0)
+        if value not in strings:
+            strings[value] = BL.FIRST_STRING + len(strings)
+            data = value.encode()
+            out.append(_seven(BL.STRING) + _seven(len(data)) + data)
+        return _seven(strings[value])
+
+    numbers = {name: kind for kind, name in BL.KINDS.items()}
+    for kind, code, file, line in events:
+        head = _seven(BL.MESSAGE | BL.CONTEXT | BL.TIMESTAMP) + text(f"wrong {code}") + bytes(7) + (BL.EPOCH + line * 10_000).to_bytes(8, "little") + _seven(1)
+        rest = b"" if kind in ("started", "finished") else text(None) + text(code) + text(file) + text("p.csproj") + _seven(line) + _seven(7) + _seven(line) + _seven(7)
+        out.append(_seven(BL.NAMES) + _seven(2) + b"xx" + _seven(numbers[kind]) + _seven(len(head + rest)) + head + rest)
+    return gzip.compress(b"".join([*out, _seven(BL.END)]))
+
+
+@query("A14_build_log", """SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS kind, 'CS' || user_id % 90 AS code, 'f' || user_id % 13 || '.cs' AS file, (event_id % 300)::INT AS line, 'wrong CS' || user_id % 90 AS message, COUNT(*) AS n, MAX(event_id % 300)::BIGINT AS at FROM events GROUP BY 1, 2, 3, 4, 5""")
+def a14(spark, d):
+    kind = F.when(F.col("event_type") == "error", "error").otherwise("warning")
+    item = F.struct(kind, F.concat(F.lit("CS"), F.col("user_id") % 90), F.concat(F.lit("f"), F.col("user_id") % 13, F.lit(".cs")), (F.col("event_id") % 300).cast("int"))
+    lists = T.table(spark, d, "events").groupBy(F.expr("event_id div 100").cast("string").alias("path")).agg(F.collect_list(item).alias("events"))
+
+    def encoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda own: build_log([("started", "-", "-", 1), *(tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in own), ("finished", "-", "-", 2)]))
+
+    logs = lists.select("path", F.pandas_udf(encoded, "binary")("events").alias("content"))
+    found = BL.build_events(logs).where("code is not null")
+    return found.groupBy("kind", "code", "file", "line", "message").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))

@@ -16,6 +16,8 @@ from loomline.functions import text as X
 from loomline.operators import extension as E
 from loomline.operators import memory as M
 from loomline.operators import reducers, render
+from loomline.plans.extra import build_log
+from loomline.sources import buildlog
 from loomline.sources import files as FS
 from loomline.sources import sessions
 
@@ -185,3 +187,13 @@ def test_whole_stages_by_name(spark):
     assert value(spark, E.by_strategy(F.col("t"), "aggressive"), t=code) == "fn a() {\n}" and value(spark, E.by_strategy(F.col("t"), "none"), t=code) == code
     assert tuple(value(spark, E.tiered(F.col("t"), F.lit(None).cast("int"), F.lit(None).cast("int"), "w", 3), t="abcdef")) == (3, None, ["not parsed"], "abc\n[truncated]")
     assert L.Rule("a", "x").most is None
+
+
+def test_build_logs(spark):
+    events = [("started", "-", "-", 1), ("error", "CS1", "é.cs", 300), ("warning", "CS2", "b.cs", 2), ("finished", "-", "-", 90_000)]
+    whole = build_log(events)
+    rows = list(buildlog.parse(whole))
+    assert [r[0] for r in rows] == ["started", "error", "warning", "finished"] and rows[1] == ("error", "CS1", "é.cs", 300, 7, "p.csproj", "wrong CS1", 300) and rows[3][-1] == 90_000
+    logs = [("ok", whole), ("old", build_log(events, 17)), ("cut", whole[: len(whole) // 2]), ("none", b""), ("null", None), ("text", b"x" * 40)]
+    got = buildlog.build_events(spark.createDataFrame(logs, "path string, content binary")).collect()
+    assert {r.path for r in got if r.problem} == {"old", "cut", "none", "null", "text"} and sum(r.path == "ok" for r in got) == 4
