@@ -10,7 +10,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS_BITS = 24
 _POS_MASK = np.uint64((1 << _POS_BITS) - 1)
 #: Starts handled at once; longer texts are cut into slices that overlap by window - 1 bytes.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
