@@ -25,8 +25,9 @@ LEAF, TILE = 32, 4096
 MOST_BROADCAST = 250_000
 #: Blocks by which a node's pairs are told apart, so that few of them are compared in more than one block.
 HOMES = 4
-#: Pivots are chosen again while at least one in FAIR of the pairs compared is linked.
-FAIR = 4
+#: Pivots are chosen again while more than one in FAIR of the pairs compared are linked, ROUNDS times at most: what they
+#: leave, the trees find.
+FAIR, ROUNDS = 4, 8
 
 
 def _node() -> Column:
@@ -337,7 +338,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     2. Nodes that share an n-gram of their prefixes meet in its block. That loses no link.
     3. Rounds of pivots: in each block every node is compared with one of them, which joins most copies at once. The
        pivot then leaves its block, and blocks go on while their nodes are in different components; the next round
-       takes new pivots, as long as a fair share of the pairs compared turns out to be linked.
+       takes new pivots, as long as a fair share of the pairs compared turns out to be linked, and ROUNDS times at most.
     4. What is still in different components of a block is joined by count-vector R-trees, each pair in one block.
        Sizes and bounds prune, exact intersections decide.
     5. Components of all links.
@@ -376,7 +377,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         turn += 1
         open_ = scratch.save(left.join(heads, "block"), f"open{turn}")
         scratch.drop(f"open{turn - 1}")
-        if links.count() * FAIR < pairs.count() or open_.isEmpty():
+        if turn == ROUNDS or links.count() * FAIR <= pairs.count() or open_.isEmpty():
             break
         stars = open_.where(f"class <> pivot_class and {fit}")
 

@@ -117,3 +117,18 @@ def test_each_pair_is_one_blocks_own():
     x, y = np.array([0, 0, 1]), np.array([1, 2, 2])
     assert ngram_join.own_pairs(4, homes, x, y).tolist() == [True, True, True]
     assert ngram_join.own_pairs(7, homes, x, y).tolist() == [False, True, True]
+
+
+def test_rounds_end_where_nothing_is_alike(spark, monkeypatch):
+    rounds = []
+    bounded = ngram_join._bounded
+    monkeypatch.setattr(ngram_join, "_bounded", lambda *a: rounds.append(1) or bounded(*a))
+    rng = random.Random(7)
+    texts = [" ".join(["one", "and", "the", "same", *("u%d" % rng.randrange(10**9) for _ in range(6))]) for _ in range(40)]
+    assert run(spark, texts) == brute(texts) and len(rounds) == 1
+
+
+def test_trees_find_what_rounds_leave(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    texts = corpus(4)
+    assert run(spark, texts) == brute(texts)
