@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_join, packing, repeats, secrets, sharding, toxicity, vectors, warc
+from . import alignment, codes, media, mixing, ngram_join, packing, repeats, secrets, sharding, toxicity, vectors, warc
 from .common import Scratch, table
 
 
@@ -57,6 +57,14 @@ def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_repeat_removal": op10_repeat_removal,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op3_warc_archive": warc.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op7_extendible_shards": sharding.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
 }
