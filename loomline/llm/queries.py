@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, codes, media, mixing, ngram_join, packing, repeats, secrets, sharding, toxicity, vectors, warc
+from . import alignment, codes, fingerprints, media, mixing, ngram_join, packing, repeats, secrets, sharding, toxicity, vectors, warc
 from .common import Scratch, table
 
 
@@ -65,6 +65,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeat_removal": op10_repeat_removal,
     "op11_vector_codes": op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLES: dict[str, str] = {

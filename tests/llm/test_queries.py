@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_repeat_removal": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
