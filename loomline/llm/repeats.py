@@ -19,13 +19,15 @@ WINDOW, GRAM = 200, 64
 MOST = 2000
 #: Bytes of the first buckets inside a task.
 Q = 5
-_KEY = "doc_id long, mark int"
+_KEY = "key long, mark long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text, which tells rows of one doc_id apart) and text, null as empty."""
+    """doc_id, key and mark (two hashes, which tell rows of one doc_id apart by 128 bits of their texts) and text, null as
+    empty. Rows that are equal in both columns have the same key and mark, and the same result."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"))
+    number = F.col("doc_id").cast("long")
+    return docs.select(number.alias("doc_id"), F.xxhash64(number, text).alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _packed(start: np.ndarray, count: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -37,13 +39,13 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def initial_buckets(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, mark, place, bucket, whole: each document's window starts in runs with one minimizer.
+    """key, mark, place, bucket, whole: each document's window starts in runs with one minimizer.
 
     `bucket` is the hash of the run's q-gram, `whole` of all bytes that its windows cover, `place` packs first start,
     number of starts and the q-gram's distance. Equal windows lie in runs of one bucket at one distance, so only runs
     of a bucket need comparing: some 15 for a thousand bytes instead of a thousand suffixes.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int64()), ("bucket", pa.int64()), ("whole", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("bucket", pa.int64()), ("whole", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in sliced(whole, 2)):
@@ -53,13 +55,13 @@ def initial_buckets(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(runs["gram"]), pa.array(runs["whole"])]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.mapInArrow(tidy(split), f"{_KEY}, place long, bucket long, whole long")
+    return rows.select("key", "mark", "text").mapInArrow(tidy(split), f"{_KEY}, place long, bucket long, whole long")
 
 
 def contents(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The bytes of runs: `wanted` has doc_id, mark and runs, an array of (place, bucket, part, single)."""
-    schema = "doc_id long, mark int, place long, bucket long, part int, single boolean, data binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("place", pa.int64()), ("bucket", pa.int64()), ("part", pa.int32()), ("single", pa.bool_()), ("data", pa.binary())])
+    """The bytes of runs: `wanted` has key, mark and runs, an array of (place, bucket, part, single)."""
+    schema = "key long, mark long, place long, bucket long, part int, single boolean, data binary"
+    arrow = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("bucket", pa.int64()), ("part", pa.int32()), ("single", pa.bool_()), ("data", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in sliced(whole, 2)):
@@ -73,8 +75,7 @@ def contents(rows: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFr
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(flat.field(i) for i in range(4)), pa.array(data, type=pa.binary())], schema=arrow)
 
-    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.mark") == F.col("w.mark"))
-    return rows.alias("d").join(wanted.alias("w"), same).select("d.doc_id", "d.mark", "d.text", "w.runs").mapInArrow(tidy(cut), schema)
+    return rows.select("key", "mark", "text").join(wanted, ["key", "mark"]).select("key", "mark", "text", "runs").mapInArrow(tidy(cut), schema)
 
 
 def _windows(data: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,11 +155,11 @@ def _spans(batch: pa.Table, window: int) -> pa.RecordBatch:
     owner = numbers[first]
     start = (place >> 16)[owner] + offsets[first]
     take = pa.array(owner)
-    key = [column(c).take(take) for c in ("doc_id", "mark")]
+    key = [column(c).take(take) for c in ("key", "mark")]
     return pa.RecordBatch.from_arrays([*key, pa.array((start.astype(np.int64) << 16) | count)], schema=_SPAN)
 
 
-_SPAN = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("span", pa.int64())])
+_SPAN = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("span", pa.int64())])
 _SPAN_DDL = f"{_KEY}, span long"
 
 
@@ -188,7 +189,7 @@ def refine_in_memory(strings: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def refine_by_hash(strings: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """The same for buckets of any size: windows become rows, counted by hash with partial sums before the shuffle."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int32()), ("span", pa.int64()), ("bucket", pa.int64()), ("hash", pa.int64()), ("single", pa.bool_())])
+    arrow = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("span", pa.int64()), ("bucket", pa.int64()), ("hash", pa.int64()), ("single", pa.bool_())])
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -198,18 +199,18 @@ def refine_by_hash(strings: DataFrame, scratch: Scratch, window: int = WINDOW) -
                 start = (batch.column("place").to_numpy() >> 16)[numbers] + offsets
                 take = pa.array(numbers)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("mark").take(take), pa.array((start.astype(np.int64) << 16) | 1), batch.column("bucket").take(take), pa.array(hashes.view(np.int64)), batch.column("single").take(take)],
+                    [batch.column("key").take(take), batch.column("mark").take(take), pa.array((start.astype(np.int64) << 16) | 1), batch.column("bucket").take(take), pa.array(hashes.view(np.int64)), batch.column("single").take(take)],
                     schema=arrow,
                 )
 
     rows = strings.mapInArrow(tidy(exploded), f"{_SPAN_DDL}, bucket long, hash long, single boolean")
     saved = scratch.save(rows, "windows")
     twice = saved.groupBy("bucket", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hash")
-    return saved.where("single").join(twice, ["bucket", "hash"], "left_semi").select("doc_id", "mark", "span")
+    return saved.where("single").join(twice, ["bucket", "hash"], "left_semi").select("key", "mark", "span")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """doc_id, mark, spans: for each document that has any, its runs of starts of repeated windows.
+    """key, mark, spans: for each document that has any, its runs of starts of repeated windows.
 
     1. Buckets: runs of window starts, by their minimizer q-gram; buckets of one run are dropped.
     2. Refinement by the hash of the whole run: runs that are equal in full are repeated in full, and one of them
@@ -225,16 +226,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     several = scratch.save(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "several")
     shared = scratch.save(buckets.join(several, "bucket", "left_semi"), "shared")
     scratch.drop("buckets")
-    kinds = shared.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "place")).alias("one"))
+    kinds = shared.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "mark", "place")).alias("one"))
     kinds = scratch.save(kinds, "kinds")
     span = F.shiftleft(F.shiftright("place", 16), 16).bitwiseOR(F.shiftright("place", 8).bitwiseAND(F.lit(255)))
-    equal = shared.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi").select("doc_id", "mark", span.alias("span"))
+    equal = shared.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi").select("key", "mark", span.alias("span"))
     mixed = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = kinds.join(mixed, "bucket").select("one.*", "bucket", (F.col("k") > most).cast("int").alias("part"), (F.col("n") == 1).alias("single"))
-    wanted = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "bucket", "part", "single")).alias("runs"))
+    wanted = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("place", "bucket", "part", "single")).alias("runs"))
     strings = scratch.save(contents(rows, wanted, window), "strings")
     spans = equal.unionByName(refine_in_memory(strings.where("part = 0"), window)).unionByName(refine_by_hash(strings.where("part = 1"), scratch, window))
-    return scratch.only(spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")))
+    return scratch.only(spans.groupBy("key", "mark").agg(F.collect_list("span").alias("spans")))
 
 
 def covered(size: int, spans: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -255,8 +256,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     """
     rows = keyed(docs)
     spans = repeated_spans(docs, window, gram, most)
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.mark") == F.col("s.mark"))
-    joined = rows.alias("d").join(spans.alias("s"), same, "left").select("d.doc_id", "d.text", "s.spans")
+    joined = rows.join(spans, ["key", "mark"], "left").select("doc_id", "text", "spans")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

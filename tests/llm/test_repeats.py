@@ -87,3 +87,20 @@ def test_texts_beyond_a_slice(spark):
     docs = spark.createDataFrame([(1, long), (2, block[300:700])], "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.without_repeats(docs).collect()}
     assert got == {1: (len(long), 1100, 2), 2: (400, 400, 1)}
+
+
+def test_rows_of_null_key_whose_texts_have_equal_short_hashes(spark):
+    """Texts with equal 32-bit hashes and one (null) key, of several lengths, are still told apart."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(300_000).select(F.format_string("%08d", "id").alias("t"))
+    pairs = [r.both for r in ids.groupBy(F.hash("t").alias("h")).agg(F.sort_array(F.collect_list("t")).alias("both")).where("size(both) > 1").limit(3).collect()]
+    assert pairs
+    rng = random.Random(5)
+    tail = "".join(rng.choice("abcdefgh") for _ in range(240))  # equal ends keep hashes of 4-byte blocks equal
+    texts = [t + tail for both in pairs for t in both] + [tail[20:200] + "x" * 70, None, "", tail]
+    docs = spark.createDataFrame([(None, t, 1, "y") for t in texts], "doc_id long, text string, mark int, key string")
+    assert docs.select(F.hash("text").alias("h")).distinct().count() < len(texts)
+    for most in (2000, 0):
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(docs, 40, 16, most).collect())
+        assert got == sorted(brute(texts, 40))
