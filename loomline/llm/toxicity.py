@@ -29,6 +29,8 @@ WINDOW = 6
 TWICE_FROM = 14
 #: Bounds of the labelled sample that the lexicon and the weights are learned from.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: Characters of a text that the model learns from, at most.
+LONGEST = 50_000
 #: Cached verdicts in a Python worker.
 _CACHE = 400_000
 
@@ -276,12 +278,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     """At most most_toxic + most_clean labelled texts outside fold 0: those whose key has the least MD5.
 
     The bound makes the sample small enough to broadcast and to learn from on the driver. A key that is labelled both
-    ways counts as toxic.
+    ways counts as toxic; of texts that share a key the least counts, so that reruns agree. Texts of more than LONGEST
+    characters are not learned from, which bounds what the driver holds.
     """
     known = labels.where((fold(F.col("doc_id")) != 0) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = [known.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(n) for label, n in ((1, most_toxic), (0, most_clean))]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).collect()
+    labelled = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).join(picked, "doc_id")
+    rows = labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     return [(r["text"] or "", r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 

@@ -84,3 +84,14 @@ def test_quotation_is_told_from_abuse_by_a_learned_weight():
     assert model.weights[2] < toxicity.Model().weights[2]
     assert all(scorer.score(t) < 0.5 for t in quotes) and all(scorer.score(t) >= 0.5 for t in abuse)
     assert scorer.score("you golarb, you frobint, " + " ".join(words(10))) >= 0.5
+
+
+def test_sample_of_repeated_keys_is_the_same_in_every_order(spark):
+    rows = [(k, f"text {k} {j} {'idiot' if k % 2 else 'fine'}") for k in range(30) for j in range(4)] + [(3, None), (5, "z" * (toxicity.LONGEST + 1))]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(4)
+        found.append(toxicity.training_sample(docs, labels))
+    assert found[0] == found[1] and all(len(t) < 100 and " 0 " in t for t, _ in found[0])
+    assert len(found[0]) == len({t for t, _ in found[0]})
