@@ -207,24 +207,42 @@ def correction_rules(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("base", "kind", "diff").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), best.alias("best")).select("base", "kind", "diff", "n", "confidence", "best.*")
 
 
+#: Verdicts from the weakest to the strictest.
 VERDICTS = ("default", "allow", "ask", "deny")
 
 
-def verdict(segment: Column, rules: list[tuple[str, str]]) -> Column:
-    """The strictest verdict of (pattern, verdict) rules for one command: a pattern is *, prefix* or prefix:*, an
-    exact command or a prefix at a word boundary."""
-    rank = F.lit(0)
-    for pattern, name in rules:
-        stem = pattern.removesuffix(":*").removesuffix("*").rstrip()
-        hit = F.lit(True) if pattern == "*" else (segment == stem) | segment.startswith(f"{stem} ")
-        rank = F.greatest(rank, F.when(hit, VERDICTS.index(name)).otherwise(0))
-    return rank
+def permission_pattern(pattern: str) -> str:
+    """A regular expression for the commands that a permission rule's pattern names.
+
+    * alone names all; "git push", "git push*", "git push *" and "git push:*" name that command and what goes on after a
+    space; any other * stands for any characters, ":*" and "*:" being a space and a *.
+    """
+    plain = lambda text: "".join(c if c.isalnum() or c == "_" or ord(c) > 127 else rf"\{c}" if c > " " else rf"\x{ord(c):02x}" for c in text)
+    stem = pattern.removesuffix("*").rstrip(":").rstrip() if pattern.endswith("*") else pattern
+    if "*" not in stem and (stem or not pattern):
+        return f"{plain(stem)}(?: .*)?"
+    if stem in ("", "*"):
+        return ".*"
+    return ".*".join(map(plain, pattern.replace(":*", " *").replace("*:", "* ").split("*")))
+
+
+def bash_patterns(settings: Column, verdict: str) -> Column:
+    """The patterns of the Bash(...) rules of one verdict in a settings file's JSON; none where it isn't valid."""
+    rules = F.from_json(F.get_json_object(settings, f"$.permissions.{verdict}"), "array<string>")
+    bash = F.filter(F.coalesce(rules, F.array().cast("array<string>")), lambda r: r.startswith("Bash("))
+    return F.transform(bash, lambda r: F.when(r.endswith(")"), F.substring(r, F.lit(6), F.length(r) - 6)).otherwise(r))
 
 
 def permission(command: Column, rules: list[tuple[str, str]]) -> Column:
-    """The strictest verdict over the parts of a compound command."""
-    parts = F.transform(F.split(command, r"\s*(?:&&|\|\||;)\s*"), lambda s: verdict(F.trim(s), rules))
-    return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.array_max(parts) + 1)
+    """The strictest verdict of (pattern, verdict) rules over the parts of a compound command, which is split at &&, ||,
+    | and ;. The patterns of a verdict are one regular expression, so that a part is tried three times at most."""
+    parts = F.filter(F.transform(F.split(command, r"&&|\|\||[|;]"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    out = F.lit(VERDICTS[0])
+    for name in VERDICTS[1:]:
+        if patterns := [permission_pattern(p) for p, v in rules if v == name]:
+            whole = f"(?s)^(?:{'|'.join(patterns)})$".replace("$", r"\z")
+            out = F.when(F.exists(parts, lambda s: s.rlike(whole)), F.lit(name)).otherwise(out)
+    return out
 
 
 def positional_diff(old: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -123,13 +123,41 @@ def h22(spark, d):
     return rows.select(F.col("command").alias("a"), "b", Y.similarity(F.col("command"), F.col("b")).alias("similarity")).distinct()
 
 
-_RULES = [("git log", "allow"), ("git diff:*", "ask"), ("rm *", "deny")]
+#: Rules of each verdict; in SQL the same as prefixes at a word boundary and as patterns of * for any characters.
+_RULES = [("git log", "allow"), ("git diff:*", "allow"), ("git * --json", "ask"), ("* -v", "ask"), ("rm *", "deny"), ("git diff * -v", "deny"), ("*--fast*-v*", "deny")]
+_PREFIXES = {"allow": ["git log", "git diff"], "ask": [], "deny": ["rm"]}
+_GLOBS = {"allow": [], "ask": ["git * --json", "* -v"], "deny": ["git diff * -v", "*--fast*-v*"]}
+_HIT = {v: " OR ".join([f"s = '{p}' OR starts_with(s, '{p} ')" for p in _PREFIXES[v]] + [f"s GLOB '{g}'" for g in _GLOBS[v]]) for v in _PREFIXES}
+_COMPOUND = """SELECT x.session, x.seq, x.command || (CASE x.seq % 6 WHEN 0 THEN ' && ' WHEN 1 THEN '|' WHEN 2 THEN '; ' WHEN 3 THEN ' || ' WHEN 4 THEN ' | rm -rf ' ELSE ';;' END) || COALESCE(y.command, '') AS command
+ FROM executions x LEFT JOIN executions y ON x.session = y.session AND y.seq = x.seq + 1"""
 
 
-@query("C13_permissions", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'deny' WHEN event_type = 'view' THEN 'ask' WHEN event_type = 'click' THEN 'allow' ELSE 'default' END AS verdict FROM events")
+def _compounds(spark, d):
+    """Every command of a session with the next one, joined in six ways."""
+    from pyspark.sql import Window
+
+    join = F.element_at(F.array(*[F.lit(x) for x in (" && ", "|", "; ", " || ", " | rm -rf ", ";;")]), (F.col("seq") % 6 + 1).cast("int"))
+    after = F.coalesce(F.lead("command").over(Window.partitionBy("session").orderBy("seq")), F.lit(""))
+    return T.executions(spark, d).select("session", "seq", F.concat("command", join, after).alias("command"))
+
+
+_PARTS = "SELECT session, seq, command, unnest(string_split(replace(replace(replace(command, '&&', ';'), '||', ';'), '|', ';'), ';')) AS part FROM (" + _COMPOUND + ")"
+
+
+@query("C13_permissions", T.with_views(f"""SELECT session, seq, command, CASE WHEN bool_or({_HIT['deny']}) THEN 'deny' WHEN bool_or({_HIT['ask']}) THEN 'ask' WHEN bool_or({_HIT['allow']}) THEN 'allow' ELSE 'default' END AS verdict
+ FROM (SELECT *, trim(part) AS s FROM ({_PARTS})) GROUP BY 1, 2, 3""", "executions"))
 def c13(spark, d):
-    command = F.when(F.col("event_type") == "error", "git log && rm -rf x").when(F.col("event_type") == "view", "git log; git diff a").when(F.col("event_type") == "click", "git log -n 1 || ls").otherwise("gitlog")
-    return T.table(spark, d, "events").select("event_id", Y.permission(command, _RULES).alias("verdict"))
+    return _compounds(spark, d).withColumn("verdict", Y.permission(F.col("command"), _RULES))
+
+
+@query("C13_settings", """SELECT event_id, CASE event_type WHEN 'click' THEN 'rm *' WHEN 'view' THEN '* -v' WHEN 'error' THEN NULL ELSE 'git log ' || k END AS pattern, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 1 WHEN 'error' THEN 0 ELSE 1 END AS n
+ FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""")
+def c13_settings(spark, d):
+    """Rules read from settings files, one an event, of which some aren't JSON."""
+    of = F.when(F.col("event_type") == "click", "Bash(rm *)").when(F.col("event_type") == "view", "Bash(* -v)").otherwise(F.concat(F.lit("Bash(git log "), F.get_json_object("props", "$.k"), F.lit(")")))
+    text = F.when(F.col("event_type") == "error", "not {json").otherwise(F.concat(F.lit('{"permissions": {"deny": ["Read(x)", "'), of, F.lit('"]}, "other": 1}')))
+    found = Y.bash_patterns(text, "deny")
+    return T.table(spark, d, "events").select("event_id", F.get(found, 0).alias("pattern"), F.size(found).alias("n"))
 
 
 @query("A17_transcript_tail", "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS user_text, arg_max(text, turn) FILTER (role = 'assistant') AS assistant_text FROM conversations WHERE text <> '' GROUP BY 1")

@@ -212,3 +212,27 @@ def test_test_runs_and_tables(spark):
     assert [tuple(r) for r in P.go_failures(df).collect()] == [("p", "T", "x\ny\n")] and [tuple(r) for r in P.go_tests(df).collect()] == [("p", 0, 1, 0)]
     assert value(spark, P.psql_rows(F.col("t")), t=" a | b \n---+---\n 1 | x y \n(1 row)\n") == ["a\tb", "1\tx y"]
     assert value(spark, P.module_candidates(F.lit("a.ts"), F.col("t"), [".ts"]), t="../../x") == [] and value(spark, P.word_counts(F.col("t")), t="é b\n") == "1L 2W 5B"
+
+
+@pytest.mark.parametrize(
+    ("command", "rules", "want"),
+    [
+        ("git log | rm -rf x", [("git log", "allow"), ("rm *", "deny")], "deny"),
+        ("git push origin main", [("git * main", "deny")], "deny"),
+        ("git push origin main2", [("git * main", "deny")], "default"),
+        ("sudo rm -rf /", [("sudo:*", "deny")], "deny"),
+        ("sudoedit x", [("sudo:*", "deny")], "default"),
+        ("git push --force", [("git push --force", "deny"), ("git push --force", "ask")], "deny"),
+        ("git pushx", [("git push*", "ask")], "default"),
+        ("x rm y", [("*:rm *", "ask")], "ask"),
+        ("anything", [("***", "allow")], "allow"),
+        ("a;;b", [("b", "ask")], "ask"),
+        ("a.b", [("a+b", "ask"), ("a?b", "ask")], "default"),
+        ("ls\nrm x", [("ls * x", "ask")], "default"),
+        ("", [("*", "deny")], "default"),
+        ("echo 'a|b' && ls", [("ls", "allow"), ("*b'", "ask")], "ask"),
+        ("cat a\nb", [("cat *b", "allow")], "allow"),
+    ],
+)
+def test_permissions(spark, command, rules, want):
+    assert value(spark, Y.permission(F.col("c"), rules), c=command) == want
