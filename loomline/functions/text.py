@@ -166,7 +166,7 @@ def output_kind(text: Column) -> Column:
 
 
 def placeholders(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\{\{TOK_[A-Z0-9_]+\}\}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"\{\{LOM_[A-Z0-9_]+\}\}"), F.lit(0))
 
 
 #: Phrases that try to change an agent's instructions.

@@ -96,14 +96,14 @@ def action(kind: Column, mode: str) -> Column:
 
 def obfuscated(text: Column, found: Column, mode: str = "balanced") -> Column:
     """Struct of text and entries (placeholder, value): the span of each finding that the mode doesn't allow becomes
-    {{TOK_LABEL_nnn}}, numbered by label from right to left."""
+    {{LOM_LABEL_nnn}}, numbered by label from right to left."""
     entry = "struct<text:string,entries:array<struct<placeholder:string,value:string>>>"
 
     def step(state: Column, f: Column) -> Column:
         label = _looked_up(f["kind"], LABELS, f["kind"])
-        n = F.size(F.filter(state["entries"], lambda e: F.startswith(e["placeholder"], F.concat(F.lit("{{TOK_"), label, F.lit("_"))))) + 1
+        n = F.size(F.filter(state["entries"], lambda e: F.startswith(e["placeholder"], F.concat(F.lit("{{LOM_"), label, F.lit("_"))))) + 1
         number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
-        mark = F.concat(F.lit("{{TOK_"), label, F.lit("_"), number, F.lit("}}"))
+        mark = F.concat(F.lit("{{LOM_"), label, F.lit("_"), number, F.lit("}}"))
         cut = F.concat(F.substring(state["text"], F.lit(1), f["start"]), mark, F.substring(state["text"], f["end"] + 1, F.length(state["text"])))
         made = F.concat(state["entries"], F.array(F.struct(mark.alias("placeholder"), f["value"].alias("value"))))
         return F.struct(cut.alias("text"), made.alias("entries")).cast(entry)

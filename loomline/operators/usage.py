@@ -42,7 +42,7 @@ def by_client(facts: DataFrame) -> DataFrame:
 
 def by_command(facts: DataFrame) -> DataFrame:
     """Counts, sums, the plain mean of percentages and the whole average time of each command."""
-    return facts.groupBy("tok_cmd").agg(
+    return facts.groupBy("lom_cmd").agg(
         F.count(F.lit(1)).alias("n"), F.sum("saved_tokens").alias("saved"), F.avg("savings_pct").alias("pct"), F.floor(F.sum("exec_time_ms") / F.count(F.lit(1))).cast("long").alias("avg_time_ms")
     )
 
@@ -50,11 +50,11 @@ def by_command(facts: DataFrame) -> DataFrame:
 def rollup_key(command: Column) -> Column:
     """The bucket of a command: the filter's name, 'fallback', the tool, or the command itself."""
     word = lambda c, i: F.split_part(F.regexp_replace(F.trim(c), r"\s+", " "), F.lit(" "), F.lit(i))
-    tool = F.when(word(command, 1) == "tok", word(command, 2)).otherwise("")
+    tool = F.when(word(command, 1) == "lom", word(command, 2)).otherwise("")
     filtered = word(F.substring(command, 10, 1 << 20), 1)
     return (
-        F.when(command.startswith("tok:toml "), F.concat(F.lit("toml:"), F.when(filtered == "", "toml").otherwise(filtered)))
-        .when(command.startswith("tok fallback:"), "fallback")
+        F.when(command.startswith("lom:toml "), F.concat(F.lit("toml:"), F.when(filtered == "", "toml").otherwise(filtered)))
+        .when(command.startswith("lom fallback:"), "fallback")
         .when(tool != "", tool)
         .otherwise(command)
     )
@@ -62,7 +62,7 @@ def rollup_key(command: Column) -> Column:
 
 def rolled_up(commands: DataFrame, top: int) -> DataFrame:
     """by_command() by rollup key: percentages weighted by savings, times by count; the first `top` by savings."""
-    rolled = commands.groupBy(rollup_key(F.col("tok_cmd")).alias("key")).agg(
+    rolled = commands.groupBy(rollup_key(F.col("lom_cmd")).alias("key")).agg(
         F.sum("n").alias("n"), F.sum("saved").alias("saved"), F.sum(F.col("pct") * F.col("saved")).alias("weighted"), F.sum(F.col("avg_time_ms") * F.col("n")).alias("time")
     )
     rated = rolled.select("key", "n", "saved", F.when(F.col("saved") > 0, F.col("weighted") / F.col("saved")).otherwise(0.0).alias("pct"), F.expr("time div n").alias("avg_time_ms"))

@@ -23,7 +23,7 @@ def d1(spark, d):
     return Y.with_results(*_calls(spark, d)).withColumn("output", F.col("output").cast("double"))
 
 
-_CLASS = "'tok git'"
+_CLASS = "'lom git'"
 _PCT = "CASE WHEN command LIKE 'git diff%' THEN 80.0 ELSE 70.0 END"
 
 
@@ -35,11 +35,11 @@ def d11(spark, d):
 
 #: Commands of many tools, with the target and share that the rules give them.
 _TOOLS = [
-    ("git -C /x diff --stat", "tok git", 80.0), ("sudo git push origin main", "tok git", 70.0), ("git bisect start", None, None), ("cat a.txt", "tok read", 60.0), ("cat a > b", None, None),
-    ("bat a.rs", "tok read", 60.0), ("rg -n x src", "tok grep", 75.0), ("grep -r y .", "tok grep", 75.0), ("npx eslint src", "tok lint", 84.0), ("biome check", "tok biome", 84.0), ("fd x", "tok fd", 70.0),
-    ("cargo test --all", "tok cargo", 90.0), ("cargo fmt", "tok cargo", 80.0), ("/usr/bin/python -m pytest", "tok pytest", 90.0), ("python -m pytest -q", "tok pytest", 90.0), ("pip3 list", "tok pip", 75.0), ("uv pip install x", "tok uv", 65.0),
-    ("go vet ./...", "tok go", 75.0), ("docker compose logs web", "tok docker", 85.0), ("aws ec2 describe-instances", "tok aws", 80.0), ("swift test", "tok swift", 90.0), ("tofu plan", "tok tofu", 70.0), ("java -jar app.jar", "tok spring-boot", 70.0),
-    ("stat x", "tok stat", 60.0), ("task build", "tok task", 70.0), ("mise run x", "tok mise", 65.0), ("xcodebuild -scheme x", "tok xcodebuild", 70.0), ("skopeo inspect x", "tok skopeo", 65.0), ("hadolint Dockerfile", "tok hadolint", 65.0),
+    ("git -C /x diff --stat", "lom git", 80.0), ("sudo git push origin main", "lom git", 70.0), ("git bisect start", None, None), ("cat a.txt", "lom read", 60.0), ("cat a > b", None, None),
+    ("bat a.rs", "lom read", 60.0), ("rg -n x src", "lom grep", 75.0), ("grep -r y .", "lom grep", 75.0), ("npx eslint src", "lom lint", 84.0), ("biome check", "lom biome", 84.0), ("fd x", "lom fd", 70.0),
+    ("cargo test --all", "lom cargo", 90.0), ("cargo fmt", "lom cargo", 80.0), ("/usr/bin/python -m pytest", "lom pytest", 90.0), ("python -m pytest -q", "lom pytest", 90.0), ("pip3 list", "lom pip", 75.0), ("uv pip install x", "lom uv", 65.0),
+    ("go vet ./...", "lom go", 75.0), ("docker compose logs web", "lom docker", 85.0), ("aws ec2 describe-instances", "lom aws", 80.0), ("swift test", "lom swift", 90.0), ("tofu plan", "lom tofu", 70.0), ("java -jar app.jar", "lom spring-boot", 70.0),
+    ("stat x", "lom stat", 60.0), ("task build", "lom task", 70.0), ("mise run x", "lom mise", 65.0), ("xcodebuild -scheme x", "lom xcodebuild", 70.0), ("skopeo inspect x", "lom skopeo", 65.0), ("hadolint Dockerfile", "lom hadolint", 65.0),
     ("echo x", None, None), ("printf x", None, None), ("while true", None, None), ("python3 -c 1", None, None), ("unknown thing", None, None),
 ]
 _TOOL_ROWS = ", ".join(f"({i}, '{c}', {'NULL' if t is None else repr(t)}, {'NULL' if p is None else p}::DOUBLE)" for i, (c, t, p) in enumerate(_TOOLS))
@@ -58,7 +58,7 @@ def e11_tools(spark, d):
     return Y.discover(T.table(spark, d, "events").select(command.alias("command"), (F.col("event_id") % 500 * 40).alias("output_bytes"))).select("target", "n", "saved")
 
 
-_BORING = ["cd /tmp", "pwd", "git status", "echo", "echoes", "wait", "sh", "shellcheck x", "chown a b", "awk 1", "node -e 1", "then ls", "for i in x", "ruby x", "done", "tok git log"]
+_BORING = ["cd /tmp", "pwd", "git status", "echo", "echoes", "wait", "sh", "shellcheck x", "chown a b", "awk 1", "node -e 1", "then ls", "for i in x", "ruby x", "done", "lom git log"]
 _BORING_SQL = "(" + ", ".join(str(_BORING.index(c)) for c in ("git status", "echoes", "shellcheck x", "ruby x")) + ")"
 
 

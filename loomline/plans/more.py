@@ -54,11 +54,11 @@ def b3(spark, d):
     return spark.read.parquet(folder).groupBy("project_path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("B4_export_csv", T.with_views("SELECT tok_cmd, COUNT(*) AS n FROM commands GROUP BY 1", "commands"))
+@query("B4_export_csv", T.with_views("SELECT lom_cmd, COUNT(*) AS n FROM commands GROUP BY 1", "commands"))
 def b4(spark, d):
     folder = _folder(spark, "csv")
-    FS.export(U.by_command(T.commands(spark, d)).select("tok_cmd", "n"), folder, "csv")
-    return spark.read.option("header", True).schema("tok_cmd string, n long").csv(folder)
+    FS.export(U.by_command(T.commands(spark, d)).select("lom_cmd", "n"), folder, "csv")
+    return spark.read.option("header", True).schema("lom_cmd string, n long").csv(folder)
 
 
 @query("A2_passthrough", T.with_views("SELECT SUM(input_tokens)::BIGINT AS input_tokens, 100.0::DOUBLE * SUM(saved_tokens) / SUM(input_tokens) AS savings_pct, COUNT(*) * 2 AS commands FROM commands", "commands"))
@@ -92,7 +92,7 @@ def h12(spark, d):
     return T.table(spark, d, "events").select("event_id", F.coalesce(X.log_level(line), F.lit("none")).alias("level"))
 
 
-@query("H18_classify_prefixed", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'none' ELSE 'tok pytest' END AS target FROM events")
+@query("H18_classify_prefixed", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'none' ELSE 'lom pytest' END AS target FROM events")
 def h18(spark, d):
     command = F.when(F.col("event_type") == "view", "cd x").when(F.col("event_type") == "error", "A=1 B=2 pytest -q").otherwise("/usr/local/bin/pytest tests")
     return T.table(spark, d, "events").select("event_id", F.coalesce(Y.classified(command)["target"], F.lit("none")).alias("target"))

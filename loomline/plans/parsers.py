@@ -187,9 +187,9 @@ def h17(spark, d):
     return _shell(spark, d).select("event_id", F.explode(S.split_chain("line")).alias("command"))
 
 
-@query("H19_rewrite", "SELECT event_id, 'tok git log -n ' || user_id || ' && echo ''a b'' > out' || event_id % 3 || ' | wc' AS line FROM events")
+@query("H19_rewrite", "SELECT event_id, 'lom git log -n ' || user_id || ' && echo ''a b'' > out' || event_id % 3 || ' | wc' AS line FROM events")
 def h19(spark, d):
-    return _shell(spark, d).select("event_id", S.rewrite("line", {"git": "tok git", "wc": "tok wc"}).alias("line"))
+    return _shell(spark, d).select("event_id", S.rewrite("line", {"git": "lom git", "wc": "lom wc"}).alias("line"))
 
 
 @query("H20_base_command", "SELECT event_id, 'git log' AS base FROM events")
@@ -203,7 +203,7 @@ def i8(spark, d):
     return rows.select(F.col("window.start").alias("start"), "commands", "saved")
 
 
-@query("B4_export_json", T.with_views("SELECT tok_cmd, COUNT(*) AS n FROM commands GROUP BY 1", "commands"))
+@query("B4_export_json", T.with_views("SELECT lom_cmd, COUNT(*) AS n FROM commands GROUP BY 1", "commands"))
 def b4(spark, d):
-    rows = U.by_command(T.commands(spark, d)).select(F.to_json(F.struct("tok_cmd", "n")).alias("j"))
-    return rows.select(F.from_json("j", "tok_cmd string, n long").alias("r")).select("r.*")
+    rows = U.by_command(T.commands(spark, d)).select(F.to_json(F.struct("lom_cmd", "n")).alias("j"))
+    return rows.select(F.from_json("j", "lom_cmd string, n long").alias("r")).select("r.*")

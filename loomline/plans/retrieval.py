@@ -176,7 +176,7 @@ def m5(spark, d):
 
 @query("M6_obfuscate", f"""WITH f AS (SELECT *, {_LABEL} AS label FROM ({_FOUND})), n AS (
  SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY "start" DESC) AS k, COALESCE(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS before FROM f), m AS (
- SELECT doc_id, string_agg(substr(text, before + 1, "start" - before) || '{{{{TOK_' || label || '_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '}}}}', '' ORDER BY "start") || substr(any_value(text), MAX("end")::BIGINT + 1) AS text
+ SELECT doc_id, string_agg(substr(text, before + 1, "start" - before) || '{{{{LOM_' || label || '_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '}}}}', '' ORDER BY "start") || substr(any_value(text), MAX("end")::BIGINT + 1) AS text
  FROM n JOIN documents USING (doc_id) GROUP BY doc_id) SELECT d.doc_id, md5(COALESCE(m.text, d.text)) AS text FROM documents d LEFT JOIN m USING (doc_id)""")
 def m6(spark, d):
     return _found(spark, d).select("doc_id", F.md5(P.obfuscated(F.col("text"), F.col("found"))["text"]).alias("text"))

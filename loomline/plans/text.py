@@ -136,9 +136,9 @@ def h38(spark, d):
     return table(spark, d, "part").select("p_partkey", X.language_of(extension).alias("language"))
 
 
-@query("H43_placeholders", r"SELECT doc_id, array_to_string(regexp_extract_all(text || ' {{TOK_EMAIL_' || doc_id % 7 || '}} {{tok_x}} {{TOK_IP_2}}', '\{\{TOK_[A-Z0-9_]+\}\}'), ',') AS found FROM documents")
+@query("H43_placeholders", r"SELECT doc_id, array_to_string(regexp_extract_all(text || ' {{LOM_EMAIL_' || doc_id % 7 || '}} {{lom_x}} {{LOM_IP_2}}', '\{\{LOM_[A-Z0-9_]+\}\}'), ',') AS found FROM documents")
 def h43(spark, d):
-    text = F.concat("text", F.lit(" {{TOK_EMAIL_"), F.col("doc_id") % 7, F.lit("}} {{tok_x}} {{TOK_IP_2}}"))
+    text = F.concat("text", F.lit(" {{LOM_EMAIL_"), F.col("doc_id") % 7, F.lit("}} {{lom_x}} {{LOM_IP_2}}"))
     return _docs(spark, d).select("doc_id", F.array_join(X.placeholders(text), ",").alias("found"))
 
 
@@ -277,9 +277,9 @@ def d18(spark, d):
     return Y.positional_diff(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), ("pair",)).groupBy("pair", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A12_audit_log", "SELECT strftime(ts, '%Y-%m-%d') AS timestamp, event_type AS action, 'cmd' || user_id AS original_cmd, CASE WHEN event_id % 2 = 0 THEN 'tok ' || user_id ELSE '-' END AS rewritten_cmd FROM events")
+@query("A12_audit_log", "SELECT strftime(ts, '%Y-%m-%d') AS timestamp, event_type AS action, 'cmd' || user_id AS original_cmd, CASE WHEN event_id % 2 = 0 THEN 'lom ' || user_id ELSE '-' END AS rewritten_cmd FROM events")
 def a12(spark, d):
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" | "), "event_type", F.lit(" | cmd"), "user_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | tok "), "user_id")).otherwise(""))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" | "), "event_type", F.lit(" | cmd"), "user_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" | lom "), "user_id")).otherwise(""))
     return Y.audit(table(spark, d, "events").select(line.alias("line")))
 
 

@@ -25,7 +25,7 @@ def e2(spark, d):
     return U.by_client(T.commands(spark, d))
 
 
-_RAW = "SELECT tok_cmd, COUNT(*) AS n, SUM(saved_tokens)::BIGINT AS saved, AVG(savings_pct) AS pct, floor(SUM(exec_time_ms)::DOUBLE / COUNT(*))::BIGINT AS avg_time_ms FROM commands GROUP BY 1"
+_RAW = "SELECT lom_cmd, COUNT(*) AS n, SUM(saved_tokens)::BIGINT AS saved, AVG(savings_pct) AS pct, floor(SUM(exec_time_ms)::DOUBLE / COUNT(*))::BIGINT AS avg_time_ms FROM commands GROUP BY 1"
 
 
 @query("E3_by_command", _over(_RAW))
@@ -33,12 +33,12 @@ def e3(spark, d):
     return U.by_command(T.commands(spark, d))
 
 
-@query("E4_rollup_key", _over("SELECT DISTINCT tok_cmd, split_part(tok_cmd, ' ', 2) AS key FROM commands"))
+@query("E4_rollup_key", _over("SELECT DISTINCT lom_cmd, split_part(lom_cmd, ' ', 2) AS key FROM commands"))
 def e4(spark, d):
-    return T.commands(spark, d).select("tok_cmd", U.rollup_key(F.col("tok_cmd")).alias("key")).distinct()
+    return T.commands(spark, d).select("lom_cmd", U.rollup_key(F.col("lom_cmd")).alias("key")).distinct()
 
 
-@query("E5_rollup", _over(f"SELECT split_part(tok_cmd, ' ', 2) AS key, SUM(n)::BIGINT AS n, SUM(saved)::BIGINT AS saved, SUM(pct * saved) / SUM(saved) AS pct, (SUM(avg_time_ms * n) // SUM(n))::BIGINT AS avg_time_ms FROM ({_RAW}) GROUP BY 1"))
+@query("E5_rollup", _over(f"SELECT split_part(lom_cmd, ' ', 2) AS key, SUM(n)::BIGINT AS n, SUM(saved)::BIGINT AS saved, SUM(pct * saved) / SUM(saved) AS pct, (SUM(avg_time_ms * n) // SUM(n))::BIGINT AS avg_time_ms FROM ({_RAW}) GROUP BY 1"))
 def e5(spark, d):
     return U.rolled_up(U.by_command(T.commands(spark, d)), 10)
 
@@ -78,9 +78,9 @@ def e36(spark, d):
     return U.quota(T.commands(spark, d))
 
 
-@query("E37_bypass_rate", _over("SELECT COUNT(*) AS commands, 100.0::DOUBLE * AVG((tok_cmd LIKE '%error%')::INT) AS bypass_pct FROM commands HAVING bypass_pct > 10"))
+@query("E37_bypass_rate", _over("SELECT COUNT(*) AS commands, 100.0::DOUBLE * AVG((lom_cmd LIKE '%error%')::INT) AS bypass_pct FROM commands HAVING bypass_pct > 10"))
 def e37(spark, d):
-    return U.bypass_rate(T.commands(spark, d), F.col("tok_cmd").contains("error"))
+    return U.bypass_rate(T.commands(spark, d), F.col("lom_cmd").contains("error"))
 
 
 @query("F10_last_days", _over(f"SELECT strftime(timestamp, '%Y-%m-%d') AS day, {_TOTALS} FROM commands GROUP BY 1 ORDER BY 1 DESC LIMIT 10"))
@@ -93,9 +93,9 @@ def f11(spark, d):
     return U.bars(U.by_client(T.commands(spark, d)).select("client", F.col("saved_tokens").alias("saved")), "saved")
 
 
-@query("F12_recent", _over("SELECT id, timestamp, tok_cmd, saved_tokens FROM commands WHERE project_path = '/p/3' OR starts_with(project_path, '/p/3/') ORDER BY timestamp DESC, id DESC LIMIT 25"))
+@query("F12_recent", _over("SELECT id, timestamp, lom_cmd, saved_tokens FROM commands WHERE project_path = '/p/3' OR starts_with(project_path, '/p/3/') ORDER BY timestamp DESC, id DESC LIMIT 25"))
 def f12(spark, d):
-    return U.recent(T.commands(spark, d), 25, "/p/3").select("id", "timestamp", "tok_cmd", "saved_tokens")
+    return U.recent(T.commands(spark, d), 25, "/p/3").select("id", "timestamp", "lom_cmd", "saved_tokens")
 
 
 @query("C10_project_scope", _over(f"SELECT {_TOTALS} FROM commands WHERE project_path = '/p/1' OR starts_with(project_path, '/p/1/')"))

@@ -17,7 +17,7 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("timestamp"),
-        F.concat(F.lit("tok "), "event_type", F.lit(" -k"), k).alias("tok_cmd"),
+        F.concat(F.lit("lom "), "event_type", F.lit(" -k"), k).alias("lom_cmd"),
         F.concat(F.lit("/p/"), F.col("user_id") % 7, F.lit("/m"), F.col("user_id") % 3).alias("project_path"),
         client.alias("client"),
         F.floor(F.col("value") * 100).cast("long").alias("input_tokens"),
@@ -115,7 +115,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "commands": """SELECT *, CASE WHEN input_tokens > 0 THEN 100.0::DOUBLE * saved_tokens / input_tokens ELSE 0 END AS savings_pct FROM (
  SELECT *, greatest(input_tokens - output_tokens, 0) AS saved_tokens FROM (
- SELECT event_id AS id, ts AS timestamp, 'tok ' || event_type || ' -k' || k AS tok_cmd, '/p/' || user_id % 7 || '/m' || user_id % 3 AS project_path,
+ SELECT event_id AS id, ts AS timestamp, 'lom ' || event_type || ' -k' || k AS lom_cmd, '/p/' || user_id % 7 || '/m' || user_id % 3 AS project_path,
  CASE user_id % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' ELSE '' END AS client, floor(value * 100)::BIGINT AS input_tokens,
  floor(value * 100 * (k % 80) / 100)::BIGINT AS output_tokens, event_id % 500 AS exec_time_ms
  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)))""",

@@ -77,8 +77,8 @@ def test_shell_lines():
     ]
     assert S.words(r"""a "b c" d\ e 'f\g' "" """) == ["a", "b c", "d e", r"f\g", ""]
     assert S.chain("a && b 'x && y' ; c | d && e") == ["a", "b 'x && y'", "c"] and S.chain("cat <<EOF && b") == ["cat <<EOF && b"]
-    assert S.rewritten("git log && ls; git x | git y", {"git": "tok git"}) == "tok git log && ls; tok git x | git y"
-    assert S.rewritten("ls", {"git": "tok git"}) is None and S.rewritten(None, {}) is None and S.tokens(None) == []
+    assert S.rewritten("git log && ls; git x | git y", {"git": "lom git"}) == "lom git log && ls; lom git x | git y"
+    assert S.rewritten("ls", {"git": "lom git"}) is None and S.rewritten(None, {}) is None and S.tokens(None) == []
 
 
 def test_corrections(spark):
@@ -103,17 +103,17 @@ def test_permissions(spark):
 def test_last_rule_wins(spark):
     rules = [B.CommandRule(r"^git\s+(log|x)", "a", "x", 10.0, ("git",), {"log": 20.0}, ("x",)), B.CommandRule("^git log --all", "b", "y", 30.0, ("git",))]
     pick = lambda c: value(spark, Y.classified(F.col("c"), rules), c=c)
-    assert tuple(pick("git log --all")) == ("tok b", "y", 30.0, "supported") and pick("cd git") is None and pick("echo") is None
-    assert tuple(pick("A=1 git log -1")) == ("tok a", "x", 20.0, "supported") and tuple(pick("git  x")) == ("tok a", "x", 10.0, "passthrough")
+    assert tuple(pick("git log --all")) == ("lom b", "y", 30.0, "supported") and pick("cd git") is None and pick("echo") is None
+    assert tuple(pick("A=1 git log -1")) == ("lom a", "x", 20.0, "supported") and tuple(pick("git  x")) == ("lom a", "x", 10.0, "passthrough")
 
 
 CLASSIFIED = {
-    "/usr/bin/cargo test --all": ("tok cargo", 90.0), "cargo fmt": ("tok cargo", 80.0), "head -n 3 x": ("tok read", 60.0), "bat x": ("tok read", 60.0), "cat a > b": None, "cat < b": None,
-    "rg x": ("tok grep", 75.0), "npx eslint .": ("tok lint", 84.0), "eslint x": ("tok lint", 84.0), "biome check": ("tok biome", 84.0), "npx biome check": ("tok lint", 84.0), "pnpm lint": ("tok lint", 84.0),
-    "git bisect": None, "git -C /tmp --no-pager diff": ("tok git", 80.0), "git -c a=b log": ("tok git", 70.0), 'sudo env A="x y" git status': ("tok git", 70.0), "a=1 git status": None, "python3 -m mypy x": ("tok mypy", 80.0),
-    "uv pip install x": ("tok uv", 65.0), "uv pip list": ("tok pip", 75.0), "pip3 outdated": ("tok pip", 75.0), "aws s3 ls": ("tok aws", 80.0), "bundle exec rake test": ("tok rake", 85.0), "bin/rails test": ("tok rake", 85.0),
-    "java -jar x.jar": ("tok spring-boot", 70.0), "gradle bootRun": ("tok spring-boot", 70.0), "./gradlew build": None, "swift test": ("tok swift", 90.0), "gcc -O2 x.c": ("tok gcc", 70.0), "g++ x.cc": None, "pnpm test": ("tok vitest", 99.0), "test -f x": None,
-    "docker compose logs": ("tok docker", 85.0), "make-all": ("tok make", 65.0), "tree": ("tok tree", 70.0), "fd x": ("tok fd", 70.0), "": None, "  ": None, "then\ngit log": None, "nosuch x": None, "tok git log": None, "python3 -c 1": None,
+    "/usr/bin/cargo test --all": ("lom cargo", 90.0), "cargo fmt": ("lom cargo", 80.0), "head -n 3 x": ("lom read", 60.0), "bat x": ("lom read", 60.0), "cat a > b": None, "cat < b": None,
+    "rg x": ("lom grep", 75.0), "npx eslint .": ("lom lint", 84.0), "eslint x": ("lom lint", 84.0), "biome check": ("lom biome", 84.0), "npx biome check": ("lom lint", 84.0), "pnpm lint": ("lom lint", 84.0),
+    "git bisect": None, "git -C /tmp --no-pager diff": ("lom git", 80.0), "git -c a=b log": ("lom git", 70.0), 'sudo env A="x y" git status': ("lom git", 70.0), "a=1 git status": None, "python3 -m mypy x": ("lom mypy", 80.0),
+    "uv pip install x": ("lom uv", 65.0), "uv pip list": ("lom pip", 75.0), "pip3 outdated": ("lom pip", 75.0), "aws s3 ls": ("lom aws", 80.0), "bundle exec rake test": ("lom rake", 85.0), "bin/rails test": ("lom rake", 85.0),
+    "java -jar x.jar": ("lom spring-boot", 70.0), "gradle bootRun": ("lom spring-boot", 70.0), "./gradlew build": None, "swift test": ("lom swift", 90.0), "gcc -O2 x.c": ("lom gcc", 70.0), "g++ x.cc": None, "pnpm test": ("lom vitest", 99.0), "test -f x": None,
+    "docker compose logs": ("lom docker", 85.0), "make-all": ("lom make", 65.0), "tree": ("lom tree", 70.0), "fd x": ("lom fd", 70.0), "": None, "  ": None, "then\ngit log": None, "nosuch x": None, "lom git log": None, "python3 -c 1": None,
 }
 
 
@@ -142,7 +142,7 @@ def test_sensitive_values(spark):
     df = spark.createDataFrame([(text,), (None,), ("",)], "text string").withColumn("f", V.without_overlaps(V.findings("text")))
     out = df.withColumn("o", V.obfuscated(F.col("text"), F.col("f"))).select("text", "f", "o.text", V.restored(F.col("o.text"), F.col("o.entries")).alias("back")).collect()
     assert [f["value"] for f in out[0][1]] == ["a@b.org", "c@d.org", "https://x.org/a@b.org", "10.0.0.1"]
-    assert out[0][2] == "mail {{TOK_EMAIL_002}} or {{TOK_EMAIL_001}}, see {{TOK_URL_001}} and {{TOK_IP_001}} not 127.0.0.1" and out[0][3] == text
+    assert out[0][2] == "mail {{LOM_EMAIL_002}} or {{LOM_EMAIL_001}}, see {{LOM_URL_001}} and {{LOM_IP_001}} not 127.0.0.1" and out[0][3] == text
 
 
 def test_communities_and_pagerank(spark):
