@@ -8,26 +8,47 @@ import pytest
 from loomline.llm import fingerprints as fp
 
 
+def prints(*texts):
+    return fp.Hashed(list(texts)).whole().fingerprints()
+
+
 def near(one, two):
-    return fp.likeness(*(fp.Prefixes.of(t).fingerprint() for t in (one, two)))
+    return fp.likeness(*prints(one, two))
 
 
 def test_spans_are_equal_where_texts_are(monkeypatch):
     rng = np.random.default_rng(2)
-    text = "".join(rng.choice(list("ab🎉c"), 150))
+    text, other = "".join(rng.choice(list("ab🎉c"), 150)), ""
+    other = "x" + text[20:90] + "y" * 30
     for block in (7, 64, 1 << 16):
         monkeypatch.setattr(fp, "BLOCK", block)
-        own = fp.Prefixes.of(text)
+        hashed = fp.Hashed([text, other])
+        whole = hashed.whole()
         seen = {}
-        for i in range(0, 150, 3):
-            for j in range(i, 150):
-                seen.setdefault(text[i:j], set()).add(int(own.spans([i], [j])[0]))
+        starts, ends = map(np.array, zip(*[(i, j) for i in range(0, 150, 3) for j in range(i, 150)]))
+        for i, j, h in zip(starts, ends, whole.spans(0 * starts, starts, ends).tolist()):
+            seen.setdefault(text[i:j], set()).add(h)
         assert all(len(v) == 1 for v in seen.values()) and len({min(v) for v in seen.values()}) == len(seen)
-        other = fp.Prefixes.of("x" + text[20:90] + "y" * 30)
-        assert own.common(20, other, 1) == 70 and own.common(0, own, 0) == 150 and own.common(150, own, 0) == 0
-        joined = own.joined(40, other, 60)
-        assert all((a == b).all() for a, b in zip(joined.h, fp.Prefixes.of(text[:40] + ("x" + text[20:90])[:60]).h))
-        assert own.joined(0, other, 0).n == 0
+        assert whole.common(0, 20, 1, 1) == 70 and whole.common(0, 0, 0, 0) == 150 and whole.common(0, 150, 1, 0) == 0
+        for keep, take in ((40, 60), (0, 50), (3, 4), (100, 0), (0, 0), (10, 101), (120, 5), (0, 101), (0, 7)):
+            joined = fp.Spliced(hashed, hashed.lows[:1], np.array([keep]), hashed.lows[1:], np.array([take]))
+            alone = fp.Hashed([text[:keep] + other[:take]]).whole()
+            assert joined.fingerprints() == alone.fingerprints()
+            assert sorted(np.concatenate(joined.grams()[0])) == sorted(np.concatenate(alone.grams()[0]))
+
+
+def test_texts_hashed_together_have_the_fingerprints_that_they_have_alone():
+    texts = ["abc" * 30, "", "x", "é🎉" * 40, "abc" * 30, "abc" * 3000]
+    assert prints(*texts) == [p for t in texts for p in prints(t)]
+
+
+def test_steps():
+    for n in range(1, 3000):
+        step = 1
+        while step * fp.CHECKS < n:
+            step *= 2
+        assert fp._step(n) == step
+    assert fp._step(0) == 1
 
 
 def test_likeness():
@@ -64,7 +85,7 @@ def plain(rows, hashes):
     for (k, text), (_, following) in zip(order, order[1:] + order[:1]):
         third = len(text) // 3
         edited = text[: len(text) - third] + following[:third]
-        of = [fp.Prefixes.of(t).fingerprint() for t in (text, edited, following)]
+        of = prints(text, edited, following)
         out.append((k, len(text), hashlib.sha256(edited.encode()).hexdigest(), of[0], of[1], fp.likeness(of[0], of[1]), fp.likeness(of[0], of[2])))
     return sorted(out, key=str)
 
