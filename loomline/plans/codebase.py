@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import resolution as R
+from ..operators import retrieval as Q
+from ..operators import scopes as S
 from ..sources import codebase as C
 from .catalog import query
 
@@ -101,3 +103,91 @@ def h39_import_candidates(spark, d):
     there = v["nodes"].select(F.col("file").alias("path"), F.lit(True).alias("there")).distinct()
     rows = asked.join(there, "path", "left").groupBy("file", "local", "imported", "module")
     return rows.agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("there"), F.col("path")))), ",").alias("found")).withColumn("found", F.nullif("found", F.lit("")))
+
+
+#: What each repository's workspace names, as patterns: the manifests' texts are not read here.
+_NAMED = """CASE CAST(substr(repo, 2) AS BIGINT) % 5 WHEN 0 THEN regexp_matches(dir, '^packages/[^/]+$') OR dir = 'apps/web' WHEN 1 THEN regexp_matches(dir, '^packages/[^/]+$') OR starts_with(dir, 'libs/')
+ WHEN 2 THEN regexp_matches(dir, '^apps/[^/]+$') WHEN 3 THEN regexp_matches(dir, '^libs/[^/]+$') OR dir = 'deep/a/b0' ELSE dir IN ('tools/t1', 'deep/a/b1', 'packages') END"""
+_SCOPES = {
+    "dirs": "SELECT DISTINCT repo, array_to_string(l[1:i], '/') AS dir FROM (SELECT repo, string_split(path, '/') AS l FROM cb_sources), range(1, 6) t(i) WHERE i < len(l)",
+    "marked": "SELECT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, list_filter(['package.json', 'go.mod', 'pyproject.toml', 'setup.py', 'Cargo.toml'], lambda m: list_contains(list(regexp_extract(path, '([^/]*)$', 1)), m)) AS markers FROM cb_manifests WHERE contains(path, '/') AND path NOT LIKE '%README.md' GROUP BY 1, 2",
+    "found": f"SELECT d.repo, d.dir, m.markers, {_NAMED.replace('repo', 'd.repo').replace('(dir', '(d.dir').replace(' dir ', ' d.dir ')} AS named FROM dirs d LEFT JOIN marked m ON m.repo = d.repo AND m.dir = d.dir",
+    "taken": "SELECT * FROM found WHERE named OR (markers IS NOT NULL AND len(string_split(dir, '/')) <= 2)",
+    "scopes": "SELECT repo, dir AS prefix, COALESCE(markers, []) AS markers FROM taken x WHERE NOT EXISTS (SELECT 1 FROM taken o WHERE o.repo = x.repo AND starts_with(x.dir, o.dir || '/') AND (NOT x.named OR o.named)) UNION ALL SELECT DISTINCT repo, '', [] FROM cb_sources",
+    "owned_paths": "SELECT repo, path, kind, arg_max(prefix, length(prefix)) AS scope FROM (SELECT s.*, c.prefix, s.n FROM (SELECT *, row_number() OVER () AS n FROM cb_sources) s JOIN scopes c ON c.repo = s.repo AND (c.prefix = '' OR starts_with(s.path, c.prefix || '/'))) GROUP BY repo, path, kind, n",
+}
+
+
+def _scoped(body: str) -> str:
+    return C.with_views(body, **_SCOPES)
+
+
+@query("L8_discovery", _scoped("SELECT repo, prefix, array_to_string(markers, ',') AS markers FROM scopes"))
+def l8_discovery(spark, d):
+    sources, manifests = C.repositories(spark, d)
+    return S.discover(sources, manifests).withColumn("markers", F.array_join("markers", ","))
+
+
+@query("L8_substantial", _scoped("SELECT repo, prefix, array_to_string(markers, ',') AS markers FROM scopes c WHERE prefix = '' OR (SELECT count(*) FROM owned_paths o WHERE o.repo = c.repo AND o.scope = c.prefix AND o.kind <> 'file') >= 5"))
+def l8_substantial(spark, d):
+    sources, manifests = C.repositories(spark, d)
+    return S.substantial(S.discover(sources, manifests), sources).withColumn("markers", F.array_join("markers", ","))
+
+
+@query("D10_scope_owners", _scoped("SELECT repo, scope, count(*) AS n, count(DISTINCT path) AS files FROM owned_paths GROUP BY 1, 2"))
+def d10_scope_owners(spark, d):
+    sources, manifests = C.repositories(spark, d)
+    return S.owners(sources, S.discover(sources, manifests)).groupBy("repo", "scope").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"))
+
+
+_QUESTION = ["s5", "util", "w3", "pkg1"]
+_ASKED = {
+    "docs": "SELECT id, split_part(file, '/', 1) AS scope, split_part(name, '_', 1) AS word, list_filter(string_split(name, '_'), lambda w: length(w) >= 2) AS words, [split_part(file, '/', 1), replace(split_part(split_part(file, '/', 2), '.', 1), '__init__', 'init')] AS path FROM cb_nodes",
+    "posted": "SELECT id, scope, term, sum(w) AS tf FROM (SELECT id, scope, unnest(words) AS term, 3.0::DOUBLE AS w FROM docs UNION ALL SELECT id, scope, unnest(path), 2.0 FROM docs) GROUP BY 1, 2, 3",
+    "lengths": "SELECT id, scope, sum(tf) AS len FROM posted GROUP BY 1, 2",
+    "corpora": "SELECT scope, count(*) AS n, avg(len) AS avg_len FROM lengths GROUP BY 1",
+    "figures": f"SELECT c.scope, t.term, c.avg_len, ln((c.n - f.df + 0.5) / (f.df + 0.5) + 1) AS idf FROM corpora c, (SELECT unnest({_QUESTION}) AS term) t, LATERAL (SELECT count(*) AS df FROM posted p WHERE p.scope = c.scope AND p.term = t.term) f",
+    "summed": "SELECT p.scope, p.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s FROM posted p JOIN figures f ON f.scope = p.scope AND f.term = p.term JOIN lengths l ON l.id = p.id GROUP BY 1, 2",
+    "scored": "SELECT scope, id, s / max(s) OVER (PARTITION BY scope) AS score FROM summed WHERE s > 0",
+    "firsts": "SELECT scope, arg_min(id, {'k': -score, 'i': id}) AS best_doc, max(score) AS best FROM scored GROUP BY 1",
+    "gates": """SELECT f.scope, f.best_doc, f.best, sum(CASE WHEN d.word = g.term THEN idf ELSE 0 END) / sum(idf) AS share, sum(CASE WHEN EXISTS (SELECT 1 FROM posted p WHERE p.id = f.best_doc AND p.term = g.term) THEN idf ELSE 0 END) / sum(idf) AS coverage
+ FROM firsts f JOIN docs d ON d.id = f.best_doc JOIN figures g ON g.scope = f.scope GROUP BY 1, 2, 3""",
+    "passed": "SELECT * FROM (SELECT *, max(best) OVER () AS most FROM gates WHERE share >= 0.1 OR coverage >= 0.5) WHERE best >= 0.25 * most",
+}
+
+
+def _ask(body: str) -> str:
+    return C.with_views(body, **_ASKED)
+
+
+def _corpus(spark, d):
+    nodes = C.views(spark, d)["nodes"]
+    index = Q.postings(nodes.select("id", "name", F.col("file").alias("path")))
+    return index, nodes.select(F.col("id").alias("doc_id"), F.split_part("file", F.lit("/"), F.lit(1)).alias("scope")), nodes.select("id", "name")
+
+
+@query("K4_scope_figures", _ask("SELECT scope, term, round(idf, 9) AS idf, round(avg_len, 9) AS avg_len FROM figures"))
+def k4_scope_figures(spark, d):
+    index, owners, _ = _corpus(spark, d)
+    return Q.scope_terms(index, owners, _QUESTION).select("scope", "term", F.round("idf", 9).alias("idf"), F.round("avg_len", 9).alias("avg_len"))
+
+
+@query("K7_gates", _ask("SELECT g.scope, g.best_doc, round(g.share, 9) AS share, round(g.coverage, 9) AS coverage, p.scope IS NOT NULL AS takes_part FROM gates g LEFT JOIN passed p ON p.scope = g.scope"))
+def k7_gates(spark, d):
+    index, owners, names = _corpus(spark, d)
+    figures = Q.scope_terms(index, owners, _QUESTION)
+    gates = Q.participation(Q.scoped_bm25(index, owners, figures), index, figures, names)
+    taking = Q.participating(gates).select("scope", F.lit(True).alias("takes_part"))
+    return gates.join(taking, "scope", "left").select("scope", "best_doc", F.round("share", 9).alias("share"), F.round("coverage", 9).alias("coverage"), F.coalesce("takes_part", F.lit(False)).alias("takes_part"))
+
+
+@query("K8_scoped_ask", _ask("SELECT id AS doc_id, round(1.0::DOUBLE / (60 + r), 12) AS score, scope AS first_list FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, id) AS r FROM scored WHERE scope IN (SELECT scope FROM passed)) WHERE r <= 120 ORDER BY 2 DESC, 1 LIMIT 30"))
+def k8_scoped_ask(spark, d):
+    index, owners, names = _corpus(spark, d)
+    return Q.scoped_ask(index, owners, names, _QUESTION, 30)[0]
+
+
+@query("K8_weak_scopes", _ask("SELECT scope, round(best, 9) AS best FROM gates WHERE scope NOT IN (SELECT scope FROM passed)"))
+def k8_weak_scopes(spark, d):
+    index, owners, names = _corpus(spark, d)
+    return Q.scoped_ask(index, owners, names, _QUESTION, 30)[1].withColumn("best", F.round("best", 9))

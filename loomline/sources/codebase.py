@@ -36,18 +36,44 @@ SQL = {
     "cb_relations": f"SELECT a.file AS file, a.name AS from_name, b.name AS to_name, 'IMPLEMENTS' AS kind, c_custkey AS position FROM customer CROSS JOIN cb_size z JOIN cb_nodes a ON a.k = c_custkey * 3 % {_N} JOIN cb_nodes b ON b.k = (a.k + 1 + c_nationkey % 5) % {_N} WHERE a.kind IN ('class', 'interface') AND b.kind IN ('class', 'interface', 'method')",
 }
 
+#: Repositories of a supplier each, with their files and manifests. In texts | is a line's end and ~ a quotation mark.
+REPOSITORIES = {
+    "cb_count": "SELECT count(*) AS n FROM supplier",
+    "cb_sources": """SELECT 'r' || CAST(l_suppkey AS STRING) AS repo, CASE l_linenumber % 7 WHEN 0 THEN 'packages/p' || CAST(l_partkey % 7 AS STRING) || '/src/f' || CAST(l_orderkey % 5 AS STRING) || '.ts'
+ WHEN 1 THEN 'apps/' || CASE WHEN l_partkey % 2 = 0 THEN 'web' ELSE 'api' END || '/main' || CAST(l_orderkey % 3 AS STRING) || '.ts' WHEN 2 THEN 'libs/x' || CAST(l_partkey % 3 AS STRING) || '/y' || CAST(l_orderkey % 4 AS STRING) || '/z.rs'
+ WHEN 3 THEN 'tools/t' || CAST(l_partkey % 40 AS STRING) || '/a.py' WHEN 4 THEN 'top' || CAST(l_partkey % 3 AS STRING) || '.ts' WHEN 5 THEN 'deep/a/b' || CAST(l_partkey % 2 AS STRING) || '/c.go'
+ ELSE 'packages/p' || CAST(l_partkey % 7 AS STRING) || '/sub/q' || CAST(l_orderkey % 2 AS STRING) || '/g.ts' END AS path, CASE WHEN l_returnflag = 'A' THEN 'file' ELSE 'function' END AS kind FROM lineitem""",
+    "cb_manifests": """SELECT 'r' || CAST(o_custkey % z.n AS STRING) AS repo, CASE o_orderkey % 6 WHEN 0 THEN 'tools/t' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'packages/p' || CAST(o_custkey % 7 AS STRING) WHEN 2 THEN 'libs' WHEN 3 THEN 'deep/a/b1' WHEN 4 THEN 'libs/x1' ELSE 'apps/web' END
+ || '/' || CASE o_custkey % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'setup.py' WHEN 2 THEN 'Cargo.toml' ELSE 'README.md' END AS path, '{}' AS text FROM orders CROSS JOIN cb_count z WHERE o_orderkey % 3 > 0
+ UNION ALL SELECT 'r' || CAST(s_suppkey AS STRING), CASE s_suppkey % 5 WHEN 0 THEN 'pnpm-workspace.yaml' WHEN 3 THEN 'Cargo.toml' WHEN 4 THEN 'go.work' ELSE 'package.json' END,
+ replace(replace(CASE s_suppkey % 5 WHEN 0 THEN 'packages:|  - ~packages/*~|  - "apps/web"|other:|  - libs/*|' WHEN 1 THEN '{"workspaces": ["packages/*", 3, "libs/**"]}' WHEN 2 THEN '{"name": "x", "workspaces": {"packages": ["./apps/*/"]}}'
+ WHEN 3 THEN '[package]|name = "x"|[workspace]|# members = ["no"]|members = [|  "libs/*", # a "note"|  ~deep/a/b0~,|]|[other]|members = ["tools/*"]' ELSE 'go 1.20||use (|  ./tools/t1|  ./deep/a/b1|)|use ./packages|' END, '|', chr(10)), '~', chr(39)) FROM supplier""",
+}
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Their files (repo, path, kind), a row a symbol, and their manifests (repo, path, text)."""
+    found = _made(spark, sf_dir, REPOSITORIES)
+    return found["cb_sources"], found["cb_manifests"]
+
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The views by name, without their prefix."""
-    found = {name: table(spark, sf_dir, name) for name in ("part", "lineitem", "orders", "customer")}
-    for name, sql in SQL.items():
-        used = {other: df for other, df in found.items() if other in sql}
+    found = _made(spark, sf_dir, SQL)
+    return {name.removeprefix("cb_"): found[name] for name in SQL if name != "cb_size"}
+
+
+def _made(spark: SparkSession, sf_dir: str, queries: dict[str, str]) -> dict[str, DataFrame]:
+    found = {name: table(spark, sf_dir, name) for name in ("part", "lineitem", "orders", "customer", "supplier")}
+    for name, sql in queries.items():
+        used = {other: df for other, df in found.items() if re.search(rf"\b{other}\b", sql)}
+        sql = sql.replace("{", "{{").replace("}", "}}")
         for other in used:
             sql = re.sub(rf"\b{other}\b(?!\.)", f"{{{other}}}", sql)
         found[name] = spark.sql(sql, **used)
-    return {name.removeprefix("cb_"): found[name] for name in SQL if name != "cb_size"}
+    return found
 
 
 def with_views(body: str, **more: str) -> str:
     """An oracle: all views, further ones, and a query over them."""
-    return "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in (SQL | more).items()) + f" {body}"
+    return "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in (SQL | REPOSITORIES | more).items()) + f" {body}"
