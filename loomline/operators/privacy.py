@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +36,52 @@ SEVERITY = {
 SURE = 0.6
 #: What each mode leaves as it is; all else gets a placeholder.
 ALLOWED = {"observe": tuple(SEVERITY), "developer": ("URL",), "balanced": (), "strict": ()}
-FINDINGS = "array<struct<kind:string,value:string,start:int,end:int,confidence:double>>"
 
 
-def find(text: str | None) -> list[dict]:
-    """Findings of a text by start, rank and length; offsets are characters, ends are exclusive; overlaps are kept."""
-    out = []
-    for kind, (pattern, confidence) in (PATTERNS | SECRETS).items():
-        for m in re.finditer(pattern, text or ""):
-            if kind != "IP" or m[0] not in LOCAL and not m[0].startswith(LOCAL_PREFIX):
-                out.append({"kind": kind, "value": m[0], "start": m.start(), "end": m.end(), "confidence": confidence})
-    return sorted(out, key=lambda f: (f["start"], -PRIORITY.get(f["kind"], 1), f["start"] - f["end"]))
+#: Elements that are added up one by one; longer arrays are cut into such parts.
+_PART = 64
 
 
-def findings(text: Column | str) -> Column:
-    """All findings of each text. Spark has no offsets of all matches, hence Python, by Arrow batches."""
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def running(lengths: Column) -> Column:
+    """The running sums of an array of numbers: of each part by itself, on top of the sums of the parts before."""
+
+    def summed(numbers: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(numbers) / _PART) - 1, F.lit(0))), lambda c: F.slice(numbers, (c * _PART + 1).cast("int"), _PART))
+        add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+        heads = lambda p: F.aggregate(p, F.array(F.lit(0)), lambda a, part: F.concat(a, F.array(F.element_at(a, -1) + add(part))))
+        inside = lambda p, h: F.transform(p, lambda part, c: F.transform(part, lambda x, j: F.get(h, c) + add(F.slice(part, 1, j + 1))))
+        return _bound(parts, lambda p: _bound(heads(p), lambda h: F.flatten(inside(p, h))))
+
+    return _bound(lengths, summed)
 
-    def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(find)
 
-    return F.pandas_udf(scan, FINDINGS)(text)
+def _matches(text: Column, number: int, kind: str, pattern: str, confidence: float) -> Column:
+    """A kind's findings. Their places follow from the lengths of what lies between matches and of the matches."""
+    gaps, values = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(found: Column, between: Column) -> Column:
+        ends = running(F.transform(found, lambda v, i: F.length(v) + F.get(between, i)))
+        one = lambda e: lambda v, i: F.struct(
+            (F.get(e, i) - F.length(v)).alias("start"), F.lit(-PRIORITY.get(kind, 1)).alias("rank"), (-F.length(v)).alias("long"), F.lit(number).alias("number"),
+            F.lit(kind).alias("kind"), v.alias("value"), F.get(e, i).alias("end"), F.lit(confidence).alias("confidence"),
+        )
+        return _bound(ends, lambda e: F.transform(found, one(e)))
+
+    found = _bound(values, lambda v: _bound(gaps, lambda g: placed(v, g)))
+    return F.filter(found, lambda f: ~f["value"].isin(*LOCAL) & ~f["value"].startswith(LOCAL_PREFIX)) if kind == "IP" else found
+
+
+def findings(text: Column | str) -> Column:
+    """Findings of a text by start, rank and length; offsets are characters, ends are exclusive; overlaps are kept."""
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    each = [_matches(whole, n, kind, pattern, confidence) for n, (kind, (pattern, confidence)) in enumerate((PATTERNS | SECRETS).items())]
+    in_order = F.array_sort(F.concat(*each))
+    return F.transform(in_order, lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), f["start"].alias("start"), f["end"].alias("end"), f["confidence"].alias("confidence")))
 
 
 def counts(text: Column, kind: str) -> Column:
@@ -96,20 +119,32 @@ def action(kind: Column, mode: str) -> Column:
 
 def obfuscated(text: Column, found: Column, mode: str = "balanced") -> Column:
     """Struct of text and entries (placeholder, value): the span of each finding that the mode doesn't allow becomes
-    {{LOM_LABEL_nnn}}, numbered by label from right to left."""
-    entry = "struct<text:string,entries:array<struct<placeholder:string,value:string>>>"
-
-    def step(state: Column, f: Column) -> Column:
-        label = _looked_up(f["kind"], LABELS, f["kind"])
-        n = F.size(F.filter(state["entries"], lambda e: F.startswith(e["placeholder"], F.concat(F.lit("{{LOM_"), label, F.lit("_"))))) + 1
-        number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
-        mark = F.concat(F.lit("{{LOM_"), label, F.lit("_"), number, F.lit("}}"))
-        cut = F.concat(F.substring(state["text"], F.lit(1), f["start"]), mark, F.substring(state["text"], f["end"] + 1, F.length(state["text"])))
-        made = F.concat(state["entries"], F.array(F.struct(mark.alias("placeholder"), f["value"].alias("value"))))
-        return F.struct(cut.alias("text"), made.alias("entries")).cast(entry)
-
-    start = F.struct(text.alias("text"), F.array().cast("array<struct<placeholder:string,value:string>>").alias("entries")).cast(entry)
-    return F.aggregate(F.reverse(F.filter(found, lambda f: action(f["kind"], mode) != "allow")), start, step)
+    {{LOM_LABEL_nnn}}, numbered by label from right to left. Each label's findings are numbered by their place among
+    them; the text is put together once, from what lies between spans and the placeholders."""
+    labels = sorted({LABELS.get(kind, kind) for kind in SEVERITY})
+    label = lambda f: _looked_up(f["kind"], LABELS, f["kind"])
+
+    def numbered(own: Column, name: str) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            n = F.size(own) - i
+            number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+            return F.struct(f["start"].alias("start"), f["end"].alias("end"), F.concat(F.lit(f"{{{{LOM_{name}_"), number, F.lit("}}")).alias("placeholder"), f["value"].alias("value"))
+
+        return F.transform(own, one)
+
+    def of_label(chosen: Column, name: str) -> Column:
+        return _bound(F.filter(chosen, lambda f: label(f) == name), lambda own: numbered(own, name))
+
+    def written(marks: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(marks, i - 1)["end"]).otherwise(0)
+        parts = F.transform(marks, lambda m, i: F.concat(F.substr(text, before(i) + 1, m["start"] - before(i)), m["placeholder"]))
+        rest = F.when(F.size(marks) > 0, F.substr(text, F.element_at(marks, -1)["end"] + 1)).otherwise(text)
+        entries = F.transform(F.reverse(marks), lambda m: F.struct(m["placeholder"].alias("placeholder"), m["value"].alias("value")))
+        return F.struct(F.concat(F.array_join(parts, ""), rest).alias("text"), entries.alias("entries"))
+
+    chosen = F.filter(found, lambda f: action(f["kind"], mode) != "allow")
+    marks = _bound(chosen, lambda c: F.array_sort(F.concat(*[of_label(c, name) for name in labels])))
+    return _bound(marks, written)
 
 
 def restored(text: Column, entries: Column) -> Column:

@@ -236,3 +236,29 @@ def test_test_runs_and_tables(spark):
 )
 def test_permissions(spark, command, rules, want):
     assert value(spark, Y.permission(F.col("c"), rules), c=command) == want
+
+
+def test_findings_have_the_places_of_their_matches(spark):
+    mail = "a.b@c.org"
+    texts = ["", None, mail, "é🎉 " + f"{mail} 10.0.0.7 127.0.0.1 255.1.1.1 x " * 150 + "https://u:p@h.internal/x 555-123-4567 $1,200.50", "password = 'abcdef12' postgres://u:pw@host/db", "-----BEGIN RSA PRIVATE KEY-----" + mail]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = {r.id: r for r in df.select("id", V.findings("text").alias("all"), V.without_overlaps(V.findings("text")).alias("kept"), V.obfuscated(F.col("text"), V.without_overlaps(V.findings("text"))).alias("o")).collect()}
+    for i, text in enumerate(texts):
+        want = sorted((m.start(), m.end(), k) for k, (p, _) in (V.PATTERNS | V.SECRETS).items() for m in re.finditer(p, text or "", re.ASCII) if k != "IP" or m[0] not in V.LOCAL and not m[0].startswith(V.LOCAL_PREFIX))
+        assert sorted((f.start, f.end, f.kind) for f in rows[i].all) == want
+        assert all((text or "")[f.start : f.end] == f.value for f in rows[i].all)
+        assert [f.start for f in rows[i].all] == sorted(f.start for f in rows[i].all)
+        assert all(a.end <= b.start for a, b in zip(rows[i].kept, rows[i].kept[1:]))
+        if text:
+            back = rows[i].o.text
+            for e in rows[i].o.entries:
+                back = back.replace(e.placeholder, e.value)
+            assert back == text and len(rows[i].o.entries) == len(rows[i].kept)
+    assert len(rows[3].all) > 300 and rows[3].o.text.count("LOM_EMAIL_150") == 1 and rows[3].o.text.index("LOM_EMAIL_150") < rows[3].o.text.index("LOM_EMAIL_001")
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 200):
+        values = [(i * 7) % 11 for i in range(n)]
+        got = spark.range(1).select(V.running(F.lit(values).cast("array<int>") if n else F.array().cast("array<int>")).alias("v")).first()["v"]
+        assert got == [sum(values[: i + 1]) for i in range(n)]
