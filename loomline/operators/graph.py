@@ -73,16 +73,42 @@ def incident(edges: DataFrame, symbols: DataFrame, of: DataFrame) -> DataFrame:
     return out.unionByName(into).join(symbols.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other", "left")
 
 
-def reached(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-    """id, depth of what can be reached from seeds (id) within some steps; depth is that of the first visit.
+def walked(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """origin, id, depth, via: what each seed (id) reaches within some steps, apart from itself, the depth of the first
+    visit and the least type of the edges that led there then; the first `limit` of each origin by depth and id.
+
+    direction is 'out', 'in' or 'both'. Without types all edges but CONTAINS are followed. Each step joins the frontier
+    alone and is a checkpoint, so that the plan of a step doesn't hold those before it; visited nodes leave by an
+    anti-join, so cycles end, and the walk ends early where nothing new is found.
+    """
+    chosen = edges.where(F.col("type").isin(types) if types else F.col("type") != "CONTAINS")
+    ends = {"out": [("source", "target")], "in": [("target", "source")], "both": [("source", "target"), ("target", "source")]}[direction]
+    both = F.array(*[F.struct(F.col(a).alias("id"), F.col(b).alias("next"), F.col("type").alias("via")) for a, b in ends])
+    hops = chosen.select(F.explode(both).alias("h")).select("h.*").groupBy("id", "next").agg(F.min("via").alias("via"))
+    start = F.col("id").alias("origin")
+    visited = frontier = seeds.select(start, "id").distinct().select("origin", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
+    for step in range(1, depth + 1):
+        found = frontier.select("origin", "id").join(hops, "id").groupBy("origin", F.col("next").alias("id")).agg(F.min("via").alias("via"))
+        frontier = found.join(visited, ["origin", "id"], "left_anti").select("origin", "id", F.lit(step).alias("depth"), "via").transform(cut)
+        if step < depth and frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    rows = visited.where("depth > 0")
+    if limit is None:
+        return rows
+    rank = F.row_number().over(Window.partitionBy("origin").orderBy("depth", "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+
 
-    One join a step, against the frontier alone; visited nodes leave by an anti-join, so cycles end."""
+def reached(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+    """id, depth of what can be reached from any of the seeds (id) within some steps, themselves included; depth is that of
+    the first visit. One join a step, against the frontier alone, and a checkpoint."""
     near, far = ("source", "target") if direction == "out" else ("target", "source")
     hops = (edges.where(F.col("type").isin(types)) if types else edges).select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
-    visited = frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    visited = frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0)).transform(cut)
     for step in range(1, depth + 1):
         found = hops.join(frontier.select("id"), "id", "left_semi").select(F.col("next").alias("id")).distinct()
-        frontier = found.join(visited, "id", "left_anti").withColumn("depth", F.lit(step))
+        frontier = found.join(visited, "id", "left_anti").withColumn("depth", F.lit(step)).transform(cut)
         visited = visited.unionByName(frontier)
     return visited
 
@@ -119,15 +145,19 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.25, rounds:
     """id, score of a personalised walk from seeds (id, weight): forward edges weigh 1, backward ones `back`; the mass
     of nodes without edges is lost. Each round is one join and one aggregation, a checkpoint."""
     steps = edges.select(F.col("source").alias("id"), F.col("target").alias("next"), F.lit(1.0).alias("w")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("next"), F.lit(back).alias("w")))
-    steps = steps.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).groupBy("id", "next").agg(F.sum("share").alias("share")).transform(cut)
-    start = seeds.where("weight > 0").withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy())).transform(cut)
+    steps = steps.groupBy("id", "next").agg(F.sum("w").alias("w")).transform(cut)
+    steps = steps.join(steps.groupBy("id").agg(F.sum("w").alias("whole")), "id").select("id", "next", (F.col("w") / F.col("whole")).alias("share")).transform(cut)
+    start = seeds.where("weight > 0")
+    start = start.join(F.broadcast(start.agg(F.sum("weight").alias("_whole")))).withColumn("weight", F.col("weight") / F.col("_whole")).drop("_whole").transform(cut)
     score = start.select("id", F.col("weight").alias("score"))
     restart = start.select("id", (F.col("weight") * (1 - damping)).alias("score"))
     for _ in range(rounds):
-        walked = steps.join(score, "id").select(F.col("next").alias("id"), (F.col("score") * F.col("share") * damping).alias("score"))
-        new = restart.unionByName(walked).groupBy("id").agg(F.sum("score").alias("score")).transform(cut)
-        change = new.join(score.withColumnRenamed("score", "old"), "id", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        score = new
+        # the old scores come along negated, so that one aggregation gives the new ones and their change
+        moved = steps.join(score, "id").select(F.col("next").alias("id"), (F.col("score") * F.col("share") * damping).alias("score"), F.lit(0.0).alias("old"))
+        both = restart.withColumn("old", F.lit(0.0)).unionByName(moved).unionByName(score.select("id", F.lit(0.0).alias("score"), F.col("score").alias("old")))
+        new = both.groupBy("id").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).transform(cut)
+        change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        score = new.where("score > 0").select("id", "score")
         if change is None or change < drift:
             break
     return score

@@ -97,6 +97,22 @@ def l3(spark, d):
     return G.reached(e, s.where(f"id in {_SEEDS}"), 2, "out", ["CALLS", "IMPORTS"])
 
 
+_WALK = """SELECT origin, id, depth, via FROM (WITH RECURSIVE h AS ({hops}), r AS (SELECT id AS origin, id, 0 AS depth FROM symbols WHERE id IN {seeds} UNION SELECT r.origin, h.next, r.depth + 1 FROM r JOIN h ON h.id = r.id WHERE r.depth < {depth}),
+ f AS (SELECT origin, id, MIN(depth)::INT AS depth FROM r GROUP BY 1, 2) SELECT f.origin, f.id, f.depth, MIN(h.via) AS via FROM f JOIN f p ON p.origin = f.origin AND p.depth = f.depth - 1 JOIN h ON h.id = p.id AND h.next = f.id GROUP BY 1, 2, 3)"""
+
+
+@query("L1_impact_by_origin", _sql("SELECT origin, id, depth, via FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, id) AS r FROM (" + _WALK.format(hops="SELECT target AS id, source AS next, type AS via FROM edges", seeds=_SEEDS, depth=4) + ")) WHERE r <= 200"))
+def l1_by_origin(spark, d):
+    s, e = _both(spark, d)
+    return G.walked(e, s.where(f"id in {_SEEDS}"), 4, "in", limit=200)
+
+
+@query("L3_walk_both_ways", _sql(_WALK.format(hops="SELECT source AS id, target AS next, type AS via FROM edges WHERE type IN ('CALLS', 'TYPE_REF') UNION ALL SELECT target, source, type FROM edges WHERE type IN ('CALLS', 'TYPE_REF')", seeds=_SEEDS, depth=2)))
+def l3_both_ways(spark, d):
+    s, e = _both(spark, d)
+    return G.walked(e, s.where(f"id in {_SEEDS}"), 2, "both", ["CALLS", "TYPE_REF"])
+
+
 def _kindred(spark, d):
     """Edges between symbols of one kind: their components are many, as those of all edges are not."""
     s, e = _both(spark, d)
@@ -121,10 +137,19 @@ def l5(spark, d):
     return G.bridges(T.edges(spark, d), G.communities(_kindred(spark, d)))
 
 
-@query("K5_pagerank")
+#: The walk in SQL: whole score tables follow one another, 25 rounds at most, and the first is kept that hardly changes.
+PAGERANK = """WITH RECURSIVE steps AS (SELECT id, next, SUM(w) / SUM(SUM(w)) OVER (PARTITION BY id) AS share FROM (SELECT source AS id, target AS next, 1.0::DOUBLE AS w FROM edges UNION ALL SELECT target, source, 0.5 FROM edges) GROUP BY 1, 2),
+ start AS ({start}),
+ r AS (SELECT 0 AS k, id, weight AS score FROM start UNION ALL SELECT k + 1, id, SUM(score) FROM (
+  SELECT r.k, s.next AS id, r.score * s.share * 0.25 AS score FROM r JOIN steps s ON s.id = r.id WHERE r.k < 25 UNION ALL SELECT DISTINCT r.k, start.id, start.weight * 0.75 FROM r, start WHERE r.k < 25) GROUP BY k, id),
+ c AS (SELECT k, SUM(ABS(x)) AS change FROM (SELECT k, id, SUM(v) AS x FROM (SELECT k, id, score AS v FROM r UNION ALL SELECT k + 1, id, -score FROM r WHERE k < 25) GROUP BY 1, 2) GROUP BY 1)
+ SELECT id, score FROM r WHERE k = (SELECT COALESCE(MIN(k), 25) FROM c WHERE k > 0 AND change < 1e-6) AND score > 0"""
+
+
+@query("K5_pagerank", _sql("SELECT id, round(score, 9) AS score FROM (" + PAGERANK.format(start="SELECT id, 1.0::DOUBLE / COUNT(*) OVER () AS weight FROM symbols WHERE name = 'red widget'") + ")"))
 def k5(spark, d):
     s, e = _both(spark, d)
-    return G.pagerank(e, s.where("name = 'red widget'").select("id", F.lit(1.0).alias("weight")))
+    return G.pagerank(e, s.where("name = 'red widget'").select("id", F.lit(1.0).alias("weight"))).select("id", F.round("score", 9).alias("score")).where("score > 0")
 
 
 @query("D9_enclosing_symbol", _sql("""SELECT l.file_path, l.line_no, l.line, arg_min(s.id, {'k': s.line_end - s.line_start, 'i': s.id}) FILTER (s.id IS NOT NULL) AS symbol FROM lines l LEFT JOIN symbols s ON s.file_path = l.file_path AND l.line_no BETWEEN s.line_start AND s.line_end GROUP BY 1, 2, 3""", lines=True))

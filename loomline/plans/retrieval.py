@@ -11,6 +11,7 @@ from ..operators import retrieval as R
 from ..sources import files as FS
 from ..sources import tables as T
 from .catalog import query
+from .graph import PAGERANK
 from .more import _folder
 
 _POST = """postings AS (SELECT doc_id, term, SUM(w) AS tf FROM (
@@ -57,12 +58,18 @@ def k4(spark, d):
     return R.bm25(R.restricted(_index(spark, d), T.symbols(spark, d).where("line_start < 300")), _TERMS)
 
 
-@query("K6_ask")
+_ASK = f"""SELECT doc_id, round(total * CASE WHEN doc_id IN (SELECT id FROM symbols WHERE contains(file_path, 'SMALL')) THEN 0.35 ELSE 1 END, 9) AS score, score IS NULL AS rescued FROM (
+ SELECT COALESCE(l.doc_id, n.id) AS doc_id, l.score, COALESCE(l.score, 0) * 0.5 + COALESCE(n.near, 0) * 0.5 AS total FROM ({_BM25}) l FULL JOIN (SELECT id, score / MAX(score) OVER () AS near FROM (
+ {PAGERANK.format(start=f"SELECT doc_id AS id, score / SUM(score) OVER () AS weight FROM (SELECT * FROM ({_BM25}) ORDER BY round(score, 9) DESC, doc_id LIMIT 20)")})) n ON n.id = l.doc_id WHERE l.score IS NOT NULL OR n.near >= 0.15) ORDER BY 2 DESC, 1 LIMIT 50"""
+
+
+@query("K6_ask", _sql(_ASK, "symbols", "edges", post=True))
 def k6(spark, d):
     s, e = T.symbols(spark, d), T.edges(spark, d)
     lexical = R.bm25(_index(spark, d), _TERMS)
-    seeds = R.top(lexical, 20).select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
-    return R.top(R.blended(lexical, G.pagerank(e, seeds), s.where(F.col("file_path").contains("SMALL"))), 50)
+    first = R.top(lexical.withColumn("_exact", F.col("score")).withColumn("score", F.round("score", 9)), 20)
+    found = R.blended(lexical, G.pagerank(e, first.select(F.col("doc_id").alias("id"), F.col("_exact").alias("weight"))), s.where(F.col("file_path").contains("SMALL")))
+    return R.top(found.withColumn("score", F.round("score", 9)), 50)
 
 
 _LISTS = "SELECT kind AS list, id AS doc_id, (line_start % 97)::DOUBLE AS score FROM symbols UNION ALL SELECT 'all' AS list, id, (line_end % 89)::DOUBLE FROM symbols"
