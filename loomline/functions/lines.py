@@ -156,18 +156,39 @@ def error_blocks(lines: Column, pattern: str = r"(?i)^(error|fatal|panic|traceba
     return F.aggregate(lines, state, step, lambda s: s["out"])
 
 
-#: Our own patterns: lines that an outline keeps, and lines that a shortened source keeps.
-OUTLINE = (
-    r"^\s*(use |import |from |require\(|#include)"
-    r"|^\s*(pub(\([^)]*\))?\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type|const|static|let)\s+\w+"
-    r"|^[{}]\s*$"
-)
+#: How imports, signatures and constants begin in an outline.
+IMPORTS = r"^(use |import |from |require\(|#include)"
+SIGNATURES = r"^(pub\s+)?(async\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type)\s+\w+"
+CONSTANTS = ("const ", "static ", "let ", "pub const ", "pub static ")
+#: Our own pattern: lines that a shortened source keeps.
 IMPORTANT = r"^\s*(use |import |from |pub |fn |def |class |struct |enum |trait |interface |export |func )|^[{}]"
 
 
 def outline(lines: Column) -> Column:
-    """Imports, definitions and constants of source lines; bodies go, apart from braces that open at the outer level."""
-    return F.filter(lines, lambda l: l.rlike(OUTLINE))
+    """Imports, signatures and outer constants of source lines. Of a signature's body only braces that open or close at
+    its outer level stay; where it ends with other text than a brace, a note stands for it."""
+    braces = lambda t, sign: F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
+
+    def step(state: Column, line: Column) -> Column:
+        t = F.trim(line)
+        depth = state["depth"] + braces(t, "{") - braces(t, "}")
+        edge = (depth <= 1) & (t.isin("{", "}") | t.endswith("{"))
+        note = (depth <= 0) & ~t.isin("", "}")
+        inner = F.concat(F.when(edge, F.array(line)).otherwise(F.array().cast("array<string>")), F.when(note, F.array(F.lit("    // ... implementation"))).otherwise(F.array().cast("array<string>")))
+        constant = F.lit(False)
+        for start in CONSTANTS:
+            constant = constant | t.startswith(start)
+        made = lambda inside, depth, more: F.struct(inside.alias("inside"), depth.alias("depth"), F.when(F.size(more) > 0, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
+        return (
+            F.when(t.rlike(IMPORTS), made(state["inside"], state["depth"], F.array(line)))
+            .when(t.rlike(SIGNATURES), made(F.lit(True), F.lit(0), F.array(line)))
+            .when(state["inside"], made(depth > 0, depth, inner))
+            .when(constant, made(state["inside"], state["depth"], F.array(line)))
+            .otherwise(state)
+        )
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(lines, start, step, lambda s: s["out"])
 
 
 def important(lines: Column, most: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extraction as X
 from ..operators import resolution as R
 from ..operators import retrieval as Q
 from ..operators import scopes as S
@@ -191,3 +192,24 @@ def k8_scoped_ask(spark, d):
 def k8_weak_scopes(spark, d):
     index, owners, names = _corpus(spark, d)
     return Q.scoped_ask(index, owners, names, _QUESTION, 30)[1].withColumn("best", F.round("best", 9))
+
+
+#: What the files of source_lines() define: (turn, name, kind, first line, last line, parent, doc, bases), n being a block's length.
+_DEFINED = [
+    (0, "S@", "struct", "3", "5", None, "Doc of S@.", ""), (0, "S@~2", "impl", "7", "12 + n", None, "", "T"), (0, "get@", "method", "8", "11 + n", "S@~2", "", ""), (0, "C@", "constant", "13 + n", "13 + n", None, "", ""), (0, "one@", "function", "14 + n", "14 + n", None, "", ""),
+    (1, "A@", "class", "1", "5 + n", None, "Doc of A@.", "B@"), (1, "get@", "method", "4", "5 + n", "A@", "", ""), (1, "top@", "function", "7 + n", "8 + n", None, "", ""),
+    (2, "A@", "class", "1", "4 + n", None, "", "B,C,D"), (2, "get@", "method", "2", "3 + n", "A@", "", ""), (2, "go@", "function", "5 + n", "6 + n", None, "", ""), (2, "T@", "type", "7 + n", "7 + n", None, "", ""),
+]
+
+
+def _spans() -> str:
+    at = lambda text: "NULL" if text is None else "replace('" + text + "', '@', k)"
+    path = "'f' || k || (CASE turn WHEN 0 THEN '.rs' WHEN 1 THEN '.py' ELSE '.ts' END)"
+    parts = [f"SELECT {path} || '::' || {at(name)} AS id, '{kind}' AS kind, {a} AS line_start, {b} AS line_end, {path} || '::' || {at(parent)} AS parent, {at(doc)} AS doc, {at(bases)} AS bases FROM p WHERE turn = {turn}" for turn, name, kind, a, b, parent, doc, bases in _DEFINED]
+    return "WITH p AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 3 AS turn, p_size % 5 AS n FROM part) " + " UNION ALL ".join(parts)
+
+
+@query("L9_spans", _spans())
+def l9_spans(spark, d):
+    found = X.extract(C.source_lines(spark, d))
+    return found.select("id", "kind", "line_start", "line_end", "parent", "doc", F.array_join("bases", ",").alias("bases"))

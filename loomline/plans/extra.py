@@ -24,7 +24,7 @@ from ..sources import buildlog as BL
 from ..sources import files as FS
 from ..sources import tables as T
 from .catalog import query
-from .more import _SOURCE, _folder, _source
+from .more import _SOURCE, OUTLINED, _folder, _source
 
 
 def _pick(column: str, values: list[str]):
@@ -162,7 +162,10 @@ def j1(spark, d):
     return T.table(spark, d, "events").select("event_id", found({digest}).alias("filter"), found(set()).alias("untrusted"))
 
 
-@query("J2_strategies", f"SELECT doc_id, md5({_SOURCE}) AS none, md5(array_to_string(list_filter(string_split({_SOURCE}, chr(10)), lambda l: regexp_matches(l, '{L.OUTLINE}')), chr(10))) AS aggressive FROM documents")
+_PLAIN_LINES = f"SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split({_SOURCE}, chr(10)) AS l FROM documents)"
+
+
+@query("J2_strategies", f"SELECT doc_id, md5({_SOURCE}) AS none, md5(outline) AS aggressive FROM documents JOIN {OUTLINED.format(coded=_PLAIN_LINES)} o USING (doc_id)")
 def j2(spark, d):
     source = F.concat(F.lit("// note\n"), _source())
     rows = T.table(spark, d, "documents").select("doc_id", _source().alias("plain"), source.alias("source"))

@@ -129,9 +129,35 @@ def _source():
     return F.concat(F.lit("import os\n"), "text", F.lit("\npub fn f"), "doc_id", F.lit("(x) {\n    x\n}\nconst K"), "doc_id", F.lit(" = 1;"))
 
 
-@query("C5_outline", f"SELECT doc_id, md5(array_to_string(list_filter(string_split({_SOURCE}, chr(10)), lambda l: regexp_matches(l, '{L.OUTLINE}')), chr(10))) AS outline FROM documents")
+#: Documents as code: by a line's number a signature, nested braces, a constant, or the text's own line.
+_CODE = ["pub fn f(x) {", "  if x {", "  let y = 1;", "  }", "}", "const K = 2;", "import os"]
+
+
+def _coded(spark, d):
+    lines = F.posexplode(F.split("text", "\n"))
+    rows = T.table(spark, d, "documents").select("doc_id", lines.alias("n", "line"))
+    kinds = F.array(*[F.lit(c) for c in _CODE])
+    k = F.expr("(doc_id + n) % 9").cast("int")
+    return rows.select("doc_id", "n", F.when(k < len(_CODE), F.get(kinds, k)).otherwise(F.col("line")).alias("line")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+#: Line after line in SQL: depth and whether a body is open, and what each line leaves.
+OUTLINED = """(WITH RECURSIVE coded AS ({coded}),
+ marked AS (SELECT *, trim(line, ' ') AS t, CASE WHEN regexp_matches(trim(line, ' '), '^(use |import |from |require\\(|#include)') THEN 'import' WHEN regexp_matches(trim(line, ' '), '^(pub\\s+)?(async\\s+)?(fn|def|function|func|class|struct|enum|trait|interface|type)\\s+\\w+') THEN 'signature'
+  WHEN regexp_matches(trim(line, ' '), '^(pub )?(const |static )|^let ') THEN 'constant' ELSE '' END AS what, length(line) - length(replace(line, '{{', '')) - length(line) + length(replace(line, '}}', '')) AS net FROM coded),
+ r AS (SELECT doc_id, -1::BIGINT AS n, FALSE AS inside, 0::BIGINT AS depth, []::VARCHAR[] AS kept FROM (SELECT DISTINCT doc_id FROM marked) UNION ALL
+  SELECT m.doc_id, m.n, CASE WHEN what = 'import' THEN inside WHEN what = 'signature' THEN TRUE WHEN inside THEN depth + net > 0 ELSE inside END, CASE WHEN what = 'import' THEN depth WHEN what = 'signature' THEN 0 WHEN inside THEN depth + net ELSE depth END,
+  CASE WHEN what IN ('import', 'signature') OR (what = 'constant' AND NOT inside) THEN [line] WHEN inside THEN list_concat(CASE WHEN depth + net <= 1 AND (t IN ('{{', '}}') OR t LIKE '%{{') THEN [line] ELSE [] END, CASE WHEN depth + net <= 0 AND t NOT IN ('', '}}') THEN ['    // ... implementation'] ELSE [] END) ELSE [] END
+  FROM r JOIN marked m ON m.doc_id = r.doc_id AND m.n = r.n + 1) SELECT doc_id, array_to_string(flatten(list(kept ORDER BY n)), chr(10)) AS outline FROM r GROUP BY 1)"""
+_NUMBERED = "(SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+_CODED = f"SELECT doc_id, n, CASE WHEN (doc_id + n) % 9 < {len(_CODE)} THEN {_CODE}[(doc_id + n) % 9 + 1] ELSE line END AS line FROM {_NUMBERED}"
+
+
+@query("C5_outline", f"SELECT doc_id, md5(outline) AS outline FROM {OUTLINED.format(coded=_CODED)}")
 def c5(spark, d):
-    return T.table(spark, d, "documents").select("doc_id", F.md5(L.joined(L.outline(L.to_lines(_source())))).alias("outline"))
+    return _coded(spark, d).select("doc_id", F.md5(L.joined(L.outline(F.col("lines")))).alias("outline"))
 
 
 @query("C6_smart_truncate", f"""SELECT doc_id, md5(array_to_string(CASE WHEN len(l) <= 6 THEN l ELSE list_concat(k, ['// ... ' || (len(l) - len(k)) || ' more lines']) END, chr(10))) AS short

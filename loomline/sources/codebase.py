@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import table
 
@@ -77,3 +78,21 @@ def _made(spark: SparkSession, sf_dir: str, queries: dict[str, str]) -> dict[str
 def with_views(body: str, **more: str) -> str:
     """An oracle: all views, further ones, and a query over them."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in (SQL | REPOSITORIES | more).items()) + f" {body}"
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_path, line_no, line: a source file for each part, in three languages by turns, with blocks whose length is the
+    part's size modulo 5."""
+    k, n = F.col("p_partkey").cast("string"), F.expr("p_size % 5")
+    text = lambda line: F.concat(*[x for i, part in enumerate(line.split("@")) for x in ([k] if i else []) + [F.lit(part)]])
+    block = lambda *lines: F.array(*map(text, lines))
+    rust = F.concat(
+        block("/// Doc of S@.", "#[derive(Debug)]", "pub struct S@ {", "    x: i32, // }", "}", "", "impl T for S@ {", "    pub fn get@(", "        &self,", "    ) -> i32 {"), F.array_repeat(F.lit('        let a = "}";'), n),
+        block("    }", "}", "const C@: i32 = 2;", "fn one@() { 1 }"),
+    )
+    python = F.concat(block("class A@(B@, object):", '    """Doc of A@."""', "", "    def get@(self):"), F.array_repeat(F.lit("        x = 1"), n), block("        return x", "", "def top@():", "    pass", ""))
+    script = F.concat(block("export class A@ extends B implements C, D {", "  get@(x: number): number {"), F.array_repeat(F.lit("    if (x) { y(); }"), n), block("  }", "}", "export const go@ = async (x) => {", "};", "type T@ = string;"))
+    turn = F.col("p_partkey") % 3
+    path = F.concat(F.lit("f"), k, F.when(turn == 0, ".rs").when(turn == 1, ".py").otherwise(".ts"))
+    lines = F.when(turn == 0, rust).when(turn == 1, python).otherwise(script)
+    return table(spark, sf_dir, "part").select(path.alias("file_path"), F.posexplode(lines).alias("n", "line")).select("file_path", (F.col("n") + 1).alias("line_no"), "line")

@@ -262,3 +262,25 @@ def test_running_sums(spark):
         values = [(i * 7) % 11 for i in range(n)]
         got = spark.range(1).select(V.running(F.lit(values).cast("array<int>") if n else F.array().cast("array<int>")).alias("v")).first()["v"]
         assert got == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_outline_keeps_signatures_and_outer_braces(spark):
+    code = ["use a;", "pub fn f(x) {", "    let y = 1;", "    if x {", "        y", "    }", "}", "const K = 1;", "x = 2", "fn g()", "{", "  1 }", "fn h();", "tail", "let z = 3;", "struct S {", "  a: i32,", "  }"]
+    want = ["use a;", "pub fn f(x) {", "    // ... implementation", "    if x {", "    }", "    // ... implementation"]
+    got = value(spark, L.outline(L.to_lines(F.col("t"))), t="\n".join(code))
+    depth, inside, kept = 0, False, []
+    for line in code:  # by definition
+        t = line.strip()
+        if re.match(L.IMPORTS, t):
+            kept.append(line)
+        elif re.match(L.SIGNATURES, t):
+            kept.append(line)
+            depth, inside = 0, True
+        elif inside:
+            depth += t.count("{") - t.count("}")
+            kept += [line] * (depth <= 1 and (t in "{}" or t.endswith("{")))
+            inside = depth > 0
+            kept += ["    // ... implementation"] * (not inside and t not in ("", "}"))
+        elif t.startswith(L.CONSTANTS):
+            kept.append(line)
+    assert got == kept and got[:3] == want[:3]
