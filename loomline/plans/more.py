@@ -9,12 +9,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions import machines as MA
 from ..functions import text as X
 from ..operators import history as Y
 from ..operators import retrieval as R
 from ..operators import usage as U
+from ..operators.graph import cut
 from ..sources import files as FS
 from ..sources import tables as T
+from ..streaming import machines as SM
 from ..streaming import streams as ST
 from .catalog import query
 
@@ -230,3 +233,46 @@ def i3(spark, d):
     turns = _event_stream(spark, d).select("user_id", "ts", F.when(F.col("event_type") == "view", "always use tabs").when(F.col("event_type") == "error", "never  use TABS").otherwise("hello").alias("user"))
     rows = ST.extracted_once(turns, "ts", "100 days").select("user_id", "normal")
     return ST.run_once(rows, "append", _folder(spark, "stream")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Events as lines of test runs, one a user: an error opens a failure, other events are lines under it; a closing line ends the run.
+_RUN_ITEMS = """SELECT run, k - 1 AS n, string_agg(text, chr(10) ORDER BY seq) AS text FROM (SELECT *, SUM(opens) OVER (PARTITION BY run ORDER BY seq) AS k FROM (
+ SELECT 'u' || user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, (event_type = 'error')::INT AS opens, CASE WHEN event_type = 'error' THEN '___ test_' || event_id || ' ___' ELSE 'E ' || event_type || ' ' || event_id END AS text FROM events)) WHERE k > 0 GROUP BY 1, 2"""
+
+
+def _run_lines(spark, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    id_ = F.col("event_id").cast("string")
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("___ test_"), id_, F.lit(" ___"))).otherwise(F.concat(F.lit("  E "), "event_type", F.lit(" "), id_))
+    events = T.table(spark, d, "events")
+    rows = events.select(F.concat(F.lit("u"), "user_id").alias("run"), F.row_number().over(order).cast("long").alias("seq"), text.alias("line"))
+    first = events.where("event_type = 'error'").select(F.concat(F.lit("u"), "user_id").alias("run")).distinct()
+    ends = first.select("run", F.lit(1 << 60).alias("seq"), F.lit("=== some failed ===").alias("line"))
+    starts = events.select(F.concat(F.lit("u"), "user_id").alias("run")).distinct().select("run", F.lit(0).cast("long").alias("seq"), F.lit("=== FAILURES ===").alias("line"))
+    quiet = rows.join(first, "run", "left_semi")
+    before = quiet.withColumn("_k", F.sum(F.col("line").startswith("___").cast("int")).over(Window.partitionBy("run").orderBy("seq"))).where("_k > 0").drop("_k")
+    return before.unionByName(ends).unionByName(starts.join(first, "run", "left_semi"))
+
+
+@query("I5_machine_fold", _RUN_ITEMS)
+def i5_fold(spark, d):
+    runs = _run_lines(spark, d).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("lines"))
+    return runs.select("run", F.posexplode(MA.run(F.col("lines"), MA.MACHINES["pytest"])["items"]).alias("n", "text")).withColumn("n", F.col("n").cast("long"))
+
+
+@query("I5_machine_stream", _RUN_ITEMS)
+def i5_stream(spark, d):
+    """The same from a stream: what comes first and what comes later of each run are in files of their own."""
+    folder, lines = _folder(spark, "lines"), _run_lines(spark, d).transform(cut)
+    late = lines.select("run", "seq", "line", (F.col("seq") > 40).alias("late"))
+    for part in (False, True):
+        late.where(F.col("late") == part).select("run", "seq", "line").repartition("run").write.mode("append").parquet(folder)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = ST.table_stream(spark, folder, "run string, seq long, line string", 4)
+        found = ST.run_once(SM.machine_stream(stream, MA.MACHINES["pytest"]), "append", _folder(spark, "stream"))
+    finally:
+        spark.conf.set(key, before)
+    return found.where("kind = 'item'").select("run", "n", "text")
