@@ -280,6 +280,23 @@ def fingerprint_changes(now: DataFrame, before: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("a.path", "b.path").alias("path"), status.alias("status"))
 
 
+def probed(stats: DataFrame, before: DataFrame, contents: DataFrame, strict: bool = False) -> DataFrame:
+    """path, status, size, mtime, hash: new fingerprints of files (path, size, mtime) and what became of them since
+    `before` (path, size, mtime, hash). Only files whose size or time differs, or that are new, have their contents (path,
+    content) looked up and hashed; with `strict` all have. A file without contents has changed. Gone files come last,
+    without a fingerprint."""
+    old = before.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    rows = stats.select("path", "size", "mtime").join(old, "path", "left")
+    same = F.coalesce((F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), F.lit(False)) & (not strict)
+    sure = rows.where(same).select("path", F.lit("unchanged").alias("status"), "size", "mtime", F.col("_hash").alias("hash"))
+    open_ = rows.where(~same)
+    hashed = contents.select("path", "content").join(open_.select("path"), "path", "left_semi").select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    status = F.when(F.col("_size").isNull(), "added").when(F.coalesce(F.col("hash") == F.col("_hash"), F.lit(False)), "unchanged").otherwise("changed")
+    checked = open_.join(hashed, "path", "left").select("path", status.alias("status"), "size", "mtime", "hash")
+    gone = old.join(stats.select("path"), "path", "left_anti").select("path", F.lit("removed").alias("status"), *[F.lit(None).cast(stats.schema[c].dataType).alias(c) for c in ("size", "mtime")], F.lit(None).cast("string").alias("hash"))
+    return sure.unionByName(checked).unionByName(gone)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows by key, those of `new` before those of `old`."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))

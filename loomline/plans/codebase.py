@@ -9,6 +9,7 @@ from ..operators import resolution as R
 from ..operators import retrieval as Q
 from ..operators import scopes as S
 from ..sources import codebase as C
+from ..sources import files as FS
 from .catalog import query
 
 _KIND = "kind IN ('class', 'interface', 'struct', 'trait')"
@@ -213,3 +214,21 @@ def _spans() -> str:
 def l9_spans(spark, d):
     found = X.extract(C.source_lines(spark, d))
     return found.select("id", "kind", "line_start", "line_end", "parent", "doc", F.array_join("bases", ",").alias("bases"))
+
+
+_IGNORES = [
+    [("", "*.rs\n/apps/\n"), ("libs/x1", "!z.rs\n")],
+    [("", "packages/*/src\n!packages/p1/src\n# a note\ntop?.ts\n")],
+    [("", "deep/**/c.go\ntools/\n!tools/t1/a.py\n"), ("packages", "p[0-2]/**\n!p1/**\n")],
+]
+
+
+@query("A7_ignore_files", C.with_views("""SELECT repo, path, count(*) AS n FROM cb_sources WHERE NOT (CASE CAST(substr(repo, 2) AS BIGINT) % 3 WHEN 0 THEN (path LIKE '%.rs' AND path NOT LIKE 'libs/x1/%') OR path LIKE 'apps/%'
+ WHEN 1 THEN (regexp_matches(path, '^packages/[^/]+/src/') AND path NOT LIKE 'packages/p1/%') OR regexp_matches(path, '^top.[.]ts$') ELSE path LIKE 'deep/%/c.go' OR path LIKE 'tools/%' OR path LIKE 'packages/p0/%' OR path LIKE 'packages/p2/%' END) GROUP BY 1, 2"""))
+def a7_ignore_files(spark, d):
+    """The files of many repositories, each with ignore files of its own in several folders."""
+    sources, _ = C.repositories(spark, d)
+    kinds = spark.createDataFrame([(k, f, t) for k, own in enumerate(_IGNORES) for f, t in own], "k long, folder string, text string")
+    repos = sources.select("repo").distinct().withColumn("k", F.expr("cast(substring(repo, 2) as bigint) % 3"))
+    ignores = repos.join(F.broadcast(kinds), "k").select("repo", "folder", "text")
+    return FS.not_ignored(sources, ignores).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"))

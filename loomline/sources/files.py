@@ -95,6 +95,41 @@ def without_ignored(files: DataFrame, root: str, rules: dict[str, str]) -> DataF
     return files
 
 
+def ignore_rules(ignores: DataFrame) -> DataFrame:
+    """repo, folder, line_no, back, folders_only, pattern: the rules of ignore files (repo, folder, text), each as a pattern of
+    paths below its folder. back: it takes back what others leave out."""
+    rows = ignores.select("repo", "folder", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    line = F.regexp_replace("line", r"(?<!\\)\s+$", "")
+    rows = rows.withColumn("line", line).where((F.col("line") != "") & ~F.col("line").startswith("#"))
+    back, bare = F.col("line").startswith("!"), F.regexp_replace("line", r"^!|^\\(?=[!#])", "")
+    body = F.regexp_replace(bare, "/+$", "")
+    rooted, text = body.contains("/"), F.regexp_replace(body, "^/", "")
+    for given, marked in ((r"([.+^$(){}|\\])", r"\\$1"), (r"\[!", "[^"), ("/\\*\\*/", "\x01"), ("^\\*\\*/", "\x02"), ("/\\*\\*$", "\x03"), (r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\x01", "/(?:.*/)?"), ("\x02", "(?:.*/)?"), ("\x03", "/.+")):
+        text = F.regexp_replace(text, given, marked)
+    pattern = F.concat(F.lit("^"), F.when(rooted, "").otherwise("(?:.*/)?"), text, F.lit("$"))
+    return rows.select("repo", "folder", "line_no", back.alias("back"), bare.endswith("/").alias("folders_only"), pattern.alias("pattern"))
+
+
+def not_ignored(files: DataFrame, ignores: DataFrame) -> DataFrame:
+    """Files (repo, path, ...) that the ignore files of their repository (repo, folder, text; the root's folder is empty) don't
+    leave out. A rule holds below its folder; of the rules that fit the last of the deepest folder counts; what lies in a
+    folder that is left out can't be taken back. A path meets the rules of the folders above it by equality."""
+    parts = F.split("path", "/")
+    prefix = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    entry = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(prefix(n).alias("entry"), (n < F.size(parts)).alias("is_folder")))
+    paths = files.select("repo", "path").distinct()
+    entries = paths.select("repo", F.explode(entry).alias("e")).select("repo", "e.*").distinct()
+    steps = F.split("entry", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.when(n == 0, "").otherwise(F.array_join(F.slice(steps, 1, n), "/")))
+    met = entries.select("repo", "entry", "is_folder", F.explode(above).alias("folder")).join(ignore_rules(ignores), ["repo", "folder"])
+    inner = F.when(F.col("folder") == "", F.col("entry")).otherwise(F.expr("substring(entry, length(folder) + 2)"))
+    fits = met.where((F.col("is_folder") | ~F.col("folders_only")) & F.rlike(inner, F.col("pattern")))
+    last = F.max_by("back", F.struct(F.length("folder").alias("deep"), "line_no"))
+    out = fits.groupBy("repo", "entry").agg(last.alias("back")).where(~F.col("back")).select("repo", "entry")
+    gone = paths.select("repo", "path", F.explode(F.transform(entry, lambda e: e["entry"])).alias("entry")).join(out, ["repo", "entry"], "left_semi").select("repo", "path").distinct()
+    return files.join(gone, ["repo", "path"], "left_anti")
+
+
 def federated(spark: SparkSession, folder: str) -> DataFrame:
     """The tables of many repositories, each in a folder repo=<name>, as one with the column `repo`; a column that some
     don't have is null there."""
