@@ -150,6 +150,89 @@ def error_kind(output: Column) -> Column:
     return out
 
 
+#: A line's operators, and what lies between them: quoted text, escapes and redirects hold no operator.
+_OPERATORS = r"&&|\|\||[;|&]"
+_PIECES = rf"""(?:\d*>&\d*|&>>?|"(?:\\.|[^"\\])*"|'[^']*'|\\.|[^;|&"'\\]|["'\\])+|{_OPERATORS}"""
+_REDIRECTS = r"(?s)((?:\s+(?:\d*>&\d*|(?:&|\d*)>>?\s*[^\s>]+|<\s*[^\s<]+))+)\s*$"
+#: Forms of head and tail with a number of lines and a file, and what reads them.
+_RANGES = [(r"^head\s+-(\d+)\s+(.+)$", "max"), (r"^head\s+--lines=(\d+)\s+(.+)$", "max"), (r"^tail\s+-(\d+)\s+(.+)$", "tail"), (r"^tail\s+-n\s+(\d+)\s+(.+)$", "tail"), (r"^tail\s+--lines[= ]\s*(\d+)\s+(.+)$", "tail")]
+DISABLED = f"{builtin.PROGRAM.upper()}_DISABLED="
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _rewritten_part(part: Column, excluded: tuple[str, ...], rules: list[builtin.CommandRule]) -> Column:
+    """One command under our program: its rule's prefix is replaced, what stands before it and redirects stay; null where
+    no rule fits, or where the reduced output would be another than what was asked for."""
+    own, none = builtin.PROGRAM, F.lit(None).cast("string")
+    pairs: dict[str, str] = {}
+    for rule in rules:
+        names = "|".join(re.escape(p) for p in rule.prefixes)
+        pairs.setdefault(f"{own} {rule.target}", rf"(?s)^(?:{names})(?:$| +(.*)$)" if names else "(?!)")
+    patterns = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+    def by_rule(plain: Column, redirects: Column, before: Column, target: Column) -> Column:
+        bare, pattern = F.trim(F.substr(plain, F.length(before) + 1)), F.element_at(patterns, target)
+        rest = F.call_function("regexp_extract", bare, pattern, F.lit(1))
+        json = (target == f"{own} gh") & bare.rlike("(?i)--json|--jq|--template")
+        put = lambda r: F.concat(before, target, F.when(r == "", "").otherwise(F.concat(F.lit(" "), r)), redirects)
+        return F.when(F.rlike(bare, pattern) & ~json, _bound(rest, put))
+
+    def ruled(plain: Column, redirects: Column) -> Column:
+        before = F.regexp_extract(plain, ENVIRONMENT, 0)
+        known = F.when(~F.regexp_extract(plain, r"^(\S*)", 1).isin(*excluded, ""), classified(plain, rules)["target"])
+        return _bound(before, lambda b: F.when(~b.contains(DISABLED), _bound(known, lambda t: F.when(t.isNotNull(), by_rule(plain, redirects, b, t)))))
+
+    def ranged(plain: Column, redirects: Column) -> Column:
+        out = none
+        for pattern, kind in reversed(_RANGES):
+            put = F.concat(F.lit(f"{own} read "), F.regexp_extract(plain, pattern, 2), F.lit(f" --{kind}-lines "), F.regexp_extract(plain, pattern, 1), redirects)
+            out = F.when(plain.rlike(pattern), put).otherwise(out)
+        return out
+
+    def chosen(plain: Column, redirects: Column) -> Column:
+        flags = plain.rlike(r"^cat\s+-") & ~plain.rlike(r"^cat\s+-n\s")
+        return F.when((plain == own) | plain.startswith(f"{own} "), part).when(plain.startswith("head -") | plain.startswith("tail "), ranged(plain, redirects)).when(~flags, ruled(plain, redirects))
+
+    whole = F.regexp_extract(part, _REDIRECTS, 0)
+    cut = lambda w: F.rtrim(F.substr(part, F.lit(1), F.length(part) - F.length(w)))
+    return _bound(whole, lambda w: _bound(cut(w), lambda plain: chosen(plain, F.rtrim(w))))
+
+
+def rewritten(line: Column, excluded: tuple[str, ...] = (), rules: list[builtin.CommandRule] = RULES) -> Column:
+    """A line with each command that a rule knows under our program; null where none changes. Commands are taken apart at
+    && || ; and &; of a pipe only the first is rewritten, and not if it is find or fd, whose lines the next one reads.
+    Heredocs and arithmetic stay as they are. No Python: pieces are one pattern's matches."""
+    bare = _trimmed(line)
+    of = lambda pieces: lambda p, i: _piece(pieces, p, i)
+
+    def _piece(pieces: Column, p: Column, i: Column) -> Column:
+        seg = _trimmed(p)
+        kept = (F.get(pieces, i + 1) == "|") & seg.rlike(r"^(find|fd)( |\z)")
+        operator = F.when(p == ";", F.when(i < F.size(pieces) - 1, "; ").otherwise(";")).when(p.rlike(rf"^(?:{_OPERATORS})$"), F.concat(F.lit(" "), p, F.lit(" ")))
+        new = lambda s: F.when(kept | (s == ""), s).otherwise(F.coalesce(_rewritten_part(s, excluded, rules), s))
+        one = lambda n: F.struct(n.alias("text"), (n != seg).alias("changed"))
+        return F.when(operator.isNotNull(), F.struct(operator.alias("text"), F.lit(False).alias("changed"))).otherwise(_bound(_bound(seg, new), one))
+
+    def built(pieces: Column) -> Column:
+        pipe = F.array_position(pieces, "|").cast("int")
+        head = F.when(pipe > 0, F.slice(pieces, 1, F.greatest(pipe, F.lit(1)))).otherwise(pieces)
+        tail = F.when(pipe > 0, F.array_join(F.slice(pieces, pipe + 1, F.size(pieces)), "")).otherwise("")
+
+        def put(done: Column) -> Column:
+            text = F.array_join(F.transform(done, lambda d: d["text"]), "")
+            return F.when(F.exists(done, lambda d: d["changed"]), F.when(pipe > 0, F.concat(F.rtrim(text), tail)).otherwise(text))
+
+        return _bound(head, lambda h: _bound(F.transform(h, of(h)), put))
+
+    made = _bound(F.regexp_extract_all(bare, F.lit(_PIECES), F.lit(0)), built)
+    own = ~bare.rlike(r"&&|[|;]| & ") & ((bare == builtin.PROGRAM) | bare.startswith(f"{builtin.PROGRAM} "))
+    return F.when((bare == "") | bare.contains("<<") | bare.contains("$(("), F.lit(None).cast("string")).when(own, bare).otherwise(made)
+
+
 def base_command(command: Column) -> Column:
     return X.first_words(F.regexp_replace(F.trim(command), r"^(RUST_BACKTRACE=1|NODE_ENV=production|DEBUG=\*) ", ""), 2)
 

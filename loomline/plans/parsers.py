@@ -192,6 +192,21 @@ def h19(spark, d):
     return _shell(spark, d).select("event_id", S.rewrite("line", {"git": "lom git", "wc": "lom wc"}).alias("line"))
 
 
+#: Commands and what becomes of each by itself; a line is one of them, an operator, and another.
+_KNOWN = [("git log -n 1", "lom git log -n 1"), ("sudo cargo test --all 2>&1", "sudo lom cargo test --all 2>&1"), ("head -5 a.txt", "lom read a.txt --max-lines 5"), ("nothing known", "nothing known"), ("cat -v x", "cat -v x"), ("A=1 rg -n x src > out", "A=1 lom grep -n x src > out"), ("LOM_DISABLED=1 git diff", "LOM_DISABLED=1 git diff")]
+_JOINS = [" && ", " || ", "; ", " | "]
+_ROWS = lambda rows: ", ".join("(" + ", ".join([str(i), *[f"'{x}'" for x in r]]) + ")" for i, r in enumerate(rows))
+
+
+@query("H19_rules", f"""SELECT event_id, line, CASE WHEN new = line THEN NULL ELSE new END AS new FROM (SELECT event_id, a.c || j.c || b.c AS line, a.r || j.c || CASE WHEN j.c = ' | ' THEN b.c ELSE b.r END AS new FROM events
+ JOIN (VALUES {_ROWS(_KNOWN)}) a(i, c, r) ON a.i = event_id % {len(_KNOWN)} JOIN (VALUES {_ROWS([(j,) for j in _JOINS])}) j(i, c) ON j.i = user_id % {len(_JOINS)} JOIN (VALUES {_ROWS(_KNOWN)}) b(i, c, r) ON b.i = (event_id // 7 + user_id) % {len(_KNOWN)})""")
+def h19_rules(spark, d):
+    pick = lambda i, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.expr(i) + 1).cast("int"))
+    names = [c for c, _ in _KNOWN]
+    line = F.concat(pick(f"event_id % {len(_KNOWN)}", names), pick(f"user_id % {len(_JOINS)}", _JOINS), pick(f"(event_id div 7 + user_id) % {len(_KNOWN)}", names))
+    return T.table(spark, d, "events").select("event_id", line.alias("line")).withColumn("new", Y.rewritten(F.col("line")))
+
+
 @query("H20_base_command", "SELECT event_id, 'git log' AS base FROM events")
 def h20(spark, d):
     return _shell(spark, d).select("event_id", Y.base_command(F.concat(F.lit("DEBUG=* "), "line")).alias("base"))

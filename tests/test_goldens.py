@@ -284,3 +284,20 @@ def test_outline_keeps_signatures_and_outer_braces(spark):
         elif t.startswith(L.CONSTANTS):
             kept.append(line)
     assert got == kept and got[:3] == want[:3]
+
+
+REWRITES = {
+    "git status": "lom git status", "  git status  ": "lom git status", "git status 2>&1": "lom git status 2>&1", "cargo test > out.txt": "lom cargo test > out.txt", "cargo test && git push origin main": "lom cargo test && lom git push origin main",
+    "git add . ; unknown thing": "lom git add .; unknown thing", "git status;": "lom git status;", "git log | head -3": "lom git log | head -3", "find . -name x | wc -l": None, "fd x && git log": "lom fd x && lom git log", "unknown && also": None,
+    "head -20 src/main.rs": "lom read src/main.rs --max-lines 20", "head --lines=5 a b": "lom read a b --max-lines 5", "head -c 5 x": None, "tail -n 7 x": "lom read x --tail-lines 7", "tail --lines 7 x": "lom read x --tail-lines 7", "tail -f x": None,
+    "cat -v x": None, "cat -n x": "lom read -n x", "cat x": "lom read x", "sudo git status": "sudo lom git status", "A=1 B='x y' git log -n 1": "A=1 B='x y' lom git log -n 1", "LOM_DISABLED=1 git status": None, "gh pr list --json x": None, "gh pr list": "lom gh pr list",
+    "lom git log": "lom git log", "lom git log && git diff": "lom git log && lom git diff", "git commit -m 'a && b | c'": "lom git commit -m 'a && b | c'", "git log & cargo build": "lom git log & lom cargo build", "cat <<EOF": None, "echo $((1+2)) && git log": None, "": None,
+    "git log || git diff": "lom git log || lom git diff", "gitk x": None, "git": None,
+}
+
+
+def test_rewrites(spark):
+    df = spark.createDataFrame([(c,) for c in REWRITES], "c string")
+    got = {r.c: r.v for r in df.select("c", Y.rewritten(F.col("c")).alias("v")).collect()}
+    assert got == REWRITES
+    assert value(spark, Y.rewritten(F.col("c"), ("git",)), c="git log && cargo test") == "git log && lom cargo test"
