@@ -134,6 +134,17 @@ def communities(edges: DataFrame, least: int = 2) -> DataFrame:
     return labels.join(sized, "label").select("id", F.col("label").alias("community"), "n")
 
 
+def labelled(groups: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
+    """community, label, n of communities (id, community): the first names of their members in order, however many these are,
+    joined; ids stand for members that aren't symbols. The largest come first."""
+    names = groups.join(symbols.select("id", "name"), "id", "left").select("community", F.coalesce("name", "id").alias("name"))
+    sizes = groups.groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy("name"))
+    first = names.distinct().withColumn("rank", rank).where(F.col("rank") <= most)
+    labels = first.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("label"))
+    return labels.join(sizes, "community").select("community", "label", "n").orderBy(F.desc("n"), "label", "community")
+
+
 def bridges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """Nodes whose neighbours lie in two groups (id, community) or more."""
     ends = edges.select(F.col("source").alias("id"), F.col("target").alias("n")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("n")))

@@ -36,6 +36,40 @@ TSC = r"^(.+?)\((\d+),\d+\): error (TS\d+): (.*)$"
 MYPY = r"^(.+?):(\d+)(?::\d+)?: error: (.*?)\s+\[([\w-]+)\]$"
 
 
+def noted(lines: DataFrame) -> DataFrame:
+    """file, line, rule, message, notes of a type checker's report (id, line_no, line): notes belong to the error before them,
+    if that is of the same file; others are left out."""
+    order = Window.partitionBy("id").orderBy("line_no")
+    note = r"^(.+?):(\d+)(?::\d+)?: note: (.*)$"
+    rows = lines.withColumn("error", F.when(F.col("line").rlike(MYPY), F.struct(F.regexp_extract("line", MYPY, 1).alias("file"), F.col("line_no").alias("at")))).withColumn("before", F.last("error", True).over(order))
+    notes = rows.where(F.col("line").rlike(note) & (F.regexp_extract("line", note, 1) == F.col("before.file"))).groupBy("id", F.col("before.at").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", F.regexp_extract("line", note, 3).alias("text")))).alias("n"))
+    errors = rows.where("error is not null").select("id", "line_no", *[F.regexp_extract("line", MYPY, i).alias(c) for i, c in ((1, "file"), (2, "at"), (4, "rule"), (3, "message"))])
+    said = F.coalesce(F.transform("n", lambda x: x["text"]), F.array().cast("array<string>"))
+    return errors.join(notes, ["id", "line_no"], "left").select("id", "file", F.col("at").cast("int").alias("line"), "rule", "message", said.alias("notes"))
+
+
+def by_errors(diagnostics: DataFrame) -> DataFrame:
+    """file, n of all files with errors (file, rule), those with the most first."""
+    return diagnostics.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file")
+
+
+def grep_totals(lines: DataFrame, pattern: str, per_file: int = 25, most: int = 200) -> DataFrame:
+    """file_path, matches, shown of each file with matching lines (file_path, line_no, line): of all its matches those are
+    shown that are among its first and, in order of files, among the first of all."""
+    counts = lines.where(F.col("line").rlike(pattern)).groupBy("file_path").agg(F.count(F.lit(1)).alias("matches"))
+    able = F.least("matches", F.lit(per_file))
+    # a file that can show something takes one of the places at least, so no more than `most` files show any
+    first = counts.orderBy("file_path").limit(most).withColumn("_sum", F.sum(able).over(Window.partitionBy(F.lit(0)).orderBy("file_path")))
+    shown = first.select("file_path", F.greatest(F.lit(0), F.least(able, F.lit(most) - F.col("_sum") + able)).cast("int").alias("shown"))
+    return counts.join(F.broadcast(shown), "file_path", "left").select("file_path", "matches", F.coalesce("shown", F.lit(0)).alias("shown"))
+
+
+def found_extensions(paths: DataFrame, most: int = 5) -> DataFrame:
+    """extension, n: the most frequent endings of found paths; files without one, or with a leading dot alone, count as such."""
+    ending = F.regexp_extract("path", r"[^/.]\.([^./]+)$", 1)
+    return paths.groupBy(F.when(ending == "", "no ext").otherwise(ending).alias("extension")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "extension").limit(most)
+
+
 def lint_lines(lines: DataFrame, tool: str) -> DataFrame:
     """The same of text reports by line (line_no, line)."""
     pattern, rule, message = (TSC, 3, 4) if tool == "tsc" else (MYPY, 4, 3)

@@ -47,6 +47,48 @@ def manifest(cards: DataFrame) -> DataFrame:
     return cards.select("file_path", F.sha2("card", 256).alias("digest"))
 
 
+#: The file that lists a repository's cards, and the form of manifests.
+INDEX, VERSION = "INDEX.md", 1
+
+
+def _short(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def indexes(cards: DataFrame) -> DataFrame:
+    """repo, body: the index of each repository's cards (repo, file, source, body), in order of their sources."""
+    line = F.struct("source", F.concat(F.lit("- ["), "source", F.lit("]("), "file", F.lit(")")).alias("line"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda i: i["line"]), "\n")
+    return cards.groupBy("repo").agg(F.concat(F.lit("# Index\n\n"), listed).alias("body"))
+
+
+def manifests(cards: DataFrame, files: DataFrame, extractor: str) -> DataFrame:
+    """repo, file, source, hash, source_hash, extractor, version: an entry for each card (repo, file, source, body) and one for
+    the repository's index, which has no source. hash is of the generated text, source_hash that of the source file
+    (repo, path, hash) at the time."""
+    sources = files.select("repo", F.col("path").alias("source"), F.col("hash").alias("source_hash"))
+    own = cards.select("repo", "file", "source", _short(F.col("body")).alias("hash")).join(sources, ["repo", "source"], "left").select("repo", "file", "source", "hash", "source_hash")
+    first = indexes(cards).select("repo", F.lit(INDEX).alias("file"), F.lit(None).cast("string").alias("source"), _short(F.col("body")).alias("hash"), F.lit(None).cast("string").alias("source_hash"))
+    return own.unionByName(first).dropDuplicates(["repo", "file"]).withColumns({"extractor": F.lit(extractor), "version": F.lit(VERSION)})
+
+
+def drift(manifest: DataFrame, files: DataFrame, extractor: str) -> DataFrame:
+    """repo, kind, source of what a repository's cards no longer say: content_drift (the source has changed), removed (it is
+    gone), coverage (a source has no card), index_drift (the cards are another extractor's; one row, whose source is that
+    one's name) and missing (there is no manifest; one row)."""
+    entries = manifest.where("source is not null").select("repo", "source", "source_hash")
+    live = files.select("repo", F.col("path").alias("source"), F.col("hash").alias("now"))
+    known = manifest.select("repo").distinct()
+    both = entries.join(live.join(known, "repo", "left_semi"), ["repo", "source"], "full_outer")
+    carded = entries.select("repo", "source", F.lit(True).alias("carded"))
+    rows = both.join(carded.distinct(), ["repo", "source"], "left")
+    kind = F.when(F.col("now").isNull(), "removed").when(F.col("carded").isNull(), "coverage").when(~F.col("source_hash").eqNullSafe(F.col("now")), "content_drift")
+    found = rows.select("repo", kind.alias("kind"), "source").where("kind is not null")
+    other = manifest.where(F.col("extractor") != extractor).select("repo", F.lit("index_drift").alias("kind"), F.col("extractor").alias("source")).distinct()
+    missing = files.select("repo").distinct().join(known, "repo", "left_anti").select("repo", F.lit("missing").alias("kind"), F.lit(None).cast("string").alias("source"))
+    return found.unionByName(other).unionByName(missing)
+
+
 def orphans(old: DataFrame, cards: DataFrame) -> DataFrame:
     """Old cards whose file is gone, and whether they may be deleted: not if somebody wrote notes into them."""
     gone = old.join(cards.select("file_path"), "file_path", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
+from ..operators import graph as G
+from ..operators import render
 from ..operators import resolution as R
 from ..operators import retrieval as Q
 from ..operators import scopes as S
@@ -232,3 +234,40 @@ def a7_ignore_files(spark, d):
     repos = sources.select("repo").distinct().withColumn("k", F.expr("cast(substring(repo, 2) as bigint) % 3"))
     ignores = repos.join(F.broadcast(kinds), "k").select("repo", "folder", "text")
     return FS.not_ignored(sources, ignores).groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cards(spark, d):
+    """A card and a hash for each file of each repository."""
+    sources, _ = C.repositories(spark, d)
+    files = sources.select("repo", "path").distinct().withColumn("hash", F.md5(F.concat("repo", "path")))
+    cards = files.select("repo", F.concat(F.regexp_replace("path", "/", "__"), F.lit(".md")).alias("file"), F.col("path").alias("source"), F.concat(F.lit("# "), "path").alias("body"))
+    return files, cards
+
+
+@query("B9_manifest", C.with_views("""SELECT repo, replace(path, '/', '__') || '.md' AS file, path AS source, substr(sha256('# ' || path), 1, 16) AS hash, md5(repo || path) AS source_hash FROM (SELECT DISTINCT repo, path FROM cb_sources)
+ UNION ALL SELECT repo, 'INDEX.md', NULL, substr(sha256('# Index' || chr(10) || chr(10) || string_agg('- [' || path || '](' || replace(path, '/', '__') || '.md)', chr(10) ORDER BY path)), 1, 16), NULL FROM (SELECT DISTINCT repo, path FROM cb_sources) GROUP BY 1"""))
+def b9_manifest(spark, d):
+    files, cards = _cards(spark, d)
+    return render.manifests(cards, files, "x1").drop("extractor", "version")
+
+
+@query("B10_drift_report", C.with_views("""SELECT repo, kind, source FROM (SELECT repo, CASE WHEN k % 10 = 1 THEN 'content_drift' WHEN k % 10 = 2 THEN 'coverage' WHEN k % 10 = 3 THEN 'removed' END AS kind, path AS source, r FROM (
+ SELECT repo, path, ascii(md5(repo || path)) + ascii(substr(md5(repo || path), 2, 1)) AS k, CAST(substr(repo, 2) AS BIGINT) AS r FROM (SELECT DISTINCT repo, path FROM cb_sources))) WHERE kind IS NOT NULL AND r % 4 > 0
+ UNION ALL SELECT DISTINCT repo, 'index_drift', 'x0' FROM cb_sources WHERE CAST(substr(repo, 2) AS BIGINT) % 4 = 2 UNION ALL SELECT DISTINCT repo, 'missing', NULL FROM cb_sources WHERE CAST(substr(repo, 2) AS BIGINT) % 4 = 0"""))
+def b10_drift_report(spark, d):
+    """Of each repository's files some have changed, come or gone since their cards; a quarter has no cards, a quarter those
+    of another extractor."""
+    files, cards = _cards(spark, d)
+    k = F.ascii("hash") + F.ascii(F.substring("hash", 2, 1))
+    kind, number = (k % 10).alias("kind"), F.expr("cast(substring(repo, 2) as bigint) % 4").alias("r")
+    marked = files.select("*", kind, number)
+    then = marked.where("kind <> 2 and r > 0").withColumn("hash", F.when(F.col("kind") == 1, "old").otherwise(F.col("hash")))
+    carded = cards.join(then.select("repo", F.col("path").alias("source")), ["repo", "source"], "left_semi")
+    made = render.manifests(carded, then, "x1").withColumn("extractor", F.when(F.expr("cast(substring(repo, 2) as bigint) % 4") == 2, "x0").otherwise(F.col("extractor")))
+    return render.drift(made, marked.where("kind <> 3").select("repo", "path", "hash"), "x1")
+
+
+@query("L4_labels", C.with_views("SELECT community, array_to_string(list_sort(list(DISTINCT name))[1:5], ', ') AS label, COUNT(*) AS n FROM (SELECT id, name, split_part(file, '/', 1) AS community FROM cb_nodes) GROUP BY 1"))
+def l4_labels(spark, d):
+    nodes = C.views(spark, d)["nodes"]
+    return G.labelled(nodes.select("id", F.split_part("file", F.lit("/"), F.lit(1)).alias("community")), nodes)

@@ -222,3 +222,44 @@ def i8(spark, d):
 def b4(spark, d):
     rows = U.by_command(T.commands(spark, d)).select(F.to_json(F.struct("lom_cmd", "n")).alias("j"))
     return rows.select(F.from_json("j", "lom_cmd string, n long").alias("r")).select("r.*")
+
+
+_REPORT = """SELECT event_id // 50 AS id, event_id AS line_no, 'm' || user_id % 3 || '.py' AS file, event_type, user_id FROM events"""
+
+
+@query("E28_mypy_notes", f"""SELECT id, file, line::INT AS line, rule, notes FROM (SELECT e.id, e.line_no, e.file, e.user_id AS line, 'r' || e.user_id % 5 AS rule, COALESCE(string_agg('see ' || n.line_no, ',' ORDER BY n.line_no), '') AS notes FROM ({_REPORT}) e
+ LEFT JOIN ({_REPORT}) n ON n.id = e.id AND n.event_type = 'view' AND n.file = e.file AND n.line_no > e.line_no AND NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.event_id // 50 = e.id AND x.event_id > e.line_no AND x.event_id < n.line_no) WHERE e.event_type = 'error' GROUP BY 1, 2, 3, 4, 5)""")
+def e28_mypy_notes(spark, d):
+    events = T.table(spark, d, "events")
+    place = F.concat(F.lit("m"), F.col("user_id") % 3, F.lit(".py:"), "user_id")
+    line = F.when(F.col("event_type") == "error", F.concat(place, F.lit(": error: bad  [r"), F.col("user_id") % 5, F.lit("]"))).when(F.col("event_type") == "view", F.concat(place, F.lit(": note: see "), "event_id")).otherwise("other")
+    found = P.noted(events.select(F.expr("event_id div 50").alias("id"), F.col("event_id").alias("line_no"), line.alias("line")))
+    return found.select("id", "file", "line", "rule", F.array_join("notes", ",").alias("notes"))
+
+
+@query("E28_tsc_codes", f"SELECT rule, COUNT(*) AS n FROM (SELECT 'TS' || 2000 + user_id % 9 AS rule FROM events WHERE event_type = 'error') GROUP BY 1 ORDER BY n DESC, rule LIMIT 5")
+def e28_tsc_codes(spark, d):
+    return P.top_rules(_tsc(spark, d), 5)
+
+
+@query("E28_tsc_files", "SELECT 'a' || user_id % 11 || '.ts' AS file, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def e28_tsc_files(spark, d):
+    return P.by_errors(_tsc(spark, d))
+
+
+def _tsc(spark, d):
+    line = F.concat(F.lit("a"), F.col("user_id") % 11, F.lit(".ts("), "event_id", F.lit(",1): error TS"), (F.col("user_id") % 9 + 2000).cast("string"), F.lit(": no"))
+    return P.lint_lines(T.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("line_no"), line.alias("line")), "tsc")
+
+
+@query("E31_grep_totals", """SELECT file_path, matches, greatest(0, least(able, 200 - (s - able)))::INT AS shown FROM (SELECT *, SUM(able) OVER (ORDER BY file_path) AS s FROM (SELECT file_path, COUNT(*) AS matches, least(COUNT(*), 3) AS able FROM (
+ SELECT doc_id::VARCHAR AS file_path, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'the') GROUP BY 1))""")
+def e31_grep_totals(spark, d):
+    lines = T.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return P.grep_totals(lines, "the", 3, 200)
+
+
+@query("E31_extensions", "SELECT extension, COUNT(*) AS n FROM (SELECT CASE p_size % 7 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'no ext' WHEN 3 THEN 'gz' WHEN 4 THEN 'no ext' WHEN 5 THEN 'x' ELSE 'md' END AS extension FROM part) GROUP BY 1 ORDER BY n DESC, extension LIMIT 5")
+def e31_extensions(spark, d):
+    names = F.array(*[F.lit(x) for x in ("a.rs", "b.py", "Makefile", "c.tar.gz", ".env", "d/e.x", "f.g/h.md")])
+    return P.found_extensions(T.table(spark, d, "part").select(F.concat(F.lit("d/"), F.get(names, F.expr("p_size % 7"))).alias("path")))
