@@ -21,6 +21,34 @@ CASES = {
     "mypy": ("a.py:1: error: x  [e]\na.py:1: note: see\nb.py:2: note: alone\nFound 1 error in 1 file", ["a.py:1: error: x  [e]\na.py:1: note: see\nb.py:2: note: alone"], "Found 1 error in 1 file"),
     "terraform plan": ("Refreshing\n  # aws_x.y will be created\n  + resource \"a\" \"b\" {\n      + id = 1\n    }\n\nPlan: 1 to add", ["# aws_x.y will be created\n+ resource \"a\" \"b\" {\n+ id = 1"], "Plan: 1 to add"),
     "make": ("cc a.c\na.c:1:2: warning: w\na.c:3:4: error: e\n 3 | x\n   | ^\nmake: *** [a.o] Error 1", ["a.c:3:4: error: e\n3 | x\n| ^"], "make: *** [a.o] Error 1"),
+    "eslint": ("\n/a/b.ts\n  1:2  error  no  rule\n  3:4  warning  w  r2\n\n/c.js\n  5:6  error  x  r\n\n✖ 3 problems (2 errors, 1 warning)", ["/a/b.ts\n1:2  error  no  rule\n3:4  warning  w  r2", "/c.js\n5:6  error  x  r"], "✖ 3 problems (2 errors, 1 warning)"),
+    "ruff": ("a.py:1:2: E501 long\n  |\nFound 1 error.", ["a.py:1:2: E501 long"], "Found 1 error."),
+    "pylint": ("*** Module a\na.py:1:0: C0114: Missing (x)\n---\nYour code has been rated at 5/10", ["a.py:1:0: C0114: Missing (x)"], "Your code has been rated at 5/10"),
+    "rubocop": ("Inspecting 2 files\n.C\na.rb:1:2: C: Style/X: no\n  x\n2 files inspected, 1 offense", ["a.rb:1:2: C: Style/X: no"], "2 files inspected, 1 offense"),
+    "golangci-lint": ("a.go:1:2: not used (unused)\n\tfunc x() {}\n\t     ^\nb.go:3:4: y (z)\n2 issues:", ["a.go:1:2: not used (unused)\nfunc x() {}", "b.go:3:4: y (z)"], "2 issues:"),
+    "cargo clippy": ("    Checking x\nwarning: needless\n  --> a.rs:1\n   |\nerror[E1]: bad\n  --> b.rs:2\nwarning: `x` generated 1 warning", ["warning: needless\n--> a.rs:1", "error[E1]: bad\n--> b.rs:2"], "warning: `x` generated 1 warning"),
+    "docker build": ("#1 [internal] load\n#2 ERROR: exit 1\n------\n > RUN x\n#3 [2/2] y\nERROR: failed to solve", ["#2 ERROR: exit 1\n> RUN x"], "ERROR: failed to solve"),
+    "pip install": ("Collecting x\nWARNING: old pip\nSuccessfully installed x-1", ["WARNING: old pip"], "Successfully installed x-1"),
+    "gradle": ("> Task :a\n> Task :b FAILED\n\n* What went wrong:\nExecution failed\n\n* Try:\n> Run\nBUILD FAILED in 1s", ["> Task :b FAILED", "* What went wrong:\nExecution failed"], "BUILD FAILED in 1s"),
+    "maven": ("[INFO] x\n[ERROR] A.java:[1,2] bad\n[ERROR] Tests run: 2, Failures: 1\n[INFO] BUILD FAILURE", ["[ERROR] A.java:[1,2] bad", "[ERROR] Tests run: 2, Failures: 1"], "[INFO] BUILD FAILURE"),
+    "dotnet build": ("a.cs(1,2): error CS1: x [p]\nBuild FAILED.\na.cs(1,2): error CS1: x [p]", ["a.cs(1,2): error CS1: x [p]"], "Build FAILED."),
+    "dotnet test": ("  Failed A.B [1 ms]\n  Error Message:\n   no\n  Stack Trace:\n   at x\nFailed!  - Failed: 1", ["Failed A.B [1 ms]\nno"], "Failed!  - Failed: 1"),
+    "phpunit": ("..F\n\n1) A::b\nFailed\n\na.php:1\n\nFAILURES!\nTests: 3, Failures: 1.", ["1) A::b\nFailed\na.php:1"], "Tests: 3, Failures: 1."),
+    "mocha": ("  ✓ a\n\n  1 passing\n  1 failing\n\n  1) b works:\n     Error: no\n      at x.js:1", ["1) b works:\nError: no"], "1 failing"),
+    "vitest": (" FAIL  a.test.ts > b\nAssertionError: x\n ❯ a.test.ts:1\n Tests  1 failed | 2 passed", ["FAIL  a.test.ts > b\nAssertionError: x"], "Tests  1 failed | 2 passed"),
+    "playwright": ("  1) [chromium] › a.spec.ts:1\n    Error: no\n      3 | x\n    at y\n  1 failed", ["1) [chromium] › a.spec.ts:1\nError: no"], "1 failed"),
+    "mix test": ("..\n  1) test a (B)\n     test/a.exs:1\n     no\n\nFinished in 0.1\n3 tests, 1 failure", ["1) test a (B)\ntest/a.exs:1\nno"], "3 tests, 1 failure"),
+    "shellcheck": ("In a.sh line 3:\necho $x\n     ^-- SC2086\n\nFor more information:", ["In a.sh line 3:\necho $x\n^-- SC2086"], "For more information:"),
+    "hadolint": ("Dockerfile:1 DL3006 warning: tag\nother", ["Dockerfile:1 DL3006 warning: tag"], None),
+    "ninja": ("[1/2] cc a\nFAILED: a.o\ncc a.c\nerror\n[2/2] cc b\nninja: build stopped: x", ["FAILED: a.o\ncc a.c\nerror"], "ninja: build stopped: x"),
+    "cmake": ("-- Found x\nCMake Error at a:1 (y):\n  bad\n\n-- Configuring incomplete, errors", ["CMake Error at a:1 (y):\nbad"], "-- Configuring incomplete, errors"),
+    "ansible-playbook": ("TASK [x]\nok: [h]\nfatal: [g]: FAILED!\nPLAY RECAP ***\nh   : ok=1 changed=0", ["fatal: [g]: FAILED!", "h   : ok=1 changed=0"], None),
+    "git push": ("Enumerating objects: 3\nTo github.com:a/b\n   1a2b..3c4d  main -> main\n ! [rejected] x -> x", ["To github.com:a/b", "1a2b..3c4d  main -> main", "! [rejected] x -> x"], None),
+    "xcodebuild": ("CompileSwift x\n/a.swift:1:2: error: bad\n** BUILD FAILED **", ["/a.swift:1:2: error: bad"], "** BUILD FAILED **"),
+    "swift test": ("Test Case 'a' started\n/a.swift:1: error: A.b : no\nExecuted 2 tests, with 1 failure", ["/a.swift:1: error: A.b : no"], "Executed 2 tests, with 1 failure"),
+    "prettier": ("Checking\n[warn] a.ts\n[warn] Code style issues found", ["[warn] a.ts"], "[warn] Code style issues found"),
+    "black": ("would reformat a.py\nOh no!\n1 file would be reformatted", ["would reformat a.py"], "1 file would be reformatted"),
+    "webpack": ("asset a.js 1 KiB\nERROR in ./a.ts\nModule not found\n\nwebpack 5 compiled with 1 error", ["ERROR in ./a.ts\nModule not found"], "webpack 5 compiled with 1 error"),
     "npm": ("npm ERR! code E404\nnpm ERR! 404 Not Found\n3 vulnerabilities\nadded 5 packages", ["3 vulnerabilities", "npm ERR! code E404\nnpm ERR! 404 Not Found"], "added 5 packages"),
 }
 
@@ -35,6 +63,14 @@ def test_machines(spark):
     assert set(CASES) == set(M.MACHINES)
 
 
+def test_outputs_by_command(spark):
+    assert set(M.COMMANDS) == set(M.MACHINES)
+    rows = [("cargo test --all", CASES["cargo test"][0]), ("git status", "as it is"), ("ruff check", "nothing here"), ("python -m pytest -q", "\n".join(["=== short test summary"] + [f"FAILED t{i}" for i in range(60)]))]
+    got = [r.v for r in spark.createDataFrame(rows, "c string, t string").select(M.reduced(F.col("c"), F.col("t")).alias("v")).collect()]
+    assert got[0] == CASES["cargo test"][2] + "\n" + "\n".join(CASES["cargo test"][1]) and got[1:3] == ["as it is", "nothing here"]
+    assert got[3].splitlines()[0] == "FAILED t0" and got[3].splitlines()[50:] == ["... 10 more"]
+
+
 def test_actions_are_checked():
     with pytest.raises(ValueError):
         M.Step("", "x", "", "jump")
