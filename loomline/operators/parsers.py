@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from .graph import cut
 
 RUFF = "array<struct<code:string,filename:string,message:string,location:struct<row:int,column:int>>>"
 ESLINT = "array<struct<filePath:string,messages:array<struct<ruleId:string,severity:int,message:string,line:int>>>>"
@@ -232,6 +233,38 @@ def json_view(text: Column | str, view: str) -> Column:
     return F.pandas_udf(applied, "string")(text)
 
 
+def json_nodes(rows: DataFrame, key: str, text: str, depth: int = 8) -> DataFrame:
+    """key, path, depth, kind, value, size: every value of JSON texts down to a depth, level by level in the JVM. Paths are
+    $.name[0]; kind is object, array, string, number, boolean or null; value is that of scalars as text, size the number of
+    what objects and arrays hold. Texts that don't parse have no nodes. The walk ends where a level has nothing below it;
+    each level is a checkpoint, so that a deep text costs a pass a level and no longer plan."""
+    spark = rows.sparkSession
+    told = F.schema_of_variant("v")
+    kind = F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean").when(told == "VOID", "null").otherwise("number")
+    level = rows.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(text).alias("v")).where("v is not null").withColumn("kind", kind)
+    every = None
+    for step in range(depth + 1):
+        level = level.transform(cut)
+        inner = spark.sql(
+            "SELECT t.key, concat(t.path, CASE WHEN t.kind = 'array' THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, t.depth + 1 AS depth, e.value AS v FROM {t} t, LATERAL variant_explode(t.v) e WHERE t.kind IN ('object', 'array')", t=level
+        ).withColumn("kind", kind)
+        sizes = F.when(F.col("kind") == "object", F.size(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))).when(F.col("kind") == "array", F.size(F.try_variant_get("v", "$", "array<variant>")))
+        value = F.when(~F.col("kind").isin("object", "array", "null"), F.try_variant_get("v", "$", "string"))
+        nodes = level.select(F.col("key").alias(key), "path", "depth", "kind", value.alias("value"), sizes.alias("size"))
+        every = nodes if every is None else every.unionByName(nodes)
+        if step == depth or level.where("kind in ('object', 'array')").isEmpty():
+            break
+        level = inner
+    return every
+
+
+def json_schema(nodes: DataFrame) -> DataFrame:
+    """path, kind, n, most of many texts' nodes: what stands where, how often, and how long it is at most. Places in arrays
+    count as one."""
+    path = F.regexp_replace("path", r"\[\d+\]", "[]")
+    return nodes.groupBy(path.alias("path"), "kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("size", F.length("value"), F.lit(0))).alias("most"))
+
+
 def psql_rows(text: Column, most: int = 30) -> Column:
     """A console table as tab-separated rows, rulers and row counts left out."""
     rows = F.filter(L.to_lines(text), lambda l: ~l.rlike(r"^[-+\s]*$") & ~l.rlike(r"^\(\d+ rows?\)"))

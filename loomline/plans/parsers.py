@@ -263,3 +263,24 @@ def e31_grep_totals(spark, d):
 def e31_extensions(spark, d):
     names = F.array(*[F.lit(x) for x in ("a.rs", "b.py", "Makefile", "c.tar.gz", ".env", "d/e.x", "f.g/h.md")])
     return P.found_extensions(T.table(spark, d, "part").select(F.concat(F.lit("d/"), F.get(names, F.expr("p_size % 7"))).alias("path")))
+
+
+_JSON = """'{"k": ' || event_id || ', "t": [' || user_id % 3 || ', {"b": "' || event_type || '", "e": {}}, [true, null]], "u": ' || CASE WHEN user_id % 2 = 0 THEN 'null' ELSE '1.5' END || '}'"""
+_TREE = f"""SELECT event_id, fullkey AS path, len(regexp_extract_all(fullkey, '[.]|\\[')) AS depth, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' ELSE lower(type) END AS kind, CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE atom ->> '$' END AS value,
+ CASE type WHEN 'OBJECT' THEN len(json_keys(value)) WHEN 'ARRAY' THEN json_array_length(value) END::INT AS size FROM (SELECT event_id, t.* FROM (SELECT event_id, ({_JSON})::JSON AS j FROM events), json_tree(j) t)"""
+
+
+def _json(spark, d):
+    u = F.col("user_id")
+    text = F.concat(F.lit('{"k": '), "event_id", F.lit(', "t": ['), u % 3, F.lit(', {"b": "'), "event_type", F.lit('", "e": {}}, [true, null]], "u": '), F.when(u % 2 == 0, "null").otherwise("1.5"), F.lit("}"))
+    return P.json_nodes(T.table(spark, d, "events").select("event_id", text.alias("text")), "event_id", "text")
+
+
+@query("H29_json_nodes", _TREE)
+def h29_json_nodes(spark, d):
+    return _json(spark, d)
+
+
+@query("H30_json_paths", f"SELECT regexp_replace(path, '\\[[0-9]+\\]', '[]', 'g') AS path, kind, COUNT(*) AS n, MAX(COALESCE(size, length(value), 0))::INT AS most FROM ({_TREE}) GROUP BY 1, 2")
+def h30_json_paths(spark, d):
+    return P.json_schema(_json(spark, d))
