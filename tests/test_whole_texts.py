@@ -1,5 +1,6 @@
 """Findings and their report see the whole text of every document."""
 
+import re
 from collections import Counter
 
 from loomline.operators import privacy
@@ -9,9 +10,19 @@ FAR = "word " * 40
 TEXTS = [f"{FAR}write to ann@mail.example.org or https://a.example.org/x?m=b@c.example.org now", f"{FAR}paid $1,200.50 from 10.1.2.3", "call +44 20 7946 0958", "a@b.example.org", "", None, "nothing"]
 
 
+def find(text):
+    """Findings of a text by start, rank and length."""
+    out = []
+    for kind, (pattern, _) in (privacy.PATTERNS | privacy.SECRETS).items():
+        for m in re.finditer(pattern, text or ""):
+            if kind != "IP" or m[0] not in privacy.LOCAL and not m[0].startswith(privacy.LOCAL_PREFIX):
+                out.append({"kind": kind, "value": m[0], "start": m.start(), "end": m.end()})
+    return sorted(out, key=lambda f: (f["start"], -privacy.PRIORITY.get(f["kind"], 1), f["start"] - f["end"]))
+
+
 def brute(text):
     kept = []
-    for f in privacy.find(text):
+    for f in find(text):
         if not kept or f["start"] >= kept[-1]["end"]:
             kept.append(f)
     return kept
