@@ -16,22 +16,19 @@ from .catalog import query
 
 _KIND = "kind IN ('class', 'interface', 'struct', 'trait')"
 _CALL = "kind IN ('function', 'method')"
-_FOLDER = "regexp_extract({0}, '^(.*)/[^/]*$', 1)"
 _ENDINGS = "['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'py', 'go', 'rs']"
 _INDEXES = "['index', '__init__', 'mod']"
 
 
-def _only(of: str, where: str) -> str:
-    """The id of the only row, else null."""
-    return f"(SELECT CASE WHEN count(*) = 1 THEN min(x.id) END FROM {of} x WHERE {where})"
-
-
 #: The cascade in SQL, request by request: candidates are spelled out and counted, not looked up by shared bases.
 _CASCADE = {
     "types": f"SELECT * FROM cb_nodes WHERE {_KIND}",
     "asked_types": "SELECT DISTINCT name, file FROM (SELECT variable AS name, file FROM cb_refs UNION ALL SELECT name, file FROM cb_refs UNION ALL SELECT type, file FROM cb_owners UNION ALL SELECT from_name, file FROM cb_relations UNION ALL SELECT to_name, file FROM cb_relations UNION ALL SELECT type, file FROM cb_bindings) WHERE name IS NOT NULL",
-    "near": f"""SELECT q.name, q.file, COALESCE({_only('types', 'x.name = q.name')}, {_only('types', 'x.name = q.name AND x.file = q.file')},
- {_only('types', "x.name = q.name AND split_part(x.file, '/', 1) = split_part(q.file, '/', 1) AND split_part(x.file, '.', 2) = split_part(q.file, '.', 2)")}) AS found FROM asked_types q""",
+    "t_whole": "SELECT name, count(*) AS n, min(id) AS id FROM types GROUP BY 1",
+    "t_local": "SELECT name, file, count(*) AS n, min(id) AS id FROM types GROUP BY 1, 2",
+    "t_near": "SELECT name, split_part(file, '/', 1) AS folder, split_part(file, '.', 2) AS ending, count(*) AS n, min(id) AS id FROM types GROUP BY 1, 2, 3",
+    "near": """SELECT q.name, q.file, CASE WHEN w.n = 1 THEN w.id WHEN l.n = 1 THEN l.id WHEN r.n = 1 THEN r.id END AS found FROM asked_types q LEFT JOIN t_whole w ON w.name = q.name LEFT JOIN t_local l ON l.name = q.name AND l.file = q.file
+ LEFT JOIN t_near r ON r.name = q.name AND r.folder = split_part(q.file, '/', 1) AND r.ending = split_part(q.file, '.', 2)""",
     "first_imports": "SELECT file, local, arg_min(imported, position) AS imported, arg_min(module, position) AS module FROM cb_imports GROUP BY 1, 2",
     "bases": """SELECT file, local, imported, unnest(CASE WHEN module LIKE './%' THEN [split_part(file, '/', 1) || substr(module, 2)] WHEN module LIKE '../%' THEN [substr(module, 4)]
  WHEN file LIKE '%.py' AND NOT contains(module, '/') THEN [split_part(file, '/', 1) || '/' || replace(module, '.', '/'), replace(module, '.', '/')] ELSE [] END) AS base FROM first_imports""",
@@ -49,9 +46,10 @@ _CASCADE = {
     "on_type": "SELECT r.type, m.name, arg_min(m.method, r.way) AS found FROM reach r JOIN methods m ON m.owner = r.ancestor GROUP BY 1, 2",
     "targets": f"SELECT * FROM cb_nodes WHERE {_KIND} OR {_CALL}",
     "asked": "SELECT DISTINCT name, file FROM (SELECT name, file FROM cb_refs UNION ALL SELECT imported, file FROM cb_imports)",
-    "counted": "SELECT q.name, q.file, (SELECT count(*) FROM targets x WHERE x.name = q.name) AS n FROM asked q",
-    "plain": f"""SELECT q.name, q.file, CASE WHEN q.n = 1 THEN (SELECT min(x.id) FROM targets x WHERE x.name = q.name) ELSE COALESCE({_only('targets', 'x.name = q.name AND x.file = q.file')}, i.found) END AS found, q.n
- FROM counted q LEFT JOIN imported i ON i.file = q.file AND i.local = q.name""",
+    "c_whole": "SELECT name, count(*) AS n, min(id) AS id FROM targets GROUP BY 1",
+    "c_local": "SELECT name, file, count(*) AS n, min(id) AS id FROM targets GROUP BY 1, 2",
+    "plain": """SELECT q.name, q.file, CASE WHEN w.n = 1 THEN w.id WHEN l.n = 1 THEN l.id ELSE i.found END AS found, w.n FROM asked q LEFT JOIN c_whole w ON w.name = q.name LEFT JOIN c_local l ON l.name = q.name AND l.file = q.file
+ LEFT JOIN imported i ON i.file = q.file AND i.local = q.name""",
     "bound": "SELECT file, variable, arg_min(type, position) AS type FROM cb_bindings GROUP BY 1, 2",
     "callables": f"SELECT name, count(*) AS n, min(id) AS id FROM cb_nodes WHERE {_CALL} GROUP BY 1",
     "resolved_refs": """SELECT r.*, CASE WHEN r.receiver IS NULL THEN p.found WHEN r.receiver = 'self' THEN COALESCE(s.found, CASE WHEN pf.file = r.file THEN p.found END) WHEN r.receiver = 'typed' THEN t.found ELSE COALESCE(b.found, t.found, CASE WHEN c.n = 1 THEN c.id END) END AS target,

@@ -26,15 +26,15 @@ SQL = {
     "cb_refs": f"""SELECT s.id AS source, s.file AS file, t.name AS name, CASE WHEN l_linenumber % 4 > 0 THEN 'CALLS' WHEN l_returnflag = 'A' THEN 'CALLS' WHEN l_returnflag = 'N' THEN 'EXTENDS' ELSE 'TYPE_REF' END AS kind,
  CASE l_linenumber % 4 WHEN 1 THEN 'self' WHEN 2 THEN 'typed' WHEN 3 THEN 'untyped' END AS receiver,
  CASE l_linenumber % 4 WHEN 2 THEN v.name WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN 'v' || CAST(l_suppkey % 10 AS STRING) ELSE v.name END END AS variable, l_orderkey * 10 + l_linenumber AS position
- FROM lineitem CROSS JOIN cb_size z JOIN cb_nodes s ON s.k = l_partkey JOIN cb_nodes t ON t.k = CASE WHEN l_suppkey % 2 = 0 THEN l_partkey + l_linenumber ELSE l_orderkey % {_N} END JOIN cb_nodes v ON v.k = l_orderkey * 7 % {_N}""",
+ FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN l_partkey + l_linenumber ELSE l_orderkey % {_N} END AS tk, l_orderkey * 7 % {_N} AS vk FROM lineitem CROSS JOIN cb_size z) l JOIN cb_nodes s ON s.k = l_partkey JOIN cb_nodes t ON t.k = tk JOIN cb_nodes v ON v.k = vk""",
     "cb_imports": f"""SELECT a.file AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'v' || CAST(o_custkey % 10 AS STRING) ELSE b.name END AS local, CASE WHEN o_orderkey % 17 = 0 THEN '*' ELSE b.name END AS imported,
  CASE WHEN o_orderkey % 13 = 0 THEN 'react' WHEN o_orderkey % 13 = 1 THEN './' || split_part(b.file, '/', 2) WHEN o_orderkey % 13 = 2 THEN '../' || split_part(b.file, '/', 1)
  WHEN a.file LIKE '%.py' AND o_orderkey % 2 = 0 THEN split_part(b.file, '/', 1) || '.' || split_part(split_part(b.file, '/', 2), '.', 1)
  ELSE '../' || split_part(b.file, '.', 1) END AS module, o_orderkey AS position
- FROM orders CROSS JOIN cb_size z JOIN cb_nodes a ON a.k = o_orderkey % {_N} JOIN cb_nodes b ON b.k = CASE WHEN o_custkey % 3 = 0 THEN (a.k + o_custkey) % {_N} ELSE a.k + o_custkey % 7 END""",
-    "cb_bindings": f"""SELECT a.file AS file, 'v' || CAST(c_nationkey % 10 AS STRING) AS variable, b.name AS type, c_custkey AS position FROM customer CROSS JOIN cb_size z JOIN cb_nodes a ON a.k = c_custkey % {_N} JOIN cb_nodes b ON b.k = (a.k + c_nationkey) % {_N} WHERE b.kind IN ('class', 'interface', 'constant')""",
+ FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN (ak + o_custkey) % n ELSE ak + o_custkey % 7 END AS bk FROM (SELECT *, o_orderkey % {_N} AS ak FROM orders CROSS JOIN cb_size z) p) o JOIN cb_nodes a ON a.k = ak JOIN cb_nodes b ON b.k = bk""",
+    "cb_bindings": f"""SELECT a.file AS file, 'v' || CAST(c_nationkey % 10 AS STRING) AS variable, b.name AS type, c_custkey AS position FROM (SELECT *, c_custkey % {_N} AS ak, (c_custkey % {_N} + c_nationkey) % {_N} AS bk FROM customer CROSS JOIN cb_size z) c JOIN cb_nodes a ON a.k = ak JOIN cb_nodes b ON b.k = bk WHERE b.kind IN ('class', 'interface', 'constant')""",
     "cb_owners": "SELECT m.id AS method, t.name AS type, m.file AS file FROM cb_nodes m JOIN cb_nodes t ON t.k = m.k - m.line % 7 WHERE m.kind = 'method' AND m.parent IS NULL AND t.kind IN ('class', 'interface', 'function')",
-    "cb_relations": f"SELECT a.file AS file, a.name AS from_name, b.name AS to_name, 'IMPLEMENTS' AS kind, c_custkey AS position FROM customer CROSS JOIN cb_size z JOIN cb_nodes a ON a.k = c_custkey * 3 % {_N} JOIN cb_nodes b ON b.k = (a.k + 1 + c_nationkey % 5) % {_N} WHERE a.kind IN ('class', 'interface') AND b.kind IN ('class', 'interface', 'method')",
+    "cb_relations": f"SELECT a.file AS file, a.name AS from_name, b.name AS to_name, 'IMPLEMENTS' AS kind, c_custkey AS position FROM (SELECT *, c_custkey * 3 % {_N} AS ak, (c_custkey * 3 % {_N} + 1 + c_nationkey % 5) % {_N} AS bk FROM customer CROSS JOIN cb_size z) c JOIN cb_nodes a ON a.k = ak JOIN cb_nodes b ON b.k = bk WHERE a.kind IN ('class', 'interface') AND b.kind IN ('class', 'interface', 'method')",
 }
 
 #: Repositories of a supplier each, with their files and manifests. In texts | is a line's end and ~ a quotation mark.
@@ -77,7 +77,8 @@ def _made(spark: SparkSession, sf_dir: str, queries: dict[str, str]) -> dict[str
 
 def with_views(body: str, **more: str) -> str:
     """An oracle: all views, further ones, and a query over them."""
-    return "WITH RECURSIVE " + ", ".join(f"{name} AS ({sql})" for name, sql in (SQL | REPOSITORIES | more).items()) + f" {body}"
+    kept = lambda name, sql: "" if name in sql.split() else "MATERIALIZED "  # noqa: E731  not what refers to itself
+    return "WITH RECURSIVE " + ", ".join(f"{name} AS {kept(name, sql)}({sql})" for name, sql in (SQL | REPOSITORIES | more).items()) + f" {body}"
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
