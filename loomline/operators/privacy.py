@@ -60,6 +60,14 @@ def running(lengths: Column) -> Column:
     return _bound(lengths, summed)
 
 
+_PLACED = "array<struct<start:int,rank:int,long:int,number:int,kind:string,value:string,end:int,confidence:double>>"
+#: What every match of a kind holds, so that texts without it aren't searched.
+SIGNS = {
+    "EMAIL": "@", "PHONE": "[0-9]{4}", "URL": "https?://", "HOST": r"\.(?:internal|local|corp|intra|private|lan)", "IP": r"[0-9]\.[0-9]", "MONEY": r"[$€£¥]|USD|EUR|GBP|CAD|AUD",
+    "PRIVATE_KEY": "-----BEGIN ", "DATABASE_URL": "://", "JWT": "eyJ", "API_KEY": "AKIA|gh[pousr]_|sk-|xox[abp]-", "PASSWORD": "password|passwd|secret|token|api_?key",
+}
+
+
 def _matches(text: Column, number: int, kind: str, pattern: str, confidence: float) -> Column:
     """A kind's findings. Their places follow from the lengths of what lies between matches and of the matches."""
     gaps, values = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -72,7 +80,10 @@ def _matches(text: Column, number: int, kind: str, pattern: str, confidence: flo
         )
         return _bound(ends, lambda e: F.transform(found, one(e)))
 
-    found = _bound(values, lambda v: _bound(gaps, lambda g: placed(v, g)))
+    found = _bound(values, lambda v: F.when(F.size(v) > 0, _bound(gaps, lambda g: placed(v, g))))
+    signs = SIGNS[kind]
+    hint = F.lower(text).rlike(signs) if kind == "PASSWORD" else text.rlike(signs)
+    found = F.coalesce(F.when(hint, found), F.array().cast(_PLACED))
     return F.filter(found, lambda f: ~f["value"].isin(*LOCAL) & ~f["value"].startswith(LOCAL_PREFIX)) if kind == "IP" else found
 
 
@@ -91,13 +102,12 @@ def counts(text: Column, kind: str) -> Column:
 
 def without_overlaps(found: Column) -> Column:
     """Findings in their order, without those that begin before the one kept last ends."""
-    empty = F.slice(found, 1, 0)
 
     def step(kept: Column, f: Column) -> Column:
         free = (F.size(kept) == 0) | (f["start"] >= F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)))
         return F.when(free, F.concat(kept, F.array(f))).otherwise(kept)
 
-    return F.aggregate(found, empty, step)
+    return _bound(found, lambda f: F.aggregate(f, F.slice(f, 1, 0), step))
 
 
 def _looked_up(kind: Column, table: dict, otherwise) -> Column:
