@@ -24,13 +24,14 @@ def added(store: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(norm(store.where("status = 'active'")).select("user_id", "normal"), ["user_id", "normal"], "left_anti")
 
 
-def listed(store: DataFrame, user: str, n: int, status: str = "active", project: str | None = None, kind: str | None = None) -> DataFrame:
+def listed(store: DataFrame, user: str, n: int | None, status: str = "active", project: str | None = None, kind: str | None = None) -> DataFrame:
     rows = store.where((F.col("user_id") == user) & (F.col("status") == status))
     if project is not None:
         rows = rows.where(F.col("project_id").isNull() | (F.col("project_id") == project))
     if kind is not None:
         rows = rows.where(F.col("type") == kind)
-    return rows.orderBy(F.desc("priority"), F.desc("updated_at"), "id").limit(n)
+    rows = rows.orderBy(F.desc("priority"), F.desc("updated_at"), "id")
+    return rows if n is None else rows.limit(n)
 
 
 def archived(store: DataFrame, condition: Column) -> DataFrame:
@@ -113,7 +114,7 @@ def searched(store: DataFrame, query: str, user: str, n: int, project: str | Non
     return found.orderBy(F.desc("score"), "id").limit(n)
 
 
-#: Records of an export at most. Fixed value.
+#: Records of an export at most, unless it asks for all. Fixed value.
 MOST_EXPORTED = 10_000
 RECORD = "id string, type string, content string, confidence double, priority int"
 
@@ -123,9 +124,9 @@ def events(log: DataFrame, user: str, n: int) -> DataFrame:
     return log.where(F.col("user_id") == user).orderBy(F.desc("created_at"), "id").limit(n)
 
 
-def exported(store: DataFrame, user: str, form: str, project: str | None = None) -> DataFrame:
-    """One row a record, in order of the list: `text`, a JSON object or a section of Markdown."""
-    rows = listed(store, user, MOST_EXPORTED, project=project)
+def exported(store: DataFrame, user: str, form: str, project: str | None = None, most: int | None = MOST_EXPORTED) -> DataFrame:
+    """One row a record, in order of the list: `text`, a JSON object or a section of Markdown. With None as `most` all are."""
+    rows = listed(store, user, most, project=project)
     if form == "json":
         return rows.select("id", F.to_json(F.struct("id", "type", "content", "confidence", "priority")).alias("text"))
     return rows.select("id", F.concat(F.lit("## "), "id", F.lit(" ("), "type", F.lit(")\n\n"), "content", F.lit("\n")).alias("text"))

@@ -235,7 +235,7 @@ def b13(spark, d):
  WHERE r = 1 AND k NOT IN (SELECT lower(regexp_replace(trim(content, ' '), '\\s+', ' ', 'g')) FROM memories WHERE user_id = 'u2' AND status = 'active')""", "memories"))
 def a16(spark, d):
     store = T.memories(spark, d)
-    lines = M.exported(store, "u1", "json").select("text").unionByName(spark.createDataFrame([("not json",)], "text string"))
+    lines = M.exported(store, "u1", "json", most=None).select("text").unionByName(spark.createDataFrame([("not json",)], "text string"))
     return M.imported(store, lines, "u2").select("id", "user_id", "source", F.md5("content").alias("content"))
 
 
