@@ -164,7 +164,7 @@ def d9(spark, d):
 
 @query("E19_complexity", _sql(r"""SELECT s.id, s.name, (1 + COALESCE(SUM(len(regexp_extract_all(l.line, '\b(in|and|the|of)\b'))), 0))::BIGINT AS complexity FROM spans s LEFT JOIN lines l ON s.file_path = l.file_path AND l.line_no BETWEEN s.line_start AND s.line_end GROUP BY 1, 2""", lines=True))
 def e19(spark, d):
-    return G.complexity(_lines(spark, d), _spans(spark, d), r"\b(in|and|the|of)\b")
+    return G.complexity(_lines(spark, d), _spans(spark, d), G.words("in", "and", "the", "of"))
 
 
 @query("D10_owning_scope", _sql("SELECT f.path, MAX(CASE WHEN starts_with(f.path || '/', s.prefix || '/') THEN s.prefix END) AS scope FROM (SELECT DISTINCT file_path AS path FROM symbols) f, (SELECT DISTINCT split_part(file_path, '/', 1) AS prefix FROM symbols WHERE file_path LIKE 'Brand1%') s GROUP BY 1"))

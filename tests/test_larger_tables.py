@@ -1,5 +1,7 @@
 """Small cases of what only larger tables show."""
 
+
+from loomline.operators import graph as G
 from loomline.operators import memory as M
 from loomline.plans import registry
 
@@ -9,3 +11,10 @@ def test_imports_have_no_limit(spark, tmp_path):
     spark.range(n).selectExpr("id * 5 + 1 as conv_id", "0L as turn", "'user' as role", "concat('note ', id) as text").write.parquet(f"{tmp_path}/conversations.parquet")
     active = sum((i * 5 + 1) % 7 > 0 for i in range(n))
     assert active > M.MOST_EXPORTED and registry.QUERIES["A16_import"](spark, str(tmp_path)).count() == active
+
+
+def test_words_end_at_other_than_ascii_letters(spark):
+    lines = spark.createDataFrame([("a", 1, "inñ in inside the_ theé ofü 2of of"), ("a", 2, "if é||ifé elif x")], "file_path string, line_no int, line string")
+    symbols = spark.createDataFrame([("s", "s", "a", 1, 1), ("t", "t", "a", 2, 2)], "id string, name string, file_path string, line_start int, line_end int")
+    assert dict(G.complexity(lines, symbols, G.words("in", "the", "of")).select("id", "complexity").collect()) == {"s": 6, "t": 1}
+    assert dict(G.complexity(lines, symbols).select("id", "complexity").collect()) == {"s": 1, "t": 5}
