@@ -54,7 +54,8 @@ def iso_date(stamp: Column) -> Column:
 
 
 def epoch_ms(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time in UTC; years of five digits have no sign."""
+    return F.regexp_replace(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'"), r"^\+", "")
 
 
 def recency(stamp: Column, now: Column) -> Column:

@@ -1,6 +1,8 @@
 """Small cases of what only larger tables show."""
 
+from pyspark.sql import functions as F
 
+from loomline.functions import text as X
 from loomline.operators import graph as G
 from loomline.operators import memory as M
 from loomline.plans import registry
@@ -18,3 +20,7 @@ def test_words_end_at_other_than_ascii_letters(spark):
     symbols = spark.createDataFrame([("s", "s", "a", 1, 1), ("t", "t", "a", 2, 2)], "id string, name string, file_path string, line_start int, line_end int")
     assert dict(G.complexity(lines, symbols, G.words("in", "the", "of")).select("id", "complexity").collect()) == {"s": 6, "t": 1}
     assert dict(G.complexity(lines, symbols).select("id", "complexity").collect()) == {"s": 1, "t": 5}
+
+
+def test_years_of_five_digits(spark):
+    assert [r[0] for r in spark.range(2).select(X.epoch_ms((F.col("id") * 3000000 + 1) * 86400000)).collect()] == ["1970-01-02T00:00:00Z", "10183-09-22T00:00:00Z"]
