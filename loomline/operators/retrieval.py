@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,7 +29,8 @@ def _weighted(w: float):
 
 def bm25(index: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """doc_id, score (largest 1) of documents that hold a term. Corpus figures are one row; only postings of the
-    query's terms are joined with document lengths."""
+    query's terms are joined with document lengths. A document's parts are added in the order of the terms, so that equal
+    documents have equal scores to the last bit."""
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     hits = index.where(F.col("term").isin(terms))
@@ -35,7 +38,8 @@ def bm25(index: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> Da
     rows = hits.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = rows.groupBy("doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    parts = [F.coalesce(F.sum(F.when(F.col("term") == t, part)), F.lit(0.0)) for t in dict.fromkeys(terms)]
+    scored = rows.groupBy("doc_id").agg(reduce(Column.__add__, parts, F.lit(0.0)).alias("score")).where("score > 0")
     return _scaled(scored, "score")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as X
 from loomline.operators import graph as G
 from loomline.operators import memory as M
+from loomline.operators import retrieval as Q
 from loomline.plans import registry
 
 
@@ -24,3 +25,15 @@ def test_words_end_at_other_than_ascii_letters(spark):
 
 def test_years_of_five_digits(spark):
     assert [r[0] for r in spark.range(2).select(X.epoch_ms((F.col("id") * 3000000 + 1) * 86400000)).collect()] == ["1970-01-02T00:00:00Z", "10183-09-22T00:00:00Z"]
+
+
+def test_equal_documents_score_alike(spark):
+    """However their postings lie, in either order of each."""
+    terms = ["a", "b", "c"]
+    rows = [(f"d{i}", t, w) for i in range(60) for t, w in sorted([("a", 3.0), ("b", 7.0), ("c", 2.0)], key=lambda r: (i + 3 * ord(r[0])) * i % 7)]
+    rows += [(f"x{i}", terms[i % 3 and 1], 1.0) for i in range(41)] + [(f"y{i}", "z", 5.0) for i in range(500)]
+    scores = []
+    for k in (1, 3):
+        index = spark.createDataFrame(rows[::1 if k == 1 else -1], "doc_id string, term string, tf double").repartition(k)
+        scores += [r.score for r in Q.bm25(index, terms).where("doc_id like 'd%'").collect()]
+    assert len(scores) == 120 and set(scores) == {1.0}
