@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .graph import _stretches
+from .graph import _stretches, cut, shuffled
 
 _PUB = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
 _EXPORT = r"^\s*(?:export\s+)?(?:default\s+)?"
@@ -80,7 +80,8 @@ def extract(lines: DataFrame) -> DataFrame:
     language = X.language_of(F.col("file_path"))
     trimmed, code = F.regexp_replace("line", r"^\s+|\s+$", ""), _plain(F.col("line"))
     rows = lines.where(F.col("line").isNotNull()).select("file_path", "line_no", "line", language.alias("language"))
-    rows = rows.where(F.col("language").isin(*DEFINITIONS)).withColumn("d", _definition(F.col("language"), F.col("line")))
+    # the windows' own shuffle, made before the patterns are tried
+    rows = rows.where(F.col("language").isin(*DEFINITIONS)).repartition("file_path").withColumn("d", _definition(F.col("language"), F.col("line")))
     by_indent, by_end = F.col("language").isin(*INDENTED), F.col("language").isin(*ENDED)
     brace = ~by_indent & ~by_end
     rows = rows.withColumns({
@@ -111,13 +112,13 @@ def extract(lines: DataFrame) -> DataFrame:
         .otherwise(block)
     )
     found = ends.select("file_path", here.alias("line_start"), end.alias("line_end"), F.col("own.d.kind").alias("kind"), F.col("own.d.name").alias("name"), F.regexp_replace(F.col("own.t"), r"\s*[{:;]\s*$", "").alias("signature"), _bases(F.col("own.language"), F.col("own.line")).alias("bases"))
-    found = found.join(_documents(rows), ["file_path", "line_start"], "left")
+    found = found.join(_documents(rows).transform(shuffled), ["file_path", "line_start"], "left")
     n = F.row_number().over(Window.partitionBy("file_path", "name").orderBy("line_start"))
-    found = found.withColumn("n", n).withColumn("id", F.concat("file_path", F.lit("::"), "name", F.when(F.col("n") > 1, F.concat(F.lit("~"), "n")).otherwise(""))).drop("n")
+    found = found.withColumn("n", n).withColumn("id", F.concat("file_path", F.lit("::"), "name", F.when(F.col("n") > 1, F.concat(F.lit("~"), "n")).otherwise(""))).drop("n").transform(cut)
     around = _stretches(found.select("file_path", F.col("line_start").alias("line_no"), F.col("id").alias("child")), found.select("file_path", "id", "line_start", "line_end")).where("_id is not null and _id <> child")
     parents = around.groupBy(F.col("child").alias("id")).agg(F.max_by("_id", F.struct("line_start", "_id")).alias("parent"))
     kinds = found.select(F.col("id").alias("parent"), F.col("kind").alias("parent_kind"))
-    rows = found.join(parents, "id", "left").join(kinds, "parent", "left")
+    rows = found.join(shuffled(parents), "id", "left").join(shuffled(kinds), "parent", "left")
     kind = F.when((F.col("kind") == "function") & F.col("parent_kind").isin(*TYPES), "method").otherwise(F.col("kind"))
     return rows.select("id", "name", kind.alias("kind"), "file_path", "line_start", "line_end", "parent", "signature", F.coalesce("doc", F.lit("")).alias("doc"), "bases")
 

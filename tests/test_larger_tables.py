@@ -3,10 +3,19 @@
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
+from loomline.operators import extraction
 from loomline.operators import graph as G
 from loomline.operators import memory as M
 from loomline.operators import retrieval as Q
 from loomline.plans import registry
+from loomline.sources import codebase as C
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def hash_joins(df):
+    """Whether the plan sends a table to the driver to join by its keys."""
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_imports_have_no_limit(spark, tmp_path):
@@ -37,3 +46,7 @@ def test_equal_documents_score_alike(spark):
         index = spark.createDataFrame(rows[::1 if k == 1 else -1], "doc_id string, term string, tf double").repartition(k)
         scores += [r.score for r in Q.bm25(index, terms).where("doc_id like 'd%'").collect()]
     assert len(scores) == 120 and set(scores) == {1.0}
+
+
+def test_spans_send_no_table_to_the_driver(spark):
+    assert not hash_joins(extraction.extract(C.source_lines(spark, SMALL)))
