@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shuffled
 from .tables import table
 
 _N = "z.n"
@@ -71,7 +72,8 @@ def _made(spark: SparkSession, sf_dir: str, queries: dict[str, str]) -> dict[str
         sql = sql.replace("{", "{{").replace("}", "}}")
         for other in used:
             sql = re.sub(rf"\b{other}\b(?!\.)", f"{{{other}}}", sql)
-        found[name] = spark.sql(sql, **used)
+        made = spark.sql(sql, **used)
+        found[name] = shuffled(made) if name == "cb_nodes" else made
     return found
 
 

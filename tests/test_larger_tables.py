@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.operators import extraction
+from loomline.operators import extraction, resolution
 from loomline.operators import graph as G
 from loomline.operators import memory as M
 from loomline.operators import retrieval as Q
@@ -50,3 +50,15 @@ def test_equal_documents_score_alike(spark):
 
 def test_spans_send_no_table_to_the_driver(spark):
     assert not hash_joins(extraction.extract(C.source_lines(spark, SMALL)))
+
+
+def test_references_send_no_table_to_the_driver(spark):
+    t = resolution.Tables(**C.views(spark, SMALL))
+    assert not any(hash_joins(df) for df in C.views(spark, SMALL).values())
+    index = resolution.Index(t)
+    assert not hash_joins(resolution.imports(t, index)) and "_methods" not in vars(index) and "ancestors" not in vars(index)
+
+
+def test_candidates_send_no_table_to_the_driver(spark):
+    found = registry.QUERIES["H39_import_candidates"](spark, SMALL)
+    assert not hash_joins(found) and found.where("found like '%,%'").count() > 0
