@@ -62,3 +62,7 @@ def test_references_send_no_table_to_the_driver(spark):
 def test_candidates_send_no_table_to_the_driver(spark):
     found = registry.QUERIES["H39_import_candidates"](spark, SMALL)
     assert not hash_joins(found) and found.where("found like '%,%'").count() > 0
+
+
+def test_graphs_send_no_table_to_the_driver(spark):
+    assert not hash_joins(resolution.resolve(resolution.Tables(**C.views(spark, SMALL)))[0])
