@@ -117,7 +117,7 @@ _FILES = "SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file
  SELECT file_path, '{render.START}' || chr(10) || {_CARD} || chr(10) || '{render.END}' AS w FROM (SELECT file_path, string_agg('- ' || kind || ' ' || name, chr(10) ORDER BY line_start, id) AS symbols FROM symbols GROUP BY 1)
  LEFT JOIN (SELECT target_file AS file_path, COUNT(*) AS n FROM ({_FILES}) GROUP BY 1) USING (file_path)))""", "symbols", "edges"))
 def b9(spark, d):
-    symbols, edges = T.symbols(spark, d), T.edges(spark, d)
+    symbols, edges = T.symbols(spark, d), T.calls(spark, d)
     noted = F.lit(f"intro\n{render.START}\nold\n{render.END}\nmy notes")
     old = symbols.select("file_path").distinct().withColumn("card", F.when(F.col("file_path").startswith("Brand1/"), noted).when(F.col("file_path").startswith("Brand2/"), f"{render.START} cut")).where("card is not null")
     made = render.cards(symbols, G.file_edges(edges, symbols), old)

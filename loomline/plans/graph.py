@@ -192,19 +192,19 @@ _FILES = "SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file
 
 @query("L15_file_edges", _sql(_FILES))
 def l15(spark, d):
-    s, e = _both(spark, d)
+    s, e = T.symbols(spark, d), T.calls(spark, d)
     return G.file_edges(e, s)
 
 
 @query("D13_used_by", _sql(f"SELECT target_file AS file_path, array_to_string(list_sort(list(source_file)), ',') AS importers, COUNT(*) AS n FROM ({_FILES}) GROUP BY 1"))
 def d13(spark, d):
-    s, e = _both(spark, d)
+    s, e = T.symbols(spark, d), T.calls(spark, d)
     return G.used_by(G.file_edges(e, s))
 
 
 @query("D14_package_edges", _sql(f"SELECT DISTINCT split_part(source_file, '/', 1) AS package, split_part(target_file, '/', 1) AS depends_on FROM ({_FILES}) WHERE split_part(source_file, '/', 1) <> split_part(target_file, '/', 1)"))
 def d14(spark, d):
-    s, e = _both(spark, d)
+    s, e = T.symbols(spark, d), T.calls(spark, d)
     return G.package_edges(G.file_edges(e, s))
 
 
@@ -217,7 +217,7 @@ def d15(spark, d):
 @query("E24_key_files", _sql(f"""SELECT directory, file_path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY score DESC, file_path) AS rank FROM (SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS directory, file_path, 10 * COALESCE(n, 0) + COUNT(*) AS score
  FROM symbols LEFT JOIN (SELECT target_file AS file_path, COUNT(*) AS n FROM ({_FILES}) GROUP BY 1) USING (file_path) GROUP BY 1, 2, n)) WHERE rank <= 5"""))
 def e24(spark, d):
-    s, e = _both(spark, d)
+    s, e = T.symbols(spark, d), T.calls(spark, d)
     return G.key_files(s, G.file_edges(e, s))
 
 

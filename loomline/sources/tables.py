@@ -85,11 +85,17 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls between symbols: of each line item, from its part to the part numbered like its supplier times 17."""
+    """Calls between symbols, each once."""
+    return calls(spark, sf_dir).distinct()
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between symbols: of each line item, from its part to the part numbered like its supplier times 17. Repeats are
+    kept, for what is made distinct later on."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_to"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey"), (F.col("l_suppkey") * 17).alias("_to"), "l_returnflag")
     kind = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "N", "IMPORTS").otherwise("TYPE_REF")
-    return lines.join(parts, "_to", "left_semi").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("p"), "_to").alias("target"), kind.alias("type")).distinct()
+    return lines.join(parts.hint("merge"), "_to", "left_semi").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("p"), "_to").alias("target"), kind.alias("type"))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:

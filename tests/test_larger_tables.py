@@ -66,3 +66,7 @@ def test_candidates_send_no_table_to_the_driver(spark):
 
 def test_graphs_send_no_table_to_the_driver(spark):
     assert not hash_joins(resolution.resolve(resolution.Tables(**C.views(spark, SMALL)))[0])
+
+
+def test_files_of_edges_send_no_table_to_the_driver(spark):
+    assert not any(hash_joins(registry.QUERIES[name](spark, SMALL)) for name in ("L15_file_edges", "D14_package_edges"))
