@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .graph import cut, shuffled
 
 #: Fixed values.
 K1, B, RRF_K, BLEND, RESCUE, TEST_PENALTY = 1.2, 0.75, 60.0, 0.5, 0.15, 0.35
@@ -15,11 +16,14 @@ WEIGHTS = {"name": 3.0, "path": 2.0, "signature": 1.0, "doc": 1.0}
 
 
 def postings(docs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """doc_id, term, tf: each field's tokens without repeats, weighted by field and added up."""
+    """doc_id, term, tf: each field's tokens without repeats, weighted by field and added up. Documents are dealt out by id
+    before they are cut into tokens: a small file is read by a task or two, which would hold all postings. The number of parts
+    is named, since Spark would put small documents together again."""
     fields = [c for c in weights if c in docs.columns]
     tokens = lambda c: X.path_tokens(F.col(c)) if c == "path" else X.identifier_tokens(F.col(c))
     each = F.flatten(F.array(*[F.transform(F.coalesce(tokens(c), F.array().cast("array<string>")), _weighted(weights[c])) for c in fields]))
-    rows = docs.select(F.col("id").alias("doc_id"), F.explode(each).alias("t"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("id", *fields).repartition(parts, "id").select(F.col("id").alias("doc_id"), F.explode(each).alias("t"))
     return rows.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
 
 
@@ -107,7 +111,7 @@ def scope_terms(index: DataFrame, owners: DataFrame, terms: list[str]) -> DataFr
     """scope, term, idf, n, avg_len: how rare each term of a query is in each scope (owners: doc_id, scope), which is a
     corpus of its own. One pass over the postings gives the figures of all scopes."""
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("len"), F.collect_set(F.when(F.col("term").isin(terms), F.col("term"))).alias("held"))
-    docs = lengths.join(owners.select("doc_id", "scope"), "doc_id")
+    docs = lengths.join(shuffled(owners.select("doc_id", "scope")), "doc_id")
     held = [F.count_if(F.array_contains("held", t)).alias(f"df{i}") for i, t in enumerate(terms)]
     corpora = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *held)
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df{i}").alias("df")) for i, t in enumerate(terms)])).alias("t")
@@ -117,21 +121,21 @@ def scope_terms(index: DataFrame, owners: DataFrame, terms: list[str]) -> DataFr
 
 def scoped_bm25(index: DataFrame, owners: DataFrame, figures: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """scope, doc_id, score (largest of each scope 1) of documents that hold a term, by the figures of their own scope."""
-    hits = index.join(F.broadcast(figures.select("term").distinct()), "term").join(owners.select("doc_id", "scope"), "doc_id")
+    hits = index.join(F.broadcast(figures.select("term").distinct()), "term").join(shuffled(owners.select("doc_id", "scope")), "doc_id")
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    rows = hits.join(lengths, "doc_id").join(figures, ["scope", "term"])
+    rows = hits.join(shuffled(lengths), "doc_id").join(shuffled(figures), ["scope", "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = rows.groupBy("scope", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
-    return scored.join(scored.groupBy("scope").agg(F.max("score").alias("_top")), "scope").select("scope", "doc_id", (F.col("score") / F.col("_top")).alias("score"))
+    return scored.join(shuffled(scored.groupBy("scope").agg(F.max("score").alias("_top"))), "scope").select("scope", "doc_id", (F.col("score") / F.col("_top")).alias("score"))
 
 
 def participation(scored: DataFrame, index: DataFrame, figures: DataFrame, names: DataFrame) -> DataFrame:
     """scope, best_doc, best, share, coverage: how much of the query's weight in a scope lies in the name (names: id, name) of
     its best hit, and how much in any of that document's fields."""
     best = scored.groupBy("scope").agg(F.min_by("doc_id", F.struct((-F.col("score")).alias("k"), "doc_id")).alias("best_doc"), F.max("score").alias("best"))
-    named = best.join(names.select(F.col("id").alias("best_doc"), X.identifier_tokens(F.col("name")).alias("words")), "best_doc")
+    named = best.join(shuffled(names.select(F.col("id").alias("best_doc"), X.identifier_tokens(F.col("name")).alias("words"))), "best_doc")
     held = index.select(F.col("doc_id").alias("best_doc"), "term", F.lit(True).alias("held"))
-    rows = named.join(figures, "scope").join(held, ["best_doc", "term"], "left")
+    rows = named.join(shuffled(figures), "scope").join(shuffled(held), ["best_doc", "term"], "left")
     whole = F.sum("idf")
     share = lambda hit: F.when(whole > 0, F.sum(F.when(hit, F.col("idf")).otherwise(0.0)) / whole).otherwise(0.0)
     return rows.groupBy("scope", "best_doc", "best").agg(share(F.array_contains("words", F.col("term"))).alias("share"), share(F.col("held").isNotNull()).alias("coverage"))
@@ -140,12 +144,12 @@ def participation(scored: DataFrame, index: DataFrame, figures: DataFrame, names
 def scoped_ask(index: DataFrame, owners: DataFrame, names: DataFrame, terms: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, score, first_list (the scope) of the best hits over all scopes that answer the query well enough, fused by
     their ranks; and scope, best of those that matched too weakly."""
-    figures = scope_terms(index, owners, terms)
-    scored = scoped_bm25(index, owners, figures)
-    gates = participation(scored, index, figures, names)
-    taking = participating(gates)
-    hits = fused(scored.join(taking.select("scope"), "scope", "left_semi").select(F.col("scope").alias("list"), "doc_id", "score"), limit)
-    return hits, gates.join(taking.select("scope"), "scope", "left_anti").select("scope", "best")
+    figures = scope_terms(index, owners, terms).transform(cut)
+    scored = scoped_bm25(index, owners, figures).transform(cut)
+    gates = participation(scored, index, figures, names).transform(cut)
+    taking = shuffled(participating(gates).select("scope"))
+    hits = fused(scored.join(taking, "scope", "left_semi").select(F.col("scope").alias("list"), "doc_id", "score"), limit)
+    return hits, gates.join(taking, "scope", "left_anti").select("scope", "best")
 
 
 def skeleton(symbols: DataFrame) -> DataFrame:

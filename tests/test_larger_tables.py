@@ -70,3 +70,15 @@ def test_graphs_send_no_table_to_the_driver(spark):
 
 def test_files_of_edges_send_no_table_to_the_driver(spark):
     assert not any(hash_joins(registry.QUERIES[name](spark, SMALL)) for name in ("L15_file_edges", "D14_package_edges"))
+
+
+def test_postings_are_dealt_out_before_they_are_made(spark):
+    docs = spark.createDataFrame([("a", "one_two", "x/two.py"), ("b", "three", "x/y.py")], "id string, name string, path string").coalesce(1)
+    index = Q.postings(docs)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and index.rdd.getNumPartitions() == 4
+    assert {(r.term, r.tf) for r in index.where("doc_id = 'a'").collect()} >= {("one", 3.0), ("two", 5.0)}
+
+
+def test_gates_send_no_table_to_the_driver(spark):
+    assert not any(hash_joins(registry.QUERIES[name](spark, SMALL)) for name in ("K7_gates", "K8_weak_scopes"))
