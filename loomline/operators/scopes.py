@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .graph import cut
 
 #: Files that make a directory a project, and the depth to which they do.
 MARKERS = ("package.json", "go.mod", "pyproject.toml", "setup.py", "Cargo.toml")
@@ -140,7 +141,18 @@ def owners(paths: DataFrame, scopes: DataFrame, path: str = "path") -> DataFrame
     return paths.alias("r").join(best.alias("b"), of, "left").select("r.*", F.coalesce("b.scope", F.lit("")).alias("scope"))
 
 
+def by_path(nodes: DataFrame) -> DataFrame:
+    """repo, path, n, symbols: how many rows (repo, path, kind) a path has, and how many of them aren't files. What is asked
+    of paths several times is then asked of each once."""
+    return nodes.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") != "file").alias("symbols")).transform(cut)
+
+
 def substantial(scopes: DataFrame, nodes: DataFrame, least: int = LEAST_SYMBOLS) -> DataFrame:
     """The scopes that own at least so many symbols (repo, path, kind) that aren't files, and the roots."""
-    counted = owners(nodes.where("kind <> 'file'").groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n")), scopes).groupBy("repo", F.col("scope").alias("prefix")).agg(F.sum("n").alias("n"))
+    return owning(scopes, nodes.where("kind <> 'file'").groupBy("repo", "path").agg(F.count(F.lit(1)).alias("symbols")), least)
+
+
+def owning(scopes: DataFrame, counted: DataFrame, least: int = LEAST_SYMBOLS) -> DataFrame:
+    """The same of paths that are counted already (repo, path, symbols)."""
+    counted = owners(counted.where("symbols > 0"), scopes).groupBy("repo", F.col("scope").alias("prefix")).agg(F.sum("symbols").alias("n"))
     return scopes.join(counted, ["repo", "prefix"], "left").where((F.col("prefix") == "") | (F.col("n") >= least)).select("repo", "prefix", "markers")

@@ -82,3 +82,8 @@ def test_postings_are_dealt_out_before_they_are_made(spark):
 
 def test_gates_send_no_table_to_the_driver(spark):
     assert not any(hash_joins(registry.QUERIES[name](spark, SMALL)) for name in ("K7_gates", "K8_weak_scopes"))
+
+
+def test_files_of_repositories_are_listed_once(spark):
+    plans = [registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString() for name in ("D10_scope_owners", "L8_substantial", "B10_drift_report")]
+    assert not any("l_suppkey" in plan for plan in plans)
