@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ SIGNS = {
 }
 
 
+#: Signs that are plain strings, which are found faster than patterns.
+STRINGS = {
+    "EMAIL": ("@",), "URL": ("http://", "https://"), "HOST": (".internal", ".local", ".corp", ".intra", ".private", ".lan"),
+    "MONEY": ("$", "€", "£", "¥", "USD", "EUR", "GBP", "CAD", "AUD"),
+}
+#: Patterns with the same matches that try a run of an address's letters once, and not again from each of them.
+QUICK = {"EMAIL": r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"}
+
+
+def _holds(text: Column, kind: str) -> Column:
+    """Whether a text holds the sign of a kind."""
+    if kind in STRINGS:
+        return reduce(Column.__or__, [F.contains(text, F.lit(s)) for s in STRINGS[kind]])
+    return F.lower(text).rlike(SIGNS[kind]) if kind == "PASSWORD" else text.rlike(SIGNS[kind])
+
+
 def _matches(text: Column, number: int, kind: str, pattern: str, confidence: float) -> Column:
     """A kind's findings. Their places follow from the lengths of what lies between matches and of the matches."""
     gaps, values = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -81,9 +99,7 @@ def _matches(text: Column, number: int, kind: str, pattern: str, confidence: flo
         return _bound(ends, lambda e: F.transform(found, one(e)))
 
     found = _bound(values, lambda v: F.when(F.size(v) > 0, _bound(gaps, lambda g: placed(v, g))))
-    signs = SIGNS[kind]
-    hint = F.lower(text).rlike(signs) if kind == "PASSWORD" else text.rlike(signs)
-    found = F.coalesce(F.when(hint, found), F.array().cast(_PLACED))
+    found = F.coalesce(F.when(_holds(text, kind), found), F.array().cast(_PLACED))
     return F.filter(found, lambda f: ~f["value"].isin(*LOCAL) & ~f["value"].startswith(LOCAL_PREFIX)) if kind == "IP" else found
 
 
@@ -96,8 +112,9 @@ def findings(text: Column | str) -> Column:
 
 
 def counts(text: Column, kind: str) -> Column:
-    """How often a pattern matches, without Python."""
-    return F.size(F.regexp_extract_all(text, F.lit((PATTERNS | SECRETS)[kind][0]), F.lit(0)))
+    """How often a pattern matches, without Python; texts without a kind's sign aren't searched."""
+    pattern = QUICK.get(kind) or (PATTERNS | SECRETS)[kind][0]
+    return F.when(~_holds(text, kind), 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
 def without_overlaps(found: Column) -> Column:

@@ -6,6 +6,7 @@ from loomline.functions import text as X
 from loomline.operators import extraction, resolution
 from loomline.operators import graph as G
 from loomline.operators import memory as M
+from loomline.operators import privacy as P
 from loomline.operators import retrieval as Q
 from loomline.plans import registry
 from loomline.sources import codebase as C
@@ -87,3 +88,12 @@ def test_gates_send_no_table_to_the_driver(spark):
 def test_files_of_repositories_are_listed_once(spark):
     plans = [registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString() for name in ("D10_scope_owners", "L8_substantial", "B10_drift_report")]
     assert not any("l_suppkey" in plan for plan in plans)
+
+
+def test_texts_without_signs_are_not_searched(spark):
+    texts = ["a@b.co.c@d.com x@y.zz", "@@a@b.com@c.de a..b%+-@x-.yy", "none", "", "aaa@", "me@x.c you@x.cc5@y.com", "$5 EUR 7 3€ 4", "http://a https://b", "a.local b.c.internal 10.2.3.4 555-123-4567", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind, (pattern, _) in (P.PATTERNS | P.SECRETS).items():
+        quick = P.counts(F.col("text"), kind)
+        assert [r[0] for r in df.select(quick).collect()] == [r[0] for r in df.select(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).collect()]
+        assert "CASE WHEN" in df.select(quick)._jdf.queryExecution().optimizedPlan().toString()
