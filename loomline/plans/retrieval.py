@@ -66,7 +66,7 @@ _ASK = f"""SELECT doc_id, round(total * CASE WHEN doc_id IN (SELECT id FROM symb
 @query("K6_ask", _sql(_ASK, "symbols", "edges", post=True))
 def k6(spark, d):
     s, e = T.symbols(spark, d), T.edges(spark, d)
-    lexical = R.bm25(_index(spark, d), _TERMS)
+    lexical = R.bm25(_index(spark, d).transform(G.cut), _TERMS).transform(G.cut)
     first = R.top(lexical.withColumn("_exact", F.col("score")).withColumn("score", F.round("score", 9)), 20)
     found = R.blended(lexical, G.pagerank(e, first.select(F.col("doc_id").alias("id"), F.col("_exact").alias("weight"))), s.where(F.col("file_path").contains("SMALL")))
     return R.top(found.withColumn("score", F.round("score", 9)), 50)

@@ -106,3 +106,20 @@ def test_rounds_shuffle_scores_alone(spark, monkeypatch):
     edges = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}", "CALLS") for i in range(200)], "source string, target string, type string")
     G.pagerank(edges, spark.createDataFrame([("n1", 1.0)], "id string, weight double"), rounds=3)
     assert plans[-1].count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" not in plans[-1]
+
+
+def test_rounds_sort_no_steps_and_add_by_numbers(spark, monkeypatch):
+    """A round looks scores up in a hash table, and ids are numbers in it; where two ids share a hash another one is taken."""
+    plans, cut, key = [], G.cut, G._key
+    monkeypatch.setattr(G, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    edges = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 50}", "CALLS") for i in range(200)], "source string, target string, type string")
+    seeds = spark.createDataFrame([("n1", 1.0), ("alone", 1.0)], "id string, weight double")
+    want = {r.id: round(r.score, 12) for r in G.pagerank(edges, seeds).collect()}
+    assert "ShuffledHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1] and want["alone"] == 0.375
+    salts = []
+    monkeypatch.setattr(G, "_key", lambda c, salt: (salts.append(salt), F.length(c).cast("long") if salt == 0 else key(c, salt))[1])
+    assert {r.id: round(r.score, 12) for r in G.pagerank(edges, seeds).collect()} == want and set(salts) == {0, 1}
+
+
+def test_postings_of_a_question_are_made_once(spark):
+    assert "Generate" not in registry.QUERIES["K6_ask"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
