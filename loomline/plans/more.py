@@ -262,16 +262,17 @@ def i5_fold(spark, d):
 
 @query("I5_machine_stream", _RUN_ITEMS)
 def i5_stream(spark, d):
-    """The same from a stream: what comes first and what comes later of each run are in files of their own."""
+    """The same from a stream: what comes first and what comes later of each run are in files of their own, and each makes a
+    batch or two. Batches don't grow in number with the tables, since each one opens and saves all of the state's parts."""
     folder, lines = _folder(spark, "lines"), _run_lines(spark, d).transform(cut)
-    late = lines.select("run", "seq", "line", (F.col("seq") > 40).alias("late"))
+    late, files = lines.select("run", "seq", "line", (F.col("seq") > 40).alias("late")), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in (False, True):
-        late.where(F.col("late") == part).select("run", "seq", "line").repartition("run").write.mode("append").parquet(folder)
+        late.where(F.col("late") == part).select("run", "seq", "line").repartition(files, "run").write.mode("append").parquet(folder)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = ST.table_stream(spark, folder, "run string, seq long, line string", 4)
+        stream = ST.table_stream(spark, folder, "run string, seq long, line string", files)
         found = ST.run_once(SM.machine_stream(stream, MA.MACHINES["pytest"]), "append", _folder(spark, "stream"))
     finally:
         spark.conf.set(key, before)

@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.machines import Step
@@ -16,10 +15,13 @@ from ..functions.machines import Step
 RESULT = "run string, n long, kind string, text string"
 #: Lines of an open block that are held, at most; further ones are left out.
 MOST_HELD = 10_000
+_OUT = Row("run", "n", "kind", "text")
 
 
 class LineMachine(StatefulProcessor):
-    """One run's machine: typed state in the state store, so that a query that is started again goes on in its mode."""
+    """One run's machine: typed state in the state store, so that a query that is started again goes on in its mode. All of it is
+    one value, read once and written once a batch: each access is a message to the executor and back, which costs more
+    than a run's lines."""
 
     def __init__(self, steps: list[Step], first: str, wait_ms: int):
         self.steps = [(s.mode, s.pattern, s.to, s.do) for s in steps]
@@ -27,8 +29,7 @@ class LineMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "mode string, n long")
-        self.block = handle.getListState("block", "line string")
+        self.state = handle.getValueState("state", "mode string, n long, block array<string>")
         self.compiled = [(mode, re.compile(pattern), to, do) for mode, pattern, to, do in self.steps]
 
     def _set_timer(self, now: int) -> None:
@@ -37,18 +38,17 @@ class LineMachine(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(now + self.wait_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mode, n = self.at.get() if self.at.exists() else (self.first, 0)
-        block = [line for (line,) in self.block.get()] if self.block.exists() else []
-        out = []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        mode, n, block = self.state.get() or (self.first, 0, [])
+        block, out = list(block), []
 
         def item(text: str, kind: str = "item") -> None:
             nonlocal n
-            out.append((key[0], n, kind, text))
+            out.append(_OUT(key[0], n, kind, text))
             n += kind == "item"
 
-        lines = pd.concat(list(rows)).sort_values("seq", kind="stable")["line"]
-        for line in (raw.strip() for raw in lines if raw is not None):
+        lines = sorted(((r.seq, r.line) for r in rows), key=lambda r: (r[0] is None, r[0] or 0))
+        for line in (raw.strip() for _, raw in lines if raw is not None):
             for needs, pattern, to, do in self.compiled:
                 if needs and needs != mode or not pattern.search(line):
                     continue
@@ -63,17 +63,16 @@ class LineMachine(StatefulProcessor):
                 elif do == "end":
                     item(line, "note")
                 break
-        self.at.update((mode, n))
-        self.block.put([(line,) for line in block]) if block else self.block.clear()
+        self.state.update((mode, n, block))
         if block:
             self._set_timer(timerValues.getCurrentProcessingTimeInMs())
-        yield pd.DataFrame(out, columns=["run", "n", "kind", "text"])
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        block = [line for (line,) in self.block.get()] if self.block.exists() else []
-        n = self.at.get()[1] if self.at.exists() else 0
-        self.block.clear()
-        yield pd.DataFrame([(key[0], n, "cut", "\n".join(block))] if block else [], columns=["run", "n", "kind", "text"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mode, n, block = self.state.get() or (self.first, 0, [])
+        if block:
+            self.state.update((mode, n, []))
+            yield _OUT(key[0], n, "cut", "\n".join(block))
 
     def close(self) -> None:
         pass
@@ -84,4 +83,4 @@ def machine_stream(lines: DataFrame, steps: list[Step], first: str = "start", wa
     within a batch they are put in order. With wait_ms a block that stays open so long leaves as it is. The state store
     must be RocksDB's (spark.sql.streaming.stateStore.providerClass)."""
     processor = LineMachine(steps, first, wait_ms)
-    return lines.groupBy("run").transformWithStateInPandas(processor, RESULT, "Append", "ProcessingTime" if wait_ms else "None")
+    return lines.groupBy("run").transformWithState(processor, RESULT, "Append", "ProcessingTime" if wait_ms else "None")

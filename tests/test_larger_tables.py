@@ -1,5 +1,7 @@
 """Small cases of what only larger tables show."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
@@ -10,6 +12,7 @@ from loomline.operators import privacy as P
 from loomline.operators import retrieval as Q
 from loomline.plans import registry
 from loomline.sources import codebase as C
+from loomline.streaming import streams as ST
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -123,3 +126,15 @@ def test_rounds_sort_no_steps_and_add_by_numbers(spark, monkeypatch):
 
 def test_postings_of_a_question_are_made_once(spark):
     assert "Generate" not in registry.QUERIES["K6_ask"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_of_runs_have_few_batches(spark, monkeypatch):
+    """However many files the lines are in."""
+    batches, run = [], ST.run_once
+    monkeypatch.setattr(ST, "run_once", lambda stream, mode, checkpoint: (run(stream, mode, checkpoint), batches.extend(Path(f"{checkpoint}/commits".removeprefix("file://")).glob("[0-9]*")))[0])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert registry.QUERIES["I5_machine_stream"](spark, SMALL).count() > 0 and 1 <= len(batches) <= 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
