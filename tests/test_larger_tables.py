@@ -63,6 +63,13 @@ def test_references_send_no_table_to_the_driver(spark):
     assert not hash_joins(resolution.imports(t, index)) and "_methods" not in vars(index) and "ancestors" not in vars(index)
 
 
+def test_types_are_looked_up_together(spark):
+    """Each table's use of the lookups is one join, as plans and exchanges take the driver's memory."""
+    t = resolution.Tables(**C.views(spark, SMALL))
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert joins(resolution.relations(t, resolution.Index(t))) == joins(t.relations) + 2
+
+
 def test_candidates_send_no_table_to_the_driver(spark):
     found = registry.QUERIES["H39_import_candidates"](spark, SMALL)
     assert not hash_joins(found) and found.where("found like '%,%'").count() > 0
