@@ -21,6 +21,9 @@ from pyspark.sql.types import StructType
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch while intermediate tables are written: texts and sets are long, and a batch is held whole.
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Joins of a loop's small tables: each table that Spark broadcasts by its size takes megabytes of the driver's heap and a
+#: thread, however few its rows.
+_SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +66,10 @@ def _small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder so that a lost executor costs no lineage."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, shuffled: bool = False):
+        """shuffled: while its tables are written, joins shuffle both sides unless a hint says otherwise."""
         self.spark = spark
+        self.settings = {_CLEANUP: "true", _BATCH: str(BATCH_ROWS)} | (_SHUFFLED if shuffled else {})
         self.root = f"{shared_folder(spark)}/loomline/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, light: bool = False) -> DataFrame:
@@ -73,7 +78,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         if light:
             df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-        with _set(self.spark, {_CLEANUP: "true", _BATCH: str(BATCH_ROWS)}):
+        with _set(self.spark, self.settings):
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -93,6 +98,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Gives memory that is free again back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of batches, which at its end gives memory that is free again back to the system: Python workers
     live on from task to task."""
@@ -101,10 +114,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

@@ -349,7 +349,7 @@ def link_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     that its texts have. A very long text's set is held whole, by one task. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
+    scratch = Scratch(spark, "ngrams", shuffled=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = frequency_levels(docs, scratch, words)
     rows = scratch.save(profiles(docs, levels, words, percent).withColumn("row", F.monotonically_increasing_id()), "profiles")

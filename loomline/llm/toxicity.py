@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_column, map_column
+from .common import filter_column, give_back, map_column
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms that are always in the lexicon, so that it works without labels. Fixed values.
@@ -210,14 +210,17 @@ def learn_lexicon(texts: list[tuple[str, int]], least_share: float = 0.01) -> Mo
     log-odds, by a third. Words of clean texts one edit from a term become exceptions.
     """
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    sizes = [0, 0]
+    sizes = [sum(toxic == label for _, toxic in texts) for label in (0, 1)]
     words_of: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, toxic in texts:
-        words = set(WORD.findall(text.lower()))
-        sizes[toxic] += 1
-        words_of[toxic].update(words)
-        counts[toxic].update({w[:k] for w in words for k in range(4, min(10, len(w)) + 1)})
     least = max(5, least_share * sizes[1])
+    # toxic texts first: of the prefixes that clean ones hold only those are kept that enough toxic ones hold
+    for label in (1, 0):
+        for text in (text for text, toxic in texts if toxic == label):
+            words = set(WORD.findall(text.lower()))
+            words_of[label].update(words)
+            begun = {w[:k] for w in words for k in range(4, min(10, len(w)) + 1)}
+            counts[label].update(begun if label else begun & counts[1].keys())
+        counts = (counts[0], Counter({c: n for c, n in counts[1].items() if n >= least}))
     ranked = []
     for source, whole in ((words_of, True), (counts, False)):
         for term, n in source[1].items():
@@ -266,6 +269,7 @@ def fit(texts: list[tuple[str, int]], rounds: int = 400) -> Model:
         gradient = x.T @ (balance * (p - y)) / len(y) + 1e-3 * (w - prior)
         w -= 2.0 * gradient
     model.weights = [float(v) for v in np.round(w, 6)]
+    give_back()
     return model
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import DataFrameWriter
 
 from loomline.llm import ngram_join
 
@@ -132,3 +133,13 @@ def test_trees_find_what_rounds_leave(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     texts = corpus(4)
     assert run(spark, texts) == brute(texts)
+
+
+def test_small_tables_take_no_memory_of_the_driver(spark, monkeypatch):
+    """Each table that a join broadcasts by its size would take megabytes of its heap."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    usual, seen, write = [spark.conf.get(k, None) for k in keys], set(), DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.add(tuple(spark.conf.get(k, None) for k in keys)), write(self, *a, **b))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.link_groups(docs).collect()} == {i: i // 2 * 2 for i in range(8)}
+    assert seen == {("-1", "-1")} and [spark.conf.get(k, None) for k in keys] == usual
