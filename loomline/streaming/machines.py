@@ -13,15 +13,16 @@ from ..functions.machines import Step
 #: Of a stream's result: `n` counts a run's items from 0; kind is item, note (the line that ends a run) or cut (what was
 #: open when no line came for so long).
 RESULT = "run string, n long, kind string, text string"
-#: Lines of an open block that are held, at most; further ones are left out.
-MOST_HELD = 10_000
+#: Lines of an open block from which on, at a batch's end, they leave a run's value for a list of texts, which is not written anew each
+#: time. All of them stay.
+LONG = 1000
 _OUT = Row("run", "n", "kind", "text")
 
 
 class LineMachine(StatefulProcessor):
-    """One run's machine: typed state in the state store, so that a query that is started again goes on in its mode. All of it is
-    one value, read once and written once a batch: each access is a message to the executor and back, which costs more
-    than a run's lines."""
+    """One run's machine: typed state in the state store, so that a query that is started again goes on in its mode. All of it but
+    long blocks is one value, read once and written once a batch: each access is a message to the executor and back, which
+    costs more than a run's lines."""
 
     def __init__(self, steps: list[Step], first: str, wait_ms: int):
         self.steps = [(s.mode, s.pattern, s.to, s.do) for s in steps]
@@ -29,7 +30,8 @@ class LineMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "mode string, n long, block array<string>")
+        self.state = handle.getValueState("state", "mode string, n long, block array<string>, long boolean")
+        self.earlier = handle.getListState("earlier", "text string")
         self.compiled = [(mode, re.compile(pattern), to, do) for mode, pattern, to, do in self.steps]
 
     def _set_timer(self, now: int) -> None:
@@ -38,8 +40,15 @@ class LineMachine(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(now + self.wait_ms)
 
+    def _whole(self, block: list[str], long: bool) -> str:
+        """The text of a block that ends, with what a long one had before."""
+        before = [text for (text,) in self.earlier.get()] if long else []
+        if long:
+            self.earlier.clear()
+        return "\n".join([*before, *block])
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        mode, n, block = self.state.get() or (self.first, 0, [])
+        mode, n, block, long = self.state.get() or (self.first, 0, [], False)
         block, out = list(block), []
 
         def item(text: str, kind: str = "item") -> None:
@@ -53,26 +62,30 @@ class LineMachine(StatefulProcessor):
                 if needs and needs != mode or not pattern.search(line):
                     continue
                 mode = to or mode
-                if do in ("open", "close", "end") and block:
-                    item("\n".join(block))
-                    block = []
+                if do in ("open", "close", "end") and (block or long):
+                    item(self._whole(block, long))
+                    block, long = [], False
                 if do == "keep":
                     item(line)
-                elif do == "open" or do == "add" and len(block) < MOST_HELD:
+                elif do in ("open", "add"):
                     block.append(line)
                 elif do == "end":
                     item(line, "note")
                 break
-        self.state.update((mode, n, block))
-        if block:
+        open_ = bool(block) or long
+        if len(block) >= LONG:
+            self.earlier.appendValue(("\n".join(block),))
+            block, long = [], True
+        self.state.update((mode, n, block, long))
+        if open_:
             self._set_timer(timerValues.getCurrentProcessingTimeInMs())
         yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        mode, n, block = self.state.get() or (self.first, 0, [])
-        if block:
-            self.state.update((mode, n, []))
-            yield _OUT(key[0], n, "cut", "\n".join(block))
+        mode, n, block, long = self.state.get() or (self.first, 0, [], False)
+        if block or long:
+            self.state.update((mode, n, [], False))
+            yield _OUT(key[0], n, "cut", self._whole(block, long))
 
     def close(self) -> None:
         pass

@@ -117,3 +117,27 @@ def test_an_open_block_leaves_after_a_while(rocks):
         time.sleep(1)
     query.stop()
     assert ("a", 0, "cut", "___ t ___\nE x") in seen
+
+
+def test_long_blocks_stay_whole(rocks):
+    """Blocks of more lines than any that were held, within a batch and over four; a run's next block is its own."""
+    folder, state, seen = tempfile.mkdtemp(), tempfile.mkdtemp(), []
+    lines = ["=== FAILURES ===", "___ t ___", *(f"E {i}" for i in range(25_000)), "___ u ___", "E x", "=== 1 failed ==="]
+    for part in ([("a", i, x) for i, x in enumerate(lines)], *([("b", i, x) for i, x in enumerate(lines)][k : k + 9_000] for k in range(0, len(lines), 9_000))):
+        rocks.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        stream = rocks.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+        SM.machine_stream(stream, M.MACHINES["pytest"]).writeStream.option("checkpointLocation", state).foreachBatch(lambda df, k: seen.extend(map(tuple, df.collect()))).trigger(availableNow=True).start().awaitTermination()
+    whole = "\n".join(lines[1:25_002])
+    assert sorted(r for r in seen if r[2] == "item") == [(run, n, "item", text) for run in ("a", "b") for n, text in enumerate([whole, "___ u ___\nE x"])]
+
+
+def test_a_long_block_leaves_whole_after_a_while(rocks):
+    folder, state, seen = tempfile.mkdtemp(), tempfile.mkdtemp(), []
+    lines = ["=== FAILURES ===", "___ t ___", *(f"E {i}" for i in range(12_000))]
+    rocks.createDataFrame([("a", i, x) for i, x in enumerate(lines)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    query = SM.machine_stream(rocks.readStream.schema(SCHEMA).parquet(folder), M.MACHINES["pytest"], wait_ms=500).writeStream.option("checkpointLocation", state).foreachBatch(lambda df, k: seen.extend(map(tuple, df.collect()))).trigger(processingTime="1 second").start()
+    until = time.time() + 60
+    while time.time() < until and not any(r[2] == "cut" for r in seen):
+        time.sleep(1)
+    query.stop()
+    assert ("a", 0, "cut", "\n".join(lines[1:])) in seen
